@@ -86,28 +86,33 @@ def rank_in_segments(df: DataFrame, keys: list[str], segment: str, order: list[s
             .drop("__pos", "__off"))
 
 
-def best_before(df: DataFrame, keys: list[str], segment: str, at: list[str],
-                value: str, out: str = "best") -> DataFrame:
-    """Smallest ``value`` among the strictly earlier rows of the key, for each row.
+def best_before(df: DataFrame, keys: list[str], at: str, value: str, out: str = "best") -> DataFrame:
+    """Smallest ``value`` of the key at strictly earlier ``at``, for every row.
 
-    ``at`` orders the rows of a key and ``segment`` is its coarse prefix. Inside a
-    segment equal positions are folded first, and the minima of all earlier segments
-    are carried forward over the short list of segments.
+    Rows of one key and date are folded to one before the running minimum, so a task
+    holds at most the distinct dates of a key, however many rows the key has.
     """
-    spot = df.groupBy(*keys, segment, *at).agg(
-        F.min(value).alias("__low"), F.count(F.lit(1)).alias("__n"))
-    inner = (Window.partitionBy(*keys, segment).orderBy(*at)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    spot = spot.withColumn("__inner", F.min("__low").over(inner))
-    seg = spot.groupBy(*keys, segment).agg(F.min("__low").alias("__seg"),
-                                           F.sum("__n").alias("__m"))
-    outer = (Window.partitionBy(*keys).orderBy(segment)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    seg = seg.withColumn("__carry", F.min("__seg").over(outer)).drop("__seg")
-    spot = lookup(spot, seg, [*keys, segment], "__m", "inner")
-    spot = (spot.withColumn(out, F.least("__inner", "__carry"))
-            .select(*keys, segment, *at, out, "__n"))
-    return lookup(df, spot, list(dict.fromkeys([*keys, segment, *at])), "__n", "inner")
+    spot = df.groupBy(*keys, at).agg(F.min(value).alias("__low"), F.count(F.lit(1)).alias("__n"))
+    earlier = (Window.partitionBy(*keys).orderBy(at)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    spot = spot.withColumn(out, F.min("__low").over(earlier)).drop("__low")
+    return lookup(df, spot, [*keys, at], "__n", "inner")
+
+
+def global_rank(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
+    """1-based position in the whole order of a 64-bit integer column without ties.
+
+    The top 16 bits cut the order into at most 65,536 ranges; rows are numbered inside a
+    range and the running sizes of the ranges, a table of that many rows, are broadcast.
+    """
+    ranged = df.withColumn("__seg", F.shiftright(order, 48))
+    sizes = ranged.groupBy("__seg").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__seg").orderBy(order)
+    return (ranged.withColumn("__pos", F.row_number().over(inside))
+            .join(F.broadcast(sizes), "__seg")
+            .withColumn(out, F.col("__pos") + F.col("__off")).drop("__seg", "__pos", "__off"))
 
 
 def weigh(per_key: DataFrame, big: DataFrame, keys: list[str], weight: str = "__n") -> DataFrame:
