@@ -1,0 +1,23 @@
+"""Columns that are computed once per row.
+
+The optimizer merges neighbouring projections. A costly column that a lambda reads is
+named there only once, so it would be put into the lambda and recomputed per element. A
+generator between the two keeps them apart: nothing is merged or pushed through it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a column whose value later projections and filters cannot inline."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def pin(df: DataFrame, *names: str) -> DataFrame:
+    """Pin existing columns."""
+    for n in names:
+        df = pinned(df, n, F.col(n))
+    return df

@@ -9,15 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import lexicons as L
 from hazardlake.functions import text as X
-
-
-def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row.
-
-    Later filters and projections cannot inline it again: they do not move through a
-    generator.
-    """
-    return df.withColumn(name, F.explode(F.array(value)))
+from hazardlake.functions.pin import pinned
 
 
 def with_hits(df: DataFrame, name: str, text: Column, humour: list[str] = L.HUMOUR,

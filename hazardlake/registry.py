@@ -29,7 +29,7 @@ def query(name: str, ids: str, sql: str | None = None, needs: tuple[str, ...] =
             head = ", ".join(f"{n} AS ({CTES[n]})" for n in needs)
             body = sql.strip()
             if body.startswith(","):
-                text = f"WITH {head}{body}" if head else f"WITH {body[1:]}"
+                text = f"WITH RECURSIVE {head}{body}" if head else f"WITH {body[1:]}"
             else:
                 text = f"WITH {head} {body}" if head else body
         if name in QUERIES:
