@@ -1 +1,160 @@
-"""Registered queries."""
+"""Registered queries that run as Structured Streaming jobs over the events table."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazardlake.functions import text as X
+from hazardlake.plans import fixtures as A
+from hazardlake.plans.common import iso, r, sql_iso
+from hazardlake.plans.feed_queries import RAW, VERDICT_SQL
+from hazardlake.registry import query
+from hazardlake.session import work_dir
+from hazardlake.sources.posts import decode_envelope, read_post_stream
+from hazardlake.streaming import jobs as J
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events file as a stream with the columns of the stream adapter."""
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.selectExpr("event_id as id", "cast(ts as timestamp) as ts", "user_id as author",
+                          f"{A.PLATFORM.format(k='user_id')} as platform", "event_type as post_type", "value", "props")
+
+
+def _paths(spark, label):
+    base = work_dir(spark, label)
+    return f"{base}/table", f"{base}/checkpoint"
+
+
+def _table(spark, stream, label, mode="append"):
+    target, checkpoint = _paths(spark, label)
+    J.run(stream, J.table_sink(target), checkpoint, mode)
+    return target
+
+
+@query("stream_ingest", "ST-1 S-4 ST-3",
+       """select id, coalesce(json_extract(props, '$.k')::bigint, -1) as k, coalesce(nullif(platform, 'news'), 'unknown') as platform, post_type from stream""", ("stream",))
+def _(spark, sf):
+    """Envelopes as a folder of JSON files, read two files per micro-batch."""
+    base = work_dir(spark, "envelopes")
+    env = A.stream(spark, sf).selectExpr("props as post_data", "cast(id as string) as timestamp", "nullif(platform, 'news') as platform", "post_type")
+    env.repartition(6).write.json(f"{base}/in")
+    posts = decode_envelope(read_post_stream(spark, f"{base}/in", 2), "k bigint")
+    out = posts.select(F.col("timestamp").cast("long").alias("id"), F.coalesce("post.k", F.lit(-1)).alias("k"), "platform", "post_type")
+    J.run(out, J.table_sink(f"{base}/table"), f"{base}/checkpoint")
+    return J.read_table(spark, f"{base}/table")
+
+
+@query("stream_running_counts", "ST-2 ST-3", "select platform, post_type, count(*) as n from stream group by all", ("stream",))
+def _(spark, sf):
+    return J.read_last(spark, _table(spark, J.running_counts(_stream(spark, sf)), "counts", "complete"))
+
+
+CLOSED = "start + interval '{size}' <= (select max(ts) from stream) - interval '{delay}'"
+
+
+@query("stream_windows", "ST-4",
+       f"""select {sql_iso('start')} as start, platform, count(*) as n, round(count(*) / 3600.0, 8)::double as rate from
+       (select time_bucket(interval '1 hour', ts) as start, platform from stream) where {CLOSED.format(size='1 hour', delay='10 minutes')} group by start, platform""", ("stream",))
+def _(spark, sf):
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "windows")
+    return J.read_table(spark, t).select(iso("start").alias("start"), "platform", "n", r("rate", 8).alias("rate"))
+
+
+@query("stream_sliding_trend", "ST-10",
+       f""", s as (select time_bucket(interval '1 hour', ts) - to_hours(i) as start, post_type from stream, (select unnest(range(6)) as i))
+       select {sql_iso('start')} as start, post_type, count(*) as n from s where {CLOSED.format(size='6 hours', delay='10 minutes')} group by start, post_type""", ("stream",))
+def _(spark, sf):
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "6 hours", "10 minutes", ["post_type"], "1 hour"), "sliding")
+    return J.read_table(spark, t).select(iso("start").alias("start"), "post_type", "n")
+
+
+@query("stream_spikes", "ST-11",
+       f""", c as (select time_bucket(interval '1 hour', ts) as start, platform, count(*) as n from stream group by all),
+       k as (select * from c where {CLOSED.format(size='1 hour', delay='10 minutes')}),
+       t as (select *, avg(n) over (partition by platform order by start rows between 6 preceding and 1 preceding) as trailing_mean from k)
+       select {sql_iso('start')} as start, platform, n, round(trailing_mean, 6) as trailing_mean, n >= 10 as mass_event from t where n >= trailing_mean * 2""", ("stream",))
+def _(spark, sf):
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "spikes")
+    s = J.spikes(J.read_table(spark, t), ["platform"], 6, 2.0)
+    return s.select(iso("start").alias("start"), "platform", "n", r("trailing_mean").alias("trailing_mean"), "mass_event")
+
+
+@query("stream_dedup", "ST-5", "select distinct author, post_type from stream", ("stream",))
+def _(spark, sf):
+    d = J.drop_duplicates(_stream(spark, sf), ["author", "post_type"], "60 days").select("author", "post_type")
+    return J.read_table(spark, _table(spark, d, "dedup"))
+
+
+@query("stream_remember_ids", "ST-5", "select author, count(*) as arrivals from stream group by 1", ("stream",))
+def _(spark, sf):
+    s = J.remember_ids(_stream(spark, sf), "author", 3_600_000)
+    return J.read_table(spark, _table(spark, s, "seen"))
+
+
+@query("stream_gate", "ST-6 F-9",
+       VERDICT_SQL + """ select id, case when not is_genuine then 'discarded' when value > 20 then 'kept' else 'failed' end as route from verdicts""", ("stream",))
+def _(spark, sf):
+    target, checkpoint = _paths(spark, "gate")
+    s = _stream(spark, sf).selectExpr("id", "value", f"{RAW['spark']} as raw")
+    s = s.withColumn("verdict", X.parse_verdict(F.col("raw"))).withColumn("extracted", F.when(F.col("value") > 20, F.col("id")))
+    J.run(s, J.gate_sink(target), checkpoint)
+    parts = [J.read_table(spark, f"{target}/{n}").select("id", F.lit(n).alias("route")) for n in ("kept", "failed", "discarded")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("stream_dead_letters", "ST-7",
+       "select case when post_type = 'error' then 'dead' else 'good' end as route, count(*) as n, sum(case when post_type <> 'error' then id end)::bigint as ids from stream group by 1", ("stream",))
+def _(spark, sf):
+    """A log whose error lines are cut short: they go to the dead-letter table."""
+    target, checkpoint = _paths(spark, "dead")
+    lines = A.stream(spark, sf).selectExpr("if(post_type = 'error', concat('{\"id\": ', id), to_json(struct(id, platform))) as value")
+    lines.write.text(f"{target}-log")
+    s = spark.readStream.schema("id long, platform string, _corrupt_record string").option("mode", "PERMISSIVE").json(f"{target}-log")
+    J.run(s, J.dead_letter_sink(target), checkpoint)
+    good = J.read_table(spark, f"{target}/good").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit("good").alias("route"), "n", "ids")
+    dead = J.read_table(spark, f"{target}/dead").agg(F.count(F.lit(1)).alias("n")).select(F.lit("dead").alias("route"), "n", F.lit(None).cast("long").alias("ids"))
+    return good.unionByName(dead)
+
+
+@query("stream_serving_store", "ST-8", "select id, platform from stream order by ts desc, id desc limit 10000", ("stream",))
+def _(spark, sf):
+    target, checkpoint = _paths(spark, "serving")
+    s = _stream(spark, sf).select("id", "platform", "ts")
+    J.run(s, J.serving_sink(target), checkpoint)
+    return J.read_last(spark, target).select("id", "platform")
+
+
+@query("stream_late_data", "ST-9",
+       "select case when ts >= timestamp '2024-01-29' then 'fresh' else 'late' end as route, count(*) as n from stream group by 1", ("stream",))
+def _(spark, sf):
+    target, checkpoint = _paths(spark, "late")
+    now = F.lit("2024-01-31").cast("timestamp")
+    J.run(_stream(spark, sf), J.late_sink(target, F.col("ts"), now, 48), checkpoint)
+    count = lambda n: J.read_table(spark, f"{target}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("route"), "n")
+    return count("fresh").unionByName(count("late"))
+
+
+@query("stream_record_hook", "K-2", "select platform, round(sum(value), 3) as total from stream group by 1", ("stream",))
+def _(spark, sf):
+    target, checkpoint = _paths(spark, "hook")
+    hook = lambda batch, batch_id: batch.groupBy("platform").agg(F.sum("value").alias("total"))
+    J.run(_stream(spark, sf), J.record_hook_sink(hook, target), checkpoint)
+    return J.read_table(spark, target).groupBy("platform").agg(r(F.sum("total"), 3).alias("total"))
+
+
+@query("stream_upsert_reports", "S-5 W-8",
+       f"select author as id, arg_max(id, row(ts, id)) as version, {sql_iso('max(ts)')} as updated_at from stream group by author", ("stream",))
+def _(spark, sf):
+    target = _table(spark, _stream(spark, sf).select(F.col("author").alias("id"), F.col("id").alias("version"), F.col("ts").alias("updated_at")), "reports")
+    J.compact_reports(spark, target, f"{target}-compact")
+    return J.read_reports(spark, f"{target}-compact").select("id", "version", iso("updated_at").alias("updated_at"))
+
+
+@query("retention_tiers", "ST-12",
+       """select case when age <= 24 then 'realtime' when age <= 720 then 'trend' when age <= 2160 then 'metrics' else 'expired' end as tier, count(*) as n
+       from (select date_diff('microsecond', ts, timestamp '2024-04-05') / 3.6e9 as age from stream) group by 1""", ("stream",))
+def _(spark, sf):
+    now = F.lit("2024-04-05").cast("timestamp")
+    return A.stream(spark, sf).groupBy(J.retention_tier(F.col("ts"), now).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
