@@ -1 +1,143 @@
-"""Registered queries."""
+"""Registered queries for model hooks, training data and whole jobs."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from hazardlake.operators import hooks as K
+from hazardlake.operators import morphology as M
+from hazardlake.operators import rasters as R
+from hazardlake.operators import scenes as S
+from hazardlake.plans import fixtures as A
+from hazardlake.plans import jobs
+from hazardlake.plans.common import joined, r
+from hazardlake.plans.masks_queries import box
+from hazardlake.plans.texts_queries import COASTAL, HUMOUR, PLACES, SERIOUS, STOP
+from hazardlake.registry import query
+
+NEED = ("tiles", "px")
+PAIR = ("tiles", "px", "pair")
+
+
+@query("score_chips", "K-1 R-11 R-12",
+       'select event, tile, "row", col, round((b + d) / 2 + 0.25, 6) as score from pair', PAIR)
+def _(spark, sf):
+    """A user scorer on overlapping chips; equal scores of a pixel average to themselves."""
+    pair = R.pair_phases(A.tiles(spark, sf), ["v"])
+    chips = M.cut_chips(M.chip_grid(pair, 4, 2), ["before_v", "during_v"], 4)
+    chips = chips.select("event", "tile", "height", "width", "y0", "x0", "chip_before_v", "chip_during_v")
+    scored = K.score_chips(chips, ["chip_before_v", "chip_during_v"], lambda x: (x["chip_before_v"] + x["chip_during_v"]) / 2 + 0.25)
+    return M.merge_chips(scored, "score", 4).select("event", "tile", "row", "col", r("score").alias("score"))
+
+
+def _upper_share(texts: pd.Series) -> pd.DataFrame:
+    share = texts.map(lambda t: sum(c.isupper() for c in t) / max(len(t), 1))
+    return pd.DataFrame({"is_serious": share < 0.02, "confidence": 1.0 - share})
+
+
+@query("verdict_hook", "K-3")
+def _(spark, sf):
+    """A caller's vectorised classifier in the place of the default score."""
+    d = K.with_verdict(A.table(spark, sf, "documents"), "text", _upper_share)
+    return d.select("doc_id", "verdict.is_serious", r("verdict.confidence").alias("confidence"))
+
+
+@query("verdict_default", "K-3")
+def _(spark, sf):
+    d = K.with_verdict(A.table(spark, sf, "documents"), "text", humour=HUMOUR, serious=SERIOUS, coastal=COASTAL)
+    d = K.with_extraction(d, "text", SERIOUS, PLACES, STOP)
+    return d.select("doc_id", "verdict.is_serious", r("verdict.confidence").alias("confidence"),
+                    F.col("extracted.total_tag_count").alias("tags"), joined("extracted.location_mentions").alias("places"))
+
+
+@query("training_pixels", "K-4",
+       """, n as (select event as fire, tile, lead(tile) over (partition by event order by tile) as next_tile from (select distinct event, tile from tiles)),
+       s as (select event, tile, avg(v) as mu, stddev_pop(v) as sd from px where phase = 'before' group by all)
+       select p.event as fire, p.tile, n.next_tile, p.pos::int as pos, round((p.v - mu) / (sd + 1e-8), 5) as v, (q.v > 0)::int as label
+       from n join px p on p.event = n.fire and p.tile = n.tile and p.phase = 'before' join s on s.event = n.fire and s.tile = n.tile
+       join px q on q.event = n.fire and q.tile = n.next_tile and q.phase = 'during' and q.pos = p.pos""", NEED)
+def _(spark, sf):
+    """Tiles of an event stand for the days of a fire."""
+    pair = R.pair_phases(A.tiles(spark, sf), ["v"])
+    img = pair.select(F.col("event").alias("fire"), F.col("tile").alias("day"), "width", F.col("before_v").alias("v"),
+                      F.expr("transform(during_v, x -> if(x > 0, cast(x as double), double('NaN')))").alias("fire_band"))
+    out = K.training_pixels(img, S.day_pairs(img), ["v"], "fire_band")
+    return out.select("fire", F.col("day").alias("tile"), F.col("next_day").alias("next_tile"), "pos", r("v", 5).alias("v"), "label")
+
+
+@query("pca3", "R-19")
+def _(spark, sf):
+    out = K.pca3(A.table(spark, sf, "embeddings"), "embedding", "vec_id")
+    return out.select("vec_id", *[r(f"c{i}").alias(f"c{i}") for i in range(3)])
+
+
+for _kind, _label in (("forest", "quality"), ("boosting", "quality"), ("svm", "toxic")):
+    @query(f"text_classifier_{_kind}", "K-6")
+    def _(spark, sf, kind=_kind, label=_label):
+        d = A.table(spark, sf, "documents").select("doc_id", "text")
+        known = d.join(A.table(spark, sf, "labels"), "doc_id").withColumn("label", F.col(label).cast("double"))
+        model = K.fit_text_classifier(known, "text", "label", kind)
+        return model.transform(d).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+FLOOD = """, q as (select event, tile, pos, "row", col, b * 100 + 105 as vv0, b * 80 + 95 as vh0, d * 100 + 95 as vv1, d * 80 + 85 as vh1, d from pair),
+  m0 as (select event, tile, 'x' as phase, pos, "row", col, ((vv1 < 100 and vv0 > 100 and vv0 - vv1 > 10 or vh1 < 90 and vh0 > 90 and vh0 - vh1 > 10)
+    and not (vv1 < 75 or vv0 < 75 or vh1 < 70 or vh0 < 70))::int as m from q)""" + box("m0", "s0", 1, "dilate") + """,
+  z as (select s.event, s.tile, s.m = 1 as p, (case when q.d > 0.15 then 2 when q.d < 0 then 1 else 0 end) = 1 as t, vv0 < 100 as w0, vv1 < 100 as w1
+    from s0 s join q using (event, tile, pos))"""
+
+
+def _flood(spark, sf, scorer=None):
+    t = A.tiles(spark, sf).withColumns({
+        "vv": F.expr("transform(v, x -> cast(x as double) * 100 + if(phase = 'before', 105, 95))"),
+        "vh": F.expr("transform(v, x -> cast(x as double) * 80 + if(phase = 'before', 95, 85))")})
+    gt = A.tiles(spark, sf).filter("phase = 'during'").select(
+        "event", "tile", F.expr("transform(v, x -> case when cast(x as double) > 0.15D then 2 when x < 0 then 1 else 0 end)").alias("gt"))
+    return jobs.flood_job(t, gt, chip=4, grow=1, scorer=scorer)
+
+
+@query("flood_job_scores", "R-16 A-12 A-13",
+       FLOOD + """ select event, tile, count(*) filter (p and t) as tp, count(*) filter (p and not t) as fp, count(*) filter (not p and t) as fn,
+       count(*) filter (not p and not t) as tn from z group by all""", PAIR)
+def _(spark, sf):
+    return _flood(spark, sf).scores.select("event", "tile", "tp", "fp", "fn", "tn")
+
+
+@query("flood_job_changes", "R-16 A-10",
+       FLOOD + """ select event, tile, count(*) filter (w0) as before_px, count(*) filter (w1 or p) as during_px, count(*) filter ((w1 or p) and not w0) as new_px,
+       count(*) filter (p) as flood_pred_pixels from z group by all""", PAIR)
+def _(spark, sf):
+    """With a scorer of the caller that agrees with the rule wherever the rule fires."""
+    res = _flood(spark, sf, lambda x: x["chip_before_vv"] * 0 + 1.0)
+    return res.changes.select("event", "tile", "before_px", "during_px", "new_px", "flood_pred_pixels")
+
+
+FIRE = """, q as (select event, tile, pos, "row", col, b, d, floor(b * 20) = 0 as nd from pair),
+  m0 as (select event, tile, 'x' as phase, pos, "row", col, (not nd and (b - 0.01) / (0.2 + 1e-10) - (d - 0.02) / (0.3 + 1e-10) > 0)::int as m from q)""" + \
+    box("m0", "s0", 1, "erode") + box("s0", "s1", 1, "dilate") + box("s1", "s2", 1, "dilate") + box("s2", "s3", 1, "erode")
+
+
+@query("fire_job_scores", "R-17 X-24 X-25",
+       FIRE + """ select s.event, s.tile, count(*) filter (s.m = 1 and q.d > 0) as tp, count(*) filter (s.m = 1 and not q.d > 0) as fp,
+       count(*) filter (s.m = 0 and q.d > 0) as fn, count(*) filter (s.m = 0 and not q.d > 0) as tn from s3 s join q using (event, tile, pos) group by all""", PAIR)
+def _(spark, sf):
+    pair = R.pair_phases(A.tiles(spark, sf), ["v"])
+    t = pair.select("event", "tile", "height", "width", F.expr(
+        "transform(arrays_zip(before_v, during_v), z -> array(if(floor(cast(z.before_v as double) * 20) = 0, -9999D, cast(z.before_v as double)), cast(z.during_v as double)))").alias("bands"))
+    gt = pair.select("event", "tile", F.expr("transform(during_v, x -> cast(x > 0 as int))").alias("gt"))
+    _, scores = jobs.fire_job(t, gt, 4, 4, [0.01, 0.02], [0.2, 0.3])
+    return scores.select("event", "tile", "tp", "fp", "fn", "tn")
+
+
+@query("fire_temporal_job", "R-18 X-21 X-22 X-29")
+def _(spark, sf):
+    """Scenes are orders; a scene's image is the embedding its key points to."""
+    e = A.table(spark, sf, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    s = A.scenes(spark, sf)
+    img = (s.join(F.broadcast(n)).withColumn("vec_id", F.col("scene") % F.col("n"))
+           .join(e.select("vec_id", "embedding"), "vec_id"))
+    img = img.select("scene", F.lit(8).alias("width"), F.expr("transform(embedding, x -> cast(x as double) + 0.6)").alias("nir"),
+                     F.expr("reverse(transform(embedding, x -> cast(x as double) + 0.6))").alias("swir2"),
+                     F.expr("transform(embedding, x -> cast(x * 200 < burn_pct - 30 as int))").alias("burn"))
+    out = jobs.fire_temporal_job(s, img)
+    return out.withColumns({"burn_delta": r("burn_delta"), "new_km2": r("new_km2")})
