@@ -9,27 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardlake.functions import lexicons as L
+from hazardlake.functions.let import let
 
 # letters, digits, every sign from $ to _ and the exclamation mark
 URL_PATTERN = r"https?://[!$-_a-z]+"
 
 
+# letters, digits and the underscore of any script; combining marks end a word
+WORD = r"[\p{L}\p{N}_]"
+NO_WORD = r"[^\p{L}\p{N}_]"
+
+
+def whole_word(pattern: str) -> str:
+    """The pattern between word ends."""
+    return f"(?<!{WORD})(?:{pattern})(?!{WORD})"
+
+
 def _words(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
 def hashtags(text: Column) -> Column:
     """Distinct ``#word`` tags as written, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(#\w+)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(#{WORD}+)"), F.lit(1))))
 
 
 def hashtags_lower(text: Column) -> Column:
     """All ``#word`` tags in lower case, repeats kept, in text order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(#\w+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(#{WORD}+)"), F.lit(1)), F.lower)
 
 
 def mentions(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(@\w+)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(@{WORD}+)"), F.lit(1))))
 
 
 def urls(text: Column) -> Column:
@@ -37,33 +48,33 @@ def urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({URL_PATTERN})"), F.lit(1))
 
 
-def token_set(text: Column) -> Column:
-    """Distinct lower-case word runs; a whole-word test is membership in this set."""
-    return F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))
+def tokens_of(low: Column) -> Column:
+    """Word runs of a lower-case text; a whole-word test is membership among them."""
+    return F.split(low, f"{NO_WORD}++")
 
 
 def _is_word(term: str) -> bool:
     return all(c.isalnum() or c == "_" for c in term)
 
 
-def _phrase_hit(text: Column, phrase: str) -> Column:
-    # a constant pattern is compiled once per task
-    return text.rlike(r"(?iU)\b" + phrase + r"\b")
+def _phrase_hit(low: Column, phrase: str) -> Column:
+    # a byte search settles most texts; the constant pattern is compiled once per task
+    return low.contains(phrase) & low.rlike(whole_word(phrase))
 
 
-def lexicon_hits(text: Column, tokens: Column, lexicon: list[str]) -> Column:
-    """Distinct lexicon terms found as whole words, in list order."""
+def lexicon_hits(low: Column, tokens: Column, lexicon: list[str]) -> Column:
+    """Distinct lexicon terms found as whole words of a lower-case text, in list order."""
     single = [w for w in lexicon if _is_word(w)]
     found = F.array_intersect(_words(single), tokens)
     phrases = [p for p in lexicon if not _is_word(p)]
     if not phrases:
         return found
-    some = F.filter(F.array(*[F.when(_phrase_hit(text, p), F.lit(p)) for p in phrases]),
+    some = F.filter(F.array(*[F.when(_phrase_hit(low, p), F.lit(p)) for p in phrases]),
                     lambda p: p.isNotNull())
     return F.array_intersect(_words(list(dict.fromkeys(lexicon))), F.concat(found, some))
 
 
-def lexicon_count(text: Column, tokens: Column, lexicon: list[str]) -> Column:
+def lexicon_count(low: Column, tokens: Column, lexicon: list[str]) -> Column:
     """Number of list entries found; an entry listed twice counts twice."""
     single = [w for w in lexicon if _is_word(w)]
     terms, level = [], 1
@@ -73,24 +84,23 @@ def lexicon_count(text: Column, tokens: Column, lexicon: list[str]) -> Column:
             break
         terms.append(F.size(F.array_intersect(_words(again), tokens)))
         level += 1
-    terms += [_phrase_hit(text, p).cast("int") for p in lexicon if not _is_word(p)]
+    terms += [_phrase_hit(low, p).cast("int") for p in lexicon if not _is_word(p)]
     return F.coalesce(reduce(lambda a, b: a + b, terms, F.lit(0)), F.lit(0))
 
 
-def lexicon_label(text: Column, tokens: Column, levels: dict[str, list[str]],
+def lexicon_label(low: Column, tokens: Column, levels: dict[str, list[str]],
                   default: str | None = None) -> Column:
     """First level, in order, with any whole-word hit."""
     out = None
     for name, words in levels.items():
-        hit = lexicon_count(text, tokens, words) > 0
+        hit = lexicon_count(low, tokens, words) > 0
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(default))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Any word occurs as a substring, case-insensitive."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))
 
 
 def text_gate(text: Column, min_len: int, words: list[str]) -> Column:
@@ -102,15 +112,23 @@ def coastal_flag(keyword: Column) -> Column:
     return contains_any(keyword, L.COASTAL_TERMS)
 
 
-def place_mentions(text: Column, places: list[str] = L.PLACES) -> Column:
-    """Place names in text order, lower case, repeats kept."""
-    pattern = r"(?iU)\b(" + "|".join(places) + r")\b"
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)
+def _by_initial(terms: list[str]) -> str:
+    """Alternation grouped by first letter: at one position only one group can match, and
+    inside a group the order of the list stays, so the matches are the same."""
+    groups: dict[str, list[str]] = {}
+    for t in terms:
+        groups.setdefault(t[0], []).append(t[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items())
+
+
+def place_mentions(low: Column, places: list[str] = L.PLACES) -> Column:
+    """Place names of a lower-case text in text order, repeats kept."""
+    return F.regexp_extract_all(low, F.lit(f"({whole_word(_by_initial(places))})"), F.lit(1))
 
 
-def content_words(text: Column, stop: list[str] = L.COMMON_WORDS) -> Column:
-    """Runs of four or more ASCII letters between word boundaries, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-zA-Z]{4,})\b"), F.lit(1))
+def content_words(low: Column, stop: list[str] = L.COMMON_WORDS) -> Column:
+    """Words of four or more ASCII letters of a lower-case text, without stop words."""
+    words = F.regexp_extract_all(low, F.lit(f"({whole_word('[a-z]{4,}+')})"), F.lit(1))
     return F.filter(words, lambda w: ~w.isin(stop))
 
 
@@ -120,25 +138,28 @@ def hash_tokens(text: Column) -> Column:
 
 
 def comprehensive_tags(title: Column, description: Column, given: Column,
-                       keywords: list[str] = L.HAZARD_TAGS,
-                       places: list[str] = L.PLACES,
+                       keywords: list[str] = L.HAZARD_TAGS, places: list[str] = L.PLACES,
                        stop: list[str] = L.COMMON_WORDS) -> Column:
-    """Five tag arrays, their sorted distinct union, and its size."""
-    full = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    tags = hashtags_lower(full)
-    found = lexicon_hits(full, token_set(full), keywords)
-    spots = place_mentions(full, places)
-    own = F.transform(F.coalesce(given, F.array().cast("array<string>")), F.lower)
-    words = content_words(full, stop)
-
+    """Five tag arrays, their sorted distinct union, and its size; each search runs once."""
     def uniq(a: Column) -> Column:
         return F.array_sort(F.array_distinct(a))
 
-    unified = uniq(F.concat(tags, found, spots, own, F.slice(words, 1, 10)))
-    return F.struct(uniq(tags).alias("hashtags"), uniq(found).alias("disaster_keywords"),
-                    uniq(spots).alias("location_mentions"), uniq(own).alias("youtube_tags"),
-                    uniq(F.slice(words, 1, 20)).alias("extracted_keywords"),
-                    unified.alias("unified_tags"), F.size(unified).alias("total_tag_count"))
+    def search(low: Column) -> Column:
+        return F.struct(
+            F.regexp_extract_all(low, F.lit(f"(#{WORD}+)"), F.lit(1)).alias("tags"),
+            lexicon_hits(low, tokens_of(low), keywords).alias("found"),
+            place_mentions(low, places).alias("spots"), F.slice(content_words(low, stop), 1, 20).alias("words"),
+            F.transform(F.coalesce(given, F.array().cast("array<string>")), F.lower).alias("own"))
+
+    def join(p: Column) -> Column:
+        union = uniq(F.concat(p["tags"], p["found"], p["spots"], p["own"], F.slice(p["words"], 1, 10)))
+        return let(union, lambda u: F.struct(
+            uniq(p["tags"]).alias("hashtags"), uniq(p["found"]).alias("disaster_keywords"),
+            uniq(p["spots"]).alias("location_mentions"), uniq(p["own"]).alias("youtube_tags"),
+            uniq(p["words"]).alias("extracted_keywords"), u.alias("unified_tags"), F.size(u).alias("total_tag_count")))
+
+    full = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+    return let(F.lower(full), lambda low: let(search(low), join))
 
 
 def non_empty(col: Column) -> Column:

@@ -14,7 +14,6 @@ from hazardlake.functions import lexicons as L
 from hazardlake.functions import seriousness as Z
 from hazardlake.functions import spectral as P
 from hazardlake.functions import text as X
-from hazardlake.functions.pin import pinned
 
 Scorer = Callable[[dict[str, np.ndarray]], np.ndarray]
 
@@ -39,14 +38,13 @@ def score_chips(chips: DataFrame, bands: list[str], scorer: Scorer, out: str = "
 
 def rule_score(chips: DataFrame, vv0: str, vh0: str, vv1: str, vh1: str, out: str = "score") -> DataFrame:
     """Default radar scorer: 1 where the drop rule holds in either polarisation, else 0."""
-    z = lambda n: F.col("z")[n]  # noqa: E731, F841
     zipped = F.arrays_zip(*[F.col(c).alias(n) for c, n in ((vv0, "a"), (vh0, "b"), (vv1, "c"), (vh1, "d"))])
 
     def hit(p: Column) -> Column:
         change = P.radar_change(p["a"], p["b"], p["c"], p["d"])
         return (change["vv"] | change["vh"]).cast("double")
 
-    return pinned(pinned(chips, "__z", zipped), out, F.transform("__z", hit)).drop("__z")
+    return chips.withColumn(out, F.transform(zipped, hit))
 
 
 Classifier = Callable[[pd.Series], pd.DataFrame]
@@ -60,16 +58,16 @@ def with_verdict(df: DataFrame, text: str, classify: Classifier | None = None, *
     if classify is None:
         return Z.score_texts(df, [text], **lexicons)
     run = F.pandas_udf(classify, "is_serious boolean, confidence double")
-    return pinned(df, "verdict", run(F.col(text)))
+    return df.withColumn("verdict", run(F.col(text)))
 
 
 def with_extraction(df: DataFrame, text: str, keywords: list[str] = L.HAZARD_TAGS, places: list[str] = L.PLACES,
                     stop: list[str] = L.COMMON_WORDS, extract=None, schema: str | None = None) -> DataFrame:
     """Extracted information per row: the caller's function, else lexicon tags and places."""
     if extract is not None:
-        return pinned(df, "extracted", F.pandas_udf(extract, schema)(F.col(text)))
+        return df.withColumn("extracted", F.pandas_udf(extract, schema)(F.col(text)))
     none = F.array().cast("array<string>")
-    return pinned(df, "extracted", X.comprehensive_tags(F.col(text), F.lit(""), none, keywords, places, stop))
+    return df.withColumn("extracted", X.comprehensive_tags(F.col(text), F.lit(""), none, keywords, places, stop))
 
 
 def training_pixels(images: DataFrame, pairs: DataFrame, bands: list[str], label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A neighbourhood never leaves its tile, so these operators map a tile row to a tile row:
 no pixel is shuffled and no key is grouped. Square windows are separable, so every pass
-looks along one axis only; each pass is pinned, so it is computed once per pixel.
+looks along one axis only; each pass binds the result of the one before, so it is computed once.
 """
 
 import math
@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.functions.pin import pin, pinned
+from hazardlake.functions.let import let_sql
 from hazardlake.session import cut_lineage
 
 TILE = ["event", "tile"]
 ALL = "sequence(0, height * width - 1)"
 
 
-def _axis_pass(mask: str, radius: int, axis: str, test: str) -> Column:
+def _axis_pass(mask: str, radius: int, axis: str, test: str) -> str:
     """One pass of a box filter: ``exists`` dilates, ``forall`` erodes; outside counts 0."""
     if axis == "row":
         inside = "(p % width) + d >= 0 and (p % width) + d < width"
@@ -26,17 +26,23 @@ def _axis_pass(mask: str, radius: int, axis: str, test: str) -> Column:
     else:
         inside = "p + d * width >= 0 and p + d * width < height * width"
         at = "p + d * width"
-    return F.expr(f"transform({ALL}, p -> cast({test}(sequence({-radius}, {radius}), "
-                  f"d -> ({inside}) and get({mask}, {at}) = 1) as int))")
+    return (f"transform({ALL}, p -> cast({test}(sequence({-radius}, {radius}), "
+            f"d -> ({inside}) and get({mask}, {at}) = 1) as int))")
+
+
+def _chain(value: str, steps: list) -> str:
+    """Apply steps, functions of a name to expression text, one after the other."""
+    text = value
+    for i, step in enumerate(steps):
+        text = let_sql(text, f"m{i}", step(f"m{i}"))
+    return text
 
 
 def _box(tiles: DataFrame, mask: str, radius: int, test: str) -> DataFrame:
     if radius == 0:
         return tiles
-    out = pin(tiles, mask)
-    for axis in ("row", "col"):
-        out = pinned(out, mask, _axis_pass(mask, radius, axis, test))
-    return out
+    steps = [lambda m, a=axis: _axis_pass(m, radius, a, test) for axis in ("row", "col")]
+    return tiles.withColumn(mask, F.expr(_chain(mask, steps)))
 
 
 def dilate(tiles: DataFrame, mask: str, size: int = 3, iterations: int = 1) -> DataFrame:
@@ -83,11 +89,9 @@ def gaussian(tiles: DataFrame, band: str, sigma: float) -> DataFrame:
     kernel = "array(" + ", ".join(f"named_struct('d', {d}, 'w', {w!r}D)" for d, w in gaussian_kernel(sigma)) + ")"
     row = f"(p - p % width) + {_mirror('p % width + k.d', 'width')}"
     col = f"{_mirror('cast(p div width as int) + k.d', 'height')} * width + p % width"
-    out = pinned(tiles, band, F.expr(f"transform({band}, x -> cast(x as double))"))
-    for at in (row, col):
-        out = pinned(out, band, F.expr(
-            f"transform({ALL}, p -> aggregate({kernel}, 0.0D, (s, k) -> s + k.w * get({band}, {at})))"))
-    return out
+    steps = [lambda m, at=at: f"transform({ALL}, p -> aggregate({kernel}, 0.0D, (s, k) -> s + k.w * get({m}, {at})))"
+             for at in (row, col)]
+    return tiles.withColumn(band, F.expr(_chain(f"transform({band}, x -> cast(x as double))", steps)))
 
 
 def otsu(tiles: DataFrame, band: str, valid: str | None = None, keys: list[str] | None = None,
@@ -100,7 +104,7 @@ def otsu(tiles: DataFrame, band: str, valid: str | None = None, keys: list[str]
     keys = TILE + ["phase"] if keys is None else keys
     ok = f"transform(arrays_zip({band}, {valid}), z -> if(z.{valid} = 1, z.{band}, null))" if valid else band
     vals = tiles.select(*keys, F.expr(f"filter({ok}, x -> x is not null and not isnan(x))").alias("vals"))
-    vals = pin(vals, "vals").filter(F.size("vals") > 0).select(*keys, "vals", F.array_min("vals").alias("lo"), F.array_max("vals").alias("hi"))
+    vals = vals.filter(F.size("vals") > 0).select(*keys, "vals", F.array_min("vals").alias("lo"), F.array_max("vals").alias("hi"))
     binned = vals.select(*keys, "lo", "hi", F.explode("vals").alias("x"))
     index = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
@@ -133,7 +137,7 @@ def water_optical(tiles: DataFrame, green: str, nir: str, limit: float = 0.0) ->
     index = ("transform(arrays_zip({g}, {n}), z -> (cast(z.{g} as double) - z.{n}) / "
              "if(cast(z.{g} as double) + z.{n} = 0, 1e-10D, cast(z.{g} as double) + z.{n}))").format(g=green, n=nir)
     out = gaussian(tiles.withColumn("mask", F.expr(index)), "mask", 1.5)
-    out = pinned(out, "mask", F.expr(f"transform(mask, x -> cast(x > {limit!r}D as int))"))
+    out = out.withColumn("mask", F.expr(f"transform(mask, x -> cast(x > {limit!r}D as int))"))
     return opening(closing(out, "mask", 5, 2), "mask", 3)
 
 
@@ -141,13 +145,13 @@ def water_radar(tiles: DataFrame, vv: str, vh: str, keys: list[str] | None = Non
     """Radar water mask: both smoothed bands below their threshold, closed 7x7 thrice, opened."""
     keys = TILE + ["phase"] if keys is None else keys
     valid = f"transform(arrays_zip({vv}, {vh}), z -> cast(z.{vv} > 0 and z.{vh} > 0 as int))"
-    out = pinned(tiles, "valid", F.expr(valid))
+    out = tiles.withColumn("valid", F.expr(valid))
     # read three times below: the two thresholds and the mask
     out = cut_lineage(gaussian(gaussian(out, vv, 2.0), vh, 2.0))
     tv = otsu(out, vv, "valid", keys).withColumnRenamed("threshold", "t_vv")
     th = otsu(out, vh, "valid", keys).withColumnRenamed("threshold", "t_vh")
     out = out.join(tv, keys, "left").join(th, keys, "left")
-    out = pinned(out, "mask", F.expr(
+    out = out.withColumn("mask", F.expr(
         f"transform(arrays_zip({vv}, {vh}), z -> cast(coalesce(z.{vv} < t_vv and z.{vh} < t_vh, false) as int))"))
     return opening(closing(out, "mask", 7, 3), "mask", 3).drop("valid", "t_vv", "t_vh")
 
@@ -219,7 +223,7 @@ def boundary_edges(tiles: DataFrame, mask: str, keys: list[str] | None = None) -
     Corner points are numbered on the (width + 1) grid as x, y.
     """
     keys = TILE if keys is None else keys
-    px = pin(tiles, mask).select(*keys, "width", "height", mask, F.posexplode(mask).alias("pos", "m")).filter("m = 1")
+    px = tiles.select(*keys, "width", "height", mask, F.posexplode(mask).alias("pos", "m")).filter("m = 1")
     px = px.withColumns({"r": (F.col("pos") / F.col("width")).cast("int"), "c": F.col("pos") % F.col("width")})
 
     def empty(cond: str, at: str) -> str:
@@ -341,12 +345,12 @@ def chip_grid(tiles: DataFrame, size: int, stride: int, cover: str = "all", keys
 
 def cut_chips(grid: DataFrame, bands: list[str], size: int) -> DataFrame:
     """Fill the chips of ``chip_grid``: one array per band, padding mirrored."""
-    out = pin(grid, *bands)
+    out = grid
     for b in bands:
         y = reflect(f"y0 + cast(i div {size} as int)", "height")
         x = reflect(f"x0 + i % {size}", "width")
-        out = pinned(out, f"chip_{b}", F.expr(
-            f"transform(sequence(0, {size * size - 1}), i -> get({b}, {y} * width + {x}))"))
+        out = out.withColumn(f"chip_{b}", F.expr(let_sql(
+            b, "m", f"transform(sequence(0, {size * size - 1}), i -> get(m, {y} * width + {x}))")))
     return out
 
 
@@ -378,16 +382,17 @@ def center_crop(tiles: DataFrame, band: str, size: int) -> DataFrame:
     """Middle size x size pixels, after mirrored padding where a tile is smaller."""
     out = pad_to(tiles, band, size)
     top, left = f"cast((height - {size}) div 2 as int)", f"cast((width - {size}) div 2 as int)"
-    crop = (f"transform(sequence(0, {size * size - 1}), i -> get({band}, "
+    crop = (f"transform(sequence(0, {size * size - 1}), i -> get(m, "
             f"({top} + cast(i div {size} as int)) * width + {left} + i % {size}))")
-    return pinned(out, band, F.expr(crop)).withColumns({"height": F.lit(size), "width": F.lit(size)})
+    return out.withColumn(band, F.expr(let_sql(band, "m", crop))).withColumns({"height": F.lit(size), "width": F.lit(size)})
 
 
 def pad_to(tiles: DataFrame, band: str, size: int) -> DataFrame:
     """Mirror the right and bottom edges until both sides have at least ``size`` pixels."""
-    out = pin(tiles, band).withColumns({"__h": F.greatest("height", F.lit(size)), "__w": F.greatest("width", F.lit(size))})
+    out = tiles.withColumns({"__h": F.greatest("height", F.lit(size)), "__w": F.greatest("width", F.lit(size))})
     y, x = reflect("cast(i div __w as int)", "height"), reflect("i % __w", "width")
-    out = pinned(out, band, F.expr(f"transform(sequence(0, __h * __w - 1), i -> get({band}, cast({y} * width + {x} as int)))"))
+    out = out.withColumn(band, F.expr(let_sql(
+        band, "m", f"transform(sequence(0, __h * __w - 1), i -> get(m, cast({y} * width + {x} as int)))")))
     return out.drop("height", "width").withColumnsRenamed({"__h": "height", "__w": "width"})
 
 
@@ -395,7 +400,7 @@ def augment(tiles: DataFrame, bands: list[str], seed: int, keys: list[str] | Non
     """Seeded flips and quarter turns of square tiles, the same for all bands of a tile."""
     keys = TILE if keys is None else keys
     h = F.xxhash64(*keys, F.lit(seed))
-    out = pin(tiles, *bands).withColumns({"flip_h": F.pmod(h, F.lit(2)), "flip_v": F.pmod(F.shiftright(h, 8), F.lit(2)),
+    out = tiles.withColumns({"flip_h": F.pmod(h, F.lit(2)), "flip_v": F.pmod(F.shiftright(h, 8), F.lit(2)),
                              "turns": F.pmod(F.shiftright(h, 16), F.lit(4))})
     r, c = "cast(p div width as int)", "(p % width)"
     # source pixel of a turn, then of the flips
@@ -403,10 +408,10 @@ def augment(tiles: DataFrame, bands: list[str], seed: int, keys: list[str] | Non
     tc = f"case turns when 0 then {c} when 1 then width - 1 - {r} when 2 then width - 1 - {c} else {r} end"
     fr = f"if(flip_v = 1, height - 1 - ({tr}), {tr})"
     fc = f"if(flip_h = 1, width - 1 - ({tc}), {tc})"
-    out = pinned(out, "__src", F.expr(f"transform({ALL}, p -> cast(({fr}) * width + ({fc}) as int))"))
+    source = f"transform({ALL}, p -> cast(({fr}) * width + ({fc}) as int))"
     for b in bands:
-        out = pinned(out, b, F.expr(f"transform(__src, i -> get({b}, i))"))
-    return out.drop("__src")
+        out = out.withColumn(b, F.expr(let_sql(b, "m", f"transform({source}, i -> get(m, i))")))
+    return out
 
 
 # --- map layers -----------------------------------------------------------------------------------

@@ -106,8 +106,8 @@ def _(spark, sf):
 
 @query("collect_tags", "A-5 U-4",
        r""", t as (select video, regexp_replace(text, '([A-Z])', '#\1', 'g') as t from videos),
-       x as (select video, 'hashtag' as kind, unnest(list_distinct(regexp_extract_all(t, '#[\p{L}\p{M}\p{N}_]+'))) as value from t
-       union all select video, 'mention', unnest(list_distinct(regexp_extract_all(t, '@[\p{L}\p{M}\p{N}_]+'))) from t
+       x as (select video, 'hashtag' as kind, unnest(list_distinct(regexp_extract_all(t, '#[\p{L}\p{N}_]+'))) as value from t
+       union all select video, 'mention', unnest(list_distinct(regexp_extract_all(t, '@[\p{L}\p{N}_]+'))) from t
        union all select video, 'url', unnest(regexp_extract_all(t, 'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+')) from t)
        select video, kind, value, count(*) as n from x group by all""", ("videos",))
 def _(spark, sf):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import lexicons as L
 from hazardlake.functions import spectral as P
-from hazardlake.functions.pin import pinned
 from hazardlake.operators import evaluate as E
 from hazardlake.operators import hooks as K
 from hazardlake.operators import morphology as M
@@ -74,10 +73,10 @@ def fire_job(tiles: DataFrame, truth: DataFrame, chip: int, stride: int, means:
     values are standardised and blanked after the overlapping chips are merged. Without a
     scorer a pixel scores the difference of its first two standardised bands.
     """
-    t = pinned(tiles, "nodata", F.transform("bands", lambda p: P.nodata_mask(p).cast("int")))
-    z = pinned(t, "z", F.transform("bands", lambda p: P.band_zscore(P.fill_nodata(p), means, stds)))
-    flat = pinned(z, "z0", F.transform("z", lambda p: p[0]))
-    flat = pinned(flat, "z1", F.transform("z", lambda p: p[1])).drop("z", "bands")
+    t = tiles.withColumns({
+        "nodata": F.transform("bands", lambda p: P.nodata_mask(p).cast("int")),
+        "z": F.transform("bands", lambda p: P.band_zscore(P.fill_nodata(p), means, stds))})
+    flat = t.withColumns({"z0": F.transform("z", lambda p: p[0]), "z1": F.transform("z", lambda p: p[1])}).drop("z", "bands")
     chips = M.cut_chips(M.chip_grid(flat, chip, stride), ["z0", "z1"], chip)
     chips = chips.select(*TILE, "height", "width", "y0", "x0", "chip_z0", "chip_z1")
     if scorer is None:

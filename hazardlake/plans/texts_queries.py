@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import seriousness as Z
 from hazardlake.functions import text as X
+from hazardlake.functions.let import let
 from hazardlake.operators import feed as O
 from hazardlake.plans import fixtures as A
 from hazardlake.plans.common import iso, joined, r, sql_iso
@@ -19,7 +20,7 @@ PLACES = ["de la", "la", "the of", "und", "is"]
 STOP = ["with", "that", "from", "this"]
 LEVELS = {"high": ["haha", "enst"], "medium": ["that", "und"], "low": ["the", "la", "de la"]}
 
-W = r"\p{L}\p{M}\p{N}_"
+W = r"\p{L}\p{N}_"
 
 
 def _hit(text, term):
@@ -70,8 +71,8 @@ def _(spark, sf):
 
 @query("lexicon_hits", "X-3", f"select doc_id, array_to_string({_list('text', SERIOUS + COASTAL)}, '|') as hits from documents")
 def _(spark, sf):
-    t = F.col("text")
-    return _docs(spark, sf).select("doc_id", joined(X.lexicon_hits(t, X.token_set(t), SERIOUS + COASTAL)).alias("hits"))
+    hits = let(F.lower("text"), lambda low: X.lexicon_hits(low, X.tokens_of(low), SERIOUS + COASTAL))
+    return _docs(spark, sf).select("doc_id", joined(hits).alias("hits"))
 
 
 # RE2 has no Unicode word boundary: all but ASCII letters of a word become 'x', lengths kept
@@ -82,7 +83,7 @@ ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
        rf"""select doc_id, lower(array_to_string(regexp_extract_all({ASCII}, '(?i)\b(?:{"|".join(PLACES)})\b'), '|')) as places from documents""")
 def _(spark, sf):
     t = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-    return _docs(spark, sf).select("doc_id", joined(X.place_mentions(t, PLACES)).alias("places"))
+    return _docs(spark, sf).select("doc_id", joined(X.place_mentions(F.lower(t), PLACES)).alias("places"))
 
 
 @query("content_words", "X-5",
@@ -90,7 +91,7 @@ def _(spark, sf):
          lambda x: x not in ({", ".join(f"'{s}'" for s in STOP)})) as w from documents)
        select doc_id, len(w) as n, array_to_string(list_sort(list_distinct(w[1:20])), '|') as first_words from w""")
 def _(spark, sf):
-    words = X.content_words(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), STOP)
+    words = X.content_words(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")), STOP)
     d = _docs(spark, sf).select("doc_id", words.alias("w"))
     return d.select("doc_id", F.size("w").cast("bigint").alias("n"),
                     joined(F.array_sort(F.array_distinct(F.slice("w", 1, 20)))).alias("first_words"))
@@ -194,10 +195,12 @@ def _(spark, sf):
        "select doc_id, case " + " ".join(f"when {_sum('text', ws)} > 0 then '{n}'" for n, ws in LEVELS.items())
        + f" end as level, {_sum('text', ['that', 'und la', 'the'])} > 0 as first_person from documents")
 def _(spark, sf):
-    t = F.col("text")
-    tok = X.token_set(t)
-    return _docs(spark, sf).select("doc_id", X.lexicon_label(t, tok, LEVELS).alias("level"),
-                                   (X.lexicon_count(t, tok, ["that", "und la", "the"]) > 0).alias("first_person"))
+    def labels(low, tokens):
+        return F.struct(X.lexicon_label(low, tokens, LEVELS).alias("level"),
+                        (X.lexicon_count(low, tokens, ["that", "und la", "the"]) > 0).alias("first_person"))
+
+    x = let(F.lower("text"), lambda low: let(X.tokens_of(low), lambda tokens: labels(low, tokens)))
+    return _docs(spark, sf).select("doc_id", x.alias("x")).select("doc_id", "x.*")
 
 
 @query("contains_any", "F-3",
