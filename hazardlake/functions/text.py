@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hazardlake.functions import lexicons as L
 from hazardlake.functions.let import let
@@ -174,12 +173,8 @@ def ellipsis(text: Column, n: int = 100) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-VERDICT = T.StructType([
-    T.StructField("is_genuine", T.BooleanType()),
-    T.StructField("verification_score", T.DoubleType()),
-    T.StructField("reasoning", T.StringType()),
-    T.StructField("confidence", T.StringType()),
-])
+VERDICT = ("is_genuine boolean, verification_score double, reasoning string, confidence string, "
+           "_corrupt_record string")
 
 
 def json_slice(raw: Column) -> Column:
@@ -193,19 +188,19 @@ def parse_verdict(raw: Column) -> Column:
     No braces gives a false verdict with the parse reason; broken JSON gives a false
     verdict without one.
     """
-    text = json_slice(raw)
-    got = F.from_json(text, VERDICT)
-    broken = F.try_parse_json(text).isNull()
-    return F.when(
-        text.isNull(),
-        F.struct(F.lit(False).alias("is_genuine"), F.lit(0.0).alias("verification_score"),
-                 F.lit("Failed to parse response").alias("reasoning"),
-                 F.lit("Invalid response format").alias("error")),
-    ).otherwise(
-        F.struct(F.when(broken, F.lit(False)).otherwise(F.coalesce(got["is_genuine"], F.lit(False))).alias("is_genuine"),
-                 F.when(~broken, F.coalesce(got["verification_score"], F.lit(0.0))).alias("verification_score"),
-                 F.when(~broken, got["reasoning"]).alias("reasoning"),
-                 F.when(broken, F.lit("broken JSON")).alias("error")))
+    def build(x: Column) -> Column:
+        none, got = x["none"], x["got"]
+        broken = got["_corrupt_record"].isNotNull()
+        return F.struct(
+            F.when(none | broken, F.lit(False)).otherwise(F.coalesce(got["is_genuine"], F.lit(False))).alias("is_genuine"),
+            F.when(none, F.lit(0.0)).when(~broken, F.coalesce(got["verification_score"], F.lit(0.0))).alias("verification_score"),
+            F.when(none, F.lit("Failed to parse response")).when(~broken, got["reasoning"]).alias("reasoning"),
+            F.when(none, F.lit("Invalid response format")).when(broken, F.lit("broken JSON")).alias("error"))
+
+    def parse(text: Column) -> Column:
+        return F.struct(text.isNull().alias("none"), F.from_json(text, VERDICT).alias("got"))
+
+    return let(let(json_slice(raw), parse), build)
 
 
 def instruction(task: str, platform: Column, lang: Column, user: Column, verified: Column,
