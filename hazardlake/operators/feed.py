@@ -65,10 +65,8 @@ def share_by(df: DataFrame, key: str) -> DataFrame:
     """Rows per value and percentage of all rows."""
     counts = df.groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias(key)).agg(
         F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # one row on the right: bounded by construction
-    return (counts.join(F.broadcast(total))
-            .select(key, "n", (F.col("n") * 100.0 / F.col("total")).alias("pct")))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def gate_rates(df: DataFrame, verified: Column, stored: Column) -> DataFrame:
@@ -82,12 +80,13 @@ def gate_rates(df: DataFrame, verified: Column, stored: Column) -> DataFrame:
 
 
 def global_stats(posts: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row of dashboard counts; both sides are single aggregate rows."""
+    """One row of dashboard counts; the report counts come in as a scalar subquery."""
+    r = reports.agg(F.struct(F.count(F.lit(1)).alias("all"),
+                             F.count_if(F.col("severity") == "critical").alias("critical"))).scalar()
     p = posts.agg(F.count(F.lit(1)).alias("total_posts"),
                   F.count_if(F.col("is_disaster")).alias("disaster_posts"))
-    r = reports.agg(F.count(F.lit(1)).alias("verified_reports"),
-                    F.count_if(F.col("severity") == "critical").alias("critical_reports"))
-    return p.join(F.broadcast(r))
+    return p.withColumn("r", r).select("total_posts", "disaster_posts", F.col("r.all").alias("verified_reports"),
+                                       F.col("r.critical").alias("critical_reports"))
 
 
 def trending(df: DataFrame, tags: str, n: int = 15) -> DataFrame:
@@ -266,11 +265,16 @@ def credibility(df: DataFrame) -> Column:
 
 
 def trend(df: DataFrame, bucket: str, ts: str = "ts") -> DataFrame:
-    """Posts per time bucket with platform/type breakdown at every level."""
-    return (df.withColumn("bucket", F.date_trunc(bucket, ts))
-            .cube("platform", "post_type", "bucket").agg(F.count(F.lit(1)).alias("n"),
-                                                         F.grouping_id().alias("level"))
-            .filter(F.col("bucket").isNotNull()))
+    """Posts per time bucket with platform/type breakdown at every level.
+
+    Posts are counted once; the cube adds up the counts.
+    """
+    per = (df.groupBy("platform", "post_type", F.date_trunc(bucket, ts).alias("bucket"))
+           .agg(F.count(F.lit(1)).alias("n")))
+    c = F.col
+    return per.groupingSets(
+        [[c("platform"), c("post_type"), c("bucket")], [c("platform"), c("bucket")], [c("post_type"), c("bucket")], [c("bucket")]],
+        c("platform"), c("post_type"), c("bucket")).agg(F.sum("n").alias("n"))
 
 
 def correlate(df: DataFrame, span: str, place: str, kind: str, platform: str, ts: str = "ts") -> DataFrame:

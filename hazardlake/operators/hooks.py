@@ -96,10 +96,13 @@ def pca3(df: DataFrame, vec: str, key: str) -> DataFrame:
     model = PCA(k=3, inputCol="x", outputCol="p").fit(rows)
     parts = model.transform(rows).select(key, vector_to_array("p").alias("p"))
     parts = parts.select(key, *[F.col("p")[i].alias(f"c{i}") for i in range(3)])
-    lims = parts.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(3) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    out = parts.join(F.broadcast(lims))
-    scale = lambda i: F.when(F.col(f"hi{i}") - F.col(f"lo{i}") > 1e-8,
-                             (F.col(f"c{i}") - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}"))).otherwise(F.col(f"c{i}"))
+    lims = parts.agg(F.struct(*[f(f"c{i}").alias(f"{n}{i}") for i in range(3) for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+    out = parts.withColumn("lim", lims.scalar())
+
+    def scale(i: int) -> Column:
+        lo, hi = F.col(f"lim.lo{i}"), F.col(f"lim.hi{i}")
+        return F.when(hi - lo > 1e-8, (F.col(f"c{i}") - lo) / (hi - lo)).otherwise(F.col(f"c{i}"))
+
     return out.select(key, *[scale(i).alias(f"c{i}") for i in range(3)])
 
 

@@ -355,9 +355,12 @@ def cut_chips(grid: DataFrame, bands: list[str], size: int) -> DataFrame:
 
 
 def merge_chips(chips: DataFrame, score: str, size: int, keys: list[str] | None = None) -> DataFrame:
-    """Mean score of all chips over a pixel, cropped to the tile; uncovered pixels are absent."""
+    """Mean score of all chips over a pixel, cropped to the tile; uncovered pixels are absent.
+
+    Chips, not pixels, are brought together by tile, so the average needs no exchange.
+    """
     keys = TILE if keys is None else keys
-    px = chips.select(*keys, "height", "width", "y0", "x0", F.posexplode(score).alias("i", "s"))
+    px = chips.select(*keys, "height", "width", "y0", "x0", score).repartition(*keys).select(*keys, "height", "width", "y0", "x0", F.posexplode(score).alias("i", "s"))
     px = px.select(*keys, "height", "width",
                    (F.col("y0") + (F.col("i") / F.lit(size)).cast("int")).alias("row"),
                    (F.col("x0") + F.col("i") % size).alias("col"), "s").filter("row < height and col < width")

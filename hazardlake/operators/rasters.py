@@ -143,9 +143,9 @@ def scene_quality(px: DataFrame, cloud_b: Column, cloud_d: Column, water_b: Colu
 def best_pairs(quality: DataFrame, cloud: float = 15, rise: float = 2, fallback: int = 10) -> DataFrame:
     """Cloud-free tiles with more water; if there is none, the largest increases."""
     good = quality.filter((F.col("b_cloud") < cloud) & (F.col("d_cloud") < cloud) & (F.col("water_incr") > rise))
-    n_good = good.agg(F.count(F.lit(1)).alias("n_good"))
+    n_good = good.agg(F.count(F.lit(1))).scalar()
     top = quality.orderBy(F.col("water_incr").desc(), *TILE).limit(fallback)
-    spare = top.join(F.broadcast(n_good)).filter("n_good = 0").drop("n_good")
+    spare = top.filter(n_good == 0)
     return good.withColumn("choice", F.lit("good")).unionByName(spare.withColumn("choice", F.lit("fallback")))
 
 
@@ -229,8 +229,7 @@ def global_summary(tiles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tiles"), F.sum("new_km2").alias("total_new_km2"),
         F.sum("during_km2").alias("total_flooded_km2"), F.avg("f1").alias("avg_f1"),
         F.grouping("event").alias("grand"))
-    n = tiles.select("event").distinct().agg(F.count(F.lit(1)).alias("total_events"))
-    return got.join(F.broadcast(n))
+    return got.withColumn("total_events", tiles.agg(F.count_distinct("event")).scalar())
 
 
 def event_meta(df: DataFrame, dim: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def fire_triplets(df: DataFrame) -> DataFrame:
     peak = peak.filter((F.col("n_dates") >= 2) & (F.col("during.burn_pct") >= 5))
     others = (skew.lookup(df.select("cell", "scene", "day", "burn_pct"),
                           peak.select("cell", F.col("during.day").alias("pday"),
-                                      F.col("during.scene").alias("pscene"), "n_dates"),
-                          ["cell"], "n_dates", "inner")
+                                      F.col("during.scene").alias("pscene")),
+                          ["cell"], peak.select("cell", F.col("n_dates").alias("n")), "inner")
               .filter(F.col("scene") != F.col("pscene"))
               .withColumn("side", F.when(F.col("day") < F.col("pday"), "earlier")
                           .when(F.col("day") > F.col("pday"), "later").otherwise("same")))
@@ -224,11 +224,11 @@ def split_fires(df: DataFrame, seed: int, share: float = 0.8, key: str = "fire")
     """Whole fires to 'train' or 'val' by seeded hash order; at least one trains."""
     fires = df.select(key).distinct().withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     ranked = skew.global_rank(fires, "__h", "rank")
-    total = fires.agg(F.count(F.lit(1)).alias("total"))
+    total = fires.agg(F.count(F.lit(1))).scalar()
+    ranked = ranked.withColumn("total", total)
     cut = F.greatest(F.lit(1), F.floor(F.col("total") * share))
-    return (ranked.join(F.broadcast(total))
-            .select(key, F.when(F.col("total") < 2, "both").when(F.col("rank") <= cut, "train")
-                    .otherwise("val").alias("split")))
+    return ranked.select(key, F.when(F.col("total") < 2, "both").when(F.col("rank") <= cut, "train")
+                         .otherwise("val").alias("split"))
 
 
 def split_windows(windows: DataFrame, assignment: DataFrame, key: str = "fire") -> DataFrame:
@@ -239,7 +239,7 @@ def split_windows(windows: DataFrame, assignment: DataFrame, key: str = "fire")
 def pair_with_other(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Give every sample another one as its reference: the next in seeded hash order."""
     ranked = skew.global_rank(df.select(key).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", "rank")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    nxt = ranked.join(F.broadcast(total)).withColumn("rank", F.pmod(F.col("rank"), F.col("total")) + 1)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    nxt = ranked.withColumn("total", total).withColumn("rank", F.pmod(F.col("rank"), F.col("total")) + 1)
     return (nxt.select(key, "rank")
             .join(ranked.select(F.col(key).alias(f"ref_{key}"), "rank"), "rank").drop("rank"))

@@ -132,10 +132,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Scenes are orders; a scene's image is the embedding its key points to."""
     e = A.table(spark, sf, "embeddings")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
+    n = e.agg(F.count(F.lit(1))).scalar()
     s = A.scenes(spark, sf)
-    img = (s.join(F.broadcast(n)).withColumn("vec_id", F.col("scene") % F.col("n"))
-           .join(e.select("vec_id", "embedding"), "vec_id"))
+    img = s.withColumn("vec_id", F.col("scene") % n).join(e.select("vec_id", "embedding"), "vec_id")
     img = img.select("scene", F.lit(8).alias("width"), F.expr("transform(embedding, x -> cast(x as double) + 0.6)").alias("nir"),
                      F.expr("reverse(transform(embedding, x -> cast(x as double) + 0.6))").alias("swir2"),
                      F.expr("transform(embedding, x -> cast(x * 200 < burn_pct - 30 as int))").alias("burn"))

@@ -87,6 +87,13 @@ def _(spark, sf):
     return J.read_table(spark, _table(spark, d, "dedup"))
 
 
+@query("stream_dedup_table", "ST-5", "select author, post_type, min(id) as id from stream group by all", ("stream",))
+def _(spark, sf):
+    target, checkpoint = _paths(spark, "dedup-table")
+    J.run(_stream(spark, sf), J.dedup_sink(target, ["author", "post_type"], ["id"]), checkpoint)
+    return J.read_table(spark, target).select("author", "post_type", "id")
+
+
 @query("stream_remember_ids", "ST-5", "select author, count(*) as arrivals from stream group by 1", ("stream",))
 def _(spark, sf):
     s = J.remember_ids(_stream(spark, sf), "author", 3_600_000)

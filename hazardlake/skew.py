@@ -15,22 +15,31 @@ def _hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("hazardlake.hot.rows", str(HOT_ROWS)))
 
 
-def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
+def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], counts: DataFrame,
            how: str = "left") -> DataFrame:
-    """Join ``per_key`` (one row per key, ``weight`` = rows of that key) to ``big``.
+    """Join ``per_key`` (one row per key) to ``big``, of which ``counts`` gives rows per key.
 
-    The heaviest keys (never more than HOT_KEYS rows) are broadcast, so their rows stay
-    where they are; all other keys take the shuffled join.
+    ``counts`` has the keys and a column ``n``. The heaviest keys, never more than
+    HOT_KEYS, are broadcast with their one row each, so their rows stay where they are;
+    every other key takes the shuffled join. Both branches together are the whole result.
     """
-    hot = (per_key.filter(F.col(weight) >= _hot_rows(big))
-           .orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS))
-    hot_keys = F.broadcast(hot.select(*keys))
-    side = per_key.drop(weight)
-    served = big.join(F.broadcast(hot.drop(weight)), keys, "inner")
-    rest = big.join(hot_keys, keys, "left_anti").join(side, keys, how)
+    hot = (counts.filter(F.col("n") >= _hot_rows(big))
+           .orderBy(F.col("n").desc(), *keys).limit(HOT_KEYS).select(*keys))
+    hot_side = per_key.join(F.broadcast(hot), keys, "left_semi")
+    served = big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_side), keys, how)
+    rest = big.join(F.broadcast(hot), keys, "left_anti").join(per_key, keys, how)
     return served.unionByName(rest)
 
 
+def rows_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def lookup_any(big: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``lookup`` with the rows per key counted here."""
+    return lookup(big, per_key, keys, rows_per_key(big, keys), how)
+
+
 def small_lookup(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
                  max_rows: int = 100_000) -> DataFrame:
     """Join a dimension, broadcast only when a bounded count proves it small.
@@ -40,9 +49,7 @@ def small_lookup(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "le
     """
     if dim.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(dim), keys, how)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    weighed = dim.join(counts, keys, "left").fillna(0, ["__n"])
-    return lookup(big, weighed, keys, "__n", how)
+    return lookup_any(big, dim, keys, how)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,11 +84,11 @@ def rank_in_segments(df: DataFrame, keys: list[str], segment: str, order: list[s
     """
     part = Window.partitionBy(*keys, segment).orderBy(*order)
     numbered = df.withColumn("__pos", F.row_number().over(part))
-    counts = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows_per_key(df, [*keys, segment])
     before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    joined = lookup(numbered, offsets, [*keys, segment], "__n", "inner")
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    joined = lookup(numbered, offsets, [*keys, segment], counts, "inner")
     return (joined.withColumn(rank, F.col("__pos") + F.col("__off"))
             .drop("__pos", "__off"))
 
@@ -92,11 +99,11 @@ def best_before(df: DataFrame, keys: list[str], at: str, value: str, out: str =
     Rows of one key and date are folded to one before the running minimum, so a task
     holds at most the distinct dates of a key, however many rows the key has.
     """
-    spot = df.groupBy(*keys, at).agg(F.min(value).alias("__low"), F.count(F.lit(1)).alias("__n"))
+    spot = df.groupBy(*keys, at).agg(F.min(value).alias("__low"), F.count(F.lit(1)).alias("n"))
     earlier = (Window.partitionBy(*keys).orderBy(at)
                .rowsBetween(Window.unboundedPreceding, -1))
-    spot = spot.withColumn(out, F.min("__low").over(earlier)).drop("__low")
-    return lookup(df, spot, [*keys, at], "__n", "inner")
+    low = spot.withColumn(out, F.min("__low").over(earlier)).drop("__low", "n")
+    return lookup(df, low, [*keys, at], spot.select(*keys, at, "n"), "inner")
 
 
 def global_rank(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
@@ -113,14 +120,3 @@ def global_rank(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
     return (ranged.withColumn("__pos", F.row_number().over(inside))
             .join(F.broadcast(sizes), "__seg")
             .withColumn(out, F.col("__pos") + F.col("__off")).drop("__seg", "__pos", "__off"))
-
-
-def weigh(per_key: DataFrame, big: DataFrame, keys: list[str], weight: str = "__n") -> DataFrame:
-    """Attach to every row of ``per_key`` how many rows of ``big`` carry its key."""
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
-    return per_key.join(counts, keys, "left").fillna(0, [weight])
-
-
-def lookup_any(big: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``lookup`` for a per-key table whose weights are not known yet."""
-    return lookup(big, weigh(per_key, big, keys), keys, "__n", how)

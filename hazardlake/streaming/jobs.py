@@ -47,8 +47,7 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
 def read_last(spark: SparkSession, target: str) -> DataFrame:
     """The newest batch of a table whose batches each hold a whole result."""
     t = spark.read.parquet(target)
-    last = t.agg(F.max("batch").alias("batch"))
-    return t.join(F.broadcast(last), "batch").drop("batch")
+    return t.filter(F.col("batch") == t.agg(F.max("batch")).scalar()).drop("batch")
 
 
 # --- counters and windows ------------------------------------------------------------------
@@ -97,29 +96,52 @@ def drop_duplicates(stream: DataFrame, key: list[str], delay: str, ts: str = "ts
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
+def dedup_sink(target: str, key: list[str], arrival: list[str], keep_batches: int = 10_000) -> Callable[[DataFrame, int], None]:
+    """First row per key against all rows written in the last ``keep_batches`` batches.
+
+    Copies inside a batch are folded before the shuffle, so a key with very many copies
+    is no burden. A replay ignores what its own batch wrote before.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rank = F.struct(*[F.col(c) for c in arrival])
+        fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), rank).alias("r")).select("r.*")
+        if batch_id > 0:
+            seen = (batch.sparkSession.read.schema(batch.select(*key).schema.add("batch", "int")).parquet(target)
+                    .filter((F.col("batch") < batch_id) & (F.col("batch") >= batch_id - keep_batches)))
+            fresh = fresh.join(seen.select(*key), key, "left_anti")
+        write_batch(fresh, target, batch_id)
+
+    return sink
+
+
 def remember_ids(stream: DataFrame, key: str, ttl_ms: int, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """First arrival of every id, remembered until ``ttl_ms`` of event time after its last.
 
-    Each id is its own small state, so neither the memory nor the work of an id grows with
-    how often it comes; expired ids leave the store.
+    Each id is its own small state; expired ids leave the store. Repeats are folded where
+    they are read, so an id that makes up a third of a batch sends few rows to its state.
     """
     kind = dict(stream.dtypes)[key]
 
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.groupby(key, as_index=False, dropna=False).agg(seen_at=(ts, "max"), ms=("ms", "max"), n=("ms", "size"))
+
     def seen(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         n, newest = 0, 0
         for part in rows:
-            n += len(part)
+            n += int(part["n"].sum())
             newest = max(newest, int(part["ms"].max()))
         if not state.exists:
             yield pd.DataFrame({key: [k[0]], "arrivals": [n]})
         state.update((True,))
         state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
 
-    timed = stream.withWatermark(ts, delay).select(key, ts, F.unix_millis(ts).alias("ms"))
-    return timed.groupBy(key).applyInPandasWithState(
+    folded = stream.select(key, ts, F.unix_millis(ts).alias("ms")).mapInPandas(
+        fold, f"{key} {kind}, seen_at timestamp, ms long, n long")
+    return folded.withWatermark("seen_at", delay).groupBy(key).applyInPandasWithState(
         seen, f"{key} {kind}, arrivals long", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 

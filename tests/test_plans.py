@@ -43,3 +43,18 @@ def test_clusters_aggregate_before_the_shuffle(spark, sf):
 
 def test_page_is_a_top_n(spark, sf):
     assert "TakeOrdered" in plan(feed.page(A.stream(spark, sf), 50, 10).select("id"))
+
+
+def test_chips_meet_by_tile(spark, sf):
+    t = A.tiles(spark, sf).filter("phase = 'before'")
+    chips = morphology.cut_chips(morphology.chip_grid(t, 5, 3), ["v"], 5)
+    text = plan(morphology.merge_chips(chips, "chip_v", 5))
+    assert text.count("Exchange") == 1
+
+
+def test_no_cross_joins(spark, sf):
+    import __spark_entry__ as entry
+
+    for name in ("platform_share", "global_stats", "best_pairs", "global_summary", "split_fires", "reference_pairing", "top_pairs_good"):
+        text = plan(entry.queries()[name](spark, sf))
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -94,3 +94,10 @@ def test_spikes(spark):
     rows = [("k", i, n) for i, n in enumerate([4, 4, 4, 12, 4, 7])]
     got = J.spikes(spark.createDataFrame(rows, "k string, start int, n long"), ["k"], 3, 2.0).collect()
     assert [(r["start"], r["trailing_mean"], r["mass_event"]) for r in got] == [(3, 4.0, True)]
+
+
+def test_duplicates_against_the_table(spark, tmp_path):
+    s = timed(spark, tmp_path, [[(1, "2024-01-01 00:00:05"), (1, "2024-01-01 00:00:01")], [(1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:05:00")]])
+    J.run(s, J.dedup_sink(str(tmp_path / "t"), ["id"], ["ts"]), str(tmp_path / "c"))
+    got = sorted((r["id"], str(r["ts"])) for r in J.read_table(spark, str(tmp_path / "t")).collect())
+    assert got == [(1, "2024-01-01 00:00:01"), (2, "2024-01-01 00:05:00")]
