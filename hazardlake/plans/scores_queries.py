@@ -9,13 +9,20 @@ from hazardlake.plans import fixtures as A
 from hazardlake.plans.common import r
 from hazardlake.registry import query
 
-PRED, TRUTH = F.col("pred"), F.col("truth")
+def pred():
+    return F.col("pred")
+
+
+def truth():
+    return F.col("truth")
+
+
 CM = """select event, tile, count(*) filter (pred and truth) as tp, count(*) filter (pred and not truth) as fp,
  count(*) filter (not pred and truth) as fn, count(*) filter (not pred and not truth) as tn from eval group by all"""
 
 
 def _cm(spark, sf):
-    return E.confusion(A.evaluation(spark, sf), PRED, TRUTH, ["event", "tile"])
+    return E.confusion(A.evaluation(spark, sf), pred(), truth(), ["event", "tile"])
 
 
 def _rounded(df, names=("accuracy", "precision", "recall", "f1", "iou", "dice")):
@@ -30,7 +37,7 @@ def _(spark, sf):
 @query("confusion_by_order", "A-12", CM.replace("event, tile,", "l_orderkey,"), ("eval",))
 def _(spark, sf):
     """Small images, where empty truths and empty predictions occur."""
-    return E.confusion(A.evaluation(spark, sf), PRED, TRUTH, ["l_orderkey"])
+    return E.confusion(A.evaluation(spark, sf), pred(), truth(), ["l_orderkey"])
 
 
 def _score_sql(mode, src):
@@ -48,7 +55,7 @@ OUT = ", ".join(f"round({n}, 6)::double as {n}" for n in ("accuracy", "precision
 for _mode in ("zero", "one", "eps", "running"):
     @query(f"scores_{_mode}", "A-13", f", cm as ({CM.replace('event, tile,', 'l_orderkey,')})" + _score_sql(_mode, "cm") + f" select l_orderkey, tp, fp, fn, tn, {OUT} from sf", ("eval",))
     def _(spark, sf, mode=_mode):
-        cm = E.confusion(A.evaluation(spark, sf), PRED, TRUTH, ["l_orderkey"])
+        cm = E.confusion(A.evaluation(spark, sf), pred(), truth(), ["l_orderkey"])
         return _rounded(E.scores(cm, mode))
 
 
@@ -69,20 +76,20 @@ def _(spark, sf):
 @query("accuracy_class", "X-28",
        "select l_orderkey, l_linenumber, case when pred and truth then 'TP' when pred then 'FP' when truth then 'FN' else 'TN' end as cls from eval", ("eval",))
 def _(spark, sf):
-    return A.evaluation(spark, sf).select("l_orderkey", "l_linenumber", P.accuracy_class(PRED, TRUTH).alias("cls"))
+    return A.evaluation(spark, sf).select("l_orderkey", "l_linenumber", P.accuracy_class(pred(), truth()).alias("cls"))
 
 
 @query("change_class", "X-29",
        "select l_orderkey, l_linenumber, case when pred and truth then 'existing' when truth then 'new' when pred then 'receded' else 'none' end as cls from eval", ("eval",))
 def _(spark, sf):
-    return A.evaluation(spark, sf).select("l_orderkey", "l_linenumber", P.change_class(PRED, TRUTH).alias("cls"))
+    return A.evaluation(spark, sf).select("l_orderkey", "l_linenumber", P.change_class(pred(), truth()).alias("cls"))
 
 
 @query("attach_truth", "J-3",
        """, cm as (select l_orderkey, count(*) as n, count(*) filter (pred) as n_pred from eval group by 1)
        select l_orderkey, n, n_pred, case when o_orderstatus <> 'P' then o_orderstatus end as truth from cm left join (select * from orders where o_orderstatus <> 'P') on o_orderkey = l_orderkey""", ("eval",))
 def _(spark, sf):
-    img = A.evaluation(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(PRED).alias("n_pred"))
+    img = A.evaluation(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(pred()).alias("n_pred"))
     gt = A.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").selectExpr("o_orderkey as l_orderkey", "o_orderstatus as truth")
     return R.attach(img, gt, ["l_orderkey"])
 
@@ -134,7 +141,7 @@ def _(spark, sf):
        """, i as (select event, tile, sum(score * truth::int) as i, sum(score) + sum(truth::int) as u from eval group by all)
        select round(1 - avg((2 * i + 1) / (u + 1)), 8) as dice_loss from i""", ("eval",))
 def _(spark, sf):
-    return E.soft_dice(A.evaluation(spark, sf), "score", TRUTH, ["event", "tile"]).withColumn("dice_loss", r("dice_loss", 8))
+    return E.soft_dice(A.evaluation(spark, sf), "score", truth(), ["event", "tile"]).withColumn("dice_loss", r("dice_loss", 8))
 
 
 CL = "(select truth::int as t, greatest(1e-7::double, least(1 - 1e-7::double, score)) as p from eval)"
@@ -142,17 +149,17 @@ CL = "(select truth::int as t, greatest(1e-7::double, least(1 - 1e-7::double, sc
 
 @query("bce_loss", "A-28", f"select round(avg(-t * ln(p) - (1 - t) * ln(1 - p)), 8) as bce from {CL}", ("eval",))
 def _(spark, sf):
-    return E.bce(A.evaluation(spark, sf), "score", TRUTH).withColumn("bce", r("bce", 8))
+    return E.bce(A.evaluation(spark, sf), "score", truth()).withColumn("bce", r("bce", 8))
 
 
 @query("bce_logits_loss", "A-28",
        "select round(avg(-(truth::int) * ln(1 / (1 + exp(-x))) - (1 - truth::int) * ln(1 - 1 / (1 + exp(-x)))), 8) as bce from (select truth, score * 6 - 3 as x from eval)", ("eval",))
 def _(spark, sf):
     e = A.evaluation(spark, sf).withColumn("x", F.col("score") * 6 - 3)
-    return E.bce_logits(e, "x", TRUTH).withColumn("bce", r("bce", 8))
+    return E.bce_logits(e, "x", truth()).withColumn("bce", r("bce", 8))
 
 
 @query("focal_loss", "A-28",
        f"select round(avg(0.25 * (1 - (t * p + (1 - t) * (1 - p))) ** 2 * (-t * ln(p) - (1 - t) * ln(1 - p))), 8) as focal from {CL}", ("eval",))
 def _(spark, sf):
-    return E.focal(A.evaluation(spark, sf), "score", TRUTH).withColumn("focal", r("focal", 8))
+    return E.focal(A.evaluation(spark, sf), "score", truth()).withColumn("focal", r("focal", 8))

@@ -23,7 +23,12 @@ def _pair(spark, sf):
     return px.withColumns({"b": F.col("b").cast("double"), "d": F.col("d").cast("double")})
 
 
-B, D = F.col("b") > 0, F.col("d") > 0
+def wet_before():
+    return F.col("b") > 0
+
+
+def wet_during():
+    return F.col("d") > 0
 
 
 @query("explode_pixels", "S-10", 'select event, tile, phase, pos::int as pos, "row", col, v from px', ("tiles", "px"))
@@ -80,7 +85,7 @@ for _mode in ("inf", "zero", "one"):
            round(new_px * 100.0::double / 1e6, 8) as new_km2, round(receded_px * 100.0::double / 1e6, 8) as receded_km2, round(({PCT[_mode]})::double, 6) as pct_increase from s""",
            ("tiles", "px", "pair"))
     def _(spark, sf, mode=_mode):
-        out = R.change_stats(_pair(spark, sf), B, D, L.FLOOD_RES_M, mode)
+        out = R.change_stats(_pair(spark, sf), wet_before(), wet_during(), L.FLOOD_RES_M, mode)
         return out.withColumns({**{c: r(c, 8) for c in ("before_km2", "during_km2", "new_km2", "receded_km2")}, "pct_increase": r("pct_increase")})
 
 
@@ -94,7 +99,7 @@ def _(spark, sf):
     t = A.tiles(spark, sf)
     known = t.filter("phase = 'before' and label <> 3").select("event", "tile", F.lit(True).alias("has_b"))
     px = R.attach(_pair(spark, sf), known)
-    out = R.change_stats_or(px, F.when(F.col("has_b"), B), D, F.col("d") > 0.1, L.FLOOD_RES_M)
+    out = R.change_stats_or(px, F.when(F.col("has_b"), wet_before()), wet_during(), F.col("d") > 0.1, L.FLOOD_RES_M)
     return out.select("event", "tile", "before_px", "during_px", "new_px", "flood_pred_pixels", r("new_km2").alias("new_km2"), r("pct_increase").alias("pct_increase"))
 
 
@@ -103,7 +108,7 @@ def _(spark, sf):
        round(during_px / 64.0, 6) as flood_fraction, during_px * 100.0::double as area_m2, round(new_px * 100.0 / greatest(before_px, 1), 6)::double as change_pct from s""",
        ("tiles", "px", "pair"))
 def _(spark, sf):
-    out = R.extent_metrics(_pair(spark, sf), D, L.FLOOD_RES_M, B)
+    out = R.extent_metrics(_pair(spark, sf), wet_during(), L.FLOOD_RES_M, wet_before())
     return out.select("event", "tile", "flood_pixels", "total_pixels", "pre_pixels", "new_pixels", "receded_pixels",
                       r("flood_fraction").alias("flood_fraction"), "area_m2", r("change_pct").alias("change_pct"))
 
@@ -112,12 +117,12 @@ def _(spark, sf):
        """select event, tile, case when b > 0 and d > 0 then 'existing' when d > 0 then 'new' when b > 0 then 'receded' else 'none' end as category,
        count(*) as n, round(count(*) * 900.0 / 1e4, 6)::double as area from pair group by all""", ("tiles", "px", "pair"))
 def _(spark, sf):
-    return R.category_area(_pair(spark, sf), B, D, L.FIRE_RES_M, "ha").withColumn("area", r("area"))
+    return R.category_area(_pair(spark, sf), wet_before(), wet_during(), L.FIRE_RES_M, "ha").withColumn("area", r("area"))
 
 
 @query("positive_pct", "A-18", "select event, tile, count(*) filter (d > 0) as n_pos, count(*) as n, round(100.0 * count(*) filter (d > 0) / count(*), 6)::double as pct from pair group by all", ("tiles", "px", "pair"))
 def _(spark, sf):
-    return R.positive_pct(_pair(spark, sf), D).withColumn("pct", r("pct"))
+    return R.positive_pct(_pair(spark, sf), wet_during()).withColumn("pct", r("pct"))
 
 
 # vv and vh like signals around the limits of the radar rule
@@ -191,7 +196,7 @@ def _(spark, sf):
        f""", s as ({STATS}) select event, tile, during_px * 100.0::double as m2, round(during_px * 100.0 / 1e6, 6)::double as km2, round(during_px * 100.0 / 1e4, 6)::double as ha from s""",
        ("tiles", "px", "pair"))
 def _(spark, sf):
-    s = R.change_stats(_pair(spark, sf), B, D, L.FLOOD_RES_M)
+    s = R.change_stats(_pair(spark, sf), wet_before(), wet_during(), L.FLOOD_RES_M)
     n = F.col("during_px")
     return s.select("event", "tile", P.area(n, 10, "m2").alias("m2"), r(P.area(n, 10)).alias("km2"), r(P.area(n, 10, "ha")).alias("ha"))
 
@@ -265,7 +270,7 @@ for _n, _keys, _skip in (("zscore_tile", "event, tile, phase", False), ("zscore_
 @query("masked_mean", "A-27",
        "select event, pos::int as pos, round(sum(case when d > 0 then abs(b) else 0 end) / greatest(sum((d > 0)::int), 1e-8), 6) as anomaly from pair group by all", ("tiles", "px", "pair"))
 def _(spark, sf):
-    px = _pair(spark, sf).withColumns({"m": D.cast("int"), "e": F.when(D, F.abs("b")).otherwise(0.0)})
+    px = _pair(spark, sf).withColumns({"m": wet_during().cast("int"), "e": F.when(wet_during(), F.abs("b")).otherwise(0.0)})
     return R.masked_mean(px, ["event", "pos"], "e", "m").withColumn("anomaly", r("anomaly"))
 
 
@@ -307,8 +312,8 @@ def _(spark, sf):
 def _detail(spark, sf):
     """Per tile: bounds, change areas and a score that some tiles lack."""
     px = _pair(spark, sf)
-    stats = R.change_stats(px, B, D, L.FLOOD_RES_M, "zero")
-    f1 = F.count_if(B & D) * 2.0 / (F.count_if(B) + F.count_if(D))
+    stats = R.change_stats(px, wet_before(), wet_during(), L.FLOOD_RES_M, "zero")
+    f1 = F.count_if(wet_before() & wet_during()) * 2.0 / (F.count_if(wet_before()) + F.count_if(wet_during()))
     scores = px.groupBy("event", "tile").agg(f1.alias("f1")).filter("tile % 3 <> 0")
     return _bounds(spark, sf), stats, scores
 
