@@ -204,8 +204,10 @@ def age_hours(ts: Column, now: Column) -> Column:
     return (F.unix_micros(now) - F.unix_micros(at)) / F.lit(3.6e9)
 
 
-def drop_seen(df: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose id was not processed before."""
+def drop_seen(df: DataFrame, seen: DataFrame, key: str = "id", arrival: list[str] | None = None) -> DataFrame:
+    """Rows whose id was not processed before; with ``arrival`` only the first of each id."""
+    if arrival:
+        df = first_by_id(df, key, arrival)
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 

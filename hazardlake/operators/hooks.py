@@ -80,7 +80,7 @@ def training_pixels(images: DataFrame, pairs: DataFrame, bands: list[str], label
 
     feats = images.select("fire", "day", "width", *[F.transform(b, lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias(b) for b in bands])
     for b in bands:
-        feats = zscore_tile(feats, b, ["fire", "day"])
+        feats = zscore_tile(feats, b)
     nxt = images.select("fire", F.col("day").alias("next_day"),
                         F.transform(label, lambda x: P.binarise(x, "valid").cast("int")).alias("label"))
     joined = feats.join(pairs, ["fire", "day"]).join(nxt, ["fire", "next_day"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.functions import spectral as P
+from hazardlake.functions.let import let
 
 TILE = ["event", "tile"]
 
@@ -160,48 +161,86 @@ def band_stats(px: DataFrame, bands: list[str]) -> DataFrame:
 
 # --- per-tile normalisation ----------------------------------------------------------------
 
-def stretch(tiles: DataFrame, band: str, lo: float, hi: float, valid: str = "v > 0", eps: float = 1e-6,
-            keys: list[str] | None = None, floor: float | None = None) -> DataFrame:
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linearly interpolated quantile of a sorted array, null when it is empty."""
+    at = F.lit(q) * (F.size(ordered) - 1)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
+
+
+def stretch(tiles: DataFrame, band: str, lo: float, hi: float, valid: str = "x > 0", eps: float = 1e-6,
+            floor: float | None = None) -> DataFrame:
     """Percentile clip and min-max per tile; a flat tile becomes 0.
 
     Percentiles interpolate linearly over the valid values; ``floor`` fixes the lower
-    limit instead. Only two numbers per tile leave the explode and join back.
+    limit instead. Everything a tile needs is in its row, so nothing is grouped or moved.
     """
-    keys = TILE + ["phase"] if keys is None else keys
-    px = tiles.select(*keys, F.explode(band).alias("v")).withColumn("v", F.col("v").cast("double"))
-    ok = F.when(F.expr(valid), F.col("v"))
-    lims = px.groupBy(*keys).agg(F.percentile(ok, F.array(F.lit(lo), F.lit(hi))).alias("q"),
-                                 F.min("v").alias("mn"), F.max("v").alias("mx"))
-    low = F.coalesce(F.col("q")[0], F.lit(0.0)) if floor is None else F.lit(floor)
-    lims = lims.select(*keys, low.alias("lo"), F.coalesce(F.col("q")[1], F.lit(1.0)).alias("hi"), "mn", "mx")
-    clipped = lambda x: F.greatest(F.col("lo"), F.least(F.col("hi"), x))
-    # the extremes of a clipped band are the clipped extremes
-    lims = lims.select(*keys, "lo", "hi", clipped(F.col("mn")).alias("a"), clipped(F.col("mx")).alias("z"))
-    joined = tiles.join(lims, keys)
-    span = F.col("z") - F.col("a")
-    out = F.transform(band, lambda x: F.when(span < eps, F.lit(0.0)).otherwise(
-        (F.greatest(F.col("lo"), F.least(F.col("hi"), x.cast("double"))) - F.col("a")) / F.greatest(span, F.lit(eps))))
-    return joined.withColumn(band, out).drop("lo", "hi", "a", "z")
-
-
-def zscore_tile(tiles: DataFrame, band: str, keys: list[str] | None = None, skip_zero: bool = False) -> DataFrame:
-    """(x - mean) / (population std + 1e-8) over the valid values of a key, else 0.
-
-    Valid means a number and, with ``skip_zero``, not 0; give the window as key to share
-    the statistics over its days.
+    def limits(v: Column) -> Column:
+        return let(F.sort_array(F.filter(v, lambda x: _rule(valid, x))), lambda ok: F.struct(
+            (F.coalesce(_quantile(ok, lo), F.lit(0.0)) if floor is None else F.lit(floor)).alias("lo"),
+            F.coalesce(_quantile(ok, hi), F.lit(1.0)).alias("hi"), F.array_min(v).alias("mn"), F.array_max(v).alias("mx")))
+
+    def clipped(x: Column, q: Column) -> Column:
+        return F.greatest(q["lo"], F.least(q["hi"], x))
+
+    def scaled(v: Column, q: Column) -> Column:
+        # the extremes of a clipped band are the clipped extremes
+        return let(F.struct(clipped(q["mn"], q).alias("a"), clipped(q["mx"], q).alias("z")), lambda e: F.transform(
+            v, lambda x: F.when(e["z"] - e["a"] < eps, F.lit(0.0)).otherwise(
+                (clipped(x, q) - e["a"]) / F.greatest(e["z"] - e["a"], F.lit(eps)))))
+
+    values = F.transform(band, lambda x: x.cast("double"))
+    return tiles.withColumn(band, let(values, lambda v: let(limits(v), lambda q: scaled(v, q))))
+
+
+def _rule(valid: str, x: Column) -> Column:
+    return {"x > 0": x > 0, "x <> 0": x != 0, "all": F.lit(True)}[valid]
+
+
+def _valid(x: Column, skip_zero: bool) -> Column:
+    ok = x.isNotNull() & ~F.isnan(x)
+    return ok & (x != 0) if skip_zero else ok
+
+
+def zscore_tile(tiles: DataFrame, band: str, skip_zero: bool = False) -> DataFrame:
+    """(x - mean) / (population std + 1e-8) over the valid values of each tile row, else 0.
+
+    Valid means a number and, with ``skip_zero``, not 0. Map-only.
+    """
+    def mean(a: Column) -> Column:
+        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+
+    def stats(ok: Column) -> Column:
+        return let(mean(ok), lambda m: F.struct(
+            m.alias("mu"), F.sqrt(mean(F.transform(ok, lambda x: (x - m) * (x - m)))).alias("sd")))
+
+    def scaled(v: Column) -> Column:
+        return let(stats(F.filter(v, lambda x: _valid(x, skip_zero))), lambda t: F.transform(
+            v, lambda x: F.when(_valid(x, skip_zero), (x - t["mu"]) / (t["sd"] + 1e-8)).otherwise(F.lit(0.0))))
+
+    return tiles.withColumn(band, let(F.transform(band, lambda x: x.cast("double")), scaled))
+
+
+def zscore_window(tiles: DataFrame, band: str, keys: list[str], skip_zero: bool = True) -> DataFrame:
+    """The same with statistics shared by all tile rows of a key, such as the days of a window.
+
+    Three sums per tile row are folded to one row per key, which joins back.
     """
-    keys = TILE + ["phase"] if keys is None else keys
-    px = tiles.select(*keys, F.explode(band).alias("v")).withColumn("v", F.col("v").cast("double"))
-
-    def valid(x: Column) -> Column:
-        ok = x.isNotNull() & ~F.isnan(x)
-        return ok & (x != 0) if skip_zero else ok
-
-    stats = px.groupBy(*keys).agg(F.avg(F.when(valid(F.col("v")), F.col("v"))).alias("mu"),
-                                  F.stddev_pop(F.when(valid(F.col("v")), F.col("v"))).alias("sd"))
-    other = F.lit(0.0)
-    out = F.transform(band, lambda x: F.when(valid(x.cast("double")),
-                                             (x.cast("double") - F.col("mu")) / (F.col("sd") + 1e-8)).otherwise(other))
+    def sums(v: Column) -> Column:
+        ok = F.filter(v, lambda x: _valid(x, skip_zero))
+        return let(ok, lambda o: F.struct(
+            F.size(o).alias("n"), F.aggregate(o, F.lit(0.0), lambda s, x: s + x).alias("s"),
+            F.aggregate(o, F.lit(0.0), lambda s, x: s + x * x).alias("q")))
+
+    values = F.transform(band, lambda x: x.cast("double"))
+    per = tiles.select(*keys, let(values, sums).alias("t"))
+    stats = per.groupBy(*keys).agg(F.sum("t.n").alias("n"), F.sum("t.s").alias("s"), F.sum("t.q").alias("q"))
+    mu = F.try_divide(F.col("s"), F.col("n"))
+    var = F.try_divide(F.col("q"), F.col("n")) - mu * mu
+    stats = stats.select(*keys, mu.alias("mu"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
+    out = F.transform(band, lambda x: F.when(_valid(x.cast("double"), skip_zero),
+                                             (x.cast("double") - F.col("mu")) / (F.col("sd") + 1e-8)).otherwise(F.lit(0.0)))
     return tiles.join(stats, keys).withColumn(band, out).drop("mu", "sd")
 
 

@@ -282,7 +282,7 @@ def _(spark, sf):
     s = A.stream(spark, sf).select("id", "value", "post_type")
     schema = "id long, value double, post_type string"
     append_jsonl(s.filter("post_type <> 'error'"), target)
-    incremental_append(s, target, schema, "id")
+    incremental_append(s.unionByName(s), target, schema, "id", ["id", "value"])
     return spark.read.schema(schema).json(target).select("id", "value")
 
 

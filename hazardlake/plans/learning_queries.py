@@ -11,6 +11,7 @@ from hazardlake.plans import fixtures as A
 from hazardlake.plans import jobs
 from hazardlake.plans.common import joined, r
 from hazardlake.plans.masks_queries import box
+from hazardlake.plans.scenes_queries import TRIPLET
 from hazardlake.plans.texts_queries import COASTAL, HUMOUR, PLACES, SERIOUS, STOP
 from hazardlake.registry import query
 
@@ -34,7 +35,9 @@ def _upper_share(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"is_serious": share < 0.02, "confidence": 1.0 - share})
 
 
-@query("verdict_hook", "K-3")
+@query("verdict_hook", "K-3",
+       r"""select doc_id, u / greatest(length(text), 1)::double < 0.02 as is_serious, round(1 - u / greatest(length(text), 1)::double, 6) as confidence
+       from (select doc_id, text, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as u from documents)""")
 def _(spark, sf):
     """A caller's vectorised classifier in the place of the default score."""
     d = K.with_verdict(A.table(spark, sf, "documents"), "text", _upper_share)
@@ -128,7 +131,15 @@ def _(spark, sf):
     return scores.select("event", "tile", "tp", "fp", "fn", "tn")
 
 
-@query("fire_temporal_job", "R-18 X-21 X-22 X-29")
+@query("fire_temporal_job", "R-18 X-21 X-22 X-29",
+       TRIPLET + """, n as (select count(*) as n from embeddings), e as (select vec_id, i, embedding[i + 1]::double as x, embedding[64 - i]::double as y
+         from embeddings, (select unnest(range(64)) as i)),
+       s0 as (select cell, delta, i, x + 0.6 as nir, y + 0.6 as sw, x * 200 < burn_pct - 30 as burn from trip join scenes using (cell) join e on vec_id = scene % (select n from n) where scene = bscene),
+       s1 as (select cell, i, x + 0.6 as nir, y + 0.6 as sw, x * 200 < burn_pct - 30 as burn from trip join scenes using (cell) join e on vec_id = scene % (select n from n) where scene = dscene),
+       pp as (select cell, delta, s0.burn as b0, s1.burn as b1, greatest(-1, least(1, (s0.nir - s0.sw) / case when s0.nir + s0.sw = 0 then 1e-10 else s0.nir + s0.sw end))
+         - greatest(-1, least(1, (s1.nir - s1.sw) / case when s1.nir + s1.sw = 0 then 1e-10 else s1.nir + s1.sw end)) as d from s0 join s1 using (cell, i))
+       select cell, round(delta, 6) as burn_delta, count(*) filter (b1 and not b0) as new_px, count(*) filter (b1 and b0) as existing_px, count(*) filter (b0 and not b1) as recovered_px,
+       count(*) filter (d >= 0.27) as moderate_or_worse, round(count(*) filter (b1 and not b0) * 900.0::double / 1e6, 6) as new_km2 from pp group by cell, delta""", ("scenes",))
 def _(spark, sf):
     """Scenes are orders; a scene's image is the embedding its key points to."""
     e = A.table(spark, sf, "embeddings")
@@ -137,6 +148,6 @@ def _(spark, sf):
     img = s.withColumn("vec_id", F.col("scene") % n).join(e.select("vec_id", "embedding"), "vec_id")
     img = img.select("scene", F.lit(8).alias("width"), F.expr("transform(embedding, x -> cast(x as double) + 0.6)").alias("nir"),
                      F.expr("reverse(transform(embedding, x -> cast(x as double) + 0.6))").alias("swir2"),
-                     F.expr("transform(embedding, x -> cast(x * 200 < burn_pct - 30 as int))").alias("burn"))
+                     F.expr("transform(embedding, x -> cast(cast(x as double) * 200 < burn_pct - 30 as int))").alias("burn"))
     out = jobs.fire_temporal_job(s, img)
     return out.withColumns({"burn_delta": r("burn_delta"), "new_km2": r("new_km2")})

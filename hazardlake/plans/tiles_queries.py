@@ -241,8 +241,9 @@ def _(spark, sf):
     return R.band_stats(px, ["b", "d"]).withColumns({c: r(c) for c in ("min", "max", "mean")})
 
 
-_V = {"positive": ("v > 0", 0.02, 0.98, 1e-6, None), "nonzero": ("v <> 0", 0.01, 0.99, 1e-8, None), "floor": ("v = v", 0.02, 0.98, 1e-6, 0.0)}
-for _n, (_ok, _lo, _hi, _eps, _floor) in _V.items():
+_V = {"positive": ("x > 0", 0.02, 0.98, 1e-6, None), "nonzero": ("x <> 0", 0.01, 0.99, 1e-8, None), "floor": ("all", 0.02, 0.98, 1e-6, 0.0)}
+for _n, (_rule, _lo, _hi, _eps, _floor) in _V.items():
+    _ok = _rule.replace("x", "v") if _rule != "all" else "true"
     _low = f"quantile_cont(v, {_lo}) filter ({_ok})" if _floor is None else f"{_floor}::double"
 
     @query(f"stretch_{_n}", "W-10",
@@ -250,7 +251,7 @@ for _n, (_ok, _lo, _hi, _eps, _floor) in _V.items():
            c as (select *, least(hi, v) as t from px join l using (event, tile, phase)), c2 as (select *, greatest(lo, t) as k from c),
            m as (select event, tile, phase, min(k) as a, max(k) as z from c2 group by all)
            select event, tile, phase, pos::int as pos, round(case when z - a < {_eps} then 0 else (k - a) / (z - a) end, 6)::double as v from c2 join m using (event, tile, phase)""", ("tiles", "px"))
-    def _(spark, sf, ok=_ok, lo=_lo, hi=_hi, eps=_eps, fl=_floor):
+    def _(spark, sf, ok=_rule, lo=_lo, hi=_hi, eps=_eps, fl=_floor):
         t = R.stretch(A.tiles(spark, sf), "v", lo, hi, ok, eps, floor=fl)
         return R.explode_pixels(t, ["v"]).select("event", "tile", "phase", "pos", r("v").alias("v"))
 
@@ -263,7 +264,7 @@ for _n, _keys, _skip in (("zscore_tile", "event, tile, phase", False), ("zscore_
     def _(spark, sf, keys=_keys, skip=_skip):
         blank = "0.0D" if skip else "double('NaN')"
         t = A.tiles(spark, sf).withColumn("v", F.expr(f"transform(v, x -> if(floor(x * 20) = 0, {blank}, cast(x as double)))"))
-        z = R.zscore_tile(t, "v", keys.split(", "), skip)
+        z = R.zscore_window(t, "v", keys.split(", ")) if skip else R.zscore_tile(t, "v")
         return R.explode_pixels(z, ["v"]).select("event", "tile", "phase", "pos", r("v", 5).alias("v"))
 
 

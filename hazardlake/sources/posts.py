@@ -53,9 +53,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def incremental_append(df: DataFrame, path: str, schema, key: str) -> None:
-    """Append only rows whose id the target does not hold yet."""
+def incremental_append(df: DataFrame, path: str, schema, key: str, arrival: list[str]) -> None:
+    """Append the first row of every id the target does not hold yet."""
     from hazardlake.operators.feed import drop_seen
 
     seen = df.sparkSession.read.schema(schema).json(path)
-    append_jsonl(drop_seen(df, seen, key), path)
+    append_jsonl(drop_seen(df, seen, key, arrival), path)

@@ -15,6 +15,7 @@ def test_neighbourhood_operators_do_not_shuffle(spark, sf):
     t = A.tiles(spark, sf).withColumn("mask", F.expr("transform(v, x -> cast(x > 0 as int))"))
     out = morphology.closing(morphology.opening(morphology.gaussian(t, "v", 1.5), "mask", 3), "mask", 5, 2)
     assert "Exchange" not in plan(out)
+    assert "Exchange" not in plan(rasters.zscore_tile(rasters.stretch(t, "v", 0.02, 0.98), "v"))
 
 
 def test_pixels_are_not_shuffled(spark, sf):

@@ -230,13 +230,13 @@ def test_micro_equals_macro_for_one_tile(spark):
 
 def test_stretch_limits(spark):
     img = np.array([[0.0, 1.0], [2.0, 10.0]])
-    t = tile(spark, img, "v", "double").withColumn("phase", F.lit("p"))
+    t = tile(spark, img, "v", "double")
     got = back(R.stretch(t, "v", 0.02, 0.98), "v")
     lo, hi = np.percentile(img[img > 0], [2, 98])
     c = np.clip(img, lo, hi)
     assert (lo, hi) == (pytest.approx(1.04), pytest.approx(9.68))
     assert np.allclose(got, (c - c.min()) / (c.max() - c.min()))
-    flat = tile(spark, np.full((2, 2), 3.0), "v", "double").withColumn("phase", F.lit("p"))
+    flat = tile(spark, np.full((2, 2), 3.0), "v", "double")
     assert (back(R.stretch(flat, "v", 0.02, 0.98), "v") == 0).all()
 
 
