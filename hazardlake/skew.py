@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,27 @@ def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], counts: DataFram
     """Join ``per_key`` (one row per key) to ``big``, of which ``counts`` gives rows per key.
 
     ``counts`` has the keys and a column ``n``. The heaviest keys, never more than
-    HOT_KEYS, are broadcast with their one row each, so their rows stay where they are;
-    every other key takes the shuffled join. Both branches together are the whole result.
+    HOT_KEYS, get their one row by broadcast. In the shuffled join that serves all other
+    keys, rows already served (and rows without a key) carry a salt, so they are spread
+    over the partitions instead of meeting in one. ``big`` is read once.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(how)
+    values = [c for c in per_key.columns if c not in keys]
     hot = (counts.filter(F.col("n") >= _hot_rows(big))
            .orderBy(F.col("n").desc(), *keys).limit(HOT_KEYS).select(*keys))
-    hot_side = per_key.join(F.broadcast(hot), keys, "left_semi")
-    served = big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_side), keys, how)
-    rest = big.join(F.broadcast(hot), keys, "left_anti").join(per_key, keys, how)
-    return served.unionByName(rest)
+    row = F.struct(*values, F.lit(True).alias("__found"))
+    served = (hot.join(per_key.join(F.broadcast(hot), keys, "left_semi").select(*keys, row.alias("__hot")), keys, "left")
+              .withColumn("__served", F.lit(True)))
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = F.pmod(F.xxhash64(*big.columns), F.lit(4096)) + 1
+    salted = big.join(F.broadcast(served), keys, "left").withColumn(
+        "__salt", F.when(F.col("__served") | no_key, spread).otherwise(F.lit(0)))
+    side = per_key.select(*keys, row.alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
+    out = salted.join(side, [*keys, "__salt"], "left").withColumn("__row", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        out = out.filter(F.col("__row").isNotNull())
+    return out.select(*big.columns, *[F.col("__row")[c].alias(c) for c in values])
 
 
 def rows_per_key(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -101,14 +101,18 @@ def test_links_take_the_first_five(spark):
     assert got == {1: [0, 2, 4, 6, 8], 2: [0, 2, 4, 6, 8], 3: None}
 
 
-def test_lookup_with_hot_and_cold_keys(spark):
+def test_lookup_with_hot_cold_and_missing_keys(spark):
+    """Key 0 is hot, key 500 is hot but unknown, some rows have no key."""
     spark.conf.set("hazardlake.hot.rows", "50")
     try:
-        big = spark.range(300).select(F.when(F.col("id") < 100, 0).otherwise(F.col("id")).alias("k"), "id")
-        side = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-        for how, n in (("inner", 200), ("left", 300)):
-            got = skew.lookup_any(big, side, ["k"], how).collect()
-            assert len(got) == n and all(r["v"] in (None, r["k"] * 2) for r in got)
+        k = F.expr("case when id < 100 then 0 when id < 160 then 500 when id < 220 then null else id - 200 end")
+        big = spark.range(400).select(k.alias("k"), "id")
+        side = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        want = {i: 0 if i < 100 else (i - 200) * 2 if 220 <= i < 350 else None for i in range(400)}
+        got = skew.lookup_any(big, side, ["k"], "left").collect()
+        assert len(got) == 400 and {r["id"]: r["v"] for r in got} == want
+        got = skew.lookup_any(big, side, ["k"], "inner").collect()
+        assert {r["id"]: r["v"] for r in got} == {i: v for i, v in want.items() if v is not None} and len(got) == 230
     finally:
         spark.conf.unset("hazardlake.hot.rows")
 
@@ -120,10 +124,10 @@ def test_preferred_track(spark):
 
 
 def test_paths(spark):
-    paths = ["/d/EMSR1/s1_before_flood/000006_s1_before_flood.tif", "/d/EMSR1/s2_during_flood/000007_s2_during_flood.tif",
-             "/d/EMSR1/flood_mask/000006_flood_mask.tif", "/d/EMSR1/readme.txt"]
+    paths = ["/d/EVT1/s1_before_flood/000006_s1_before_flood.tif", "/d/EVT1/s2_during_flood/000007_s2_during_flood.tif",
+             "/d/EVT1/flood_mask/000006_flood_mask.tif", "/d/EVT1/readme.txt"]
     got = sorted((r["event"], r["phase"], r["tile"]) for r in C.tile_catalogue(spark.createDataFrame([(p,) for p in paths], "path string")).collect())
-    assert got == [("EMSR1", "before", "000006"), ("EMSR1", "during", "000007"), ("EMSR1", "mask", "000006")]
+    assert got == [("EVT1", "before", "000006"), ("EVT1", "during", "000007"), ("EVT1", "mask", "000006")]
 
 
 def test_nested_index(spark, tmp_path):
