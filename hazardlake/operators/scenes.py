@@ -148,8 +148,13 @@ def fire_events(df: DataFrame) -> DataFrame:
 
 
 def order_tiles(df: DataFrame) -> DataFrame:
-    """Chronological position of each tile in its event, numbered date by date."""
-    return skew.rank_in_segments(df, ["event"], "day", ["scene"], "position")
+    """Chronological position of each tile in its event.
+
+    Numbered by date and, inside a date, by ranges of a million scene numbers, so neither
+    a large event nor a large date ends up in one task.
+    """
+    cut = df.withColumn("__range", F.floor(F.col("scene") / 1_000_000))
+    return skew.rank_in_segments(cut, ["event"], ["day", "__range"], ["scene"], "position").drop("__range")
 
 
 def tile_split(df: DataFrame, index: DataFrame) -> DataFrame:

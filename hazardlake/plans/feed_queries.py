@@ -18,7 +18,7 @@ CONTENT = """case platform when 'twitter' then coalesce(text, '')
 @query("post_content", "F-1", f"select id, md5({CONTENT}) as digest, length({CONTENT}) as n from posts", ("posts",))
 def _(spark, sf):
     c = O.post_content()
-    return A.posts(spark, sf).select("id", F.md5(c.cast("binary")).alias("digest"), F.length(c).alias("n"))
+    return A.posts(spark, sf).select("id", F.md5(c.cast("binary")).alias("digest"), F.length(c).cast("bigint").alias("n"))
 
 
 @query("feed_query", "F-2",
@@ -190,7 +190,7 @@ def _(spark, sf):
                       F.col("comment_statistics.total_comments").alias("total_comments"),
                       F.col("comment_statistics.replies").alias("replies"),
                       F.col("comment_statistics.total_likes").alias("total_likes"),
-                      F.col("engagement_metrics.likes").alias("likes"))
+                      F.col("engagement_metrics.likes").cast("bigint").alias("likes"))
 
 
 @query("quality_gate", "F-19",

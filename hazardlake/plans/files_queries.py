@@ -22,7 +22,7 @@ def _(spark, sf):
     append_jsonl(p, path)
     got = read_posts(spark, path)
     body = F.coalesce("text", "article_content", "description", "caption", "content")
-    return got.select("id", "platform", "lang", F.length(body).alias("n"), "comment_count")
+    return got.select("id", "platform", "lang", F.length(body).cast("bigint").alias("n"), "comment_count")
 
 
 @query("append_jsonl", "S-3", "select source, count(*) * 2 as n from documents group by 1")
@@ -58,12 +58,12 @@ def _(spark, sf):
 
 
 @query("read_manifest", "S-8 J-13",
-       """select 's1_' || scene || '.tif' as s1, 'lb_' || scene || '.tif' as label from scenes where scene % 9 <> 0
+       """select 's1_' || scene || '.tif' as s1, 'lb_' || scene || '.tif' as label from scenes where burn_pct >= 10
        and scene in (select o_custkey * 2 from orders) and scene in (select o_custkey * 3 from orders)""", ("scenes",))
 def _(spark, sf):
     path = work_dir(spark, "manifest")
     lines = A.scenes(spark, sf).selectExpr(
-        "case when scene % 9 = 0 then concat('s1_', scene, '.tif') else concat(' s1_', scene, '.tif , lb_', scene, '.tif') end as value")
+        "case when burn_pct < 10 then concat('s1_', scene, '.tif') else concat(' s1_', scene, '.tif , lb_', scene, '.tif') end as value")
     lines.write.text(path)
     o = A.table(spark, sf, "orders")
     files = o.selectExpr("concat('s1_', o_custkey * 2, '.tif') as name").unionByName(o.selectExpr("concat('lb_', o_custkey * 3, '.tif') as name"))

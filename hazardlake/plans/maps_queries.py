@@ -128,7 +128,7 @@ def _(spark, sf):
                                   F.col("user").alias("author"), F.col("ts").alias("posted_at"))
     out = M.link_sources(A.reports(spark, sf).select("id", "state"), p, "state", ["post_id"])
     s = F.col("sources")
-    return out.select("id", F.coalesce(F.size(s), F.lit(0)).alias("n"),
+    return out.select("id", F.coalesce(F.size(s), F.lit(0)).cast("bigint").alias("n"),
                       joined(F.transform(s, lambda x: F.concat_ws(":", x["post_id"].cast("string"), x["platform"]))).alias("sources"),
                       F.aggregate(F.transform(s, lambda x: F.length(x["snippet"])), F.lit(0), lambda a, x: a + x).cast("bigint").alias("chars"))
 

@@ -111,8 +111,8 @@ def _(spark, sf):
     return _rounded(E.override_scores(calc, rep, ["event", "tile"]))
 
 
-MODELS = """, g as (select event, tile, pos, v > 0 as t from px where phase = 'during'), a as (select event, tile, pos, v > 0.05 as p from px where phase = 'during' and tile % 4 <> 0),
-  b as (select event, tile, pos, v > 0 as q from px where phase = 'before' and tile % 5 <> 0),
+MODELS = """, g as (select event, tile, pos, v > 0 as t from px where phase = 'during'), a as (select event, tile, pos, px.v > 0.05 as p from px join tiles using (event, tile, phase) where phase = 'during' and label <> 3),
+  b as (select event, tile, pos, px.v > 0 as q from px join tiles using (event, tile, phase) where phase = 'before' and label <> 5),
   j as (select event, tile, t, coalesce(p, false) as p, coalesce(q, false) as q from g left join a using (event, tile, pos) left join b using (event, tile, pos)),
   f as (select event, tile, coalesce(2.0::double * count(*) filter (p and t) / nullif(count(*) filter (p) + count(*) filter (t), 0), 0) as f1_a,
     coalesce(2.0::double * count(*) filter (q and t) / nullif(count(*) filter (q) + count(*) filter (t), 0), 0) as f1_b from j group by all)"""
@@ -122,8 +122,8 @@ def _models(spark, sf):
     t = A.tiles(spark, sf)
     mask = lambda c: F.expr(f"transform(v, x -> cast(x > {c} as int))")
     g = t.filter("phase = 'during'").select("event", "tile", mask("0").alias("t"))
-    a = t.filter("phase = 'during' and tile % 4 <> 0").select("event", "tile", mask("0.05D").alias("a"))
-    b = t.filter("phase = 'before' and tile % 5 <> 0").select("event", "tile", mask("0").alias("b"))
+    a = t.filter("phase = 'during' and label <> 3").select("event", "tile", mask("0.05D").alias("a"))
+    b = t.filter("phase = 'before' and label <> 5").select("event", "tile", mask("0").alias("b"))
     return E.compare_models(R.attach(R.attach(g, a), b), "t", "a", "b", ["event", "tile"])
 
 

@@ -104,7 +104,7 @@ def _(spark, sf):
 
 
 @query("extent_metrics", "A-11",
-       f""", s as ({STATS}) select event, tile, during_px as flood_pixels, 64 as total_pixels, before_px as pre_pixels, new_px as new_pixels, receded_px as receded_pixels,
+       f""", s as ({STATS}) select event, tile, during_px as flood_pixels, 64::bigint as total_pixels, before_px as pre_pixels, new_px as new_pixels, receded_px as receded_pixels,
        round(during_px / 64.0, 6) as flood_fraction, during_px * 100.0::double as area_m2, round(new_px * 100.0 / greatest(before_px, 1), 6)::double as change_pct from s""",
        ("tiles", "px", "pair"))
 def _(spark, sf):
@@ -315,12 +315,12 @@ def _detail(spark, sf):
     px = _pair(spark, sf)
     stats = R.change_stats(px, wet_before(), wet_during(), L.FLOOD_RES_M, "zero")
     f1 = F.count_if(wet_before() & wet_during()) * 2.0 / (F.count_if(wet_before()) + F.count_if(wet_during()))
-    scores = px.groupBy("event", "tile").agg(f1.alias("f1")).filter("tile % 3 <> 0")
+    scores = px.groupBy("event", "tile").agg(f1.alias("f1"), F.count_if(wet_before()).alias("wet")).filter("wet >= 30").drop("wet")
     return _bounds(spark, sf), stats, scores
 
 
 ROLL = BOUNDS + f""", s as ({STATS}), st as (select *, new_px / 10000.0::double as new_km2, during_px / 10000.0::double as during_km2 from s),
-  f as (select event, tile, 2.0::double * count(*) filter (b > 0 and d > 0) / (count(*) filter (b > 0) + count(*) filter (d > 0)) as f1 from pair where tile % 3 <> 0 group by all),
+  f as (select event, tile, 2.0::double * count(*) filter (b > 0 and d > 0) / (count(*) filter (b > 0) + count(*) filter (d > 0)) as f1 from pair group by all having count(*) filter (b > 0) >= 30),
   j as (select * from bnd join st using (event, tile) left join f using (event, tile))"""
 NEED = ("tiles", "px", "pair")
 

@@ -89,20 +89,21 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def rank_in_segments(df: DataFrame, keys: list[str], segment: str, order: list[str],
+def rank_in_segments(df: DataFrame, keys: list[str], segments: list[str], order: list[str],
                      rank: str = "rank") -> DataFrame:
     """Position of every row in its key's whole order, without one task per key.
 
-    ``segment`` is a coarse prefix of the order (a date, a month). Rows are numbered
-    inside (key, segment); a running count over the few segments of a key is added.
+    ``segments`` are columns that cut the order into coarse consecutive pieces (a date,
+    then a range of ids); ``order`` sorts inside a piece. Rows are numbered inside their
+    piece, and the running size of the earlier pieces of the key is added.
     """
-    part = Window.partitionBy(*keys, segment).orderBy(*order)
-    numbered = df.withColumn("__pos", F.row_number().over(part))
-    counts = rows_per_key(df, [*keys, segment])
-    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(
-        Window.unboundedPreceding, -1)
+    piece = [*keys, *segments]
+    numbered = df.withColumn("__pos", F.row_number().over(Window.partitionBy(*piece).orderBy(*order)))
+    counts = rows_per_key(df, piece)
+    before = (Window.partitionBy(*keys).orderBy(*segments)
+              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    joined = lookup(numbered, offsets, [*keys, segment], counts, "inner")
+    joined = lookup(numbered, offsets, piece, counts, "inner")
     return (joined.withColumn(rank, F.col("__pos") + F.col("__off"))
             .drop("__pos", "__off"))
 

@@ -48,7 +48,7 @@ def test_ranks(spark):
     rnd = random.Random(4)
     rows = [("hot" if rnd.random() < 0.5 else "k%d" % (i % 5), rnd.randrange(9), i) for i in range(300)]
     df = spark.createDataFrame(rows, "event string, day int, scene int")
-    got = {(r["event"], r["scene"]): r["rank"] for r in skew.rank_in_segments(df, ["event"], "day", ["scene"]).collect()}
+    got = {(r["event"], r["scene"]): r["rank"] for r in skew.rank_in_segments(df, ["event"], ["day"], ["scene"]).collect()}
     for key in {r[0] for r in rows}:
         for i, r in enumerate(sorted((x for x in rows if x[0] == key), key=lambda x: (x[1], x[2])), 1):
             assert got[(key, r[2])] == i

@@ -41,6 +41,17 @@ def test_running_counts_over_batches(spark, tmp_path):
     assert got == {"twitter": 3, "news": 3}
 
 
+def test_timed_trigger(spark, tmp_path):
+    src = tmp_path / "in"
+    drop(src, "a.json", [env(1), env(2, "news")])
+    q = J.start(J.running_counts(read_post_stream(spark, str(src))), J.table_sink(str(tmp_path / "t")), str(tmp_path / "c"), "complete", "1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert J.read_last(spark, str(tmp_path / "t")).count() == 2
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     df = spark.range(5)
     J.write_batch(df, str(tmp_path / "t"), 0)
