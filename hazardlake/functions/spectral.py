@@ -9,7 +9,13 @@ from hazardlake.functions import lexicons as L
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """Clip to a range; NaN stays NaN (Spark orders it above every number)."""
+    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
+def above(x: Column, limit) -> Column:
+    """x > limit, false for NaN."""
+    return (x > limit) & ~F.isnan(x)
 
 
 def area(n: Column, res_m: float, unit: str = "km2") -> Column:
@@ -37,7 +43,7 @@ def db_scale(db: Column) -> Column:
 
 def linear_scale(x: Column) -> Column:
     """Linear backscatter to 0..255; values without a logarithm become 0."""
-    return clip(F.when(x > 0, F.log10(x) * 10.0 * 2.0 + 135.0).otherwise(F.lit(0.0)), 0.0, 255.0)
+    return clip(F.when(above(x, 0), F.log10(x) * 10.0 * 2.0 + 135.0).otherwise(F.lit(0.0)), 0.0, 255.0)
 
 
 def ndwi(green: Column, nir: Column, zero: str) -> Column:
@@ -48,7 +54,7 @@ def ndwi(green: Column, nir: Column, zero: str) -> Column:
     if zero == "shift":
         return F.try_divide(diff, total + 1e-6)
     if zero == "null":
-        return F.when(total > 0, F.try_divide(diff, total + 1e-6)).otherwise(F.lit(0.0))
+        return F.when(above(total, 0), F.try_divide(diff, total + 1e-6)).otherwise(F.lit(0.0))
     raise ValueError(zero)
 
 
@@ -62,7 +68,7 @@ def dnbr(before: Column, after: Column) -> Column:
 
 def burn_severity(d: Column) -> Column:
     """Seven classes, -2 (strong regrowth) to 4 (high severity)."""
-    return (F.when(d < -0.25, -2).when(d < -0.1, -1).when(d < 0.1, 0).when(d < 0.27, 1)
+    return (F.when(F.isnan(d), 0).when(d < -0.25, -2).when(d < -0.1, -1).when(d < 0.1, 0).when(d < 0.27, 1)
             .when(d < 0.44, 2).when(d < 0.66, 3).when(d >= 0.66, 4).otherwise(0))
 
 
@@ -70,7 +76,7 @@ def radar_change(vv_pre: Column, vh_pre: Column, vv_post: Column, vh_post: Colum
                  rule: dict = L.RADAR_RULE) -> Column:
     """Amplitude drop per polarisation; a weak signal in any image vetoes both."""
     def drop(pre: Column, post: Column, limit: float) -> Column:
-        return (post < limit) & (pre > limit) & ((pre - post) > rule["delta"])
+        return (post < limit) & above(pre, limit) & above(pre - post, rule["delta"])
 
     weak = ((vv_post < rule["vv_min"]) | (vv_pre < rule["vv_min"])
             | (vh_post < rule["vh_min"]) | (vh_pre < rule["vh_min"]))
@@ -116,7 +122,7 @@ def display(x: Column) -> Column:
 
 def binarise(x: Column, how: str) -> Column:
     """Label rules: ==1, >0, ==255, any number, or flood with permanent water {1, 2}."""
-    return {"one": x == 1, "positive": x > 0, "max": x == 255, "valid": x.isNotNull() & ~F.isnan(x),
+    return {"one": x == 1, "positive": above(x, 0), "max": x == 255, "valid": x.isNotNull() & ~F.isnan(x),
             "water": x.isin(1, 2)}[how]
 
 

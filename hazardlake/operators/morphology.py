@@ -137,7 +137,7 @@ def water_optical(tiles: DataFrame, green: str, nir: str, limit: float = 0.0) ->
     index = ("transform(arrays_zip({g}, {n}), z -> (cast(z.{g} as double) - z.{n}) / "
              "if(cast(z.{g} as double) + z.{n} = 0, 1e-10D, cast(z.{g} as double) + z.{n}))").format(g=green, n=nir)
     out = gaussian(tiles.withColumn("mask", F.expr(index)), "mask", 1.5)
-    out = out.withColumn("mask", F.expr(f"transform(mask, x -> cast(x > {limit!r}D as int))"))
+    out = out.withColumn("mask", F.expr(f"transform(mask, x -> cast(x > {limit!r}D and not isnan(x) as int))"))
     return opening(closing(out, "mask", 5, 2), "mask", 3)
 
 

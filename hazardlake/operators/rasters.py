@@ -195,7 +195,7 @@ def stretch(tiles: DataFrame, band: str, lo: float, hi: float, valid: str = "x >
 
 
 def _rule(valid: str, x: Column) -> Column:
-    return {"x > 0": x > 0, "x <> 0": x != 0, "all": F.lit(True)}[valid]
+    return {"x > 0": P.above(x, 0), "x <> 0": (x != 0) & ~F.isnan(x), "all": F.lit(True)}[valid]
 
 
 def _valid(x: Column, skip_zero: bool) -> Column:

@@ -258,3 +258,15 @@ def test_best_pairs_falls_back(spark):
                               "event string, tile int, b_cloud double, d_cloud double, b_water double, d_water double, water_incr double")
     got = R.best_pairs(q).collect()
     assert len(got) == 10 and {r["choice"] for r in got} == {"fallback"} and min(r["tile"] for r in got) == 10
+
+
+def test_nan_is_not_a_large_number(spark):
+    """Spark orders NaN above every number; the rules must not."""
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1.0), (120.0, 80.0)], "x double, y double")
+    x, y = F.col("x"), F.col("y")
+    a, b = df.select(P.burn_severity(x).alias("s"), P.db_scale(x).alias("db"), P.nbr(x, y).alias("nbr"),
+                     P.binarise(x, "positive").alias("pos"), P.ndwi(x, y, "null").alias("w"),
+                     P.radar_change(x, x, y, y)["vv"].alias("vv")).collect()
+    assert a["s"] == 0 and a["db"] == 0.0 and np.isnan(a["nbr"]) and not a["pos"] and a["w"] == 0.0 and not a["vv"]
+    assert b["s"] == 4 and b["pos"] and b["vv"]
