@@ -22,16 +22,19 @@ def score_chips(chips: DataFrame, bands: list[str], scorer: Scorer, out: str = "
     """Score chips with a user function on batches of band arrays.
 
     ``scorer`` gets {band: (n, pixels)} and returns (n, pixels). Chips reach it in Arrow
-    batches, cut to at most ``batch`` chips, wherever the chip rows already are.
+    batches, cut to at most ``batch`` chips, wherever the chip rows already are; the band
+    arrays do not travel back.
     """
-    schema = T.StructType([*chips.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    kept = [f for f in chips.schema.fields if f.name not in bands]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for at in range(0, len(pdf), batch):
                 some = pdf.iloc[at:at + batch]
                 stacked = {b: np.stack(some[b].to_numpy()).astype("float64") for b in bands}
-                yield some.assign(**{out: list(np.asarray(scorer(stacked), dtype="float64"))})
+                yield some[names].assign(**{out: list(np.asarray(scorer(stacked), dtype="float64"))})
 
     return chips.mapInPandas(score, schema)
 

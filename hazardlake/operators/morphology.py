@@ -364,7 +364,22 @@ def merge_chips(chips: DataFrame, score: str, size: int, keys: list[str] | None
     px = px.select(*keys, "height", "width",
                    (F.col("y0") + (F.col("i") / F.lit(size)).cast("int")).alias("row"),
                    (F.col("x0") + F.col("i") % size).alias("col"), "s").filter("row < height and col < width")
-    return px.groupBy(*keys, "row", "col").agg(F.avg("s").alias("score"), F.count(F.lit(1)).alias("n_chips"))
+    return px.groupBy(*keys, "height", "width", "row", "col").agg(
+        F.avg("s").alias("score"), F.count(F.lit(1)).alias("n_chips"))
+
+
+def merged_tiles(merged: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Merged pixel scores back to one array per tile; pixels without a chip score 0.
+
+    The pixels of a tile are still together after ``merge_chips``, so nothing is moved.
+    """
+    keys = TILE if keys is None else keys
+    pos = F.col("row") * F.col("width") + F.col("col")
+    got = merged.groupBy(*keys, "height", "width").agg(
+        F.array_sort(F.collect_list(F.struct(pos.alias("pos"), F.col("score").alias("s")))).alias("x"))
+    full = F.size("x") == F.col("height") * F.col("width")
+    filled = F.expr(let_sql("map_from_entries(x)", "m", f"transform({ALL}, p -> coalesce(try_element_at(m, p), 0.0D))"))
+    return got.select(*keys, "height", "width", F.when(full, F.transform("x", lambda e: e["s"])).otherwise(filled).alias("score"))
 
 
 def decide(merged: DataFrame, threshold: float, nodata: Column | None = None) -> DataFrame:

@@ -27,12 +27,6 @@ class FloodResult:
     events: DataFrame
 
 
-def _mask_tiles(pixels: DataFrame, tiles: DataFrame, mask: str = "pred") -> DataFrame:
-    got = pixels.withColumn("pos", F.col("row") * F.col("width") + F.col("col"))
-    out = R.collect_tile(got, mask, TILE)
-    return out.join(tiles.select(*TILE, "height", "width"), TILE)
-
-
 def flood_job(tiles: DataFrame, truth: DataFrame, chip: int, grow: int = 4, scorer: K.Scorer | None = None) -> FloodResult:
     """Radar pairs to flood masks, scores and change areas.
 
@@ -50,9 +44,9 @@ def flood_job(tiles: DataFrame, truth: DataFrame, chip: int, grow: int = 4, scor
     else:
         scored = K.score_chips(ruled, names, scorer)
         scored = scored.withColumn("score", F.zip_with("score", "rule", lambda s, k: F.when(k > 0, s).otherwise(0.0)))
-    merged = M.decide(M.merge_chips(scored, "score", chip), 0.5)
-    merged = merged.join(pair.select(*TILE, "width"), TILE)
-    masks = cut_lineage(M.buffer(_mask_tiles(merged, pair), "pred", grow))
+    merged = M.merged_tiles(M.merge_chips(scored, "score", chip))
+    pred = merged.withColumn("pred", F.transform("score", lambda s: (s > 0.5).cast("int"))).drop("score")
+    masks = cut_lineage(M.buffer(pred, "pred", grow))
 
     both = R.attach(masks, truth.select(*TILE, "gt"))
     px = R.explode_pixels(both.filter("gt is not null"), ["pred", "gt"], TILE)
@@ -83,10 +77,9 @@ def fire_job(tiles: DataFrame, truth: DataFrame, chip: int, stride: int, means:
         scored = chips.withColumn("score", F.zip_with("chip_z0", "chip_z1", lambda a, b: a - b))
     else:
         scored = K.score_chips(chips, ["chip_z0", "chip_z1"], scorer)
-    merged = M.merge_chips(scored, "score", chip).join(flat.select(*TILE, "width", "nodata"), TILE)
-    blank = F.get("nodata", F.col("row") * F.col("width") + F.col("col")) == 1
-    masks = _mask_tiles(M.decide(merged, 0.0, blank), flat)
-    masks = cut_lineage(M.closing(M.opening(masks, "pred", 3), "pred", 3))
+    merged = M.merged_tiles(M.merge_chips(scored, "score", chip)).join(flat.select(*TILE, "nodata"), TILE)
+    masks = merged.withColumn("pred", F.zip_with("score", "nodata", lambda s, n: ((s > 0) & (n == 0)).cast("int")))
+    masks = cut_lineage(M.closing(M.opening(masks.drop("score", "nodata"), "pred", 3), "pred", 3))
     px = R.explode_pixels(masks.join(truth.select(*TILE, "gt"), TILE), ["pred", "gt"], TILE)
     return masks, E.scores(E.confusion(px, F.col("pred") == 1, F.col("gt") == 1, TILE), "zero")
 

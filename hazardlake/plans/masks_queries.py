@@ -201,7 +201,20 @@ def _(spark, sf):
     t = A.tiles(spark, sf).filter("phase = 'before'")
     chips = M.cut_chips(M.chip_grid(t, 6, 4), ["v"], 6)
     scored = chips.withColumn("s", F.expr("transform(chip_v, x -> cast(x as double) * (1 + y0 + 2 * x0))"))
-    return M.decide(M.merge_chips(scored, "s", 6), 0.1).withColumn("score", r("score"))
+    return M.decide(M.merge_chips(scored, "s", 6), 0.1).withColumn("score", r("score")).drop("height", "width")
+
+
+@query("merged_tiles", "R-12",
+       "select event, tile, round(sum(v), 5) as total, round(sum(v * pos), 4) as moment from px where phase = 'before' group by all", NEED)
+def _(spark, sf):
+    """Unchanged chips merge back to the tile they were cut from."""
+    t = A.tiles(spark, sf).filter("phase = 'before'")
+    chips = M.cut_chips(M.chip_grid(t, 5, 2), ["v"], 5)
+    chips = chips.withColumn("chip_v", F.expr("transform(chip_v, x -> cast(x as double))"))
+    m = M.merged_tiles(M.merge_chips(chips, "chip_v", 5))
+    total = F.aggregate("score", F.lit(0.0), lambda a, x: a + x)
+    moment = F.aggregate(F.transform("score", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return m.select("event", "tile", r(total, 5).alias("total"), r(moment, 4).alias("moment"))
 
 
 @query("arg_max_class", "R-12",

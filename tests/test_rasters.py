@@ -167,6 +167,15 @@ def test_merge_of_unchanged_chips_is_the_image(spark):
         assert r["score"] == pytest.approx(IMG[r["row"], r["col"]])
 
 
+def test_pixels_without_a_chip_score_zero(spark):
+    """600 pixels, chips of 512 and a stride of 448: one chip fits, the rest stays 0 (scaled down by 64)."""
+    img = np.ones((9, 9))
+    t = tile(spark, img, "v", "double")
+    m = M.merged_tiles(M.merge_chips(M.cut_chips(M.chip_grid(t, 8, 7, "stride"), ["v"], 8), "chip_v", 8))
+    got = back(m, "score")
+    assert got[:8, :8].all() and not got[8].any() and not got[:, 8].any()
+
+
 def test_pad_and_crop(spark):
     t = tile(spark, IMG, "v", "double")
     padded = back(M.pad_to(t, "v", 25), "v")
