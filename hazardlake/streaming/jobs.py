@@ -106,7 +106,7 @@ def dedup_sink(target: str, key: list[str], arrival: list[str], keep_batches: in
         rank = F.struct(*[F.col(c) for c in arrival])
         fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), rank).alias("r")).select("r.*")
         if batch_id > 0:
-            seen = (batch.sparkSession.read.schema(batch.select(*key).schema.add("batch", "int")).parquet(target)
+            seen = (batch.sparkSession.read.schema(batch.select(*key).schema.add("batch", "integer")).parquet(target)
                     .filter((F.col("batch") < batch_id) & (F.col("batch") >= batch_id - keep_batches)))
             fresh = fresh.join(seen.select(*key), key, "left_anti")
         write_batch(fresh, target, batch_id)
