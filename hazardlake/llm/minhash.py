@@ -8,8 +8,9 @@ sets were compared.
 
 Nothing is paired that need not be. Equal sets are one class with one representative. A
 candidate is first compared with the smallest representative it shares a band with; what this
-already joins needs no further comparison for the components. Only pairs that share a band and
-still lie in different components are compared after that, all of them.
+already joins needs no further comparison for the components. Members of bands that still hold
+several components are then paired by their rarest shingles, a filter that loses no link, and
+all such pairs of different components are compared.
 """
 
 from __future__ import annotations
@@ -115,6 +116,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
+def _unjoined(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar enough; none that is gets lost.
+
+    Of two similar sets, the rarest ``n - ceil(percent * n / 100) + 1`` shingles share one, in
+    any order that all sets use. At the first they share, what is left of either set bounds
+    the intersection. A set whose rare shingles are its own meets nobody here, so copies with
+    many changes are not paired with all members of a large group.
+    """
+    size = F.size("shingles")
+    mine = sets.join(nodes, "id").select("id", "c", size.alias("n"), F.explode("shingles").alias("s"))
+    often = mine.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    ranked = mine.join(often, "s").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("x"))
+    prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
+    rare = cut_lineage(ranked.select("id", "c", "n", F.posexplode(prefix).alias("p", "y"))
+                       .filter("y.often > 1").select("id", "c", "n", "p", F.col("y.s").alias("s")), "rare")
+    a = rare.select("s", *[F.col(x).alias(x + "a") for x in ("id", "c", "n", "p")])
+    b = rare.select("s", *[F.col(x).alias(x + "b") for x in ("id", "c", "n", "p")])
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    return (a.join(b, "s").filter((F.col("ida") > F.col("idb")) & (F.col("ca") != F.col("cb")) & fits)
+            .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = 32, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
@@ -128,10 +152,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     probability below 1e-6. An empty table gives no rows; other columns are not looked at.
     """
     rows = cut_lineage(signatures(docs, k, bands, doc_id, text), "signatures")
-    classes = (rows.filter("n_shingles > 0 and id is not null").groupBy("f1", "f2", "n_shingles")
-               .agg(F.min("id").alias("rep")))
+    classes = cut_lineage(rows.filter("n_shingles > 0 and id is not null").groupBy("f1", "f2", "n_shingles")
+                          .agg(F.min("id").alias("rep")), "classes")
     reps = rows.join(classes.select("rep", F.col("f1").alias("g1")), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")))
-    keys = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keys = reps.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     members = cut_lineage(keys.join(shared.select("key", "hub"), "key"), "members")
 
@@ -144,16 +168,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     links = cut_lineage(_confirmed(first, sets, percent), "confirmed")
     label = components(links, "a", "b")
 
-    # All pairs that share a band and are not yet in one component.
+    # Members of bands that still hold more than one component.
     named = (members.join(label, members["id"] == label["node"], "left")
-             .select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+             .select("key", "id", F.coalesce("component", "id").alias("c")))
     mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("key")
-    named = cut_lineage(named.join(mixed, "key", "left_semi"), "mixed")
-    a = named.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = named.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    left = (a.join(b, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
-                                    & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-            .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    named = cut_lineage(named.join(mixed, "key", "left_semi").select("id", "c").distinct(), "mixed")
+    left = _unjoined(named, sets, percent).join(first, ["a", "b"], "left_anti")
     more = cut_lineage(_confirmed(left, sets, percent), "confirmed")
     label = components(links.union(more), "a", "b")
 
