@@ -119,7 +119,7 @@ def geocode(df: DataFrame, gaz: DataFrame, name: str = "location_name") -> DataF
     """Point and state of a named place; given values win unless zero or empty."""
     lat0, lng0, state0 = L.DEFAULT_POINT
     dim = gaz.select(F.col("name").alias(name), "g_lat", "g_lng", "g_state")
-    got = skew.small_lookup(df, dim, [name])
+    got = skew.lookup(df, dim, [name])
     given = lambda c: F.nullif(F.col(c), F.lit(0.0))
     return got.withColumns({
         "lat": F.coalesce(given("lat"), "g_lat", F.lit(lat0)),
@@ -137,14 +137,14 @@ def link_sources(reports: DataFrame, posts: DataFrame, place: str, order: list[s
     early = skew.top_per_key(posts.filter("is_disaster"), [place], [F.col(c) for c in order], k)
     per_place = early.groupBy(place).agg(F.array_sort(F.collect_list(F.struct(
         "rank", "post_id", "platform", "snippet", "author", "posted_at"))).alias("sources"))
-    return skew.lookup_any(reports, per_place, [place], "left")
+    return skew.lookup(reports, per_place, [place], "left")
 
 
 def link_by_ids(reports: DataFrame, posts: DataFrame, ids: str = "post_ids", key: str = "id",
                 post_key: str = "post_id") -> DataFrame:
     """Posts named by a report's id list, with distinct platforms and their number."""
     wanted = reports.select(key, F.posexplode(ids).alias("pos", post_key))
-    found = skew.lookup_any(wanted, posts, [post_key], "inner")
+    found = skew.lookup(wanted, posts, [post_key], "inner")
     # the lists hold as many entries as the report's own id list
     return found.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", post_key, "platform", "snippet"))).alias("sources"),
@@ -161,6 +161,6 @@ def verification_rollup(sources: DataFrame, key: str) -> DataFrame:
 
 def join_authors(tweets: DataFrame, users: DataFrame, places: DataFrame) -> DataFrame:
     """Tweet with user and place; an unknown user becomes 'unknown', a place null."""
-    got = skew.lookup_any(tweets, users, ["author_id"])
-    got = skew.small_lookup(got, places, ["place_id"])
+    got = skew.lookup(tweets, users, ["author_id"])
+    got = skew.lookup(got, places, ["place_id"])
     return got.withColumn("user", F.coalesce("username", F.lit("unknown"))).drop("username")

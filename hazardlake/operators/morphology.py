@@ -81,7 +81,8 @@ def _mirror(j: str, n: str) -> str:
 
 def reflect(j: str, n: str) -> str:
     """Index mirrored at the edges, the edge pixel not repeated."""
-    return f"least(pmod({j}, 2 * {n} - 2), 2 * {n} - 2 - pmod({j}, 2 * {n} - 2))"
+    turn = f"greatest(2 * {n} - 2, 1)"  # a side of one pixel has index 0 only
+    return f"least(pmod({j}, {turn}), 2 * {n} - 2 - pmod({j}, {turn}))"
 
 
 def gaussian(tiles: DataFrame, band: str, sigma: float) -> DataFrame:

@@ -174,7 +174,7 @@ def stretch(tiles: DataFrame, band: str, lo: float, hi: float, valid: str = "x >
     """Percentile clip and min-max per tile; a flat tile becomes 0.
 
     Percentiles interpolate linearly over the valid values; ``floor`` fixes the lower
-    limit instead. Everything a tile needs is in its row, so nothing is grouped or moved.
+    limit instead. In the rule "x <> 0" NaN and infinity count as 0. Everything a tile needs is in its row, so nothing is grouped or moved.
     """
     def limits(v: Column) -> Column:
         return let(F.sort_array(F.filter(v, lambda x: _rule(valid, x))), lambda ok: F.struct(
@@ -190,7 +190,13 @@ def stretch(tiles: DataFrame, band: str, lo: float, hi: float, valid: str = "x >
             v, lambda x: F.when(e["z"] - e["a"] < eps, F.lit(0.0)).otherwise(
                 (clipped(x, q) - e["a"]) / F.greatest(e["z"] - e["a"], F.lit(eps)))))
 
-    values = F.transform(band, lambda x: x.cast("double"))
+    def number(x: Column) -> Column:
+        x = x.cast("double")
+        if valid != "x <> 0":
+            return x
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+    values = F.transform(band, number)
     return tiles.withColumn(band, let(values, lambda v: let(limits(v), lambda q: scaled(v, q))))
 
 
@@ -273,9 +279,9 @@ def global_summary(tiles: DataFrame) -> DataFrame:
 
 def event_meta(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Event details with a generated title where none is known."""
-    from hazardlake.skew import small_lookup
+    from hazardlake.skew import lookup
 
-    out = small_lookup(df, dim, ["event"])
+    out = lookup(df, dim, ["event"])
     return out.withColumns({
         "title": F.coalesce("title", F.concat(F.lit("Flood Event "), F.col("event"))),
         "country": F.coalesce("country", F.lit("Unknown"))})

@@ -96,7 +96,7 @@ def fire_triplets(df: DataFrame) -> DataFrame:
     others = (skew.lookup(df.select("cell", "scene", "day", "burn_pct"),
                           peak.select("cell", F.col("during.day").alias("pday"),
                                       F.col("during.scene").alias("pscene")),
-                          ["cell"], peak.select("cell", F.col("n_dates").alias("n")), "inner")
+                          ["cell"], "inner")
               .filter(F.col("scene") != F.col("pscene"))
               .withColumn("side", F.when(F.col("day") < F.col("pday"), "earlier")
                           .when(F.col("day") > F.col("pday"), "later").otherwise("same")))
@@ -150,10 +150,10 @@ def fire_events(df: DataFrame) -> DataFrame:
 def order_tiles(df: DataFrame) -> DataFrame:
     """Chronological position of each tile in its event.
 
-    Numbered by date and, inside a date, by ranges of a million scene numbers, so neither
-    a large event nor a large date ends up in one task.
+    Numbered by date and, inside a date, by ranges of 65,536 scene numbers: a piece holds at
+    most that many scenes, however many an event or a date has.
     """
-    cut = df.withColumn("__range", F.floor(F.col("scene") / 1_000_000))
+    cut = df.withColumn("__range", F.shiftright("scene", 16))
     return skew.rank_in_segments(cut, ["event"], ["day", "__range"], ["scene"], "position").drop("__range")
 
 
@@ -228,7 +228,7 @@ def sample_n(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
 def split_fires(df: DataFrame, seed: int, share: float = 0.8, key: str = "fire") -> DataFrame:
     """Whole fires to 'train' or 'val' by seeded hash order; at least one trains."""
     fires = df.select(key).distinct().withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    ranked = skew.global_rank(fires, "__h", "rank")
+    ranked = skew.global_rank(fires, "__h", "rank", (key,))
     total = fires.agg(F.count(F.lit(1))).scalar()
     ranked = ranked.withColumn("total", total)
     cut = F.greatest(F.lit(1), F.floor(F.col("total") * share))
@@ -238,12 +238,12 @@ def split_fires(df: DataFrame, seed: int, share: float = 0.8, key: str = "fire")
 
 def split_windows(windows: DataFrame, assignment: DataFrame, key: str = "fire") -> DataFrame:
     """Windows with the split of their fire."""
-    return skew.lookup_any(windows, assignment, [key], "inner")
+    return skew.lookup(windows, assignment, [key], "inner")
 
 
 def pair_with_other(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Give every sample another one as its reference: the next in seeded hash order."""
-    ranked = skew.global_rank(df.select(key).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", "rank")
+    ranked = skew.global_rank(df.select(key).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", "rank", (key,))
     total = df.agg(F.count(F.lit(1))).scalar()
     nxt = ranked.withColumn("total", total).withColumn("rank", F.pmod(F.col("rank"), F.col("total")) + 1)
     return (nxt.select(key, "rank")

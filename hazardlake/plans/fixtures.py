@@ -84,11 +84,11 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey % 6 as source_count", "c_acctbal as area_km2",
         "timestamp_seconds(1704067200 + (c_custkey * 3607) % 5000000) as created_at")
     n = table(spark, sf, "nation").join(
-        F.broadcast(table(spark, sf, "region")), F.expr("n_regionkey = r_regionkey"))
+        table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
     n = n.selectExpr("n_nationkey as c_nationkey", "n_name as state", "r_name as region")
-    from hazardlake.skew import small_lookup
+    from hazardlake.skew import lookup
 
-    return small_lookup(c, n, ["c_nationkey"], "inner").drop("c_nationkey")
+    return lookup(c, n, ["c_nationkey"], "inner").drop("c_nationkey")
 
 
 CTES["reports"] = """

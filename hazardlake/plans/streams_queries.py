@@ -39,7 +39,7 @@ def _(spark, sf):
     """Envelopes as a folder of JSON files, read two files per micro-batch."""
     base = work_dir(spark, "envelopes")
     env = A.stream(spark, sf).selectExpr("props as post_data", "cast(id as string) as timestamp", "nullif(platform, 'news') as platform", "post_type")
-    env.repartition(6).write.json(f"{base}/in")
+    env.write.option("maxRecordsPerFile", 500).json(f"{base}/in")
     posts = decode_envelope(read_post_stream(spark, f"{base}/in", 2), "k bigint")
     out = posts.select(F.col("timestamp").cast("long").alias("id"), F.coalesce("post.k", F.lit(-1)).alias("k"), "platform", "post_type")
     J.run(out, J.table_sink(f"{base}/table"), f"{base}/checkpoint")
@@ -51,33 +51,29 @@ def _(spark, sf):
     return J.read_last(spark, _table(spark, J.running_counts(_stream(spark, sf)), "counts", "complete"))
 
 
-CLOSED = "start + interval '{size}' <= (select max(ts) from stream) - interval '{delay}'"
-
-
 @query("stream_windows", "ST-4",
        f"""select {sql_iso('start')} as start, platform, count(*) as n, round(count(*) / 3600.0, 8)::double as rate from
-       (select time_bucket(interval '1 hour', ts) as start, platform from stream) where {CLOSED.format(size='1 hour', delay='10 minutes')} group by start, platform""", ("stream",))
+       (select time_bucket(interval '1 hour', ts) as start, platform from stream) group by start, platform""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "windows")
-    return J.read_table(spark, t).select(iso("start").alias("start"), "platform", "n", r("rate", 8).alias("rate"))
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "windows", "update")
+    return J.read_updates(spark, t, ["start", "platform"]).select(iso("start").alias("start"), "platform", "n", r("rate", 8).alias("rate"))
 
 
 @query("stream_sliding_trend", "ST-10",
        f""", s as (select time_bucket(interval '1 hour', ts) - to_hours(i) as start, post_type from stream, (select unnest(range(6)) as i))
-       select {sql_iso('start')} as start, post_type, count(*) as n from s where {CLOSED.format(size='6 hours', delay='10 minutes')} group by start, post_type""", ("stream",))
+       select {sql_iso('start')} as start, post_type, count(*) as n from s group by start, post_type""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "6 hours", "10 minutes", ["post_type"], "1 hour"), "sliding")
-    return J.read_table(spark, t).select(iso("start").alias("start"), "post_type", "n")
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "6 hours", "10 minutes", ["post_type"], "1 hour"), "sliding", "update")
+    return J.read_updates(spark, t, ["start", "post_type"]).select(iso("start").alias("start"), "post_type", "n")
 
 
 @query("stream_spikes", "ST-11",
        f""", c as (select time_bucket(interval '1 hour', ts) as start, platform, count(*) as n from stream group by all),
-       k as (select * from c where {CLOSED.format(size='1 hour', delay='10 minutes')}),
-       t as (select *, avg(n) over (partition by platform order by start rows between 6 preceding and 1 preceding) as trailing_mean from k)
+       t as (select *, avg(n) over (partition by platform order by start rows between 6 preceding and 1 preceding) as trailing_mean from c)
        select {sql_iso('start')} as start, platform, n, round(trailing_mean, 6) as trailing_mean, n >= 10 as mass_event from t where n >= trailing_mean * 2""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "spikes")
-    s = J.spikes(J.read_table(spark, t), ["platform"], 6, 2.0)
+    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "spikes", "update")
+    s = J.spikes(J.read_updates(spark, t, ["start", "platform"]), ["platform"], 6, 2.0)
     return s.select(iso("start").alias("start"), "platform", "n", r("trailing_mean").alias("trailing_mean"), "mass_event")
 
 
@@ -94,7 +90,7 @@ def _(spark, sf):
     return J.read_table(spark, target).select("author", "post_type", "id")
 
 
-@query("stream_remember_ids", "ST-5", "select author, count(*) as arrivals from stream group by 1", ("stream",))
+@query("stream_remember_ids", "ST-5", "select distinct author from stream", ("stream",))
 def _(spark, sf):
     s = J.remember_ids(_stream(spark, sf), "author", 3_600_000)
     return J.read_table(spark, _table(spark, s, "seen"))

@@ -281,9 +281,10 @@ def _(spark, sf):
 
 
 @query("page_blocks", "S-14 F-4",
-       rf""", i as (select page_id, regexp_extract_all(html, '(?is)<(?:div|p|td)(?:\s[^>]*)?>(.*?)</(?:div|p|td)>', 1)[1:10] as items from pages),
-       x as (select page_id, unnest(items) as b, unnest(range(len(items))) as pos from i), t as (select page_id, pos, {_strip('b')} as c from x)
-       select page_id, pos::int as pos, md5(c) as digest from t where length(trim(c)) > 50 and (contains(lower(c), 'tion') or contains(lower(c), 'und'))""")
+       rf""", i as (select page_id, regexp_extract_all(html, '{P.element_pattern(("div", "p", "td"))}', 0) as items from pages),
+       x as (select page_id, unnest(items) as b, unnest(range(len(items))) as pos from i), t as (select page_id, pos, {_strip('b')} as c from x),
+       k as (select *, row_number() over (partition by page_id order by pos) as n from t where length(trim(c)) > 50 and (contains(lower(c), 'tion') or contains(lower(c), 'und')))
+       select page_id, pos::int as pos, md5(c) as digest from k where n <= 10""")
 def _(spark, sf):
     b = P.text_blocks(A.table(spark, sf, "pages"), "page_id", "html", ("div", "p", "td"), 10, 50, ["tion", "und"])
     return b.select("page_id", "pos", F.md5(F.col("content").cast("binary")).alias("digest"))

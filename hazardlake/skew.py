@@ -2,70 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, which bounds what is broadcast.
-HOT_KEYS = 1000
-# A key is hot from this many rows on (session setting hazardlake.hot.rows).
-HOT_ROWS = 1_000_000
-
-
-def _hot_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("hazardlake.hot.rows", str(HOT_ROWS)))
 
+def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``per_key`` (one row per key) to ``big``.
 
-def lookup(big: DataFrame, per_key: DataFrame, keys: list[str], counts: DataFrame,
-           how: str = "left") -> DataFrame:
-    """Join ``per_key`` (one row per key) to ``big``, of which ``counts`` gives rows per key.
-
-    ``counts`` has the keys and a column ``n``. The heaviest keys, never more than
-    HOT_KEYS, get their one row by broadcast. In the shuffled join that serves all other
-    keys, rows already served (and rows without a key) carry a salt, so they are spread
-    over the partitions instead of meeting in one. ``big`` is read once.
+    A plain join on purpose: the optimizer broadcasts ``per_key`` where its size allows, and
+    adaptive execution splits the partitions of hot keys of a sort-merge join. Nothing but
+    this join may need the rows of a key together, or the split is not taken.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
     values = [c for c in per_key.columns if c not in keys]
-    hot = (counts.filter(F.col("n") >= _hot_rows(big))
-           .orderBy(F.col("n").desc(), *keys).limit(HOT_KEYS).select(*keys))
-    row = F.struct(*values, F.lit(True).alias("__found"))
-    served = (hot.join(per_key.join(F.broadcast(hot), keys, "left_semi").select(*keys, row.alias("__hot")), keys, "left")
-              .withColumn("__served", F.lit(True)))
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(4096)) + 1
-    salted = big.join(F.broadcast(served), keys, "left").withColumn(
-        "__salt", F.when(F.col("__served") | no_key, spread).otherwise(F.lit(0)))
-    side = per_key.select(*keys, row.alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
-    out = salted.join(side, [*keys, "__salt"], "left").withColumn("__row", F.coalesce("__hot", "__cold"))
-    if how == "inner":
-        out = out.filter(F.col("__row").isNotNull())
-    return out.select(*big.columns, *[F.col("__row")[c].alias(c) for c in values])
+    return big.join(per_key, keys, how).select(*big.columns, *values)
 
 
 def rows_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lookup_any(big: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``lookup`` with the rows per key counted here."""
-    return lookup(big, per_key, keys, rows_per_key(big, keys), how)
-
-
-def small_lookup(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
-                 max_rows: int = 100_000) -> DataFrame:
-    """Join a dimension, broadcast only when a bounded count proves it small.
-
-    The count reads at most ``max_rows + 1`` rows. A larger dimension takes ``lookup``
-    with the number of rows per key measured on ``big``.
-    """
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(dim), keys, how)
-    return lookup_any(big, dim, keys, how)
-
-
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row per key; partial aggregation keeps one row per key and task."""
     row = F.struct(*[F.col(c) for c in df.columns])
@@ -103,7 +60,7 @@ def rank_in_segments(df: DataFrame, keys: list[str], segments: list[str], order:
     before = (Window.partitionBy(*keys).orderBy(*segments)
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    joined = lookup(numbered, offsets, piece, counts, "inner")
+    joined = lookup(numbered, offsets, piece, "inner")
     return (joined.withColumn(rank, F.col("__pos") + F.col("__off"))
             .drop("__pos", "__off"))
 
@@ -114,24 +71,29 @@ def best_before(df: DataFrame, keys: list[str], at: str, value: str, out: str =
     Rows of one key and date are folded to one before the running minimum, so a task
     holds at most the distinct dates of a key, however many rows the key has.
     """
-    spot = df.groupBy(*keys, at).agg(F.min(value).alias("__low"), F.count(F.lit(1)).alias("n"))
+    spot = df.groupBy(*keys, at).agg(F.min(value).alias("__low"))
     earlier = (Window.partitionBy(*keys).orderBy(at)
                .rowsBetween(Window.unboundedPreceding, -1))
-    low = spot.withColumn(out, F.min("__low").over(earlier)).drop("__low", "n")
-    return lookup(df, low, [*keys, at], spot.select(*keys, at, "n"), "inner")
+    low = spot.withColumn(out, F.min("__low").over(earlier)).drop("__low")
+    return lookup(df, low, [*keys, at], "inner")
 
 
-def global_rank(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
-    """1-based position in the whole order of a 64-bit integer column without ties.
+def global_rank(df: DataFrame, order: str, out: str = "rank", ties: tuple[str, ...] = ()) -> DataFrame:
+    """1-based position in the whole order of a 64-bit integer column, then of ``ties``.
 
-    The top 16 bits cut the order into at most 65,536 ranges; rows are numbered inside a
-    range and the running sizes of the ranges, a table of that many rows, are broadcast.
+    The top 32 bits cut the order into ranges, the top 16 bits these into groups. Rows are
+    numbered inside a range, ranges summed up inside a group and the at most 65,536 groups
+    after that, so a task holds one range's rows or 65,536 sums.
     """
-    ranged = df.withColumn("__seg", F.shiftright(order, 48))
-    sizes = ranged.groupBy("__seg").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("__seg").orderBy(order)
-    return (ranged.withColumn("__pos", F.row_number().over(inside))
-            .join(F.broadcast(sizes), "__seg")
-            .withColumn(out, F.col("__pos") + F.col("__off")).drop("__seg", "__pos", "__off"))
+    ranged = df.withColumn("__seg", F.shiftright(order, 32)).withColumn("__top", F.shiftright(order, 48))
+    sizes = ranged.groupBy("__top", "__seg").agg(F.count(F.lit(1)).alias("__n"))
+
+    def running(w) -> Column:
+        return F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    tops = sizes.groupBy("__top").agg(F.sum("__n").alias("__n")).select("__top", running(Window.orderBy("__top")).alias("__base"))
+    offsets = (sizes.select("__top", "__seg", running(Window.partitionBy("__top").orderBy("__seg")).alias("__off"))
+               .join(tops, "__top").select("__seg", (F.col("__off") + F.col("__base")).alias("__off")))
+    inside = Window.partitionBy("__seg").orderBy(order, *ties)
+    return (ranged.withColumn("__pos", F.row_number().over(inside)).join(offsets, "__seg")
+            .withColumn(out, F.col("__pos") + F.col("__off")).drop("__seg", "__top", "__pos", "__off"))

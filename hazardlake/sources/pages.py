@@ -10,24 +10,51 @@ from hazardlake.functions.text import non_empty, text_gate
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
+CDATA = r"(?s)<!\[CDATA\[(.*?)\]\]>"
+
+
+def unwrapped(markup: Column) -> Column:
+    """CDATA sections as plain markup."""
+    return F.regexp_replace(markup, CDATA, "$1")
+
+
 def plain_text(markup: Column) -> Column:
-    """Markup without tags, basic entities resolved, trimmed."""
-    out = F.regexp_replace(markup, r"<[^>]*>", "")
-    for name, char in ENTITIES:
+    """Markup without CDATA marks and tags, basic and numeric entities resolved, trimmed."""
+    out = F.regexp_replace(unwrapped(markup), r"<[^>]*>", "")
+    for name, char in ENTITIES[:-1]:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(out)
+    # A text with a numeric entity is cut before each "&#"; a piece starts with its number.
+    pieces = F.split(out, "&#")
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 8), 16, 10)).otherwise(number).cast("int")
+        valid = (number != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substring(p, F.length(number) + 2, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+
+    numbers = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))
+    out = F.when(F.contains(out, F.lit("&#")), numbers).otherwise(out)
+    return F.trim(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 
 def element(markup: Column, *names: str) -> Column:
     """Text of the first element with any of the names, null when absent."""
-    tag = "|".join(names)
-    inner = F.regexp_extract(markup, rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>", 1)
-    return non_empty(plain_text(inner))
+    return non_empty(plain_text(F.regexp_extract(markup, element_pattern(names), 0)))
+
+
+def element_pattern(names: tuple[str, ...]) -> str:
+    """An opening tag up to the closing tag of the same name.
+
+    Of an element inside one of the same name the outer ends where the inner does.
+    """
+    return "(?is)" + "|".join(rf"<{n}(?:\s[^>]*)?>.*?</{n}>" for n in names)
 
 
 def elements(markup: Column, *names: str) -> Column:
-    tag = "|".join(names)
-    return F.regexp_extract_all(markup, F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>"), F.lit(1))
+    """Inner markup of the elements with any of the names, in document order."""
+    whole = F.regexp_extract_all(markup, F.lit(element_pattern(names)), F.lit(0))
+    return F.transform(whole, lambda e: F.regexp_replace(e, r"^<[^>]*>|</[^>]*>$", ""))
 
 
 def links(markup: Column) -> Column:
@@ -57,11 +84,11 @@ def extract_items(pages: DataFrame, key: str, markup: str, first: int,
 
 def text_blocks(pages: DataFrame, key: str, html: str, names: tuple[str, ...], first: int,
                 min_len: int, words: list[str]) -> DataFrame:
-    """Elements whose text passes the length-and-keyword gate, among the ``first`` per page."""
-    blocks = F.slice(elements(F.col(html), *names), 1, first)
-    rows = pages.select(key, F.posexplode(blocks).alias("pos", "block"))
-    rows = rows.select(key, "pos", plain_text(F.col("block")).alias("content"))
-    return rows.filter(text_gate(F.col("content"), min_len, words))
+    """The ``first`` elements of each page whose text passes the length-and-keyword gate."""
+    texts = F.transform(elements(F.col(html), *names), plain_text)
+    numbered = F.transform(texts, lambda t, i: F.struct(i.alias("pos"), t.alias("content")))
+    passed = F.slice(F.filter(numbered, lambda b: text_gate(b["content"], min_len, words)), 1, first)
+    return pages.select(key, F.explode(passed).alias("b")).select(key, "b.pos", "b.content")
 
 
 def flatten_search(df: DataFrame) -> DataFrame:

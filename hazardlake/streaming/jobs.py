@@ -8,6 +8,7 @@ live in a shared folder the caller names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,16 @@ def write_batch(batch: DataFrame, target: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
 
+@contextmanager
+def kept_once(batch: DataFrame) -> Iterator[None]:
+    """Hold a micro-batch that several writes read, and let go of it also when one fails."""
+    batch.persist()
+    try:
+        yield
+    finally:
+        batch.unpersist()
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
           mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Start a job; without ``every`` it processes what is there and ends."""
@@ -50,6 +61,13 @@ def read_last(spark: SparkSession, target: str) -> DataFrame:
     return t.filter(F.col("batch") == t.agg(F.max("batch")).scalar()).drop("batch")
 
 
+def read_updates(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last version of each key of a table written in update mode."""
+    t = spark.read.parquet(target)
+    row = F.struct(*[c for c in t.columns if c != "batch"])
+    return t.groupBy(*keys).agg(F.max_by(row, "batch").alias("__row")).select("__row.*")
+
+
 # --- counters and windows ------------------------------------------------------------------
 
 def running_counts(stream: DataFrame) -> DataFrame:
@@ -61,8 +79,9 @@ def windowed_counts(stream: DataFrame, size: str, delay: str, keys: list[str], s
                     ts: str = "ts") -> DataFrame:
     """Counts per key in tumbling (or, with ``slide``, sliding) event-time windows.
 
-    In append mode a window comes out once the watermark has passed its end; rows later
-    than ``delay`` are dropped, unlike in a job that remembers everything for ever.
+    In append mode a window comes out once the watermark has passed its end. In update mode
+    every batch gives the new counts of the windows it touched, so ``read_updates`` also shows
+    windows that are still open. Rows later than ``delay`` are dropped.
     """
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return (stream.withWatermark(ts, delay).groupBy(w.alias("w"), *keys)
@@ -96,18 +115,20 @@ def drop_duplicates(stream: DataFrame, key: list[str], delay: str, ts: str = "ts
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def dedup_sink(target: str, key: list[str], arrival: list[str], keep_batches: int = 10_000) -> Callable[[DataFrame, int], None]:
-    """First row per key against all rows written in the last ``keep_batches`` batches.
+def dedup_sink(target: str, key: list[str], arrival: list[str]) -> Callable[[DataFrame, int], None]:
+    """First row per key against everything earlier batches wrote; no key is forgotten.
 
     Copies inside a batch are folded before the shuffle, so a key with very many copies
-    is no burden. A replay ignores what its own batch wrote before.
+    is no burden. A replay ignores what its own batch wrote before. Each batch reads the keys
+    of the whole table; a job without end uses ``drop_duplicates``, whose state is bounded by
+    event time.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         rank = F.struct(*[F.col(c) for c in arrival])
         fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), rank).alias("r")).select("r.*")
         if batch_id > 0:
             seen = (batch.sparkSession.read.schema(batch.select(*key).schema.add("batch", "integer")).parquet(target)
-                    .filter((F.col("batch") < batch_id) & (F.col("batch") >= batch_id - keep_batches)))
+                    .filter(F.col("batch") < batch_id))
             fresh = fresh.join(seen.select(*key), key, "left_anti")
         write_batch(fresh, target, batch_id)
 
@@ -124,25 +145,22 @@ def remember_ids(stream: DataFrame, key: str, ttl_ms: int, delay: str = "1 hour"
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.groupby(key, as_index=False, dropna=False).agg(seen_at=(ts, "max"), ms=("ms", "max"), n=("ms", "size"))
+            yield part.groupby(key, as_index=False, dropna=False).agg(seen_at=(ts, "max"), ms=("ms", "max"))
 
     def seen(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, newest = 0, 0
-        for part in rows:
-            n += int(part["n"].sum())
-            newest = max(newest, int(part["ms"].max()))
+        newest = max(int(part["ms"].max()) for part in rows)
         if not state.exists:
-            yield pd.DataFrame({key: [k[0]], "arrivals": [n]})
+            yield pd.DataFrame({key: [k[0]]})
         state.update((True,))
         state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
 
     folded = stream.select(key, ts, F.unix_millis(ts).alias("ms")).mapInPandas(
-        fold, f"{key} {kind}, seen_at timestamp, ms long, n long")
+        fold, f"{key} {kind}, seen_at timestamp, ms long")
     return folded.withWatermark("seen_at", delay).groupBy(key).applyInPandasWithState(
-        seen, f"{key} {kind}, arrivals long", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        seen, f"{key} {kind}", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- gates and tables ---------------------------------------------------------------------------
@@ -150,14 +168,13 @@ def remember_ids(stream: DataFrame, key: str, ttl_ms: int, delay: str = "1 hour"
 def gate_sink(target: str, verdict: str = "verdict", extracted: str = "extracted") -> Callable[[DataFrame, int], None]:
     """Per micro-batch: kept, discarded and failed rows to tables, and a row of counters."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        kept, discarded = feed.route_posts(batch, verdict, extracted)
-        write_batch(kept.filter("error is null"), f"{target}/kept", batch_id)
-        write_batch(kept.filter("error is not null"), f"{target}/failed", batch_id)
-        write_batch(discarded, f"{target}/discarded", batch_id)
-        genuine = F.coalesce(F.col(verdict)["is_genuine"], F.lit(False))
-        write_batch(feed.gate_rates(batch, genuine, F.col(extracted).isNotNull()), f"{target}/counters", batch_id)
-        batch.unpersist()
+        with kept_once(batch):
+            kept, discarded = feed.route_posts(batch, verdict, extracted)
+            write_batch(kept.filter("error is null"), f"{target}/kept", batch_id)
+            write_batch(kept.filter("error is not null"), f"{target}/failed", batch_id)
+            write_batch(discarded, f"{target}/discarded", batch_id)
+            genuine = F.coalesce(F.col(verdict)["is_genuine"], F.lit(False))
+            write_batch(feed.gate_rates(batch, genuine, F.col(extracted).isNotNull()), f"{target}/counters", batch_id)
 
     return sink
 
@@ -165,10 +182,9 @@ def gate_sink(target: str, verdict: str = "verdict", extracted: str = "extracted
 def dead_letter_sink(target: str, corrupt: str = "_corrupt_record") -> Callable[[DataFrame, int], None]:
     """Readable rows to one table, raw text of the others to the dead-letter table."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        write_batch(batch.filter(F.col(corrupt).isNull()).drop(corrupt), f"{target}/good", batch_id)
-        write_batch(batch.filter(F.col(corrupt).isNotNull()).select(corrupt), f"{target}/dead", batch_id)
-        batch.unpersist()
+        with kept_once(batch):
+            write_batch(batch.filter(F.col(corrupt).isNull()).drop(corrupt), f"{target}/good", batch_id)
+            write_batch(batch.filter(F.col(corrupt).isNotNull()).select(corrupt), f"{target}/dead", batch_id)
 
     return sink
 
@@ -177,8 +193,9 @@ def late_sink(target: str, ts: Column, now: Column, hours: float = 48) -> Callab
     """Rows inside the age limit to one table, late rows to a side table."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         fresh = feed.recent(ts, now, hours)
-        write_batch(batch.filter(fresh), f"{target}/fresh", batch_id)
-        write_batch(batch.filter(~fresh), f"{target}/late", batch_id)
+        with kept_once(batch):
+            write_batch(batch.filter(fresh), f"{target}/fresh", batch_id)
+            write_batch(batch.filter(~fresh), f"{target}/late", batch_id)
 
     return sink
 

@@ -35,10 +35,15 @@ def test_entry(spark):
     "top_pairs_good", "best_rise", "fire_triplets", "order_tiles", "link_sources", "link_by_ids", "join_authors",
     "split_windows"])
 def test_hot_keys_give_the_same(name, spark, sf, con):
-    """Almost every key counts as hot: the broadcast branch of the joins."""
-    spark.conf.set("hazardlake.hot.rows", "2")
+    """Nothing is broadcast, and adaptive execution splits almost every key."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256"}
+    before = {c: spark.conf.get(c) for c in small}
     try:
+        for c, v in small.items():
+            spark.conf.set(c, v)
         _, rows = spark_rows(QUERIES[name](spark, sf))
     finally:
-        spark.conf.unset("hazardlake.hot.rows")
+        for c, v in before.items():
+            spark.conf.set(c, v)
     assert rows == duck_rows(con, SQL[name])[1]

@@ -102,19 +102,24 @@ def test_links_take_the_first_five(spark):
 
 
 def test_lookup_with_hot_cold_and_missing_keys(spark):
-    """Key 0 is hot, key 500 is hot but unknown, some rows have no key."""
-    spark.conf.set("hazardlake.hot.rows", "50")
+    """Key 0 is hot, key 500 is hot but unknown, some rows have no key; the join is a sorted one and split."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64"}
+    before = {c: spark.conf.get(c) for c in small}
     try:
+        for c, v in small.items():
+            spark.conf.set(c, v)
         k = F.expr("case when id < 100 then 0 when id < 160 then 500 when id < 220 then null else id - 200 end")
         big = spark.range(400).select(k.alias("k"), "id")
         side = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
         want = {i: 0 if i < 100 else (i - 200) * 2 if 220 <= i < 350 else None for i in range(400)}
-        got = skew.lookup_any(big, side, ["k"], "left").collect()
+        got = skew.lookup(big, side, ["k"], "left").collect()
         assert len(got) == 400 and {r["id"]: r["v"] for r in got} == want
-        got = skew.lookup_any(big, side, ["k"], "inner").collect()
+        got = skew.lookup(big, side, ["k"], "inner").collect()
         assert {r["id"]: r["v"] for r in got} == {i: v for i, v in want.items() if v is not None} and len(got) == 230
     finally:
-        spark.conf.unset("hazardlake.hot.rows")
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
 def test_preferred_track(spark):
