@@ -31,21 +31,29 @@ from hazardlake.llm.words import SLICE_BYTES
 
 BLOCK = 128
 SEGMENT = 1 << 15
-#: Distinct words an encoder remembers before it starts afresh.
+#: Distinct words an encoder remembers before it forgets those that came once.
 REMEMBERED = 1 << 20
 
 
+#: How a byte-level BPE writes a space.
+SPACE_MARK = "\u0120"
+#: Signs that are a piece of their own behind letters.
+SIGNS = frozenset(".,;:!?$&%*#)")
+
+
 class Encoder:
     """Ids of whole texts, with a memory of words.
 
     A byte-level BPE without normaliser never joins across a space that stands between two
-    characters other than white space: the space starts the next piece. So a text is cut
-    there, and each distinct piece is encoded once. Spaces beside other white space are
-    never cut at.
+    characters other than white space: the space starts the next piece. Nor does it across a
+    line end between two such characters. So a text is cut there, and each distinct piece is
+    encoded once. A text with two white space characters in a row, or with any other than
+    spaces and line ends, is cut at single spaces only.
     """
 
-    _odd = re.compile(r" \s")
+    _odd = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
     _cut = re.compile(r"(?<=\S) (?=\S)")
+    _plain = re.compile(r"\S(?:[^ ]*\S)?\Z")
 
     class _Rows(dict):
         def __missing__(self, key):
@@ -57,42 +65,110 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self._forget()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that start with a space
+        self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(SPACE_MARK)]] = True
+        # Row 0 is the end of a document; ids of a row are flat[start: start + size].
+        self.rows = self._Rows({None: 0})
+        self.rows.new = []
+        self.flat, self.start, self.size = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.seen = np.array([2])
 
     def _forget(self) -> None:
-        self.rows = self._Rows()
-        self.rows[None], self.rows.new = 0, []  # the end of a document
-        self.flat, self.size = np.array([self.end_id], np.uint32), np.array([1])
+        """Keep the words that came more than once."""
+        keys = np.array(list(self.rows), object)
+        keep = np.flatnonzero(self.seen > 1)
+        keep = keep if 2 * len(keep) < REMEMBERED else keep[:1]
+        start, self.size = self.start[keep], self.size[keep]
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = self.flat[np.arange(int(self.size.sum())) + np.repeat(start - self.start, self.size)]
+        self.rows = self._Rows({k: i for i, k in enumerate(keys[keep].tolist())})
+        self.rows.new = []
+        self.seen = np.where(np.arange(len(keep)) > 0, 0, 2)
 
     def _learn(self) -> None:
-        new = self.rows.new
+        """Ids of the new keys.
+
+        A key is a piece that has a space in front of it in the text; one that starts with a
+        space or a line end stands as it is, without that first space. Letters and a sign, or a
+        line end and what follows, have the ids of both one after the other. Other pieces
+        are encoded many at a time: an id that starts with a space starts a piece. Keys with
+        white space at an end are encoded alone.
+        """
+        new, base = self.rows.new, len(self.size)
         if not new:
             return
-        # A key that starts with a space is the first piece of its text.
-        ids = [e.ids for e in self.tokenizer.encode_batch(
-            [w[1:] if w[:1] == " " else " " + w for w in new], add_special_tokens=False)]
-        self.size = np.concatenate([self.size, np.array([len(x) for x in ids], np.int64)])
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
+        pairs, halves = [], []
+        for i, w in enumerate(new[:]):
+            if w[:1] == "\n" and len(w) > 1 and not w[1].isspace():
+                halves += (self.rows[" \n"], self.rows[" " + w[1:]])
+                pairs.append(i)
+            elif w[-1:] in SIGNS and w[:-1].isalpha():
+                halves += (self.rows[w[:-1]], self.rows[" " + w[-1]])
+                pairs.append(i)
+        n, paired = len(new), np.zeros(len(new), bool)
+        paired[pairs] = True
+        self.start, self.size = np.append(self.start, np.zeros(n, np.int64)), np.append(self.size, np.zeros(n, np.int64))
+        plain = np.fromiter((self._plain.match(w) is not None for w in new), bool, n)
+        at, rest = np.flatnonzero(plain & ~paired).tolist(), np.flatnonzero(~plain & ~paired).tolist()
+        held, end = [self.flat], len(self.flat)
+        runs, texts = [], []
+        for i in range(0, len(at), 1000):
+            text = " " + " ".join([new[j] for j in at[i: i + 1000]])
+            if any(x in text for x in self.special):
+                rest += at[i: i + 1000]
+            else:
+                runs.append(at[i: i + 1000])
+                texts.append(text)
+        for run, e in zip(runs, self._ids(texts)):
+            cut = np.flatnonzero(self.spaced[e])
+            if len(cut) != len(run):
+                raise ValueError("the tokenizer joins pieces across spaces")
+            row = np.array(run) + base
+            self.start[row], self.size[row] = end + cut, np.diff(cut, append=len(e))
+            held.append(e)
+            end += len(e)
+        for i, e in zip(rest, self._ids([self._written(new[i]) for i in rest])):
+            self.start[base + i], self.size[base + i] = end, len(e)
+            held.append(e)
+            end += len(e)
+        self.flat = np.concatenate(held)
+        if pairs:
+            half = np.array(halves)
+            both = self._gather(half)
+            row, size = np.array(pairs) + base, self.size[half].reshape(-1, 2).sum(axis=1)
+            self.start[row], self.size[row] = end + np.cumsum(size) - size, size
+            self.flat = np.concatenate([self.flat, both])
+        self.seen = np.append(self.seen, np.zeros(n, np.int64))
         self.rows.new = []
 
+    @staticmethod
+    def _written(key: str) -> str:
+        return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
+
+    def _gather(self, row: np.ndarray) -> np.ndarray:
+        size = self.size[row]
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[row] - (np.cumsum(size) - size), size)]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids per text."""
         if len(self.rows) > REMEMBERED:
             self._forget()
         keys, pieces = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            cut = self._cut.split(text) if self._odd.search(text) else text.split(" ")
+            cut = self._cut.split(text) if any(x in text for x in self._odd) else text.replace("\n", " \n").split(" ")
             cut[0] = " " + cut[0]
             cut.append(None)
             keys += cut
             pieces[i] = len(cut)
         row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
         self._learn()
-        size = self.size[row]
-        start = (np.cumsum(self.size) - self.size)[row]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+        self.seen += np.bincount(row, minlength=len(self.seen))
+        ids, size = self._gather(row), self.size[row]
         return ids, np.add.reduceat(size, np.cumsum(pieces) - pieces) if len(texts) else pieces
 
 
@@ -117,20 +193,22 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     over = np.where(width[:, None] < 32, diff >> np.minimum(width, 31)[:, None].astype(np.uint32), 0) > 0
     patches = over.sum(axis=1)
     kept = np.where(over, 0, diff).astype(np.uint32)
-    packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    size = 6 + BLOCK // 8 * width.astype(np.int64) + 5 * patches
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[start[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[start + 4], out[start + 5] = width, patches
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         bits = ((kept[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-        for r, x in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
-            packed[r] = x.tobytes()
-    out = []
-    for b in range(blocks):
-        spot = np.flatnonzero(over[b]) if patches[b] else over[b][:0]
-        out.append(low[b].tobytes() + bytes((int(width[b]), int(patches[b]))) + packed[b]
-                   + spot.astype(np.uint8).tobytes() + diff[b][spot.astype(np.int64)].astype("<u4").tobytes())
-    size = np.array([len(x) for x in out])
-    head = np.concatenate([[n, blocks], np.cumsum(size) - size]).astype("<u4")
-    return head.tobytes() + b"".join(out)
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        out[(start[rows] + 6)[:, None] + np.arange(BLOCK // 8 * w)] = packed
+    row, spot = np.nonzero(over)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(patches) - patches, patches)
+    after = (start + 6 + BLOCK // 8 * width.astype(np.int64))[row]
+    out[after + nth] = spot
+    out[(after + patches[row] + 4 * nth)[:, None] + np.arange(4)] = diff[row, spot].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.concatenate([[n, blocks], start]).astype("<u4").tobytes() + out.tobytes()
 
 
 def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
