@@ -1,9 +1,10 @@
 """A distributed positional inverted index, phrase and proximity search, decontamination.
 
-Index rows are (part, term, posts): the places of one term in one part of the corpus, where a
-part is what one Arrow batch held (at most ``PART_WORDS`` words or one text) and a place packs
-the text's number in the part and the position (``no << 32 | position``). ``texts`` names the
-texts of the parts. So a frequent term has one bounded row per part, never one long list.
+Index rows are (part, term, posts): the places of one term in one part of the corpus. A part
+is some consecutive texts of a task, about ``PART_WORDS`` words or one longer text; a place
+counts words through the part, with ``GAP`` empty places after every text, so no phrase and no
+proximity reaches into the next text. ``texts`` tells where the texts of the parts lie. A
+frequent term has one bounded row per part, never one long list.
 
 A phrase search starts from the rarest term of each phrase. Its places, shifted back by the
 term's offset, are the candidate starts; they are intersected with the shifted list of the
@@ -24,14 +25,16 @@ from pyspark.sql import functions as F
 from hazardlake.llm import words
 from hazardlake.session import cut_lineage, work_dir
 
-PART_WORDS = 1 << 20
-_INDEX = "part long, term long, posts array<long>, doc_ids array<long>, n_words array<long>"
+PART_WORDS = 1 << 21
+GAP = 64
+_INDEX = "part long, term long, posts array<int>, doc_ids array<long>, n_words array<long>, firsts array<int>"
+_STRETCH = 1024  # places of a stretch under which texts and places meet
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # part, term, posts
-    texts: DataFrame  # part, no, doc_id, n_words
+    texts: DataFrame  # part, first, doc_id, n_words
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +57,21 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             doc.append(h[2] + base)
             base += len(h[3])
         doc = np.concatenate(doc)
-        place = (doc << 32) | (np.arange(len(doc)) - (np.cumsum(per) - per)[doc])
+        firsts = (np.cumsum(per + GAP) - per - GAP).astype(np.int32)
+        place = (np.arange(len(doc)) + GAP * doc).astype(np.int32)
         order = np.argsort(term, kind="stable")
         term, place = term[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([first, [len(term)]]))
-        n = len(first)
-        none = pa.nulls(n, pa.list_(pa.int64()))
+        n, names = len(first), ["part", "term", "posts", "doc_ids", "n_words", "firsts"]
+        none = [pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part)), pa.array(words.signed(term[first])), words.lists(place, size), none, none],
-            ["part", "term", "posts", "doc_ids", "n_words"])
+            [pa.array(np.full(n, part)), pa.array(words.signed(term[first])), words.lists(place, size), *none], names)
+        all_texts = np.array([len(ids)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
-             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), words.lists(per, np.array([len(per)]))],
-            ["part", "term", "posts", "doc_ids", "n_words"])
+            [pa.array([part]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
+             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), words.lists(per, all_texts),
+             words.lists(firsts, all_texts)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,7 +81,7 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             for lo, hi, data, offsets in words.slices(batch, "text"):
                 term, doc = _terms(data, offsets)
                 held.append((batch.column("id").slice(lo, hi - lo), term, doc, words.counts(doc, hi - lo)))
-                size += len(term)
+                size += len(term) + GAP * (hi - lo)
                 if size >= PART_WORDS:
                     yield from part_rows(part, held)
                     part, held, size = part + 1, [], 0
@@ -91,11 +95,23 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
 def open_index(spark: SparkSession, path: str) -> Index:
     rows = spark.read.schema(_INDEX).parquet(path)
-    texts = (rows.filter("term is null").select("part", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("no", "t"))
-             .select("part", "no", F.col("t.doc_ids").alias("doc_id"), F.col("t.n_words").alias("n_words")))
+    texts = (rows.filter("term is null").select("part", F.explode(F.arrays_zip("firsts", "doc_ids", "n_words")).alias("t"))
+             .select("part", F.col("t.firsts").alias("first"), F.col("t.doc_ids").alias("doc_id"), F.col("t.n_words").alias("n_words")))
     return Index(rows.filter("term is not null").select("part", "term", "posts"), texts)
 
 
+def located(index: Index, found: DataFrame) -> DataFrame:
+    """Places (part, at, ...) with ``first``, ``doc_id`` and ``n_words`` of their text.
+
+    Texts and places meet under stretches of places, so a place is compared with the few texts
+    of its stretch.
+    """
+    reach = F.sequence(F.expr(f"first div {_STRETCH}"), F.expr(f"(first + n_words - 1) div {_STRETCH}"))
+    texts = index.texts.filter("n_words > 0").withColumn("stretch", F.explode(reach))
+    return (found.withColumn("stretch", F.expr(f"at div {_STRETCH}")).join(texts, ["part", "stretch"])
+            .filter("at >= first and at < first + n_words").drop("stretch"))
+
+
 def phrases(items: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(id, w1, w2, terms) of every window of ``width`` words, or the whole of a shorter text.
 
@@ -122,8 +138,8 @@ def phrases(items: DataFrame, width: int, item_id: str = "item_id", text: str =
                          pa.array(words.signed(w2)), words.lists(words.signed(flat), np.array([n for _, _, n in rows]))],
                         ["id", "w1", "w2", "terms"])
 
-    if width > 64:
-        raise ValueError("phrases have at most 64 words")
+    if not 1 <= width <= GAP:
+        raise ValueError(f"phrases have 1 to {GAP} words")
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, w1 long, w2 long, terms array<long>")
 
@@ -134,7 +150,7 @@ def _ranked(index: Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     A phrase with a term that the corpus lacks is left out.
     """
     spots = wanted.select("phrase", F.size("terms").alias("k"), F.posexplode("terms").alias("off", "term"))
-    used = spots.select("term").distinct()
+    used = cut_lineage(spots.select("term").distinct(), "terms")
     lists = cut_lineage(index.postings.join(used, "term", "left_semi"), "lists")
     often = lists.groupBy("term").agg(F.sum(F.size("posts").cast("long")).alias("often"))
     by = Window.partitionBy("phrase").orderBy("often", "off")
@@ -144,10 +160,10 @@ def _ranked(index: Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def find(index: Index, wanted: DataFrame) -> DataFrame:
-    """(phrase, part, no, at, k): every exact occurrence of the phrases (phrase, terms).
+    """(phrase, part, at, k): every exact occurrence of the phrases (phrase, terms).
 
-    ``at`` is the position of the first word and ``k`` the number of words. ``phrase`` must be
-    unique; terms are at most 64.
+    ``at`` is the place of the first word and ``k`` the number of words. ``phrase`` must be
+    unique and not null; terms are 1 to ``GAP``.
     """
     lists, spots = _ranked(index, wanted)
 
@@ -155,52 +171,42 @@ def find(index: Index, wanted: DataFrame) -> DataFrame:
         """Places of each phrase's nth rarest term, shifted to the phrase's start."""
         own = spots.filter(F.col("nth") == nth).select("phrase", "k", "off", "term")
         return (own.join(lists, "term").select("phrase", "k", "part", "off", F.explode("posts").alias("post"))
-                .filter(F.col("post").bitwiseAND(F.lit((1 << 32) - 1)) >= F.col("off"))
-                .select("phrase", "k", "part", (F.col("post") - F.col("off")).alias("post")))
+                .filter("post >= off").select("phrase", "k", "part", (F.col("post") - F.col("off")).alias("at")))
 
-    both = starts(1).join(starts(2).drop("k"), ["phrase", "part", "post"])
-    alone = starts(1).filter("k = 1")
-    seeds = cut_lineage(alone.unionByName(both.filter("k = 2")), "found")
-    seeds_more = cut_lineage(both.filter("k > 2"), "seeds")
+    rare = cut_lineage(starts(1), "rare")
+    both = rare.filter("k > 1").join(starts(2).drop("k"), ["phrase", "part", "at"])
+    seeds = cut_lineage(rare.filter("k = 1").unionByName(both), "seeds")
     # The places at which the remaining terms must stand, by term and part: one short list
     # against one index row.
-    needs = (seeds_more.join(spots.filter("nth > 2").select("phrase", "off", "term"), "phrase")
-             .select("part", "term", (F.col("post") + F.col("off")).alias("place"), "phrase", "post", "k"))
+    needs = (seeds.filter("k > 2").join(spots.filter("nth > 2").select("phrase", "off", "term"), "phrase")
+             .select("part", "term", (F.col("at") + F.col("off")).alias("place"), "phrase", "at", "k"))
     asked = needs.groupBy("part", "term").agg(F.collect_set("place").alias("places"))
     there = (asked.join(lists, ["part", "term"])
              .select("part", "term", F.explode(F.array_intersect("places", "posts")).alias("place")))
-    whole = (needs.join(there, ["part", "term", "place"]).groupBy("phrase", "part", "post", "k")
+    whole = (needs.join(there, ["part", "term", "place"]).groupBy("phrase", "part", "at", "k")
              .agg(F.count(F.lit(1)).alias("n")).filter("n = k - 2").drop("n"))
-    low = F.lit((1 << 32) - 1)
-    return seeds.select("phrase", "part", "post", "k").unionByName(whole.select("phrase", "part", "post", "k")).select(
-        "phrase", "part", F.shiftright("post", 32).cast("int").alias("no"),
-        F.col("post").bitwiseAND(low).alias("at"), "k")
+    return seeds.filter("k <= 2").unionByName(whole).select("phrase", "part", "at", "k")
 
 
 def near(index: Index, wanted: DataFrame, span: int) -> DataFrame:
-    """(phrase, part, no, at): places of each phrase's rarest term with all its other terms
-    within ``span`` words before or after, in any order; a term twice in a phrase counts once.
+    """(phrase, part, at): places of each phrase's rarest term with all its other terms within
+    ``span`` words (at most ``GAP``) before or after, in any order; a repeated term counts once.
 
     Places are dealt to stretches of ``span`` words, so a term is only compared with the same
     and the two neighbouring stretches.
     """
-    low = F.lit((1 << 32) - 1)
+    if not 1 <= span <= GAP:
+        raise ValueError(f"span must be 1..{GAP}")
     lists, spots = _ranked(index, wanted.select("phrase", F.array_distinct("terms").alias("terms")))
-    width = max(1, span)
-    place = lambda c: F.col(c).bitwiseAND(low)
-    seeds = (spots.filter("nth = 1").join(lists, "term").select("phrase", "k", "part", F.explode("posts").alias("post"))
-             .withColumn("no", F.shiftright("post", 32)).withColumn("at", place("post")).drop("post"))
+    seeds = spots.filter("nth = 1").join(lists, "term").select("phrase", "k", "part", F.explode("posts").alias("at"))
     asked = (seeds.join(spots.filter("nth > 1").select("phrase", "term"), "phrase")
              .withColumn("stretch", F.explode(F.expr(
-                 f"sequence(greatest(at - {span}, 0) div {width}, (at + {span}) div {width})"))))
-    there = (lists.join(spots.select("term").distinct(), "term", "left_semi")
-             .select("part", "term", F.explode("posts").alias("post"))
-             .select("part", "term", F.shiftright("post", 32).alias("no"), place("post").alias("spot"))
-             .withColumn("stretch", F.expr(f"spot div {width}")))
-    hit = (asked.join(there, ["part", "no", "term", "stretch"]).filter(F.abs(F.col("spot") - F.col("at")) <= span)
-           .select("phrase", "k", "part", "no", "at", "term").distinct())
-    return (hit.groupBy("phrase", "k", "part", "no", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = k - 1")
-            .select("phrase", "part", "no", "at").union(seeds.filter("k = 1").select("phrase", "part", "no", "at")))
+                 f"sequence(greatest(at - {span}, 0) div {span}, (at + {span}) div {span})"))))
+    there = lists.select("part", "term", F.explode("posts").alias("spot")).withColumn("stretch", F.expr(f"spot div {span}"))
+    hit = (asked.join(there, ["part", "term", "stretch"]).filter(F.abs(F.col("spot") - F.col("at")) <= span)
+           .select("phrase", "k", "part", "at", "term").distinct())
+    return (hit.groupBy("phrase", "k", "part", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = k - 1")
+            .select("phrase", "part", "at").union(seeds.filter("k = 1").select("phrase", "part", "at")))
 
 
 def _covered(spans: Column) -> Column:
@@ -229,15 +235,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_o
     wanted = asked.withColumn("phrase", name).groupBy("phrase").agg(F.min("terms").alias("terms"))
     found = cut_lineage(find(index, wanted), "hits")
     # Windows that start at one place differ only in length: the longest covers the others.
-    spans = found.groupBy("part", "no", "at").agg(F.max("k").alias("k"))
-    hit = (spans.groupBy("part", "no").agg(F.sort_array(F.collect_list(
-        F.struct(F.col("at").alias("from"), (F.col("at") + F.col("k")).alias("to")))).alias("spans"))
-        .select("part", "no", _covered(F.col("spans")).alias("n_hit")))
-    items = (found.select("part", "no", "phrase").distinct()
-             .join(asked.select(name.alias("phrase"), F.col("id").cast("string").alias("item")).distinct(), "phrase")
-             .groupBy("part", "no").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    spans = located(index, found.groupBy("part", "at").agg(F.max("k").alias("k")))
+    hit = (spans.groupBy("part", "first").agg(F.sort_array(F.collect_list(
+        F.struct(F.col("at").cast("long").alias("from"), (F.col("at") + F.col("k")).cast("long").alias("to")))).alias("spans"))
+        .select("part", "first", _covered(F.col("spans")).alias("n_hit")))
+    named = asked.select(name.alias("phrase"), F.col("id").cast("string").alias("item")).distinct()
+    items = (located(index, found).select("part", "first", "phrase").distinct().join(named, "phrase")
+             .groupBy("part", "first").agg(F.sort_array(F.collect_set("item")).alias("items")))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return (index.texts.join(hit, ["part", "no"], "left").join(items, ["part", "no"], "left")
+    return (index.texts.join(hit, ["part", "first"], "left").join(items, ["part", "first"], "left")
             .select("doc_id", "n_words", n_hit.alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                     ((n_hit > 0) & (part_of * n_hit >= F.col("n_words"))).alias("contaminated")))
