@@ -160,7 +160,8 @@ def repeated_passages(docs: DataFrame, k: int = 13, depth: int = 2, width_factor
     plan = Plan(total // 6 + 1, k, depth, width_factor)
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(plan.chunks)).cast("long").alias("chunk")
     dealt = texts.select(chunk, "doc_id", "text").groupBy("chunk")
-    firsts = prints.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    firsts = cut_lineage(prints.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                         .filter("first < last"), "firsts")
     copies = (prints.join(firsts, "sha").filter("doc_id > first")
               .select(F.col("doc_id").alias("block"), chunk, F.unhex("sha").alias("data"),
                       F.lit("").cast("binary").alias("more")))
