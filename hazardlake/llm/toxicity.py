@@ -1,8 +1,9 @@
 """Toxicity by a support vector machine over a subsequence string kernel.
 
 The kernel of two strings sums over all letter sequences of 3 or 4 that both contain, not
-necessarily adjacent: an occurrence that spans n characters counts ``DECAY ** n``, up to three
-inserted characters. So "mo-ron", "m.o.r.o.n" and "m o r o n" stay close to "moron". The
+necessarily adjacent: an occurrence that spans n letters counts ``DECAY ** n``, up to three
+inserted letters. Signs do not count as letters. So "mo-ron", "m.o.r.o.n", "m o r o n" and
+"moxron" stay close to "moron". The
 Nyström method describes a string by its kernel with a set of landmark strings, and a linear
 machine is trained on these descriptions.
 
@@ -66,12 +67,14 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Codes of all strings one after the other, each behind its mark, the string of each, and
-    their number. The first byte of a letter outside ASCII is left out, so it is one code."""
+    their number. The first byte of a letter outside ASCII is left out, so it is one code, and
+    so are signs and spaces: they stand between letters without widening a gap."""
     length = end - start + 1
     first = np.cumsum(length) - length
     total = int(length.sum())
     byte = data[np.maximum(np.arange(total) - np.repeat(first - start + 1, length), 0)] if total else data[:0]
-    code, unit, keep = CODE[byte], np.repeat(np.arange(len(start)), length), byte < 0xC0
+    code, unit = CODE[byte], np.repeat(np.arange(len(start)), length)
+    keep = (byte < 0xC0) & (code > 0)
     code[first], keep[first] = MARK, True
     total = int(keep.sum())
     return np.append(code[keep], np.zeros(8, np.int64)), np.append(unit[keep], np.full(8, -1)), total
