@@ -217,7 +217,7 @@ def instruction(task: str, platform: Column, lang: Column, user: Column, verifie
 
 def document_key(platform: Column, epoch: Column, *stable: Column) -> Column:
     """``platform_time_hash``: a stable hash replaces the running number."""
-    return F.concat_ws("_", platform, epoch.cast("string"), F.substring(F.md5(F.concat_ws("|", *stable).cast("binary")), 1, 16))
+    return F.concat_ws("_", platform, epoch.cast("string"), F.md5(F.concat_ws("|", *stable).cast("binary")))
 
 
 def try_number(col: Column) -> Column:

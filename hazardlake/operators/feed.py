@@ -80,12 +80,15 @@ def gate_rates(df: DataFrame, verified: Column, stored: Column) -> DataFrame:
 
 
 def global_stats(posts: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row of dashboard counts; the report counts come in as a scalar subquery."""
+    """One row of dashboard counts, posts by platform among them; the report counts come in as
+    a scalar subquery."""
     r = reports.agg(F.struct(F.count(F.lit(1)).alias("all"),
                              F.count_if(F.col("severity") == "critical").alias("critical"))).scalar()
-    p = posts.agg(F.count(F.lit(1)).alias("total_posts"),
-                  F.count_if(F.col("is_disaster")).alias("disaster_posts"))
-    return p.withColumn("r", r).select("total_posts", "disaster_posts", F.col("r.all").alias("verified_reports"),
+    per = posts.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_disaster")).alias("d"))
+    p = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_posts"), F.coalesce(F.sum("d"), F.lit(0)).alias("disaster_posts"),
+                F.map_from_entries(F.array_sort(F.collect_list(F.when(
+                    F.col("platform").isNotNull(), F.struct("platform", "n"))))).alias("platforms"))
+    return p.withColumn("r", r).select("total_posts", "disaster_posts", "platforms", F.col("r.all").alias("verified_reports"),
                                        F.col("r.critical").alias("critical_reports"))
 
 

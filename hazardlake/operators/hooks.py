@@ -110,7 +110,12 @@ def pca3(df: DataFrame, vec: str, key: str) -> DataFrame:
 
 
 def fit_text_classifier(df: DataFrame, text: str, label: str, kind: str, features: int = 1 << 12):
-    """TF-IDF pipeline with a forest, boosted trees or a linear SVM; returns the fitted model."""
+    """TF-IDF pipeline with a forest, boosted trees or a linear SVM; returns the fitted model.
+
+    ``features`` is the number of hash buckets of the vocabulary. Trees keep statistics for
+    each, so the default suits them; pass 1 << 18 or more for a linear machine on a large
+    vocabulary. All rows are used.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer

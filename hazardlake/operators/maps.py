@@ -67,16 +67,20 @@ def state_summary(df: DataFrame) -> DataFrame:
     The maps hold one entry per type or level, so they are built from pre-counted rows.
     """
     state = F.coalesce(F.col("state"), F.lit("Unknown")).alias("state")
-    base = df.groupBy(state, "disaster_type", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
-    by_type = base.groupBy("state", "disaster_type").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    types = by_type.groupBy("state").agg(
-        F.sum("n").alias("total_reports"), F.max("last").alias("latest_report_at"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("disaster_type", "n")))).alias("disaster_types"))
-    levels = (base.groupBy("state", "severity").agg(F.sum("n").alias("n")).groupBy("state").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_breakdown")))
-    return (types.join(levels, "state")
-            .withColumn("active_reports", F.col("total_reports")))
+    # each report counts once by its type and once by its severity
+    kinds = F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.col("disaster_type").alias("value")),
+                              F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("value"))))
+    counted = (df.select(state, "created_at", kinds.alias("k")).groupBy("state", "k.kind", "k.value")
+               .agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last")))
+
+    def counts(kind: str) -> Column:
+        entry = F.when((F.col("kind") == kind) & F.col("value").isNotNull(), F.struct("value", "n"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+    total = F.sum(F.when(F.col("kind") == "type", F.col("n")))
+    return counted.groupBy("state").agg(
+        total.alias("total_reports"), F.max("last").alias("latest_report_at"), counts("type").alias("disaster_types"),
+        counts("severity").alias("severity_breakdown"), total.alias("active_reports"))
 
 
 def report_query(df: DataFrame, disaster_type: str | None = None, severity: str | None = None,

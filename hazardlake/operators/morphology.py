@@ -147,11 +147,13 @@ def water_radar(tiles: DataFrame, vv: str, vh: str, keys: list[str] | None = Non
     keys = TILE + ["phase"] if keys is None else keys
     valid = f"transform(arrays_zip({vv}, {vh}), z -> cast(z.{vv} > 0 and z.{vh} > 0 as int))"
     out = tiles.withColumn("valid", F.expr(valid))
-    # read three times below: the two thresholds and the mask
+    # read several times below: the thresholds of two bands and the mask
     out = cut_lineage(gaussian(gaussian(out, vv, 2.0), vh, 2.0))
-    tv = otsu(out, vv, "valid", keys).withColumnRenamed("threshold", "t_vv")
-    th = otsu(out, vh, "valid", keys).withColumnRenamed("threshold", "t_vh")
-    out = out.join(tv, keys, "left").join(th, keys, "left")
+    for band, limit in ((vv, "t_vv"), (vh, "t_vh")):
+        # a tile whose histogram gives no threshold takes the 30 % percentile
+        low = percentile_threshold(out, band, "valid", 0.3, keys).withColumnRenamed("threshold", "__low")
+        out = (out.join(otsu(out, band, "valid", keys), keys, "left").join(low, keys, "left")
+               .withColumn(limit, F.coalesce("threshold", "__low")).drop("threshold", "__low"))
     out = out.withColumn("mask", F.expr(
         f"transform(arrays_zip({vv}, {vh}), z -> cast(coalesce(z.{vv} < t_vv and z.{vh} < t_vh, false) as int))"))
     return opening(closing(out, "mask", 7, 3), "mask", 3).drop("valid", "t_vv", "t_vh")
@@ -170,38 +172,37 @@ def _runs(tiles: DataFrame, mask: str, keys: list[str]) -> DataFrame:
         F.min("pos").alias("node"), F.min("col").alias("c0"), F.max("col").alias("c1")).drop("grp")
 
 
-def component_labels(tiles: DataFrame, mask: str, keys: list[str] | None = None, rounds: int = 60) -> DataFrame:
+def component_labels(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
     """Runs with the label of their 4-connected component (its smallest node).
 
-    Runs that overlap in neighbouring rows are linked; large-star and small-star rounds
-    shrink the links to stars in a number of rounds that grows with the logarithm of the
-    size of a component. Lineage is cut in every round.
+    A run is linked with the runs above and below its first pixel, which finds every overlap
+    of two runs once or twice and never pairs all runs of two rows. Large-star and small-star
+    rounds shrink the links to stars; each takes a minimum per node and a join, so no
+    neighbourhood is gathered. The rounds end by themselves, after a number that grows with
+    the logarithm of the size of a component. Lineage is cut in every round.
     """
     keys = TILE if keys is None else keys
     runs = cut_lineage(_runs(tiles, mask, keys))
-    nxt = runs.select(*keys, (F.col("row") - 1).alias("row"), F.col("node").alias("v"),
-                      F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    edges = (runs.join(nxt, [*keys, "row"]).filter("c0 <= d1 and d0 <= c1")
-             .select(*keys, F.col("v").alias("u"), F.col("node").alias("v")))
-    edges = cut_lineage(edges)
+    cells = runs.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.col("node").alias("other"))
+    starts = runs.select(*keys, F.explode(F.array(F.col("row") - 1, F.col("row") + 1)).alias("row"),
+                         F.col("c0").alias("col"), "node")
+    edges = cut_lineage(starts.join(cells, [*keys, "row", "col"]).select(
+        *keys, F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours move to the smallest neighbour
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy(*keys, "u")
-        star = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).filter("v > u")
-        edges = star.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = (both.filter("v > u").join(low, [*keys, "u"])
+                 .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
         # small star: the node and its smaller neighbours move to the smallest
-        star = edges.withColumn("m", F.min("v").over(w))
-        edges = (star.select(*keys, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        edges = cut_lineage(edges)
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*keys, "u"]).filter("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut_lineage(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v", *keys).cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     labels = edges.withColumnsRenamed({"u": "node", "v": "component"})
     return (runs.join(labels, [*keys, "node"], "left")
             .withColumn("component", F.coalesce("component", "node")))

@@ -82,10 +82,12 @@ def _(spark, sf):
 
 @query("global_stats", "A-3",
        """select (select count(*) from posts) as total_posts, (select count(*) from posts where is_disaster) as disaster_posts,
+       (select string_agg(platform || '=' || n, '|' order by platform) from (select platform, count(*) as n from posts where platform is not null group by 1)) as platforms,
        (select count(*) from reports) as verified_reports, (select count(*) from reports where severity = 'critical') as critical_reports""",
        ("posts", "reports"))
 def _(spark, sf):
-    return O.global_stats(A.posts(spark, sf), A.reports(spark, sf))
+    platforms = joined(F.transform(F.map_entries("platforms"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return O.global_stats(A.posts(spark, sf), A.reports(spark, sf)).withColumn("platforms", platforms)
 
 
 @query("trending_hashtags", "T-2",

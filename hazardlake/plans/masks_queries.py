@@ -174,47 +174,45 @@ def _(spark, sf):
     return M.tile_collection(M.to_feature_collection(M.outline(_masks(spark, sf), "mask", K3), ["area"], K3), K3)
 
 
-GRID = """, g as (select distinct event, tile, y * 3 as y0, x * 3 as x0 from tiles, (select unnest(range({n})) as y), (select unnest(range({n})) as x))"""
+GRID = """, g as (select distinct event, tile, phase, y * 3 as y0, x * 3 as x0 from tiles, (select unnest(range({n})) as y), (select unnest(range({n})) as x))"""
 
 
-@query("chip_grid", "R-11", GRID.format(n=2) + " select event, tile, y0::int as y0, x0::int as x0, 8 as pad_h, 8 as pad_w from g", ("tiles",))
+@query("chip_grid", "R-11", GRID.format(n=2) + " select event, tile, phase, y0::int as y0, x0::int as x0, 8 as pad_h, 8 as pad_w from g", ("tiles",))
 def _(spark, sf):
-    t = A.tiles(spark, sf).filter("phase = 'before'")
-    return M.chip_grid(t, 5, 3).select("event", "tile", "y0", "x0", "pad_h", "pad_w")
+    return M.chip_grid(A.tiles(spark, sf), 5, 3).select("event", "tile", "phase", "y0", "x0", "pad_h", "pad_w")
 
 
-@query("chip_grid_stride", "R-11", GRID.format(n=2) + " select event, tile, y0::int as y0, x0::int as x0, 9 as pad_h, 9 as pad_w from g", ("tiles",))
+@query("chip_grid_stride", "R-11", GRID.format(n=2) + " select event, tile, phase, y0::int as y0, x0::int as x0, 9 as pad_h, 9 as pad_w from g", ("tiles",))
 def _(spark, sf):
     """Padding to a multiple of the stride."""
-    return M.chip_grid(A.tiles(spark, sf).filter("phase = 'before'"), 5, 3, "stride").select("event", "tile", "y0", "x0", "pad_h", "pad_w")
+    return M.chip_grid(A.tiles(spark, sf), 5, 3, "stride").select("event", "tile", "phase", "y0", "x0", "pad_h", "pad_w")
 
 
+PHASED = [*M.TILE, "phase"]
 REF = "least({j} % 14, 14 - {j} % 14)"
 
 
 @query("merge_chips", "R-12 R-11",
-       f""", c as (select p.event, p.tile, y0, x0, i, (y0 + i // 6) as yy, (x0 + i % 6) as xx, v * (1 + y0 + 2 * x0) as s
+       f""", c as (select p.event, p.tile, p.phase, y0, x0, i, (y0 + i // 6) as yy, (x0 + i % 6) as xx, v * (1 + y0 + 2 * x0) as s
          from (select unnest([0, 4]) as y0), (select unnest([0, 4]) as x0), (select unnest(range(36)) as i), px p
-         where p.phase = 'before' and p."row" = {REF.format(j='(y0 + i // 6)')} and p.col = {REF.format(j='(x0 + i % 6)')})
-       select event, tile, yy::int as "row", xx::int as col, round(avg(s), 6) as score, count(*) as n_chips, (avg(s) > 0.1)::int as pred from c where yy < 8 and xx < 8 group by all""", NEED)
+         where p."row" = {REF.format(j='(y0 + i // 6)')} and p.col = {REF.format(j='(x0 + i % 6)')})
+       select event, tile, phase, yy::int as "row", xx::int as col, round(avg(s), 6) as score, count(*) as n_chips, (avg(s) > 0.1)::int as pred from c where yy < 8 and xx < 8 group by all""", NEED)
 def _(spark, sf):
-    t = A.tiles(spark, sf).filter("phase = 'before'")
-    chips = M.cut_chips(M.chip_grid(t, 6, 4), ["v"], 6)
+    chips = M.cut_chips(M.chip_grid(A.tiles(spark, sf), 6, 4), ["v"], 6)
     scored = chips.withColumn("s", F.expr("transform(chip_v, x -> cast(x as double) * (1 + y0 + 2 * x0))"))
-    return M.decide(M.merge_chips(scored, "s", 6), 0.1).withColumn("score", r("score")).drop("height", "width")
+    return M.decide(M.merge_chips(scored, "s", 6, PHASED), 0.1).withColumn("score", r("score")).drop("height", "width")
 
 
 @query("merged_tiles", "R-12",
-       "select event, tile, round(sum(v), 5) as total, round(sum(v * pos), 4) as moment from px where phase = 'before' group by all", NEED)
+       "select event, tile, phase, round(sum(v), 5) as total, round(sum(v * pos), 4) as moment from px group by all", NEED)
 def _(spark, sf):
     """Unchanged chips merge back to the tile they were cut from."""
-    t = A.tiles(spark, sf).filter("phase = 'before'")
-    chips = M.cut_chips(M.chip_grid(t, 5, 2), ["v"], 5)
+    chips = M.cut_chips(M.chip_grid(A.tiles(spark, sf), 5, 2), ["v"], 5)
     chips = chips.withColumn("chip_v", F.expr("transform(chip_v, x -> cast(x as double))"))
-    m = M.merged_tiles(M.merge_chips(chips, "chip_v", 5))
+    m = M.merged_tiles(M.merge_chips(chips, "chip_v", 5, PHASED), PHASED)
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + x)
     moment = F.aggregate(F.transform("score", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    return m.select("event", "tile", r(total, 5).alias("total"), r(moment, 4).alias("moment"))
+    return m.select("event", "tile", "phase", r(total, 5).alias("total"), r(moment, 4).alias("moment"))
 
 
 @query("arg_max_class", "R-12",

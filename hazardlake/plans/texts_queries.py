@@ -128,6 +128,21 @@ def _(spark, sf):
     return _verdict(d, "doc_id")
 
 
+def _note(label, terms):
+    return f"case when {_sum('text', terms)} > 0 then '{label} in text: ' || array_to_string({_list('text', terms)}[1:3], ', ') end"
+
+
+@query("seriousness_reasons", "X-7",
+       f""", t as (select doc_id, {_sum('text', HUMOUR)} as h, {_sum('text', SERIOUS)} + 2 * {_sum('text', COASTAL)} as s, 2 * {_sum('text', COASTAL)} as c,
+         {_note('Humor indicators', HUMOUR)} as a, {_note('Serious indicators', SERIOUS)} as b, {_note('Coastal hazard indicators', COASTAL)} as d from documents)
+       select doc_id, array_to_string(list_filter([a, b, d,
+         case when h + s + c = 0 then 'No clear humor or serious indicators found - defaulting to serious' end,
+         case when h > s + c + 2 then 'High humor content detected - marked as non-serious' end], lambda x: x is not null), '|') as reasons from t""")
+def _(spark, sf):
+    d = Z.score_texts(_docs(spark, sf), ["text"], humour=HUMOUR, serious=SERIOUS, coastal=COASTAL)
+    return d.select("doc_id", joined("reasons").alias("reasons"))
+
+
 @query("seriousness_threads", "X-7",
        f""", x as (select video, turn, row_number() over (partition by video, turn > 0 order by turn) as k, {_sum('text', HUMOUR)} as h,
          {_sum('text', SERIOUS)} as s0, {_sum('text', COASTAL)} as c0 from videos),
@@ -225,7 +240,7 @@ def _(spark, sf):
 
 
 @query("document_key", "X-35",
-       "select id, platform || '_' || floor(epoch(ts))::bigint || '_' || left(md5(id || '|' || post_type), 16) as doc_key from stream", ("stream",))
+       "select id, platform || '_' || floor(epoch(ts))::bigint || '_' || md5(id || '|' || post_type) as doc_key from stream", ("stream",))
 def _(spark, sf):
     return A.stream(spark, sf).select("id", X.document_key(F.col("platform"), F.unix_seconds("ts"), F.col("id").cast("string"), F.col("post_type")).alias("doc_key"))
 
@@ -280,6 +295,21 @@ def _(spark, sf):
     return P.extract_items(A.table(spark, sf, "pages"), "page_id", "html", 15, ("li",)).select("page_id", "pos", "title", "link")
 
 
+@query("feed_entries", "S-14 W-5",
+       f"""select doc_id, 0 as pos, source as title, md5(coalesce({_strip('text')}, '')) as content,
+       case when doc_id % 2 = 0 then 'https://example.org/' || doc_id else 'g' || doc_id end as link from documents""")
+def _(spark, sf):
+    """Each document as a feed of one entry, in either of the two feed formats."""
+    d = _docs(spark, sf)
+    item = F.concat(F.lit("<item><title>"), "source", F.lit("</title><description><![CDATA["), "text",
+                    F.lit("]]></description><link>https://example.org/"), "doc_id", F.lit("</link></item>"))
+    entry = F.concat(F.lit("<entry><title>"), "source", F.lit("</title><summary>"), "text",
+                     F.lit("</summary><guid>g"), "doc_id", F.lit("</guid></entry>"))
+    feeds = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, item).otherwise(entry).alias("xml"))
+    rows = P.extract_items(feeds, "doc_id", "xml", 15)
+    return rows.select("doc_id", "pos", "title", F.md5(F.col("content").cast("binary")).alias("content"), "link")
+
+
 @query("page_blocks", "S-14 F-4",
        rf""", i as (select page_id, regexp_extract_all(html, '{P.element_pattern(("div", "p", "td"))}', 0) as items from pages),
        x as (select page_id, unnest(items) as b, unnest(range(len(items))) as pos from i), t as (select page_id, pos, {_strip('b')} as c from x),
