@@ -325,7 +325,7 @@ def test_surrogates(spark):
     iban = [m[3] for m in surrogates.mentions(got[3]["text"]) if m[2] == "iban"][0]
     assert surrogates._luhn(card[:-1]) == int(card[-1]) and surrogates._mod97(iban) == 1
     names = [m for m in surrogates.mentions(got[5]["text"]) if m[2].startswith("surname_latin")]
-    assert len({m[3] for m in names}) == 1 and len(names) == 2
+    assert len({m[3] for m in names}) == 1 and len(names) == 3
     given = [m for m in surrogates.mentions(got[5]["text"]) if m[2].startswith("given")]
     assert given and all(m[2].endswith("_f") for m in given)
     assert surrogates.replace_personal(df.limit(0), b"k").count() == 0
