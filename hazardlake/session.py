@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_recorders: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/hazardlake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/hazardlake/{label}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths that ``work_dir`` gives out meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not made]
+
+
+def drop_work(spark: SparkSession, paths: list[str], but_of: DataFrame | None = None) -> None:
+    """Delete written work tables; those that ``but_of`` reads stay."""
+    read = but_of.inputFiles() if but_of is not None and paths else []
+    for path in paths:
+        if not any(path.rsplit("/", 1)[1] in f for f in read):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
