@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlake.llm import language, minhash, mixing, plans, postings
-from hazardlake.session import cut_lineage
+from hazardlake.session import cut_lineage, drop_work, recording
+
+
+#: Work tables of the stage that ran last.
+_left: list[str] = []
+
+
+def _stage(function: Callable) -> Callable:
+    """A stage that first drops the work tables of the one before, whose result is written by
+    now: it is what comes in as ``docs``."""
+
+    @wraps(function)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_work(spark, _left, but_of=docs)
+        with recording() as made:
+            out = function(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return call
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without a letter go."""
     model = language.learn(docs)
@@ -16,6 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.predict(docs, model, names=names).filter(F.col(names[0]) != language.NONE).select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group; of equal rows one. Rows without id stay."""
     found = cut_lineage(minhash.near_duplicates(docs), "found")
@@ -28,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without enough words of benchmark passages."""
     found = postings.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,11 +60,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
+@_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place and digest of every document in the token files."""
     return plans.token_digest(docs)
@@ -58,7 +85,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        with recording() as made:
+            docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        drop_work(spark, [*made[:-1], *before])
+        before = made[-1:]
     return docs
