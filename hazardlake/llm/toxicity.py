@@ -144,6 +144,9 @@ class _Kernel:
         self.whiten = vec[:, keep] / np.sqrt(value[keep])
 
     def against(self, strings: list[bytes], normal: bool = False) -> np.ndarray:
+        """Kernel of each string with each landmark, a few hundred strings at a time."""
+        if len(strings) > 500:
+            return np.vstack([self.against(strings[i: i + 500], normal) for i in range(0, len(strings), 500)])
         u, k, v = _features(strings)
         lo, hi = np.searchsorted(self.k, k, "left"), np.searchsorted(self.k, k, "right")
         n = hi - lo
@@ -179,7 +182,7 @@ def _strings(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, data, *units(data, offsets)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 10_000, strings: int = 4_000, landmarks: int = 400,
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 10_000, strings: int = 3_000, landmarks: int = 300,
           rounds: int = 3) -> Model:
     """Train on docs (doc_id, text) and labels (doc_id, toxic), one label per id.
 
