@@ -98,8 +98,8 @@ def _(spark, sf):
        f""", cm as ({CM}) select e.event, t.tile, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp from (select distinct s_suppkey * 2 as tile from supplier) t
        cross join (select distinct event from eval) e left join cm on cm.event = e.event and cm.tile = t.tile""", ("eval",))
 def _(spark, sf):
-    """Every tile with each of the four events, which the flags of a line item name."""
-    events = F.array(*[F.lit(e) for e in ("AF", "NF", "NO", "RF")])
+    """Every tile with each event; events are the few flags of line items."""
+    events = A.evaluation(spark, sf).agg(F.array_sort(F.collect_set("event"))).scalar()
     t = A.table(spark, sf, "supplier").selectExpr("s_suppkey * 2 as tile").distinct().withColumn("event", F.explode(events))
     m = _cm(spark, sf).select("event", "tile", "tp", "fp")
     return R.attach(t, m, ["event", "tile"], {"tp": 0, "fp": 0}).select("event", "tile", "tp", "fp")
