@@ -33,10 +33,10 @@ def _stage(function: Callable) -> Callable:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter go."""
+    """Documents with a letter, also where no language could be learned or one is named 'und'."""
     model = language.learn(docs)
     names = ("__lang", "__score", "__languages")
-    return language.predict(docs, model, names=names).filter(F.col(names[0]) != language.NONE).select(*docs.columns)
+    return language.predict(docs, model, names=names, letters="__letters").filter("__letters").select(*docs.columns)
 
 
 @_stage

@@ -147,17 +147,19 @@ def proportions(word_ll: np.ndarray, doc: np.ndarray, penalty: float = 1.0, roun
 
 
 def predict(rows: DataFrame, model: Model, penalty: float = 1.0,
-            names: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
+            names: tuple[str, str, str] = ("lang_pred", "score", "languages"), letters: str | None = None) -> DataFrame:
     """``rows`` (with a column ``text``) and ``lang_pred``, ``score`` and ``languages``, or ``names``.
 
     ``languages`` maps each language of the chosen set to its proportion of the words,
     ``lang_pred`` is the largest (of equal ones the first by name) and ``score`` its
     proportion. A null text, a text without a letter, or any text when no language was
-    learned is ``und`` with score 0 and an empty map.
+    learned is ``und`` with score 0 and an empty map. ``letters`` names one more column: whether
+    the text has a letter, whatever was learned.
     """
     known, keep = np.array([*model.languages, NONE], object), rows.columns
     shared = rows.sparkSession.sparkContext.broadcast(model.log_p)  # buckets x languages, fixed by the model
     order, schema = model.order, pa.map_(pa.string(), pa.float64())
+    more = [letters] if letters else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -165,11 +167,13 @@ def predict(rows: DataFrame, model: Model, penalty: float = 1.0,
         for batch in batches:
             best, score = np.full(len(batch), n_lang), np.zeros(len(batch))
             found: list = [[] for _ in range(len(batch))]
+            lettered = np.zeros(len(batch), bool)
             for lo, hi, data, start, end, doc in _words(batch):
                 plain = np.zeros(hi - lo, bool)
                 plain[doc[ASCII_LETTER[data[start]]]] = True
                 for i in np.unique(doc[~plain[doc]]) if len(doc) else ():
                     plain[i] = any(c.isalpha() for c in batch.column("text")[lo + int(i)].as_py())
+                lettered[lo:hi] = plain
                 use = plain[doc]
                 if not use.any() or not n_lang:
                     continue
@@ -183,10 +187,11 @@ def predict(rows: DataFrame, model: Model, penalty: float = 1.0,
                     found[lo + i] = [(known[j], float(p[j])) for j in np.flatnonzero(p > 0)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(known[best], pa.string()), pa.array(np.clip(score, 0, 1)),
-                 pa.array(found, schema)], [*keep, *names])
+                 pa.array(found, schema), *(pa.array(lettered) for _ in more)], [*keep, *names, *more])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>")
+    return rows.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>"
+                           + "".join(f", `{x}` boolean" for x in more))
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

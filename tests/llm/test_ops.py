@@ -352,3 +352,13 @@ def test_pipeline_stages_bear_odd_rows(spark, docs, tmp_path, rows):
         if i < 4:
             assert out.columns == kept
     assert out.count() > 20
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_letters_without_languages(spark, docs, rows, lang):
+    import corpus_pipeline
+
+    unlabelled = docs.withColumn("lang", F.lit(lang).cast("string"))
+    got = corpus_pipeline.identify_language(spark, unlabelled, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
