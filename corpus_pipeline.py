@@ -41,8 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; of equal rows one. Rows without id stay."""
-    found = cut_lineage(minhash.near_duplicates(docs), "found")
+    """The document with the smallest id of every group; of equal rows one. Rows without id stay.
+    Links are of five-word shingles, unlike those of op6."""
+    found = cut_lineage(minhash.near_duplicates(docs, k=5), "found")
     gone = found.filter("not kept").select(F.col("id").alias("__id")).distinct()
     again = found.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("id").alias("__id"))

@@ -362,3 +362,41 @@ def test_language_stage_keeps_letters_without_languages(spark, docs, rows, lang)
     got = corpus_pipeline.identify_language(spark, unlabelled, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """Row by row. Both sources have equally many words at the mix, which then takes 'a' twice and 'b' once."""
+    from itertools import combinations
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    table = {i: (t, "ab"[i % 2]) for i, t, *_ in corpus(9, 40) if not t or len(t) < 10_000}
+    base = sentence(rng, 120, 10_000).split(" ")
+    for n, changes in enumerate([(), (20, 50, 80), (30, 90), (10, 40, 70, 100)]):  # similarities with the first: .77, .84, .71
+        table[100 + n] = (" ".join(f"new{n}" if i in changes else w for i, w in enumerate(base)), "ab"[n % 2])
+    bench = {1: table[10][0]}
+
+    left = {i: t for i, (t, _) in table.items() if any(c.isalpha() for c in t or "")}
+    sets = {i: brute.shingles(t, 5) for i, t in left.items()}
+    links = [(a, b) for a, b in combinations(sets, 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    left = {i: left[i] for i, c in brute.component_of(left, links).items() if c == i}
+    left = {i: left[i] for i, r in brute.decontaminate(left, bench).items() if not r[3]}
+    assert {100, 101, 103} <= set(left) and not {10, 102} & set(left)
+    size = {s: sum(len(brute.SPLIT.findall(t)) for i, t in left.items() if table[i][1] == s) for s in "ab"}
+    few = min(size, key=size.get)
+    left[200] = " ".join(f"fill{i}" for i in range(max(size.values()) - size[few]))
+    table[200] = (left[200], few)
+
+    tk, at, want = Tokenizer.from_file(plans.tokenizer_path()), 0, []
+    for i in sorted(left):
+        ids = [*tk.encode(left[i], add_special_tokens=False).ids, 0]
+        for _ in range({"a": 2, "b": 1}[table[i][1]]):
+            want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+    spark.createDataFrame([(i, t, "en", s) for i, (t, s) in table.items()], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(bench.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
