@@ -20,6 +20,7 @@ strings of sentences of other documents are negative, the hardest of them are ad
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,13 +35,27 @@ from hazardlake.llm.language import held_out
 
 DECAY = 0.6
 REACH = 3  # inserted characters within a sequence
-#: Letters a to z are 1 to 26 in either case, bytes outside ASCII 27 to 30, all others 0.
-CODE = np.zeros(256, np.int64)
-CODE[0x61:0x7B] = CODE[0x41:0x5B] = np.arange(1, 27)
-CODE[0x80:] = 27 + np.arange(0x80) % 4
 MARK = 31  # stands before every string
+
+
+def _codes() -> np.ndarray:
+    """Code of every code point: letters a to z are 1 to 26 in either case, other letters and
+    the marks on them 64-bit hashes of their lower case, all others 0."""
+    code = np.zeros(0x32000, np.uint64)  # no letters above
+    code[0x61:0x7B] = code[0x41:0x5B] = np.arange(1, 27)
+    other = [(i, low) for i in range(0x80, len(code)) for c in [chr(i)] if unicodedata.category(c)[0] in "LM"
+             for low in [ord(c.lower()[0])]]
+    at, low = np.array(other).T
+    code[at] = words.mix(low.astype(np.uint64)) | np.uint64(1 << 63)
+    code[at[low < 0x80]] = code[low[low < 0x80]]
+    return code
+
+
+CODE = _codes()
 _SHAPES = [(p, (0, *rest)) for p in (3, 4) for rest in combinations(range(1, p + REACH), p - 1)]
-SIZE = 32**4 + 32**3  # sequences of 4, then of 3
+ASCII = 32**4 + 32**3  # sequences of 4, then of 3, each with its own place
+HASHED = 1 << 22  # places of sequences with a letter outside ASCII
+SIZE = ASCII + HASHED
 BUCKETS = 1 << 20
 
 
@@ -56,9 +71,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end, doc = words.bounds(data, offsets, words.SPACE_FREE)
     if not len(start):
         return start, end, doc
-    lead = (data[start] & 0xC0) == 0xC0
-    single = (end - start == 1) | (lead & (end - start <= 4) & ((np.add.reduceat((data & 0xC0) != 0x80, start) == 1)
-                                                               | (end - start == 2)))
+    lead = data[start]
+    single = end - start == 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
     joined = np.zeros(len(start), bool)
     joined[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     head = np.flatnonzero(~joined)
@@ -67,28 +81,37 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Codes of all strings one after the other, each behind its mark, the string of each, and
-    their number. The first byte of a letter outside ASCII is left out, so it is one code, and
-    so are signs and spaces: they stand between letters without widening a gap."""
+    their number. A letter is one code however many bytes it has. Signs and spaces are left
+    out: they stand between letters without widening a gap."""
     length = end - start + 1
     first = np.cumsum(length) - length
     total = int(length.sum())
-    byte = data[np.maximum(np.arange(total) - np.repeat(first - start + 1, length), 0)] if total else data[:0]
-    code, unit = CODE[byte], np.repeat(np.arange(len(start)), length)
-    keep = (byte < 0xC0) & (code > 0)
+    at = np.maximum(np.arange(total) - np.repeat(first - start + 1, length), 0)
+    byte = data[at] if total else data[:0]
+    point = byte.astype(np.int64)
+    for lead, last, n in ((0xC0, 0xDF, 2), (0xE0, 0xEF, 3), (0xF0, 0xFF, 4)):
+        here = np.flatnonzero((byte >= lead) & (byte <= last))
+        whole = point[here] & (0x7F >> n)
+        for j in range(1, n):
+            whole = whole * 64 + (data[np.minimum(at[here] + j, len(data) - 1)] & 0x3F)
+        point[here] = whole
+    point[((byte & 0xC0) == 0x80) | (point >= len(CODE))] = 0
+    code, unit = CODE[point], np.repeat(np.arange(len(start)), length)
+    keep = code > 0
     code[first], keep[first] = MARK, True
     total = int(keep.sum())
-    return np.append(code[keep], np.zeros(8, np.int64)), np.append(unit[keep], np.full(8, -1)), total
+    return np.append(code[keep], np.zeros(8, np.uint64)), np.append(unit[keep], np.full(8, -1)), total
 
 
 def runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bucket, string) of all runs of 4 to 8 adjacent codes, hashed into ``BUCKETS``."""
     code, unit, total = _symbols(data, start, end)
-    key = code[:total] * 32 + code[1: total + 1]
+    key = code[:total] * np.uint64(32) + code[1: total + 1]
     for n in range(3, 9):
-        key = key * 32 + code[n - 1: total + n - 1]
+        key = key * np.uint64(32) + code[n - 1: total + n - 1]
         at = np.flatnonzero(unit[:total] == unit[n - 1: total + n - 1])
         if n > 3:
-            yield (words.mix(key[at].astype(np.uint64) * np.uint64(16) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64), unit[at]
+            yield (words.mix(key[at] * np.uint64(16) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64), unit[at]
 
 
 def occurrences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
@@ -102,9 +125,12 @@ def occurrences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterato
         for x in places[1:]:
             c = code[at + x]
             ok &= c > 0
-            key = key * 32 + c
+            key = key * np.uint64(32) + c
         at, key = at[ok], key[ok]
-        yield DECAY ** (span + 1), key if p == 4 else key + 32**4, unit[at]
+        far = np.flatnonzero(key >= 32**p)
+        place = key.astype(np.int64) if p == 4 else key.astype(np.int64) + 32**4
+        place[far] = ASCII + (words.mix(key[far] + np.uint64(p)) % np.uint64(HASHED)).astype(np.int64)
+        yield DECAY ** (span + 1), place, unit[at]
 
 
 def margins(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -116,6 +142,18 @@ def margins(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.nda
     return out
 
 
+def _sparse(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the weights that are not 0; a machine has those of its landmarks only."""
+    at = np.flatnonzero(weight).astype(np.int32)
+    return at, weight[at]
+
+
+def _dense(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    weight = np.zeros(SIZE, np.float32)
+    weight[at] = value
+    return weight
+
+
 def _features(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, sequence, value) of bounded lists of strings."""
     data = np.frombuffer(b"".join(strings), np.uint8)
@@ -242,10 +280,11 @@ def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int
     def candidates(weight: np.ndarray | None, bias: float):
         """Strings of the documents with their documents per label; without a machine the
         marked ones and a hashed share of the others, else those the machine calls toxic."""
-        shared = spark.sparkContext.broadcast((mark, weight))  # one entry per possible sequence
+        shared = spark.sparkContext.broadcast((mark, None if weight is None else _sparse(weight)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked, table = shared.value
+            table = None if table is None else _dense(*table)
             out: list = []
             for batch in batches:
                 label = batch.column("toxic").to_numpy()
@@ -323,11 +362,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> np.ndarray:
 
 def _judged(rows: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
     """``rows`` (with text) and their ``_SIGNS``; the text itself goes."""
-    shared = rows.sparkSession.sparkContext.broadcast(weight)  # SIZE numbers
+    shared = rows.sparkSession.sparkContext.broadcast(_sparse(weight))
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = _dense(*shared.value)
         for batch in batches:
             worst, hits, n = np.full(len(batch), bias), np.zeros(len(batch)), np.zeros(len(batch))
             for lo, hi, data, start, end, doc in _strings(batch):

@@ -306,6 +306,30 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert {r["predicted"] for r in toxicity.detect(d, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0}
 
 
+@pytest.mark.parametrize("letters, insults", [
+    ("бвгдзклмнпрстаеиоуыя", ["дурачина", "балбесище"]), ("βγδκλμνπρσταεηιου", ["βλακαρας", "ηλιθιος"]),
+    ("بتجدرسعفقكلمنهوي", ["حقيرجدا", "سفيهلئيم"]), ("的一是在不了有和人这中大为上个国我以要他", ["傻瓜笨蛋", "混账王八"])])
+def test_toxicity_outside_ascii(spark, letters, insults):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(800)]
+    docs, labels = [], []
+    for i in range(600):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 40))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(insults))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    new = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(200)]  # words of the same letters, never seen
+    cut = [f"{w[:3]}-{w[3:]}" for w in insults] + [" ".join(insults[0]), insults[1].upper()]
+    docs += [(1000 + i, f"{vocabulary[0]} {w} {vocabulary[1]}") for i, w in enumerate(cut + new)]
+    got = {r["doc_id"]: r for r in toxicity.detect(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                   spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    right = [got[i]["predicted"] == int(i % 4 == 0) for i in range(600) if got[i]["held_out"]]
+    assert sum(right) / len(right) > 0.97
+    assert [got[1000 + i]["predicted"] for i in range(4)] == [1, 1, 1, 1]
+    assert sum(got[1004 + i]["predicted"] for i in range(200)) <= 4
+
+
 def test_surrogates(spark):
     table = [(1, "Mail anna.b@mail8.example.com or call +1 (386) 555-3733."), (2, "again: Anna.B@mail8.example.com, +13865553733"),
              (3, "host 42.144.35.254, card 4111 1111 1111 1111, GB82 WEST 1234 5698 7654 32"), (4, 'token = "0641917ea4e9feb9cda83477" '),
