@@ -76,3 +76,45 @@ kept AS (
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+#: crc32 of a text of ASCII characters: the table of bytes follows from the reversed polynomial.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text column, with ``tab`` at hand."""
+    return (f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), "
+            "lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295)")
+
+
+PERIODIC_RUNS = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPLIT}') AS ws, {_crc("doc_id::VARCHAR")} AS h FROM documents, t),
+e AS (SELECT *, h // 10 AS g, len(ws) AS n FROM d),
+f AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+x AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM p),
+six AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1:i + 6], ' ') AS key FROM (
+    SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM x WHERE n >= 6)),
+again AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.key = b.key AND a.i < b.i),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM again),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS len FROM island GROUP BY doc_id, q, k),
+runs AS (
+  SELECT doc_id, s, len, min(q) AS q FROM stretch WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, s, len),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, len := len, q := q), struct_pack(a := -len, b := s, c := q)) AS best,
+         string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+spots AS (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS word FROM x),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM spots ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period,
+       1000 * best.len // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM x LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
