@@ -118,3 +118,71 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS lengt
        sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM x LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_END = "[{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}]"
+
+
+def _edited(state: int) -> str:
+    """Cheapest cost to go and least letters when the row's message is edited in this state."""
+    after = {0: 3, 1: 3, 2: 4, 3: 3}[state]  # 1-based place of the state behind an inserted or other role
+    keep = " ".join(f"WHEN i = '{i}' THEN v[{to}]" for i, to in {0: [("s", 2), ("u", 3)], 1: [("u", 3)], 2: [("a", 4)], 3: [("u", 3)]}[state])
+    return f"""list_min([{{'c': v[{state + 1}].c + 4, 'a': 'D' || v[{state + 1}].a}}] || CASE WHEN fault IN (1, 2) THEN [] ELSE
+      [{{'c': v[{after}].c + 3 + cut, 'a': 'R' || v[{after}].a}}] || CASE WHEN CASE {keep} END IS NULL THEN [] ELSE
+        [{{'c': (CASE {keep} END).c + cut, 'a': 'K' || (CASE {keep} END).a}}] END END)"""
+
+
+def _inserted(state: int) -> str:
+    one = {0: 3, 1: 3, 2: 4, 3: 3}[state]
+    two = {3: 4, 4: 3}[one]
+    return f"list_min([e[{state + 1}], {{'c': e[{one}].c + 3, 'a': 'I' || e[{one}].a}}, {{'c': e[{two}].c + 6, 'a': 'II' || e[{two}].a}}])"
+
+
+CONVERSATIONS = f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT named.*, {_crc("name")} % 20 AS h FROM named, t),
+bad AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE h <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM bad),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth,
+         regexp_extract_all(text, '[^\\x20\\x09-\\x0D]') AS body, coalesce(conv_id::VARCHAR, '-') AS conv FROM num),
+msg AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN len(body) = 0 THEN 1 WHEN nth > 1 THEN 2 WHEN body[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM seen),
+steps AS (SELECT conv, k, i, fault, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM msg),
+sizes AS (SELECT conv, max(k) AS n FROM msg GROUP BY conv),
+dp(conv, k, v) AS (
+  SELECT conv, n, {_END} FROM sizes
+  UNION ALL
+  SELECT conv, k - 1, [{", ".join(_inserted(s) for s in range(4))}] FROM (
+    SELECT dp.conv, dp.k, [{", ".join(_edited(s) for s in range(4))}] AS e
+    FROM dp JOIN steps ON dp.conv = steps.conv AND dp.k = steps.k)),
+won AS (SELECT conv, v[1].c AS cost, v[1].a AS audit FROM dp WHERE k = 0),
+letters AS (SELECT conv, spot, audit[spot] AS l FROM (SELECT conv, audit, unnest(range(1, len(audit) + 1)) AS spot FROM won)),
+placed AS (
+  SELECT conv, spot, l, sum(CASE WHEN l <> 'I' THEN 1 ELSE 0 END) OVER w AS k, sum(CASE WHEN l <> 'D' THEN 1 ELSE 0 END) OVER w AS j,
+         sum(CASE WHEN l <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv) AS total
+  FROM letters WINDOW w AS (PARTITION BY conv ORDER BY spot)),
+lines AS (
+  SELECT p.conv, spot, CASE WHEN l = 'K' THEN role WHEN (j + total) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN l = 'I' THEN '' ELSE text END AS line
+  FROM placed p LEFT JOIN msg m ON m.conv = p.conv AND m.k = p.k WHERE l <> 'D'),
+fixed AS (SELECT conv, string_agg(line, chr(10) ORDER BY spot) AS text FROM lines GROUP BY conv),
+pairs AS (SELECT conv, lag(i) OVER (PARTITION BY conv ORDER BY k) || i AS two FROM msg),
+broken AS (SELECT conv, sum(CASE WHEN two NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS n FROM pairs GROUP BY conv),
+told AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated
+  FROM msg GROUP BY conv)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(broken.n, 0)::BIGINT AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(fixed.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '-') AS conv FROM conversations) o
+LEFT JOIN told USING (conv) LEFT JOIN broken USING (conv) LEFT JOIN won USING (conv) LEFT JOIN fixed USING (conv)
+"""
