@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, language, minhash, mixing, passages, postings, runs, surrogates, tokens, toxicity, turns, twins, vectors
+from hazardlake.llm import chat, language, minhash, mixing, passages, postings, quality, runs, surrogates, tokens, toxicity, turns, twins, vectors
 from hazardlake.session import use_package, work_dir
 
 #: Key of the registered surrogate query; a real corpus needs a secret one.
@@ -87,6 +87,10 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return turns.conversations_report(_table(spark, sf, "conversations"))
 
 
+def op13_distribution_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.filter_quality(_table(spark, sf, "documents")).drop("class_distance", "word_distance")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_mixture, op2_preference_pairs, op3_patched_token_files, op4_scheduled_mix, op5_subsequence_toxicity,
         op6_minmax_near_dedup, op7_positional_decontamination, op8_rotation_code_dedup, op9_surrogate_pii,
-        op10_count_min_passages, op11_periodic_runs, op12_conversation_repair, pipeline)}
+        op10_count_min_passages, op11_periodic_runs, op12_conversation_repair,
+        op13_distribution_divergence, pipeline)}
 SQL: dict[str, str] = {
     "op2_preference_pairs": chat.SQL,
     "op6_minmax_near_dedup": twins.NEAR_DUPLICATES,
@@ -107,4 +112,5 @@ SQL: dict[str, str] = {
     "op10_count_min_passages": twins.PASSAGES,
     "op11_periodic_runs": twins.PERIODIC_RUNS,
     "op12_conversation_repair": twins.CONVERSATIONS,
+    "op13_distribution_divergence": twins.QUALITY,
 }

@@ -186,3 +186,67 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '-') AS conv FROM conversations) o
 LEFT JOIN told USING (conv) LEFT JOIN broken USING (conv) LEFT JOIN won USING (conv) LEFT JOIN fixed USING (conv)
 """
+
+#: Classes of the characters of words; what is left are stops.
+_CLASSES = ["a-z", "A-Z", "0-9", None, r"#*$%&|<>", r"\x00-\x08\x0E-\x1F\x7F", r"\x{80}-\x{2FF}", r"\x{300}-\x{1FFF}",
+            r"\x{3000}-\x{DFFF}", r"\x{2000}-\x{2FFF}\x{E000}-\x{10FFFF}"]
+_COUNTED = ", ".join("0" if c is None else f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in _CLASSES)
+
+
+def _divergence(p: str, q: str) -> str:
+    """Twice the Jensen-Shannon divergence in bits, over the bins with p > 0, less the q there."""
+    m = f"(({p} + {q}) / 2)"
+    return f"{p} * log2({p} / {m}) + CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END - {q}"
+
+
+QUALITY = f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t,
+         regexp_extract_all(coalesce(text, ''), '{_SPLIT}') AS ws, regexp_extract_all({_LOWER}, '{_SPLIT}') AS low FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '{_SPLIT}') GROUP BY doc_id),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS key
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, key FROM win GROUP BY doc_id, key HAVING count(*) > 1),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM win JOIN twice USING (doc_id, key)) GROUP BY doc_id),
+c0 AS (SELECT doc_id, lang, low, len(ws) AS n_words, length(t) AS word_chars, [{_COUNTED}] AS c FROM d),
+c1 AS (
+  SELECT doc_id, lang, low, n_words, word_chars, c[5] AS n_symbols, c[:3] || [word_chars - list_sum(c)] || c[5:] AS c,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM c0 LEFT JOIN lines USING (doc_id) LEFT JOIN hit USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c1),
+spots AS (SELECT doc_id, unnest(low) AS w FROM base),
+tf AS (SELECT doc_id, w, count(*) AS n FROM spots GROUP BY doc_id, w),
+known AS (
+  SELECT coalesce('=' || lang, '') AS name FROM base WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 2000),
+good AS (SELECT doc_id, '=' || lang AS name FROM base WHERE NOT base_failed UNION ALL SELECT doc_id, '' FROM base WHERE NOT base_failed),
+ref_c AS (
+  SELECT name, k, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY name) AS total FROM (
+    SELECT name, unnest(range(1, 11)) AS k, unnest(c) AS n FROM good JOIN base USING (doc_id)) GROUP BY name, k),
+ref_w AS (
+  SELECT name, w, count(*) AS docs, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY name) AS total FROM good JOIN tf USING (doc_id) GROUP BY name, w),
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY docs DESC) AS place FROM ref_w),
+common AS (
+  SELECT name, w, n, total, sum(n) OVER (PARTITION BY name) AS inside, count(*) OVER (PARTITION BY name) AS bins FROM placed p
+  WHERE place <= 64 AND docs > coalesce((SELECT docs FROM placed q WHERE q.name = p.name AND q.place = 65), 0)),
+own AS (SELECT doc_id, coalesce(known.name, '') AS name FROM base LEFT JOIN known ON known.name = '=' || base.lang),
+pc AS (SELECT doc_id, unnest(range(1, 11)) AS k, unnest(c) AS n, word_chars FROM base),
+dc AS (
+  SELECT doc_id, 1 + sum({_divergence("(pc.n / word_chars)", "(r.n / r.total)")}) AS js
+  FROM pc JOIN own USING (doc_id) JOIN ref_c r ON r.name = own.name AND r.k = pc.k WHERE pc.n > 0 GROUP BY doc_id),
+pw AS (
+  SELECT doc_id, coalesce(common.w, chr(10)) AS w, sum(tf.n) AS n, any_value(common.n) AS q
+  FROM tf JOIN own USING (doc_id) LEFT JOIN common ON common.name = own.name AND common.w = tf.w WHERE own.name <> '' GROUP BY ALL),
+sizes AS (SELECT DISTINCT name, total, inside, bins FROM common),
+dw AS (
+  SELECT doc_id, any_value(bins) AS bins, 1 + sum({_divergence("(pw.n / n_words)", "(coalesce(q, total - inside) / total)")}) AS js
+  FROM pw JOIN own USING (doc_id) JOIN sizes USING (name) JOIN base USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(word_chars >= 200 AND dc.js / 2 > 0.25 * 0.25 + 9 / (8 * ln(2) * word_chars), false)
+         AND NOT coalesce(n_words >= 50 AND dw.js / 2 > 0.3 * 0.3 + bins / (8 * ln(2) * n_words), false) AS kept
+FROM base LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)
+"""
