@@ -97,79 +97,108 @@ def _text(docs: DataFrame) -> DataFrame:
                        F.col("lang").cast("string").alias("lang"))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, docs, n) of the texts that pass the base rules: classes are kind 0,
-    words kind 1, combined over the task."""
-    held: dict[str | None, list] = {}
-    size = 0
-
-    def flush():
-        for lang, parts in held.items():
-            kind, key, docs, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((key, kind))
-            kind, key = kind[order], key[order]
-            head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(head), pa.string()), pa.array(kind[head]), pa.array(words.signed(key[head])),
-                 pa.array(np.add.reduceat(docs[order], head)), pa.array(np.add.reduceat(n[order], head))],
-                ["lang", "kind", "key", "docs", "n"])
-        held.clear()
-
-    for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        codes = langs.indices.fill_null(-1).to_numpy()
-        names = [*langs.dictionary.to_pylist(), None]
-        for lo, hi, data, offsets in words.slices(batch):
-            c = Counted(data, offsets)
-            good = ~c.base_failed
-            code = codes[lo:hi]
-            for k in np.unique(code[good]).tolist():
-                mine = good & (code == k)
-                use = mine[c.doc]
-                w, d = c.word[use], c.doc[use]
-                order = np.lexsort((d, w))
-                w, d = w[order], d[order]
-                new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
-                head = np.flatnonzero(new)
-                first = new.copy()
-                first[1:] |= d[1:] != d[:-1]
-                per = c.classes[mine].sum(axis=0)
-                held.setdefault(names[k], []).append((
-                    np.concatenate([np.zeros(len(CLASSES), np.int32), np.ones(len(head), np.int32)]),
-                    np.concatenate([np.arange(len(CLASSES), dtype=U), w[head]]),
-                    np.concatenate([np.full(len(CLASSES), int(mine.sum())), np.add.reduceat(first.astype(np.int64), head) if len(head) else head]),
-                    np.concatenate([per, np.diff(head, append=len(w))])))
-                size += len(head)
-            if size > HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
+def _partial(common: int):
+    """(lang, piece, kind, key, docs, n, top) of the texts that pass the base rules, combined over
+    the task: kind 0 are classes by number and, under -1, all words; kind 1 are words by hash.
+    ``top`` marks the words of a piece that most of its documents have, one more than ``common``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: dict[str | None, list] = {}
+        size, piece = 0, TaskContext.get().partitionId() << 32
+
+        def flush():
+            for lang, parts in held.items():
+                kind, key, docs, n = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((key, kind))
+                kind, key = kind[order], key[order]
+                head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]))
+                docs, n = np.add.reduceat(docs[order], head), np.add.reduceat(n[order], head)
+                rank = np.where(kind[head] == 1, -docs, 1)
+                top = np.zeros(len(head), bool)
+                top[np.argsort(rank, kind="stable")[: common + 1]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(head), pa.string()), pa.array(np.full(len(head), piece)), pa.array(kind[head]), pa.array(key[head]),
+                     pa.array(docs), pa.array(n), pa.array(top & (kind[head] == 1))],
+                    ["lang", "piece", "kind", "key", "docs", "n", "top"])
+            held.clear()
+
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            codes = langs.indices.fill_null(-1).to_numpy()
+            names = [*langs.dictionary.to_pylist(), None]
+            for lo, hi, data, offsets in words.slices(batch):
+                c = Counted(data, offsets)
+                good = ~c.base_failed
+                code = codes[lo:hi]
+                for k in np.unique(code[good]).tolist():
+                    mine = good & (code == k)
+                    use = mine[c.doc] & (names[k] is not None)
+                    w, d = words.signed(c.word[use]), c.doc[use]
+                    order = np.lexsort((d, w))
+                    w, d = w[order], d[order]
+                    new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+                    head = np.flatnonzero(new)
+                    first = new.copy()
+                    first[1:] |= d[1:] != d[:-1]
+                    docs = np.add.reduceat(first.astype(np.int64), head) if len(head) else head
+                    held.setdefault(names[k], []).append((
+                        np.concatenate([np.zeros(len(CLASSES) + 1, np.int32), np.ones(len(head), np.int32)]),
+                        np.concatenate([np.arange(-1, len(CLASSES)), w[head]]),
+                        np.concatenate([np.full(len(CLASSES) + 1, int(mine.sum())), docs]),
+                        np.concatenate([[c.n_words[mine].sum()], c.classes[mine].sum(axis=0), np.diff(head, append=len(w))])))
+                    size += len(head)
+                if size > HELD:
+                    yield from flush()
+                    size, piece = 0, piece + 1
+        yield from flush()
+
+    return run
+
+
+def _common_words(part: DataFrame, common: int) -> DataFrame:
+    """(lang, top): the words that most documents have, at most ``common`` of a language.
+
+    Exact without a shuffle of all words. The sums over the pieces' own top words give a lower
+    bound of the ``common + 1``-th count; a word that reaches it must, in one of the pieces,
+    have the bound divided by their number. Only these words are counted over all pieces.
+    """
+    every = part.filter("kind = 1")
+    order = Window.partitionBy("lang").orderBy(F.col("docs").desc(), "key")
+
+    def first(counts: DataFrame) -> DataFrame:
+        return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= common + 1)
+
+    seen = first(every.filter("top").groupBy("lang", "key").agg(F.sum("docs").alias("docs")))
+    bound = seen.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("place") > common, F.col("docs"))), F.lit(0)).alias("bound"))
+    pieces = part.filter("kind = 0 and key = -1").groupBy("lang").agg(F.count(F.lit(1)).alias("pieces"))
+    bound = cut_lineage(bound.join(pieces, "lang"), "bounds")
+    few = cut_lineage(every.join(bound, "lang").filter(F.col("docs") * F.col("pieces") >= F.col("bound")).select("lang", "key").distinct(), "candidates")
+    counts = every.join(few, ["lang", "key"]).groupBy("lang", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    best = first(counts).groupBy("lang").agg(
+        F.collect_list(F.struct("key", "n", "docs")).alias("top"), F.max(F.when(F.col("place") > common, F.col("docs"))).alias("next"))
+    return best.select("lang", F.array_sort(F.filter("top", lambda x: x["docs"] > F.coalesce("next", F.lit(0)))).alias("top"))
 
 
 def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """(lang, classes, keys, counts, n_words): a row per language with enough words and one,
-    with a null ``lang``, of all documents.
+    with a null ``lang`` and no words, of all documents.
 
     ``classes`` counts characters by class, ``keys`` are hashes of the words that most documents
     have, at most ``common`` (words that tie with the next one after these are left out), and
-    ``counts`` how often they stand in them; ``n_words`` counts all words. Words of a task are
-    added up before they are shuffled.
+    ``counts`` how often they stand in them; ``n_words`` counts all words.
     """
-    part = cut_lineage(_text(docs).mapInArrow(_partial, "lang string, kind int, key long, docs long, n long"), "counts")
-    one = part.groupBy("lang", "kind", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    every = part.groupBy("kind", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    both = one.filter("lang is not null").unionByName(every.withColumn("lang", F.lit(None).cast("string")))
-    both = both.withColumn("of", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
-    place = F.row_number().over(Window.partitionBy("of").orderBy(F.col("docs").desc(), "key"))
-    top = both.filter("kind = 1").withColumn("place", place).filter(F.col("place") <= common + 1).groupBy("of").agg(
-        F.collect_list(F.struct("key", "n", "docs")).alias("top"), F.max(F.when(F.col("place") > common, F.col("docs"))).alias("next"))
-    top = top.select("of", F.filter("top", lambda x: x["docs"] > F.coalesce("next", F.lit(0))).alias("top"))
-    sums = both.groupBy("of").agg(
-        F.max("lang").alias("lang"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("n_words"),
-        *[F.sum(F.when((F.col("kind") == 0) & (F.col("key") == k), F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(len(CLASSES))])
-    out = sums.join(top, "of").filter((F.col("n_words") >= REFERENCE_WORDS) | (F.col("of") == "")).withColumn("top", F.array_sort("top"))
-    return out.select("lang", F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]).alias("classes"),
-                      F.col("top.key").alias("keys"), F.col("top.n").alias("counts"), "n_words")
+    part = cut_lineage(_text(docs).mapInArrow(
+        _partial(common), "lang string, piece long, kind int, key long, docs long, n long, top boolean"), "counts")
+    sums = part.filter("kind = 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    of = lambda k: F.sum(F.when(F.col("key") == k, F.col("n")).otherwise(0))
+    columns = [F.array(*[of(k) for k in range(len(CLASSES))]).alias("classes"), of(-1).alias("n_words")]
+    one = sums.filter("lang is not null").groupBy("lang").agg(*columns).filter(F.col("n_words") >= REFERENCE_WORDS)
+    none = F.lit(None).cast("array<long>")
+    named = one.join(_common_words(part, common), "lang").select("lang", "classes", F.col("top.key").alias("keys"), F.col("top.n").alias("counts"), "n_words")
+    return named.unionByName(sums.agg(*columns).select(
+        F.lit(None).cast("string").alias("lang"), "classes", none.alias("keys"), none.alias("counts"), "n_words"))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -210,7 +239,7 @@ def judge(docs: DataFrame, reference: DataFrame, class_limit: float = CLASS_LIMI
                 for k in np.unique(codes[lo:hi]).tolist():
                     mine = np.flatnonzero(codes[lo:hi] == k)
                     row = {x: batch.column(x)[lo + int(mine[0])].as_py() for x in ("classes", "keys", "counts", "total")}
-                    if row["classes"] is None:
+                    if not row["total"]:
                         continue
                     size = c.word_chars[mine]
                     js = distance(c.classes[mine], np.array(row["classes"], float))
