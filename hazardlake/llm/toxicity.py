@@ -5,13 +5,14 @@ necessarily adjacent: an occurrence that spans n letters counts ``DECAY ** n``,
 inserted letters. Signs do not count as letters. So "mo-ron", "m.o.r.o.n", "m o r o n" and
 "moxron" stay close to "moron". The
 Nyström method describes a string by its kernel with a set of landmark strings, and a linear
-machine is trained on these descriptions.
+machine with squared hinge loss is trained on these descriptions.
 
 A trained machine is a weighted sum of kernels with the landmarks, hence linear in the counted
 sequences: scoring adds one table entry per occurrence and needs no landmark any more. Strings
 are words between white space, with a mark before them; a run of one-character words is one
-string. A document is judged by its worst string, by the number of strings that the machine
-calls toxic and by its length, with weights fitted to the labelled documents.
+string, and so are two words over whose border a marked run of letters goes on ("mo ron"). Longer
+words than ``LONG`` bytes are cut into overlapping stretches. A document is judged by its worst
+string alone, calibrated on the labelled documents: harmless text around it changes nothing.
 
 Labels are of documents. They reach strings in two steps: letter sequences that documents
 marked toxic share and others hardly have mark the strings of toxic documents' sentences; all
@@ -57,17 +58,21 @@ ASCII = 32**4 + 32**3  # sequences of 4, then of 3, each with its own place
 HASHED = 1 << 22  # places of sequences with a letter outside ASCII
 SIZE = ASCII + HASHED
 BUCKETS = 1 << 20
+#: Bytes of the longest string, and of the step from one stretch of a longer one to the next.
+LONG, STRIDE = 48, 24
 
 
 @dataclass(frozen=True)
 class Model:
     weight: np.ndarray  # per sequence
     bias: float
-    judge: tuple[float, ...]  # of the worst margin, the toxic strings, the strings, and 1
+    judge: tuple[float, float]  # of the worst margin, and 1
+    marks: np.ndarray  # buckets of the marked runs
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every string: words, and runs of one-character words as one."""
+    """Start, end and text of every string: words, and runs of one-character words as one.
+    Words of more than ``LONG`` bytes are stretches of that size, each half over the one before."""
     start, end, doc = words.bounds(data, offsets, words.SPACE_FREE)
     if not len(start):
         return start, end, doc
@@ -76,7 +81,28 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     joined = np.zeros(len(start), bool)
     joined[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     head = np.flatnonzero(~joined)
-    return start[head], end[np.append(head[1:], len(start)) - 1], doc[head]
+    start, end, doc = start[head], end[np.append(head[1:], len(start)) - 1], doc[head]
+    parts = np.maximum(1, -(-(end - start - LONG) // STRIDE) + 1)
+    if parts.max() > 1:
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, end, doc = np.repeat(start, parts) + nth * STRIDE, np.repeat(end, parts), np.repeat(doc, parts)
+        end = np.minimum(end, start + LONG)
+    return start, end, doc
+
+
+def broken(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Strings that go on in the next one: four letters over the border are a marked run."""
+    code, unit, total = _symbols(data, start, end)
+    letter = code[:total] != MARK
+    code, unit = code[:total][letter], unit[:total][letter]
+    if len(code) < 4:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero((unit[3:] - unit[:-3] == 1) & (doc[unit[3:]] == doc[unit[:-3]]))
+    key = code[at]
+    for j in range(1, 4):
+        key = key * np.uint64(32) + code[at + j]
+    hit = marked[(words.mix(key * np.uint64(16) + np.uint64(4)) % np.uint64(BUCKETS)).astype(np.int64)]
+    return np.unique(unit[at[hit]])
 
 
 def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -201,17 +227,53 @@ class _Kernel:
         return np.bincount(self.k, self.v * alpha[self.u], minlength=SIZE).astype(np.float32)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30) -> np.ndarray:
-    """Linear machine with hinge loss by dual coordinate descent; the last column of x is 1."""
-    w, a = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = (x * x).sum(axis=1)
-    rng = np.random.default_rng(5)
-    for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            step = min(max(a[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), cost[i])
-            if step != a[i]:
-                w += (step - a[i]) * y[i] * x[i]
-                a[i] = step
+def _spread(strings: list[bytes], docs: list[int], n: int) -> list[bytes]:
+    """Landmarks: each time the string that those taken explain least, times its documents."""
+    u, k, v = _features(strings)
+    norm = np.sqrt(np.bincount(u, v * v, minlength=len(strings)))
+    v = v / np.maximum(norm, 1e-12)[u]
+    by = np.argsort(k, kind="stable")
+    ku, kk, kv = u[by], k[by], v[by]
+    left, weight, columns, taken = (norm > 0).astype(float), np.array(docs, float), [], []
+    while len(taken) < min(n, len(strings)):
+        j = int(np.argmax(left * weight))
+        if left[j] < 1e-3:
+            break
+        mine = slice(*np.searchsorted(u, [j, j + 1]))
+        lo, hi = np.searchsorted(kk, k[mine], "left"), np.searchsorted(kk, k[mine], "right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        column = np.bincount(ku[at], np.repeat(v[mine], size) * kv[at], minlength=len(strings))
+        for c in columns:
+            column -= c * c[j]
+        column /= np.sqrt(left[j])
+        columns.append(column)
+        left = np.maximum(left - column**2, 0)
+        taken.append(j)
+    return [strings[j] for j in taken]
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Linear machine with squared hinge loss by finite Newton steps on the rows inside the
+    margin; the last column of x is 1 and its weight is free."""
+    ridge = np.ones(x.shape[1])
+    ridge[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        return ridge @ (w * w) / 2 + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        inside = y * (x @ w) < 1
+        xi, ci = x[inside], cost[inside]
+        best = np.linalg.solve(2 * (xi * ci[:, None]).T @ xi + np.diag(ridge), 2 * xi.T @ (ci * y[inside]))
+        size, before = 1.0, now
+        while size > 1e-4 and (now := loss(w + size * (best - w))) > before:
+            size /= 2
+        w = w + size * (best - w)
+        if before - now < 1e-9 * before:
+            break
     return w
 
 
@@ -221,11 +283,14 @@ def _strings(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 10_000, strings: int = 3_000, landmarks: int = 300,
-          rounds: int = 3) -> Model:
+          rounds: int = 3, marks: int = 4096, share: float = 1 / 16) -> Model:
     """Train on docs (doc_id, text) and labels (doc_id, toxic), one label per id.
 
     Bounds, all documented parameters of the fit: about ``per_label`` labels of each value by a
-    hash of the id, ``strings`` strings of each kind per round and ``landmarks`` landmarks.
+    hash of the id; of their documents the ``marks`` most surprising letter runs, ``strings``
+    strings of each kind per round (the most frequent marked ones; of the others the most
+    frequent and some by hash, out of a ``share`` of them by hash) and ``landmarks`` landmarks.
+    A string of less than 3 bytes has no sequence and is not learned from.
     Rows without a text or with a label other than 0 and 1 are skipped; without rows of both
     labels every document scores 0.
     """
@@ -233,22 +298,51 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 10_000, strings:
     total = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return _untrained()
-    share = F.when(F.col("toxic") == 1, per_label / total[1]).otherwise(per_label / total[0])
-    chosen = labels.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = F.when(F.col("toxic") == 1, per_label / total[1]).otherwise(per_label / total[0])
+    chosen = labels.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < drawn * (1 << 30))
     # At most about 2 * per_label labels, whatever the input.
-    rows = (docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).filter("text is not null")
-            .select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).persist())
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).filter("text is not null").select("text", "toxic")
+    rows = _without_copies(found).repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
-        return _fit(rows, total, strings, landmarks, rounds)
+        return _fit(rows, total, strings, landmarks, rounds, marks, share)
     finally:
         rows.unpersist()
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, toxic) with one row of each group of copies, so that the words of a text
+    that was copied often do not look like signs of its label.
+
+    A row goes if one with a smaller hash of its text shares one of four minimum hashes of its
+    three-word windows; equal texts are one row with the larger label.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sha = batch.column("sha").to_numpy()
+            for lo, hi, data, offsets in words.slices(batch, "text"):
+                start, end, doc = words.bounds(data, offsets, words.SPACE_FREE)
+                value, at = words.windows(words.hashes(data, start, end), doc, 3)
+                low = np.repeat(words.mix(sha[lo:hi].astype(np.uint64))[:, None], 4, axis=1)
+                head = np.flatnonzero(np.diff(doc[at], prepend=-1))
+                for j in range(4 if len(head) else 0):
+                    low[doc[at][head], j] = np.minimum.reduceat(words.mix(value ^ words._STEP[0][j]), head)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(sha[lo:hi], 4)), pa.array(np.tile(np.arange(4), hi - lo)), pa.array(words.signed(low.ravel()))],
+                    ["sha", "j", "low"])
+
+    one = rows.groupBy(F.xxhash64("text").alias("sha"), "text").agg(F.max("toxic").alias("toxic")).persist()
+    keys = one.select("sha", "text").mapInArrow(run, "sha long, j long, low long")
+    first = keys.groupBy("j", "low").agg(F.min("sha").alias("first"))
+    gone = keys.join(first, ["j", "low"]).filter("sha <> first").select("sha").distinct()
+    return one.join(gone, "sha", "left_anti").select("text", "toxic")
+
+
 def _untrained() -> Model:
-    return Model(np.zeros(SIZE, np.float32), 0.0, (0.0, 0.0, 0.0, -9.0))
+    return Model(np.zeros(SIZE, np.float32), 0.0, (0.0, -9.0), np.zeros(0, np.int64))
 
 
-def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int) -> Model:
+def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int, marks: int, share: float) -> Model:
     spark = rows.sparkSession
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +366,10 @@ def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int
     both = (F.col("bad") + F.col("good")) / (used[0] + used[1])
     surprise = (F.col("bad") / used[1] - F.col("good") / used[0]) / F.sqrt(
         both * (1 - both) * (1 / used[1] + 1 / used[0]) + 1e-12)
-    marks = (seen.groupBy("s").agg(count(1).alias("bad"), count(0).alias("good"))
-             .filter((F.col("bad") >= 3) & (rate > 5) & (surprise > 5)).orderBy(surprise.desc(), "s").limit(4096).collect())
+    most = (seen.groupBy("s").agg(count(1).alias("bad"), count(0).alias("good"))
+             .filter((F.col("bad") >= 3) & (rate > 5) & (surprise > 5)).orderBy(surprise.desc(), "s").limit(marks).collect())
     mark = np.zeros(BUCKETS, bool)
-    mark[[r["s"] for r in marks]] = True
+    mark[[r["s"] for r in most]] = True
 
     def candidates(weight: np.ndarray | None, bias: float):
         """Strings of the documents with their documents per label; without a machine the
@@ -298,7 +392,7 @@ def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int
                         hit = np.zeros(len(start), bool)
                         for k, u in runs(data, start, end):
                             hit[u[marked[k]]] = True
-                        keep = hit | (h % np.uint64(16) == 0)
+                        keep = hit | (h % np.uint64(1 << 20) < share * (1 << 20))
                     else:
                         f = margins(data, start, end, table) + bias
                         hit, keep = f > -0.5, (f > -0.5) & (label[lo + doc] == 0)
@@ -309,42 +403,37 @@ def _fit(rows: DataFrame, total: dict, strings: int, landmarks: int, rounds: int
                             (pa.binary(), pa.bool_(), pa.int64()))], ["s", "hit", "x"])
                         out = []
 
-        return (rows.mapInArrow(run, "s binary, hit boolean, x long").filter("octet_length(s) between 3 and 64")
+        return (rows.mapInArrow(run, "s binary, hit boolean, x long").filter("octet_length(s) >= 3")
                 .groupBy("s", "hit").agg(F.sum("x").alias("bad"), F.sum(1 - F.col("x")).alias("good")))
 
     found = candidates(None, 0.0).persist()
-    few = lambda df, *by: [bytes(r["s"]) for r in df.orderBy(*by, "s").limit(strings).collect()]
+    few = lambda df, *by: {bytes(r["s"]): r["bad"] + r["good"] for r in df.orderBy(*by, "s").limit(strings).collect()}
     plus = few(found.filter(F.col("hit") & (F.col("bad") > 4 * F.col("good") * used[1] / used[0])), F.col("bad").desc())
     often = few(found.filter("good > 0 and (not hit or bad = 0)"), F.col("good").desc())
     other = few(found.filter("good > 0 and bad = 0"), F.xxhash64("s"))
     found.unpersist()
-    minus = list(dict.fromkeys(often + other))
+    minus = other | often
     if not plus or not minus:
         return _untrained()
-    half = landmarks // 2
-    spread = lambda x: x[:: max(1, len(x) // half)][:half]
+    marks_of = _spread(list(plus), list(plus.values()), landmarks // 2)
     for step in range(rounds):
-        kernel = _Kernel([s for s in spread(plus) + spread(minus) if _features([s])[0].size])
-        text = plus + minus
+        kernel = _Kernel(marks_of + _spread(list(minus), list(minus.values()), landmarks - len(marks_of)))
+        text = [*plus, *minus]
         x = kernel.against(text) @ kernel.whiten
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([1.0] * len(plus) + [-1.0] * len(minus))
-        w = _svm(x, y, np.where(y > 0, 10.0, 10.0))
+        often_seen = np.sqrt([*plus.values(), *minus.values()])  # what more documents have costs more to miss
+        w = _svm(x, y, 10.0 * often_seen)
         weight, bias = kernel.sequence_weights(w[:-1]), float(w[-1])
         if step + 1 < rounds:
-            known = set(minus)
-            hard = few(candidates(weight, bias), (F.col("good")).desc())
-            sure = set(plus)
-            minus += [s for s in hard if s not in known and s not in sure]
-    scored = _judged(rows, weight, bias).select("toxic", *_SIGNS).toArrow()
+            hard = few(candidates(weight, bias), F.col("good").desc())
+            minus |= {s: n for s, n in hard.items() if s not in minus and s not in plus}
+    places = np.flatnonzero(mark)
+    scored = _judged(rows, weight, bias, places).select("toxic", "worst").toArrow()
     y = scored.column("toxic").to_numpy().astype(float)
-    x = np.stack([*(scored.column(c).to_numpy() for c in _SIGNS), np.ones(len(y))], axis=1)
+    x = np.stack([scored.column("worst").to_numpy(), np.ones(len(y))], axis=1)
     weigh = np.where(y == 1, total[1] / used[1], total[0] / used[0])
-    return Model(weight, bias, tuple(_logistic(x, y, weigh).tolist()))
-
-
-#: What a document is judged by: worst margin, log of 1 + toxic strings, log of 1 + strings.
-_SIGNS = ("worst", "toxic_strings", "all_strings")
+    return Model(weight, bias, tuple(_logistic(x, y, weigh).tolist()), places)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> np.ndarray:
@@ -360,29 +449,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> np.ndarray:
     return b
 
 
-def _judged(rows: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
-    """``rows`` (with text) and their ``_SIGNS``; the text itself goes."""
-    shared = rows.sparkSession.sparkContext.broadcast(_sparse(weight))
+def _judged(rows: DataFrame, weight: np.ndarray, bias: float, marks: np.ndarray) -> DataFrame:
+    """``rows`` (with text) and their worst margin; the text itself goes."""
+    shared = rows.sparkSession.sparkContext.broadcast((_sparse(weight), marks))
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _dense(*shared.value)
+        sparse, places = shared.value
+        table, marked = _dense(*sparse), np.zeros(BUCKETS, bool)
+        marked[places] = True
         for batch in batches:
-            worst, hits, n = np.full(len(batch), bias), np.zeros(len(batch)), np.zeros(len(batch))
+            worst = np.full(len(batch), bias)
             for lo, hi, data, start, end, doc in _strings(batch):
                 if not len(start):
                     continue
                 _, one, same = np.unique(words.hashes(data, start, end, words.LOWER), return_index=True, return_inverse=True)
-                f = (margins(data, start[one], end[one], table) + bias)[same]
-                at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                worst[lo + doc[at]] = np.maximum(np.maximum.reduceat(f, at), bias)
-                hits[lo:hi] = np.bincount(doc, f > 0, minlength=hi - lo)
-                n[lo:hi] = np.bincount(doc, minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(worst), pa.array(np.log1p(hits)),
-                                              pa.array(np.log1p(n))], [*keep, *_SIGNS])
+                np.maximum.at(worst, lo + doc, (margins(data, start[one], end[one], table) + bias)[same])
+                two = broken(data, start, end, doc, marked)
+                np.maximum.at(worst, lo + doc[two], margins(data, start[two], end[two + 1], table) + bias)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(worst)], [*keep, "worst"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, ", ".join([fields, *(f"{c} double" for c in _SIGNS)]))
+    return rows.mapInArrow(run, f"{fields}, worst double")
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
@@ -391,8 +479,8 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     ``score`` is the calibrated probability of label 1. A null or empty text has no string
     and scores as one without any known sequence.
     """
-    odds = sum((F.lit(w) * F.col(c) for w, c in zip(model.judge, _SIGNS)), F.lit(model.judge[-1]))
-    return (_judged(rows, model.weight, model.bias).withColumn("score", 1 / (1 + F.exp(-odds))).drop(*_SIGNS)
+    odds = model.judge[0] * F.col("worst") + model.judge[1]
+    return (_judged(rows, model.weight, model.bias, model.marks).withColumn("score", 1 / (1 + F.exp(-odds))).drop("worst")
             .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
 
 
