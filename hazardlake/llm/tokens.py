@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,12 @@ class Encoder:
         return ids, np.add.reduceat(size, np.cumsum(pieces) - pieces) if len(texts) else pieces
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per worker process: a task goes on with the words that earlier tasks learned."""
+    return Encoder(path, end_id)
+
+
 def pack(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     """Payload of a segment."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
@@ -275,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, segment, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer, end_id)
+        part, segment, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id)
         doc_ids: list = []
         held, sizes, total = [], [], 0
 

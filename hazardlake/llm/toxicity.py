@@ -91,18 +91,22 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def broken(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Strings that go on in the next one: four letters over the border are a marked run."""
+    """Strings that go on in the next one: a marked run of five codes, five letters or the mark
+    and four, reaches over the border."""
     code, unit, total = _symbols(data, start, end)
     letter = code[:total] != MARK
-    code, unit = code[:total][letter], unit[:total][letter]
-    if len(code) < 4:
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero((unit[3:] - unit[:-3] == 1) & (doc[unit[3:]] == doc[unit[:-3]]))
-    key = code[at]
-    for j in range(1, 4):
-        key = key * np.uint64(32) + code[at + j]
-    hit = marked[(words.mix(key * np.uint64(16) + np.uint64(4)) % np.uint64(BUCKETS)).astype(np.int64)]
-    return np.unique(unit[at[hit]])
+    code, unit = np.append(code[:total][letter], np.zeros(5, np.uint64)), np.append(unit[:total][letter], np.full(5, -9))
+    first = np.diff(unit, prepend=-1) != 0
+    over = []
+    for head, n in ((0, 5), (MARK, 4)):
+        at = np.flatnonzero(unit[n - 1: len(unit) - 5 + n - 1] - unit[: len(unit) - 5] == 1)
+        at = at[(doc[unit[at]] == doc[unit[at + n - 1]]) & (first[at] | (head == 0))]
+        key = np.full(len(at), head, np.uint64)
+        for j in range(n):
+            key = key * np.uint64(32) + code[at + j]
+        hit = marked[(words.mix(key * np.uint64(16) + np.uint64(5)) % np.uint64(BUCKETS)).astype(np.int64)]
+        over.append(unit[at[hit]])
+    return np.unique(np.concatenate(over))
 
 
 def _symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
