@@ -473,8 +473,8 @@ def _judged(rows: DataFrame, weight: np.ndarray, bias: float, marks: np.ndarray)
                 np.maximum.at(worst, lo + doc[two], margins(data, start[two], end[two + 1], table) + bias)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(worst)], [*keep, "worst"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, f"{fields}, worst double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*fields, "worst double"]))
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
