@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlake.functions.let import let_sql
+from hazardlake.operators.scenes import draw
 from hazardlake.session import cut_lineage
 
 TILE = ["event", "tile"]
@@ -419,9 +420,8 @@ def pad_to(tiles: DataFrame, band: str, size: int) -> DataFrame:
 def augment(tiles: DataFrame, bands: list[str], seed: int, keys: list[str] | None = None) -> DataFrame:
     """Seeded flips and quarter turns of square tiles, the same for all bands of a tile."""
     keys = TILE if keys is None else keys
-    h = F.xxhash64(*keys, F.lit(seed))
-    out = tiles.withColumns({"flip_h": F.pmod(h, F.lit(2)), "flip_v": F.pmod(F.shiftright(h, 8), F.lit(2)),
-                             "turns": F.pmod(F.shiftright(h, 16), F.lit(4))})
+    h = draw(keys, seed)
+    out = tiles.withColumns({"flip_h": h % 2, "flip_v": F.shiftright(h, 8) % 2, "turns": F.shiftright(h, 16) % 4})
     r, c = "cast(p div width as int)", "(p % width)"
     # source pixel of a turn, then of the flips
     tr = f"case turns when 0 then {r} when 1 then {c} when 2 then height - 1 - {r} else height - 1 - {c} end"

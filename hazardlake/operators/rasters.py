@@ -121,10 +121,21 @@ def category_area(px: DataFrame, before: Column, during: Column, res_m: float, u
     return got.withColumn("area", P.area(F.col("n"), res_m, unit))
 
 
-def mask_algebra(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Set algebra on pixel keys: new = b - a, receded = a - b, permanent, total."""
-    return {"new": lambda: b.exceptAll(a), "receded": lambda: a.exceptAll(b),
-            "permanent": lambda: a.intersect(b), "total": lambda: a.union(b).distinct()}[op]()
+def mask_algebra(a: DataFrame, b: DataFrame, op: str, mask: str = "mask") -> DataFrame:
+    """Set algebra of two masks per tile: new = b - a, receded = a - b, permanent, total.
+
+    The masks of a tile are zipped where its two rows meet, so no pixel is shuffled. A tile
+    that only one side has counts as empty on the other.
+    """
+    rules = {"new": lambda x, y: y & ~x, "receded": lambda x, y: x & ~y, "permanent": lambda x, y: x & y, "total": lambda x, y: x | y}
+    on = lambda v: F.coalesce(v == 1, F.lit(False))
+    left = a.select(*TILE, "width", F.col(mask).alias("__a"))
+    right = b.select(*TILE, F.col("width").alias("__w"), F.col(mask).alias("__b"))
+    pair = left.join(right, TILE, "full_outer").withColumn("width", F.coalesce("width", "__w"))
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
+    hits = F.zip_with(empty("__a"), empty("__b"), lambda x, y: rules[op](on(x), on(y)).cast("int"))
+    px = pair.select(*TILE, "width", F.posexplode(hits).alias("pos", "m")).filter("m = 1")
+    return px.select(*TILE, "pos")
 
 
 def positive_pct(px: DataFrame, mask: Column, keys: list[str] | None = None) -> DataFrame:

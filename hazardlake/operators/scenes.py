@@ -219,15 +219,22 @@ def select_fires(listing: DataFrame, n: int, ids: list | None = None, year: int
     return fires.orderBy(F.col("n_days").desc(), "year", "fire").limit(n)
 
 
+def draw(keys: list[str], seed: int) -> Column:
+    """A 60-bit number that depends on the keys and the seed only, the same on any engine:
+    the first 15 digits of the md5 of ``seed:key:key``."""
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """Seeded sample without replacement, given back in key order."""
-    lucky = df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    lucky = df.orderBy(draw(key, seed), *key).limit(n)
     return lucky.orderBy(*key)
 
 
 def split_fires(df: DataFrame, seed: int, share: float = 0.8, key: str = "fire") -> DataFrame:
     """Whole fires to 'train' or 'val' by seeded hash order; at least one trains."""
-    fires = df.select(key).distinct().withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    fires = df.select(key).distinct().withColumn("__h", draw([key], seed))
     ranked = skew.global_rank(fires, "__h", "rank", (key,))
     total = fires.agg(F.count(F.lit(1))).scalar()
     ranked = ranked.withColumn("total", total)
@@ -243,7 +250,7 @@ def split_windows(windows: DataFrame, assignment: DataFrame, key: str = "fire")
 
 def pair_with_other(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Give every sample another one as its reference: the next in seeded hash order."""
-    ranked = skew.global_rank(df.select(key).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", "rank", (key,))
+    ranked = skew.global_rank(df.select(key).withColumn("__h", draw([key], seed)), "__h", "rank", (key,))
     total = df.agg(F.count(F.lit(1))).scalar()
     nxt = ranked.withColumn("total", total).withColumn("rank", F.pmod(F.col("rank"), F.col("total")) + 1)
     return (nxt.select(key, "rank")

@@ -162,9 +162,9 @@ from tiles, (select unnest(range(64)) as i)"""
 
 # before and during side by side, one row per pixel
 CTES["pair"] = """
-select b.event, b.tile, b.pos, b."row", b.col, b.v as b, d.v as d
-from px b join px d on b.event = d.event and b.tile = d.tile and b.pos = d.pos
-where b.phase = 'before' and d.phase = 'during'"""
+select event, tile, i as pos, (i // 8)::int as "row", (i % 8)::int as col, x[i + 1]::double as b, y[i + 1]::double as d
+from (select b.event, b.tile, b.v as x, d.v as y, unnest(range(64)) as i from tiles b join tiles d using (event, tile)
+  where b.phase = 'before' and d.phase = 'during')"""
 
 
 def evaluation(spark: SparkSession, sf: str) -> DataFrame:

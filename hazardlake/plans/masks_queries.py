@@ -237,10 +237,17 @@ def _(spark, sf):
     return R.explode_pixels(t, ["v"]).select(*K3, "pos", F.col("v").cast("double").alias("v"))
 
 
-@query("augment", "R-15")
+@query("augment", "R-15",
+       """, h as (select event, tile, ('0x' || md5('7:' || event || ':' || tile)[:15])::bigint as h from tiles group by all),
+       t as (select px.*, h % 2 as flip_h, (h >> 8) % 2 as flip_v, (h >> 16) % 4 as turns from px join h using (event, tile)),
+       s as (select event, tile, phase, i as pos, turns, flip_h, flip_v, i // 8 as r, i % 8 as c from (select distinct event, tile, phase, turns, flip_h, flip_v from t), (select unnest(range(64)) as i)),
+       w as (select *, case turns when 0 then r when 1 then c when 2 then 7 - r else 7 - c end as tr,
+         case turns when 0 then c when 1 then 7 - r when 2 then 7 - c else r end as tc from s),
+       x as (select event, tile, phase, pos, r, c, case when flip_v = 1 then 7 - tr else tr end * 8 + case when flip_h = 1 then 7 - tc else tc end as src from w)
+       select x.event, x.tile, x.phase, x.pos::int as pos, x.r::int as "row", x.c::int as col, px.v from x join px on px.event = x.event and px.tile = x.tile and px.phase = x.phase and px.pos = x.src""", NEED)
 def _(spark, sf):
     t = M.augment(A.tiles(spark, sf), ["v"], 7)
-    return R.explode_pixels(t, ["v"])
+    return R.explode_pixels(t, ["v"]).withColumn("v", F.col("v").cast("double"))
 
 
 def _layer_tiles(spark, sf):

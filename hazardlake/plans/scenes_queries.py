@@ -196,13 +196,21 @@ def _(spark, sf):
     return S.select_fires(_listing(spark, sf), 5, ids=[3, 7, 11])
 
 
-@query("sample_days", "T-6")
+DRAW = "md5(concat_ws(':', '{seed}', {keys}))[:15]"
+
+
+@query("sample_days", "T-6",
+       DD + f""", p as (select *, lead(day) over (partition by fire order by day) as next_day from dd),
+       s as (select * from p where next_day is not null order by {DRAW.format(seed=42, keys='fire, day')}, fire, day limit 200) select * from s""", ("days",))
 def _(spark, sf):
     d = S.day_pairs(A.days(spark, sf))
     return S.sample_n(d, 200, 42, ["fire", "day"])
 
 
-@query("split_fires", "K-5")
+@query("split_fires", "K-5",
+       f""", f as (select distinct fire from days),
+       n as (select fire, row_number() over (order by {DRAW.format(seed=42, keys='fire')}, fire) as place, count(*) over () as total from f)
+       select fire, case when total < 2 then 'both' when place <= greatest(1, floor(total * 0.8::double)) then 'train' else 'val' end as split from n""", ("days",))
 def _(spark, sf):
     return S.split_fires(A.days(spark, sf), 42)
 
@@ -216,6 +224,8 @@ def _(spark, sf):
     return S.split_windows(S.day_windows(days), assignment).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("reference_pairing", "K-8")
+@query("reference_pairing", "K-8",
+       f""", n as (select scene, row_number() over (order by {DRAW.format(seed=42, keys='scene')}, scene) as place, count(*) over () as total from scenes)
+       select a.scene, b.scene as ref_scene from n a join n b on b.place = a.place % a.total + 1""", ("scenes",))
 def _(spark, sf):
     return S.pair_with_other(A.scenes(spark, sf).select("scene"), 42, "scene")

@@ -333,6 +333,25 @@ def _(spark, sf):
     return P.flatten_search(o)
 
 
+@query("flatten_search_pages", "S-15 J-6",
+       """, p as (select *, o_custkey % 97 as page from orders),
+       u as (select page, o_custkey % 13 as who, arg_max('u' || o_orderkey, o_orderkey) as name from p group by all)
+       select o_orderkey::varchar as id, strftime(o_orderdate, '%Y') as datetime, coalesce(name, 'unknown') as "user", o_orderpriority as content,
+       case when o_orderkey % 2 = 0 then 'place ' || p.page end as place, 'unknown' as lang
+       from p left join u on u.page = p.page and u.who = o_custkey % 17""")
+def _(spark, sf):
+    """Many hits a response, and side lists that name a user several times: the last name wins."""
+    o = A.table(spark, sf, "orders").selectExpr(
+        "o_custkey % 97 as page", "o_orderkey", "o_custkey % 13 as who",
+        """named_struct('id', cast(o_orderkey as string), 'author_id', cast(o_custkey % 17 as string), 'text', o_orderpriority,
+           'created_at', date_format(o_orderdate, 'yyyy'), 'lang', cast(null as string),
+           'geo', named_struct('place_id', if(o_orderkey % 2 = 0, 'here', 'nowhere'))) as hit""")
+    user = F.struct("o_orderkey", F.col("who").cast("string").alias("id"), F.concat(F.lit("u"), F.col("o_orderkey")).alias("username"))
+    pages = o.groupBy("page").agg(F.collect_list("hit").alias("data"), F.array_sort(F.collect_list(user)).alias("users"))
+    return P.flatten_search(pages.select("data", F.struct("users", F.expr(
+        "array(named_struct('id', 'here', 'name', concat('place ', page)))").alias("places")).alias("includes")))
+
+
 @query("flatten_threads", "S-16",
        """, a as (select conv_id, turn, role, text from conversations),
        m as (select a.conv_id as video, a.turn as id, a.role as author, 'main_comment' as type, null as parent_id, null as parent_text, md5(a.text) as digest from a where turn % 2 = 0),

@@ -68,8 +68,8 @@ MASKS = {"new": "d > 0 and not b > 0", "receded": "b > 0 and not d > 0", "perman
 for _op, _cond in MASKS.items():
     @query(f"mask_{_op}", "U-3", f"select event, tile, pos::int as pos from pair where {_cond}", ("tiles", "px", "pair"))
     def _(spark, sf, op=_op):
-        px = _px(spark, sf).filter("v > 0")
-        side = lambda p: px.filter(F.col("phase") == p).select("event", "tile", "pos")
+        t = A.tiles(spark, sf).withColumn("mask", F.expr("transform(v, x -> cast(x > 0 as int))"))
+        side = lambda p: t.filter(F.col("phase") == p)
         return R.mask_algebra(side("before"), side("during"), op)
 
 

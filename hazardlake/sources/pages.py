@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.functions.text import non_empty, text_gate
+from hazardlake.session import cut_lineage
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
@@ -95,17 +96,23 @@ def flatten_search(df: DataFrame) -> DataFrame:
     """One row per hit with user and place names from the response's own side lists.
 
     The side lists travel inside the response, so no join is needed; the last entry of a
-    repeated id wins.
+    repeated id wins. Hits and side entries become rows of one shape with the kind of their
+    key, and each hit takes the entry of its key: the work grows with hits plus entries of a
+    response, not with their product, and the rows of a response are dealt by key. Responses
+    are written once with a number, so that a lost task gives the same numbers again.
     """
-    rows = df.select("includes", F.explode("data").alias("t"))
-    user = F.filter("includes.users", lambda u: u["id"] == F.col("t.author_id"))
-    place = F.filter("includes.places", lambda p: p["id"] == F.col("t.geo.place_id"))
-    return rows.select(
-        F.col("t.id").alias("id"), F.col("t.created_at").alias("datetime"),
-        F.coalesce(F.try_element_at(user, F.lit(-1))["username"], F.lit("unknown")).alias("user"),
-        F.col("t.text").alias("content"),
-        F.try_element_at(place, F.lit(-1))["name"].alias("place"),
-        F.coalesce("t.lang", F.lit("unknown")).alias("lang"))
+    whole = cut_lineage(df.select("data", "includes").withColumn("__r", F.monotonically_increasing_id()), "responses")
+    hits = whole.select("__r", F.posexplode("data").alias("__i", "t")).select(
+        "__r", F.col("t.id").alias("id"), F.col("t.created_at").alias("datetime"), F.col("t.author_id").alias("__user"),
+        F.col("t.text").alias("content"), F.col("t.geo.place_id").alias("__place"), F.coalesce("t.lang", F.lit("unknown")).alias("lang"))
+
+    def side(name: str, field: str, key: str, out: str) -> DataFrame:
+        entries = whole.select("__r", F.posexplode(f"includes.{name}").alias("__i", "e")).filter("e.id is not null")
+        return entries.groupBy("__r", F.col("e.id").alias(key)).agg(F.max_by(f"e.{field}", "__i").alias(out))
+
+    out = (hits.join(side("users", "username", "__user", "user"), ["__r", "__user"], "left")
+           .join(side("places", "name", "__place", "place"), ["__r", "__place"], "left"))
+    return out.select("id", "datetime", F.coalesce("user", F.lit("unknown")).alias("user"), "content", "place", "lang")
 
 
 def flatten_threads(df: DataFrame) -> DataFrame:
