@@ -7,7 +7,6 @@ looks along one axis only; each pass binds the result of the one before, so it i
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,7 +159,7 @@ def water_radar(tiles: DataFrame, vv: str, vh: str, keys: list[str] | None = Non
     return opening(closing(out, "mask", 7, 3), "mask", 3).drop("valid", "t_vv", "t_vh")
 
 
-# --- components and outlines ------------------------------------------------------------------
+# --- components ------------------------------------------------------------------
 
 def _runs(tiles: DataFrame, mask: str, keys: list[str]) -> DataFrame:
     """Horizontal runs of positives: row, first and last column; the node is the first pixel."""
@@ -220,109 +219,6 @@ def components(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> Da
         (F.sum(n * (F.col("c0") + F.col("c1")) / 2) / F.sum(n)).alias("center_col"))
 
 
-def boundary_edges(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
-    """Unit edges between positives and the rest, interior on the right-hand side of the way.
-
-    Corner points are numbered on the (width + 1) grid as x, y.
-    """
-    keys = TILE if keys is None else keys
-    px = tiles.select(*keys, "width", "height", mask, F.posexplode(mask).alias("pos", "m")).filter("m = 1")
-    px = px.withColumns({"r": (F.col("pos") / F.col("width")).cast("int"), "c": F.col("pos") % F.col("width")})
-
-    def empty(cond: str, at: str) -> str:
-        return f"({cond} or get({mask}, {at}) = 0)"
-
-    def edge(x0: str, y0: str, x1: str, y1: str) -> str:
-        return f"named_struct('x0', {x0}, 'y0', {y0}, 'x1', {x1}, 'y1', {y1})"
-
-    sides = ", ".join([
-        f"if({empty('r = 0', 'pos - width')}, {edge('c', 'r', 'c + 1', 'r')}, null)",
-        f"if({empty('c = width - 1', 'pos + 1')}, {edge('c + 1', 'r', 'c + 1', 'r + 1')}, null)",
-        f"if({empty('r = height - 1', 'pos + width')}, {edge('c + 1', 'r + 1', 'c', 'r + 1')}, null)",
-        f"if({empty('c = 0', 'pos - 1')}, {edge('c', 'r + 1', 'c', 'r')}, null)"])
-    return (px.select(*keys, F.expr(f"explode(filter(array({sides}), e -> e is not null))").alias("e"))
-            .select(*keys, "e.*"))
-
-
-def _stitch(edges):
-    """Edges of one tile to closed rings; at a shared corner the way turns right first."""
-    nxt: dict = {}
-    for x0, y0, x1, y1 in sorted(edges):
-        nxt.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    while nxt:
-        start = min(nxt)
-        ring, at, came = [start], start, None
-        while True:
-            ways = nxt[at]
-            if came is None or len(ways) == 1:
-                go = ways[0]
-            else:
-                right = (-came[1], came[0])
-                go = next((w for w in ways if (w[0] - at[0], w[1] - at[1]) == right), ways[0])
-            ways.remove(go)
-            if not ways:
-                del nxt[at]
-            step = (go[0] - at[0], go[1] - at[1])
-            if step == came:
-                ring[-1] = go
-            else:
-                ring.append(go)
-            at, came = go, step
-            if at == start:
-                break
-        first = (ring[1][0] - ring[0][0], ring[1][1] - ring[0][1])
-        if first[0] * came[1] == first[1] * came[0] and len(ring) > 4:
-            ring = ring[1:-1] + [ring[1]]
-        rings.append(ring)
-    return rings
-
-
-def outline(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
-    """Polygon rings of a mask per tile, corners only; holes run the other way round.
-
-    Edges are found by expressions; only the walk along the edges of a single tile, whose
-    number its pixel count bounds, is Python.
-    """
-    keys = TILE if keys is None else keys
-    edges = boundary_edges(tiles, mask, keys)
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = _stitch(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        rows = []
-        for i, ring in enumerate(rings):
-            twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
-            rows.append((*key, i, len(ring) - 1, twice / 2.0, " ".join(f"{x},{y}" for x, y in ring)))
-        return pd.DataFrame(rows, columns=[*keys, "ring", "corners", "area", "path"])
-
-    types = dict(edges.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ring int, corners int, area double, path string"
-    return edges.groupBy(*keys).applyInPandas(walk, schema)
-
-
-def to_feature_collection(rings: DataFrame, properties: list[str], keys: list[str] | None = None) -> DataFrame:
-    """One GeoJSON feature per ring as text lines; a tile's lines make its collection.
-
-    Line-delimited features stand in for one nested document per event, which has no
-    bound. Coordinates are pixel corners; join an affine transform before for map units.
-    """
-    keys = TILE if keys is None else keys
-    coords = F.transform(F.split("path", " "), lambda p: F.transform(F.split(p, ","), lambda v: v.cast("double")))
-    feature = F.to_json(F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates")).alias("geometry"),
-        F.struct(*[F.col(p) for p in properties]).alias("properties")))
-    return rings.select(*keys, "ring", feature.alias("feature"))
-
-
-def tile_collection(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The features of one tile as a FeatureCollection document."""
-    keys = TILE if keys is None else keys
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ring", "feature"))), lambda x: x["feature"]), ",")
-    return features.groupBy(*keys).agg(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("collection"))
-
-
 # --- chips -------------------------------------------------------------------------------------
 
 def chip_grid(tiles: DataFrame, size: int, stride: int, cover: str = "all", keys: list[str] | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import lexicons as L
 from hazardlake.operators import morphology as M
+from hazardlake.operators import outlines as O
 from hazardlake.operators import rasters as R
 from hazardlake.plans import fixtures as A
 from hazardlake.plans.common import r
+from hazardlake.plans.tiles_queries import PROJECTED
 from hazardlake.registry import query
 
 K3 = ["event", "tile", "phase"]
@@ -150,28 +152,92 @@ def _(spark, sf):
        case when dr = -1 then col + 1 when dc = 1 then col + 1 when dr = 1 then col else col end as x1,
        case when dr = -1 then "row" when dc = 1 then "row" + 1 when dr = 1 then "row" + 1 else "row" end as y1 from s""", NEED)
 def _(spark, sf):
-    return M.boundary_edges(_masks(spark, sf), "mask", K3)
+    return O.boundary_edges(_masks(spark, sf), "mask", K3)
 
 
 @query("outline_area", "R-10", "select event, tile, phase, count(*)::double as area from px where v > 0 group by all", NEED)
 def _(spark, sf):
     """Ring areas of a tile, holes negative, add up to its positive pixels."""
-    return M.outline(_masks(spark, sf), "mask", K3).groupBy(*K3).agg(F.sum("area").alias("area"))
+    return O.outline(_masks(spark, sf), "mask", K3).groupBy(*K3).agg(F.sum("area").alias("area"))
 
 
-@query("outline", "R-10")
-def _(spark, sf):
-    return M.outline(_masks(spark, sf), "mask", K3)
+#: Patch of every positive pixel, and the corners that its outline turns at.
+PATCHES = """, m as (select event, tile, phase, pos::int as pos, "row", col from px where v > 0),
+  e as (select a.event, a.tile, a.phase, a.pos as u, b.pos as v from m a join m b on a.event = b.event and a.tile = b.tile and a.phase = b.phase
+    and abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+  walk(event, tile, phase, pos, lab) as (select event, tile, phase, pos, pos from m union
+    select w.event, w.tile, w.phase, e.v, w.lab from walk w join e on e.event = w.event and e.tile = w.tile and e.phase = w.phase and e.u = w.pos),
+  lab as (select event, tile, phase, pos, min(lab) as component from walk group by all),
+  q as (select m.*, dr, dc, exists (select 1 from m a where a.event = m.event and a.tile = m.tile and a.phase = m.phase and a."row" = m."row" + dr and a.col = m.col) as side1,
+      exists (select 1 from m a where a.event = m.event and a.tile = m.tile and a.phase = m.phase and a."row" = m."row" and a.col = m.col + dc) as side2,
+      exists (select 1 from m a where a.event = m.event and a.tile = m.tile and a.phase = m.phase and a."row" = m."row" + dr and a.col = m.col + dc) as across
+    from m, (values (-1, -1), (-1, 1), (1, -1), (1, 1)) d(dr, dc)),
+  turns as (select event, tile, phase, pos, count(*) filter (not side1 and not side2 or side1 and side2 and not across) as corners from q group by all)"""
 
 
-@query("feature_lines", "S-13")
+@query("outline", "R-10",
+       PATCHES + " select event, tile, phase, component, count(*)::double as area, sum(corners)::bigint as corners from lab join turns using (event, tile, phase, pos) group by all", NEED)
+def _(spark, sf):
+    """Polygons with their holes: each is one patch, which its first corner names."""
+    rings = O.outline(_masks(spark, sf), "mask", K3)
+    first = (F.shiftright("outer", 33) * 8 + F.shiftright("outer", 2).bitwiseAND(F.lit(7))).cast("int")
+    return rings.groupBy(*K3, first.alias("component")).agg(F.sum("area").alias("area"), F.sum("corners").alias("corners"))
+
+
+@query("outline_rings", "R-10",
+       PATCHES + """, f as (select t.event, t.tile, t.phase, y, x, y * 10 + x as pos from (select distinct event, tile, phase from px) t, (select unnest(range(-1, 9)) as y), (select unnest(range(-1, 9)) as x)
+         where not exists (select 1 from m where m.event = t.event and m.tile = t.tile and m.phase = t.phase and m."row" = y and m.col = x)),
+       fe as (select a.event, a.tile, a.phase, a.pos as u, b.pos as v from f a join f b on a.event = b.event and a.tile = b.tile and a.phase = b.phase
+         and greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1),
+       fw(event, tile, phase, pos, lab) as (select event, tile, phase, pos, pos from f union
+         select w.event, w.tile, w.phase, fe.v, w.lab from fw w join fe on fe.event = w.event and fe.tile = w.tile and fe.phase = w.phase and fe.u = w.pos),
+       fl as (select event, tile, phase, pos, min(lab) as component from fw group by all)
+       select event, tile, phase, n_outer, n_holes from (select event, tile, phase, count(distinct component) as n_outer from lab group by all)
+       join (select event, tile, phase, count(distinct component) - 1 as n_holes from fl group by all) using (event, tile, phase)""", NEED)
 def _(spark, sf):
-    return M.to_feature_collection(M.outline(_masks(spark, sf), "mask", K3), ["area"], K3)
+    """Outer rings are patches of pixels that share sides, holes are gaps that share corners."""
+    return O.outline(_masks(spark, sf), "mask", K3).groupBy(*K3).agg(
+        F.count_if(F.col("ring") == F.col("outer")).alias("n_outer"), F.count_if(F.col("ring") != F.col("outer")).alias("n_holes"))
+
+
+def _opened(spark, sf):
+    return M.opening(A.tiles(spark, sf).withColumn("mask", F.expr("transform(v, x -> cast(x > -0.1 as int))")), "mask", 3)
 
 
-@query("tile_collections", "S-13")
+OPENED = ', m0 as (select event, tile, phase, pos, "row", col, (v > -0.1)::int as m from px)' + box("m0", "s0", 1, "erode") + box("s0", "s1", 1, "dilate")
+
+
+@query("feature_lines", "S-13",
+       OPENED + """, n as (select event, tile, phase, sum(m) as pixels from s1 group by all)
+       select event, tile, phase, pixels::bigint as pixels, case when pixels > 0 then 1 else 0 end as n_features from n""", NEED)
+def _(spark, sf):
+    """Documents of opened masks, put together from their pieces and parsed again: features,
+    and the pixels inside the outer rings less those inside the holes."""
+    t = _opened(spark, sf)
+    pieces = O.feature_pieces(O.outline(t, "mask", K3), t.select(*K3), K3)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "ring", "piece"))), lambda x: x["piece"]), "")
+    shape = "struct<type:string,features:array<struct<geometry:struct<coordinates:array<array<array<array<double>>>>>>>>"
+    doc = pieces.groupBy(*K3).agg(F.from_json(text, shape).alias("d"))
+    area = """aggregate(flatten(flatten(transform(d.features, f -> f.geometry.coordinates))), 0.0D, (s, ring) ->
+              s + aggregate(sequence(0, size(ring) - 2), 0.0D, (a, i) -> a + ring[i][0] * ring[i + 1][1] - ring[i + 1][0] * ring[i][1]) / 2)"""
+    return doc.select(*K3, F.expr(f"cast({area} as bigint)").alias("pixels"), F.size("d.features").alias("n_features"))
+
+
+def _placed(spark, sf):
+    """Tiles on the map: 10 m pixels in zones of the northern hemisphere, by number."""
+    return A.tiles(spark, sf).select(*K3, (F.lit(400000.0) + F.col("tile") % 100 * 80).alias("left"), (F.lit(3000000.0) + F.col("tile") % 7 * 80).alias("top"),
+                                     F.lit(10.0).alias("res"), (F.lit(40) + F.col("tile") % 5).alias("zone"), F.lit(False).alias("south"))
+
+
+@query("tile_collections", "S-13",
+       OPENED + f""", pts as (select event, tile, phase, 400000.0::double + tile % 100 * 80 + (col + dx) * 10 as x, 3000000.0::double + tile % 7 * 80 - ("row" + dy) * 10 as y,
+         40 + tile % 5 as zone, false as south from s1, (select unnest([0, 1]) as dx), (select unnest([0, 1]) as dy) where m = 1), {PROJECTED}
+       select event, tile, phase, round(min(lng), 7) as west, round(min(lat), 7) as south, round(max(lng), 7) as east, round(max(lat), 7) as north from u5 group by all""", NEED)
 def _(spark, sf):
-    return M.tile_collection(M.to_feature_collection(M.outline(_masks(spark, sf), "mask", K3), ["area"], K3), K3)
+    """Bounds of the outlines of opened masks in longitude and latitude."""
+    rings = O.outline(_opened(spark, sf), "mask", K3, _placed(spark, sf))
+    p = rings.select(*K3, F.explode("points").alias("p"))
+    return p.groupBy(*K3).agg(r(F.min("p.x"), 7).alias("west"), r(F.min("p.y"), 7).alias("south"), r(F.max("p.x"), 7).alias("east"), r(F.max("p.y"), 7).alias("north"))
 
 
 GRID = """, g as (select distinct event, tile, phase, y * 3 as y0, x * 3 as x0 from tiles, (select unnest(range({n})) as y), (select unnest(range({n})) as x))"""

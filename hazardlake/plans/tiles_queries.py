@@ -305,6 +305,10 @@ BOUNDS = f""", t0 as (select distinct event, tile, 300000.0::double + (tile % 10
    (min(lng) + max(lng)) / 2 as center_lng from u5 group by all)"""
 
 
+#: Steps from points (pts: x, y, zone, south) to u5 with lng and lat.
+PROJECTED = BOUNDS[BOUNDS.index(" u1 as"):BOUNDS.index(",\n bnd as")].replace("select event, tile, degrees", "select *, degrees")
+
+
 @query("tile_bounds", "X-32", BOUNDS + " select event, tile, " + ", ".join(f"round({c}, 7) as {c}" for c in ("west", "south", "east", "north", "center_lat", "center_lng")) + " from bnd", ("tiles",))
 def _(spark, sf):
     return _bounds(spark, sf).withColumns({c: r(c, 7) for c in ("west", "south", "east", "north", "center_lat", "center_lng")})

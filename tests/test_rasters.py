@@ -125,32 +125,6 @@ def test_components(spark, m):
     assert got == flood_fill(m)
 
 
-def test_outline_of_a_ring(spark):
-    m = np.ones((4, 4), dtype=int)
-    m[1:3, 1:3] = 0
-    rows = M.outline(tile(spark, m), "mask").collect()
-    assert sorted(r["area"] for r in rows) == [-4.0, 16.0]
-    assert {r["corners"] for r in rows} == {4}
-
-
-def test_outline_splits_at_a_shared_corner(spark):
-    rows = M.outline(tile(spark, np.eye(3, dtype=int)), "mask").collect()
-    assert [r["area"] for r in rows] == [1.0, 1.0, 1.0]
-
-
-def test_outline_areas_add_up(spark):
-    assert M.outline(tile(spark, MASK), "mask").agg(F.sum("area")).first()[0] == MASK.sum()
-
-
-def test_collection_is_json(spark):
-    import json
-
-    rings = M.outline(tile(spark, MASK), "mask")
-    doc = json.loads(M.tile_collection(M.to_feature_collection(rings, ["area", "tile"])).first()["collection"])
-    assert doc["type"] == "FeatureCollection" and len(doc["features"]) == rings.count()
-    assert all(f["geometry"]["coordinates"][0][0] == f["geometry"]["coordinates"][0][-1] for f in doc["features"])
-
-
 @pytest.mark.parametrize("size,stride,n", [(600, 448, 1), (1000, 448, 4)])
 def test_chip_covers(spark, size, stride, n):
     t = spark.createDataFrame([("E", 1, size, size)], "event string, tile int, height int, width int")
