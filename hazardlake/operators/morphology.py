@@ -18,16 +18,36 @@ TILE = ["event", "tile"]
 ALL = "sequence(0, height * width - 1)"
 
 
-def _axis_pass(mask: str, radius: int, axis: str, test: str) -> str:
-    """One pass of a box filter: ``exists`` dilates, ``forall`` erodes; outside counts 0."""
-    if axis == "row":
-        inside = "(p % width) + d >= 0 and (p % width) + d < width"
-        at = "p + d"
+def _reach(radius: int) -> list[tuple[int, int]]:
+    """(radius so far, step) of the passes that widen a window to ``radius``: it at most doubles."""
+    have, passes = 1, []
+    while have < radius:
+        step = min(have, radius - have)
+        passes.append((have, step))
+        have += step
+    return passes
+
+
+def _axis_pass(m: str, axis: str, step: int, test: str, first: bool) -> str:
+    """One pass along an axis: the extreme of the windows ``step`` before and behind a pixel.
+
+    A window that would lie outside is the one at the edge, which is inside the wider window.
+    The first pass looks at the pixel itself, too, and makes the mask 0 and 1.
+    """
+    at, n, unit = ("p % width", "width", "") if axis == "row" else ("cast(p div width as int)", "height", " * width")
+    before, behind = f"p - least({step}, {at}){unit}", f"p + least({step}, {n} - 1 - {at}){unit}"
+    if first:
+        value = [f"if(get({m}, {i}) = 1, 1, 0)" for i in (before, "p", behind)]
     else:
-        inside = "p + d * width >= 0 and p + d * width < height * width"
-        at = "p + d * width"
-    return (f"transform({ALL}, p -> cast({test}(sequence({-radius}, {radius}), "
-            f"d -> ({inside}) and get({mask}, {at}) = 1) as int))")
+        value = [f"get({m}, {i})" for i in (before, behind)]
+    return f"transform({ALL}, p -> {test}({', '.join(value)}))"
+
+
+def _edge(m: str, radius: int) -> str:
+    """Nothing is left where the window of an erosion reaches outside."""
+    inside = (f"p % width >= {radius} and p % width < width - {radius} and "
+              f"p >= {radius} * width and p < (height - {radius}) * width")
+    return f"transform({m}, (x, p) -> if({inside}, x, 0))"
 
 
 def _chain(value: str, steps: list) -> str:
@@ -39,19 +59,26 @@ def _chain(value: str, steps: list) -> str:
 
 
 def _box(tiles: DataFrame, mask: str, radius: int, test: str) -> DataFrame:
+    """Square window: ``greatest`` dilates, ``least`` erodes. The passes grow with the logarithm
+    of the radius, the work of a pass is two pixels a pixel."""
     if radius == 0:
         return tiles
-    steps = [lambda m, a=axis: _axis_pass(m, radius, a, test) for axis in ("row", "col")]
+    steps = []
+    for axis in ("row", "col"):
+        steps.append(lambda m, a=axis: _axis_pass(m, a, 1, test, True))
+        steps += [lambda m, a=axis, s=step: _axis_pass(m, a, s, test, False) for _, step in _reach(radius)]
+    if test == "least":
+        steps.append(lambda m: _edge(m, radius))
     return tiles.withColumn(mask, F.expr(_chain(mask, steps)))
 
 
 def dilate(tiles: DataFrame, mask: str, size: int = 3, iterations: int = 1) -> DataFrame:
     """Dilation by a size x size square; n rounds equal one with n times the radius."""
-    return _box(tiles, mask, (size // 2) * iterations, "exists")
+    return _box(tiles, mask, (size // 2) * iterations, "greatest")
 
 
 def erode(tiles: DataFrame, mask: str, size: int = 3, iterations: int = 1) -> DataFrame:
-    return _box(tiles, mask, (size // 2) * iterations, "forall")
+    return _box(tiles, mask, (size // 2) * iterations, "least")
 
 
 def opening(tiles: DataFrame, mask: str, size: int = 3) -> DataFrame:
@@ -64,7 +91,7 @@ def closing(tiles: DataFrame, mask: str, size: int, iterations: int = 1) -> Data
 
 def buffer(tiles: DataFrame, mask: str, pixels: int = 4) -> DataFrame:
     """Grow positives by a number of pixels in every direction."""
-    return _box(tiles, mask, pixels, "exists")
+    return _box(tiles, mask, pixels, "greatest")
 
 
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
