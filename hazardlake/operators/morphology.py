@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions.let import let_sql
 from hazardlake.operators.scenes import draw
+from hazardlake.operators.subtiles import patches, split_tiles
 from hazardlake.session import cut_lineage
 
 TILE = ["event", "tile"]
@@ -188,82 +189,34 @@ def water_radar(tiles: DataFrame, vv: str, vh: str, keys: list[str] | None = Non
 
 # --- components ------------------------------------------------------------------
 
-def _runs(tiles: DataFrame, mask: str, keys: list[str]) -> DataFrame:
-    """Horizontal runs of positives: row, first and last column; the node is the first pixel."""
-    px = (tiles.select(*keys, "width", F.posexplode(mask).alias("pos", "m")).filter("m = 1")
-          .select(*keys, "width", "pos", (F.col("pos") / F.col("width")).cast("int").alias("row"),
-                  (F.col("pos") % F.col("width")).alias("col")))
-    w = Window.partitionBy(*keys, "row").orderBy("col")
-    px = px.withColumn("grp", F.col("col") - F.row_number().over(w))
-    return px.groupBy(*keys, "row", "grp").agg(
-        F.min("pos").alias("node"), F.min("col").alias("c0"), F.max("col").alias("c1")).drop("grp")
-
-
-def component_labels(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs with the label of their 4-connected component (its smallest node).
-
-    A run is linked with the runs above and below its first pixel, which finds every overlap
-    of two runs once or twice and never pairs all runs of two rows. Large-star and small-star
-    rounds shrink the links to stars; each takes a minimum per node and a join, so no
-    neighbourhood is gathered. The rounds end by themselves, after a number that grows with
-    the logarithm of the size of a component. Lineage is cut in every round.
+def components(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
+    """4-connected patches of a mask: label (its first pixel), pixels, bounding box and centroid.
+
+    Tiles are cut into sub-tiles, so a large one is not labelled in one piece.
     """
     keys = TILE if keys is None else keys
-    runs = cut_lineage(_runs(tiles, mask, keys))
-    cells = runs.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.col("node").alias("other"))
-    starts = runs.select(*keys, F.explode(F.array(F.col("row") - 1, F.col("row") + 1)).alias("row"),
-                         F.col("c0").alias("col"), "node")
-    edges = cut_lineage(starts.join(cells, [*keys, "row", "col"]).select(
-        *keys, F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct())
-    state = None
-    while True:
-        # large star: larger neighbours move to the smallest neighbour
-        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (both.filter("v > u").join(low, [*keys, "u"])
-                 .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
-        # small star: the node and its smaller neighbours move to the smallest
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*keys, "u"]).filter("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v", *keys).cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    labels = edges.withColumnsRenamed({"u": "node", "v": "component"})
-    return (runs.join(labels, [*keys, "node"], "left")
-            .withColumn("component", F.coalesce("component", "node")))
+    return patches(split_tiles(tiles, [mask], keys=keys), mask, keys)
 
 
-def components(tiles: DataFrame, mask: str, keys: list[str] | None = None) -> DataFrame:
-    """Patches of a mask: label, pixels, bounding box and centroid."""
-    keys = TILE if keys is None else keys
-    n = F.col("c1") - F.col("c0") + 1
-    return component_labels(tiles, mask, keys).groupBy(*keys, "component").agg(
-        F.sum(n).alias("pixels"), F.min("row").alias("row0"), F.max("row").alias("row1"),
-        F.min("c0").alias("col0"), F.max("c1").alias("col1"),
-        (F.sum(n * F.col("row")) / F.sum(n)).alias("center_row"),
-        (F.sum(n * (F.col("c0") + F.col("c1")) / 2) / F.sum(n)).alias("center_col"))
+# --- chips -------------------------------------------------------------------------------------
 
+def padded_sql(n: str, size: int, stride: int, cover: str) -> str:
+    """Padded height or width; see ``chip_grid``."""
+    if cover == "all":
+        return f"if({n} > {size}, cast(ceil(({n} - {size}) / {stride}D) as int) * {stride} + {size}, {size})"
+    if cover == "stride":
+        return f"{n} + pmod(-{n}, {stride})"
+    raise ValueError(cover)
 
-# --- chips -------------------------------------------------------------------------------------
 
 def chip_grid(tiles: DataFrame, size: int, stride: int, cover: str = "all", keys: list[str] | None = None) -> DataFrame:
-    """Chip starts per tile with the padded height and width.
+    """Chip starts per tile with the padded height and width; for chips with pixels see
+    ``subtiles.chips``.
 
     cover='all' pads until chips reach the last pixel; cover='stride' pads to a multiple of
     the stride, which can leave the last rows without a chip.
     """
-    keys = TILE if keys is None else keys
-
-    def padded(n: str) -> str:
-        if cover == "all":
-            return f"if({n} > {size}, cast(ceil(({n} - {size}) / {stride}D) as int) * {stride} + {size}, {size})"
-        if cover == "stride":
-            return f"{n} + pmod(-{n}, {stride})"
-        raise ValueError(cover)
-
-    out = tiles.withColumns({"pad_h": F.expr(padded("height")), "pad_w": F.expr(padded("width"))})
+    out = tiles.withColumns({"pad_h": F.expr(padded_sql("height", size, stride, cover)), "pad_w": F.expr(padded_sql("width", size, stride, cover))})
     out = out.filter((F.col("pad_h") >= size) & (F.col("pad_w") >= size))
     starts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - size, F.lit(stride)))
     return out.withColumn("y0", starts("pad_h")).withColumn("x0", starts("pad_w"))

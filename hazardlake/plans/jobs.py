@@ -14,6 +14,7 @@ from hazardlake.operators import hooks as K
 from hazardlake.operators import morphology as M
 from hazardlake.operators import rasters as R
 from hazardlake.operators import scenes as S
+from hazardlake.operators import subtiles as U
 from hazardlake.session import cut_lineage
 
 TILE = ["event", "tile"]
@@ -36,7 +37,7 @@ def flood_job(tiles: DataFrame, truth: DataFrame, chip: int, grow: int = 4, scor
     """
     pair = R.pair_phases(tiles, ["vv", "vh"])
     bands = ["before_vv", "before_vh", "during_vv", "during_vh"]
-    chips = M.cut_chips(M.chip_grid(pair, chip, chip), bands, chip)
+    chips = U.chips(pair, bands, chip, chip)
     names = [f"chip_{b}" for b in bands]
     ruled = K.rule_score(chips, *names, out="rule").select(*TILE, "height", "width", "y0", "x0", "rule", *names)
     if scorer is None:
@@ -71,8 +72,7 @@ def fire_job(tiles: DataFrame, truth: DataFrame, chip: int, stride: int, means:
         "nodata": F.transform("bands", lambda p: P.nodata_mask(p).cast("int")),
         "z": F.transform("bands", lambda p: P.band_zscore(P.fill_nodata(p), means, stds))})
     flat = t.withColumns({"z0": F.transform("z", lambda p: p[0]), "z1": F.transform("z", lambda p: p[1])}).drop("z", "bands")
-    chips = M.cut_chips(M.chip_grid(flat, chip, stride), ["z0", "z1"], chip)
-    chips = chips.select(*TILE, "height", "width", "y0", "x0", "chip_z0", "chip_z1")
+    chips = U.chips(flat, ["z0", "z1"], chip, stride)
     if scorer is None:
         scored = chips.withColumn("score", F.zip_with("chip_z0", "chip_z1", lambda a, b: a - b))
     else:

@@ -7,6 +7,7 @@ from hazardlake.operators import hooks as K
 from hazardlake.operators import morphology as M
 from hazardlake.operators import rasters as R
 from hazardlake.operators import scenes as S
+from hazardlake.operators import subtiles as U
 from hazardlake.plans import fixtures as A
 from hazardlake.plans import jobs
 from hazardlake.plans.common import joined, r
@@ -24,8 +25,7 @@ PAIR = ("tiles", "px", "pair")
 def _(spark, sf):
     """A user scorer on overlapping chips; equal scores of a pixel average to themselves."""
     pair = R.pair_phases(A.tiles(spark, sf), ["v"])
-    chips = M.cut_chips(M.chip_grid(pair, 4, 2), ["before_v", "during_v"], 4)
-    chips = chips.select("event", "tile", "height", "width", "y0", "x0", "chip_before_v", "chip_during_v")
+    chips = U.chips(pair, ["before_v", "during_v"], 4, 2)
     scored = K.score_chips(chips, ["chip_before_v", "chip_during_v"], lambda x: (x["chip_before_v"] + x["chip_during_v"]) / 2 + 0.25)
     return M.merge_chips(scored, "score", 4).select("event", "tile", "row", "col", r("score").alias("score"))
 

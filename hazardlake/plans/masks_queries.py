@@ -6,6 +6,7 @@ from hazardlake.functions import lexicons as L
 from hazardlake.operators import morphology as M
 from hazardlake.operators import outlines as O
 from hazardlake.operators import rasters as R
+from hazardlake.operators import subtiles as U
 from hazardlake.plans import fixtures as A
 from hazardlake.plans.common import r
 from hazardlake.plans.tiles_queries import PROJECTED
@@ -143,6 +144,35 @@ def _(spark, sf):
     return M.components(_masks(spark, sf), "mask", K3).withColumns({"center_row": r("center_row"), "center_col": r("center_col")})
 
 
+@query("components_subtiles", "R-9",
+       """, m as (select event, tile, phase, pos::int as pos, "row", col from px where v > 0),
+       e as (select a.event, a.tile, a.phase, a.pos as u, b.pos as v from m a join m b on a.event = b.event and a.tile = b.tile and a.phase = b.phase
+         and abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+       walk(event, tile, phase, pos, lab) as (select event, tile, phase, pos, pos from m union
+         select w.event, w.tile, w.phase, e.v, w.lab from walk w join e on e.event = w.event and e.tile = w.tile and e.phase = w.phase and e.u = w.pos),
+       lab as (select event, tile, phase, pos, min(lab) as component from walk group by all)
+       select event, tile, phase, component, count(*) as pixels from lab group by all""", NEED)
+def _(spark, sf):
+    """Tiles in sub-tiles of 3 pixels a side: labels meet at the borders."""
+    return U.patches(U.split_tiles(_masks(spark, sf), ["mask"], 3, K3), "mask", K3).select(*K3, "component", "pixels")
+
+
+@query("closing_subtiles", "R-2 R-3",
+       M0 + box("m0", "s0", 1, "dilate") + box("s0", "s1", 1, "erode") + box("s1", "s2", 1, "erode") + box("s2", "s3", 1, "dilate") + TEXT.format(src="s3"), NEED)
+def _(spark, sf):
+    """Closed and opened 3x3 on sub-tiles of 4 pixels a side with a halo of 4."""
+    t = U.split_tiles(_masks(spark, sf), ["mask"], 4, K3)
+    return _text(U.join_subtiles(U.near(t, "mask", 4, lambda x: M.opening(M.closing(x, "mask", 3), "mask", 3), K3), ["mask"], K3))
+
+
+@query("gaussian_subtiles", "R-5", gauss_sql(0.7) + " select event, tile, phase, pos::int as pos, round(v, 7) as v from g2", NEED)
+def _(spark, sf):
+    """Smoothed on sub-tiles of 4 pixels a side with a halo of the kernel's radius."""
+    t = U.split_tiles(A.tiles(spark, sf), ["v"], 4, K3)
+    whole = U.join_subtiles(U.near(t, "v", 3, lambda x: M.gaussian(x, "v", 0.7), K3), ["v"], K3)
+    return R.explode_pixels(whole, ["v"]).select(*K3, "pos", r("v", 7).alias("v"))
+
+
 @query("boundary_edges", "R-10",
        """, m as (select * from px where v > 0),
        s as (select a.*, dr, dc from m a, (values (-1, 0), (0, 1), (1, 0), (0, -1)) d(dr, dc)
@@ -264,7 +294,7 @@ REF = "least({j} % 14, 14 - {j} % 14)"
          where p."row" = {REF.format(j='(y0 + i // 6)')} and p.col = {REF.format(j='(x0 + i % 6)')})
        select event, tile, phase, yy::int as "row", xx::int as col, round(avg(s), 6) as score, count(*) as n_chips, (avg(s) > 0.1)::int as pred from c where yy < 8 and xx < 8 group by all""", NEED)
 def _(spark, sf):
-    chips = M.cut_chips(M.chip_grid(A.tiles(spark, sf), 6, 4), ["v"], 6)
+    chips = U.chips(A.tiles(spark, sf), ["v"], 6, 4, keep=PHASED)
     scored = chips.withColumn("s", F.expr("transform(chip_v, x -> cast(x as double) * (1 + y0 + 2 * x0))"))
     return M.decide(M.merge_chips(scored, "s", 6, PHASED), 0.1).withColumn("score", r("score")).drop("height", "width")
 
@@ -273,7 +303,7 @@ def _(spark, sf):
        "select event, tile, phase, round(sum(v), 5) as total, round(sum(v * pos), 4) as moment from px group by all", NEED)
 def _(spark, sf):
     """Unchanged chips merge back to the tile they were cut from."""
-    chips = M.cut_chips(M.chip_grid(A.tiles(spark, sf), 5, 2), ["v"], 5)
+    chips = U.chips(A.tiles(spark, sf), ["v"], 5, 2, keep=PHASED)
     chips = chips.withColumn("chip_v", F.expr("transform(chip_v, x -> cast(x as double))"))
     m = M.merged_tiles(M.merge_chips(chips, "chip_v", 5, PHASED), PHASED)
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + x)
