@@ -22,6 +22,27 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
                           f"{A.PLATFORM.format(k='user_id')} as platform", "event_type as post_type", "value", "props")
 
 
+def _in_slices(spark: SparkSession, sf: str, label: str, job, n: int = 4) -> str:
+    """Run a job over the events in ``n`` slices of time, one after the other: the slice arrives,
+    the job starts from its checkpoint, works off what is new and stops. Returns the table."""
+    target, checkpoint = _paths(spark, label)
+    events = A.table(spark, sf, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    spark.createDataFrame([], events.schema).write.parquet(f"{target}-in")
+    for i in range(n):
+        a, b = low + (high - low) * i / n, low + (high - low) * (i + 1) / n
+        last = F.lit(i == n - 1)
+        events.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) | last)).write.mode("append").parquet(f"{target}-in")
+        raw = spark.readStream.schema(EVENTS).parquet(f"{target}-in")
+        job(raw.selectExpr("event_id as id", "cast(ts as timestamp) as ts", "user_id as author",
+                           f"{A.PLATFORM.format(k='user_id')} as platform", "event_type as post_type", "value", "props"), target, checkpoint)
+    return target
+
+
+def _sliced_table(spark, sf, label, build, mode="append"):
+    return _in_slices(spark, sf, label, lambda s, target, checkpoint: J.run(build(s), J.table_sink(target), checkpoint, mode))
+
+
 def _paths(spark, label):
     base = work_dir(spark, label)
     return f"{base}/table", f"{base}/checkpoint"
@@ -55,7 +76,7 @@ def _(spark, sf):
        f"""select {sql_iso('start')} as start, platform, count(*) as n, round(count(*) / 3600.0, 8)::double as rate from
        (select time_bucket(interval '1 hour', ts) as start, platform from stream) group by start, platform""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "windows", "update")
+    t = _sliced_table(spark, sf, "windows", lambda s: J.windowed_counts(s, "1 hour", "10 minutes", ["platform"]), "update")
     return J.read_updates(spark, t, ["start", "platform"]).select(iso("start").alias("start"), "platform", "n", r("rate", 8).alias("rate"))
 
 
@@ -63,37 +84,39 @@ def _(spark, sf):
        f""", s as (select time_bucket(interval '1 hour', ts) - to_hours(i) as start, post_type from stream, (select unnest(range(6)) as i))
        select {sql_iso('start')} as start, post_type, count(*) as n from s group by start, post_type""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "6 hours", "10 minutes", ["post_type"], "1 hour"), "sliding", "update")
+    t = _sliced_table(spark, sf, "sliding", lambda s: J.windowed_counts(s, "6 hours", "10 minutes", ["post_type"], "1 hour"), "update")
     return J.read_updates(spark, t, ["start", "post_type"]).select(iso("start").alias("start"), "post_type", "n")
 
 
 @query("stream_spikes", "ST-11",
        f""", c as (select time_bucket(interval '1 hour', ts) as start, platform, count(*) as n from stream group by all),
        t as (select *, avg(n) over (partition by platform order by start rows between 6 preceding and 1 preceding) as trailing_mean from c)
-       select {sql_iso('start')} as start, platform, n, round(trailing_mean, 6) as trailing_mean, n >= 10 as mass_event from t where n >= trailing_mean * 2""", ("stream",))
+       select {sql_iso('start')} as start, platform, n, round(trailing_mean, 6) as trailing_mean, n >= 10 as mass_event from t where n >= trailing_mean * 2
+       and start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from stream)""", ("stream",))
 def _(spark, sf):
-    t = _table(spark, J.windowed_counts(_stream(spark, sf), "1 hour", "10 minutes", ["platform"]), "spikes", "update")
-    s = J.spikes(J.read_updates(spark, t, ["start", "platform"]), ["platform"], 6, 2.0)
+    """Alerts of the windows that the watermark has closed, out of the running query."""
+    t = _sliced_table(spark, sf, "spikes", lambda s: J.spike_stream(s, ["platform"], 3600, "10 minutes", 6, 2.0))
+    s = J.read_table(spark, t)
     return s.select(iso("start").alias("start"), "platform", "n", r("trailing_mean").alias("trailing_mean"), "mass_event")
 
 
 @query("stream_dedup", "ST-5", "select distinct author, post_type from stream", ("stream",))
 def _(spark, sf):
-    d = J.drop_duplicates(_stream(spark, sf), ["author", "post_type"], "60 days").select("author", "post_type")
-    return J.read_table(spark, _table(spark, d, "dedup"))
+    t = _sliced_table(spark, sf, "dedup", lambda s: J.drop_duplicates(s, ["author", "post_type"], "60 days").select("author", "post_type"))
+    return J.read_table(spark, t)
 
 
-@query("stream_dedup_table", "ST-5", "select author, post_type, min(id) as id from stream group by all", ("stream",))
+@query("stream_dedup_table", "ST-5", "select author, post_type, arg_min(id, row(ts, id)) as id from stream group by all", ("stream",))
 def _(spark, sf):
-    target, checkpoint = _paths(spark, "dedup-table")
-    J.run(_stream(spark, sf), J.dedup_sink(target, ["author", "post_type"], ["id"]), checkpoint)
+    target = _in_slices(spark, sf, "dedup-table", lambda s, table, checkpoint: J.run(
+        s, J.dedup_sink(table, ["author", "post_type"], ["ts", "id"]), checkpoint))
     return J.read_table(spark, target).select("author", "post_type", "id")
 
 
 @query("stream_remember_ids", "ST-5", "select distinct author from stream", ("stream",))
 def _(spark, sf):
-    s = J.remember_ids(_stream(spark, sf), "author", 3_600_000)
-    return J.read_table(spark, _table(spark, s, "seen"))
+    t = _sliced_table(spark, sf, "seen", lambda s: J.remember_ids(s, "author", 60 * 86_400_000))
+    return J.read_table(spark, t)
 
 
 @query("stream_gate", "ST-6 F-9",

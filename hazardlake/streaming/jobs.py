@@ -104,6 +104,52 @@ def spikes(counts: DataFrame, keys: list[str], back: int, factor: float, mass: i
             .filter((F.col("n") >= F.col("trailing_mean") * factor) & F.col("trailing_mean").isNotNull()))
 
 
+def spike_stream(stream: DataFrame, keys: list[str], size_s: int, delay: str, back: int, factor: float, mass: int = 10,
+                 ts: str = "ts") -> DataFrame:
+    """``spikes`` of tumbling windows inside the running query: an alert comes out in the
+    micro-batch whose watermark closes its window.
+
+    The state of a key is the counts of its open windows and a ring of those of its last
+    ``back`` closed ones; a timer at the end of the first open window closes it without new
+    posts. Posts are counted by key and window where they are read, so a key with a third of a
+    batch sends few rows to its state. A post of a closed window is late and not counted.
+    """
+    types = dict(stream.dtypes)
+    names = [*keys, "start", "n", "trailing_mean", "mass_event"]
+    size = size_s * 1000
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part["win"] = part["ms"] // size * size
+            yield part.groupby([*keys, "win"], as_index=False, dropna=False).agg(seen_at=(ts, "max"), n=("ms", "size"))
+
+    def alert(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, counts, ring = (list(x) for x in state.get) if state.exists else ([], [], [])
+        mark, open_ = state.getCurrentWatermarkMs(), dict(zip(starts, counts))
+        if not state.hasTimedOut:
+            for part in parts:
+                for start, n in zip(part["win"], part["n"]):
+                    if start + size > mark:
+                        open_[int(start)] = open_.get(int(start), 0) + int(n)
+        out = []
+        for start in sorted(x for x in open_ if x + size <= mark):
+            n = open_.pop(start)
+            if ring and n >= sum(ring) / len(ring) * factor:
+                out.append((*key, pd.Timestamp(start, unit="ms"), n, sum(ring) / len(ring), n >= mass))
+            ring = [*ring, n][-back:]
+        state.update((sorted(open_), [open_[x] for x in sorted(open_)], ring))
+        if open_:
+            state.setTimeoutTimestamp(max(min(open_) + size, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    fields = ", ".join(f"{k} {types[k]}" for k in keys)
+    folded = stream.select(*keys, ts, F.unix_millis(ts).alias("ms")).mapInPandas(fold, f"{fields}, win long, seen_at timestamp, n long")
+    return folded.withWatermark("seen_at", delay).groupBy(*keys).applyInPandasWithState(
+        alert, f"{fields}, start timestamp, n long, trailing_mean double, mass_event boolean",
+        "starts array<long>, counts array<long>, ring array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # --- duplicates -------------------------------------------------------------------------------
 
 def drop_duplicates(stream: DataFrame, key: list[str], delay: str, ts: str = "ts") -> DataFrame:
