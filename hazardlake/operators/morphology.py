@@ -261,6 +261,23 @@ def merged_tiles(merged: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return got.select(*keys, "height", "width", F.when(full, F.transform("x", lambda e: e["s"])).otherwise(filled).alias("score"))
 
 
+def merged_classes(chips: DataFrame, score: str, size: int, classes: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, height, width, cls): the class with the largest mean score of each pixel of a tile.
+
+    ``score`` holds the scores of class 0 for all pixels of a chip, then those of class 1, and
+    so on. Chips are brought together by tile; scores of the same pixel and class are averaged,
+    a pixel without a chip is class 0, the lower one of equal classes wins.
+    """
+    keys = TILE if keys is None else keys
+    px = chips.select(*keys, "height", "width", "y0", "x0", score).repartition(*keys).select(*keys, "height", "width", "y0", "x0", F.posexplode(score).alias("i", "s"))
+    px = px.withColumns({"cls": F.expr(f"cast(i div {size * size} as int)"), "at": F.expr(f"i % {size * size}")})
+    px = px.select(*keys, "height", "width", "cls", (F.col("y0") + F.expr(f"cast(at div {size} as int)")).alias("row"),
+                   (F.col("x0") + F.col("at") % size).alias("col"), "s").filter("row < height and col < width")
+    mean = px.groupBy(*keys, "height", "width", "row", "col", "cls").agg(F.avg("s").alias("m"))
+    best = mean.groupBy(*keys, "height", "width", "row", "col").agg(F.max_by("cls", F.struct("m", -F.col("cls"))).alias("score"))
+    return merged_tiles(best, keys).withColumn("cls", F.transform("score", lambda c: c.cast("int"))).drop("score")
+
+
 def decide(merged: DataFrame, threshold: float, nodata: Column | None = None) -> DataFrame:
     """Threshold a merged score; nodata pixels become 0."""
     hit = F.col("score") > threshold

@@ -113,7 +113,7 @@ def _(spark, sf):
     return _text(M.water_optical(t, "v", "n"))
 
 
-def _threshold_sql(src, out):
+def threshold_sql(src, out):
     """Otsu threshold per tile of a smoothed band, as in OTSU."""
     body = OTSU.strip().lstrip(",").strip().replace("vpx", src)
     return f", {out} as (with {body.replace('round(arg_max(center, row(var, -bin)), 6) as threshold', 'arg_max(center, row(var, -bin)) as t')})"
@@ -122,7 +122,7 @@ def _threshold_sql(src, out):
 @query("water_radar", "R-8",
        """, vv as (select event, tile, phase, pos, "row", col, v * 100 + 100 as v from px),
        vh as (select a.event, a.tile, a.phase, a.pos, a."row", a.col, b.v * 80 + 90 as v from px a join px b on a.event = b.event and a.tile = b.tile and a.phase = b.phase and b.pos = 63 - a.pos)"""
-       + gauss_sql(2.0, "vv", "gv") + gauss_sql(2.0, "vh", "gh") + _threshold_sql("gv", "tv") + _threshold_sql("gh", "th")
+       + gauss_sql(2.0, "vv", "gv") + gauss_sql(2.0, "vh", "gh") + threshold_sql("gv", "tv") + threshold_sql("gh", "th")
        + """, m0 as (select gv.event, gv.tile, gv.phase, gv.pos, gv."row", gv.col, (gv.v < tv.t and gh.v < th.t)::int as m from gv join gh using (event, tile, phase, pos)
          join tv using (event, tile, phase) join th using (event, tile, phase))"""
        + box("m0", "s0", 9, "dilate") + box("s0", "s1", 9, "erode") + box("s1", "s2", 1, "erode") + box("s2", "s3", 1, "dilate") + TEXT.format(src="s3"), NEED)

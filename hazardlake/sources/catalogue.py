@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardlake.functions.text import non_empty
 from hazardlake.schemas import EVENT_TILE, MANIFEST, MANIFEST_TRIPLE, METRICS
+from hazardlake.session import cut_lineage
 
 
 def clean_manifest(df: DataFrame) -> DataFrame:
@@ -85,12 +86,51 @@ def read_event_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_TILE).json(path)
 
 
+_INDEX_TILE = "tile_id string, source_split string, mgrs string, year int, doy int"
+
+
+def write_nested_index(df: DataFrame, path: str) -> None:
+    """Index in the nested form {event: {tiles: [...]}}, as lines that are one document together.
+
+    Rows are dealt by ranges of event and tile and numbered; a line is a tile, the first one of
+    an event opens it. So a document of any size, and an event of any size, is written by many
+    tasks, and none holds more than a line. The lines in order of their files are the document.
+    """
+    names = ["tile_id", "source_split", "mgrs", "year", "doy"]
+    ranged = df.select("event", *names).repartitionByRange("event", "tile_id").sortWithinPartitions("event", *names)
+    rows = cut_lineage(ranged.withColumn("id", F.monotonically_increasing_id()), "index")
+    first = rows.groupBy("event").agg(F.min("id").alias("id")).withColumn("opens", F.lit(True))
+    start = first.agg(F.min("id")).scalar()
+    quoted = F.regexp_extract(F.to_json(F.array("event")), r"^\[(.*)\]$", 1)
+    opened = F.concat(F.when(F.col("id") == start, "{").otherwise("]},"), quoted, F.lit(':{"tiles":['))
+    lines = rows.join(first, ["event", "id"], "left").select(
+        "id", F.concat(F.when(F.col("opens"), opened).otherwise(","), F.to_json(F.struct(*names))).alias("value"))
+    end = rows.agg(F.when(F.count(F.lit(1)) == 0, "{}").otherwise("]}}").alias("value")).select(F.lit((1 << 63) - 1).alias("id"), "value")
+    lines.unionByName(end).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+
+
 def read_nested_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index in the nested form {event: {tiles: [...]}}: one JSON document to tile rows."""
-    tile = "struct<tile_id: string, source_split: string, mgrs: string, year: int, doy: int>"
-    raw = spark.read.text(path, wholetext=True)
-    events = raw.select(F.explode(F.from_json("value", f"map<string, struct<tiles: array<{tile}>>>")).alias("event", "x"))
-    return events.select("event", F.explode("x.tiles").alias("t")).select("event", "t.*")
+    """Tile rows of an index in the nested form {event: {tiles: [...]}}.
+
+    The text is cut at closing braces where it is read, so a document is split over many tasks
+    however it is laid out. A piece is a tile; the one that opens an event names it, and the
+    name is carried on: inside a block of the file, and from block to block by the last name of
+    each. Strings must not contain braces; other plain fields of an event before its tiles are
+    skipped.
+    """
+    raw = spark.read.text(path, lineSep="}").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"))
+    name = F.regexp_extract("value", r'"([^"]+)"\s*:\s*\{[^{]*"tiles"\s*:\s*\[', 1)
+    tile = F.from_json(F.concat(F.regexp_extract("value", r"(\{[^{]*)$", 1), F.lit("}")), _INDEX_TILE)
+    pieces = raw.select("file", "block", "id", F.nullif(name, F.lit("")).alias("name"), tile.alias("t"))
+    inside = Window.partitionBy("file", "block").orderBy("id")
+    pieces = pieces.withColumn("here", F.last("name", True).over(inside))
+    ends = pieces.groupBy("file", "block").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("id"))).alias("end"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    ends = ends.withColumn("carried", F.last("end", True).over(before)).drop("end")
+    got = pieces.filter("t.tile_id is not null").join(ends, ["file", "block"])
+    return got.select(F.coalesce("here", "carried").alias("event"), "t.*")
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
