@@ -124,9 +124,10 @@ def schedule(sources: DataFrame, block_words: int = 4096) -> DataFrame:
 
 def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
           block_words: int = 4096) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots) of every row of ``docs``.
 
-    ``taken`` counts the words the mix takes of the row over all slots. A null or blank text
+    ``taken`` counts the words the mix takes of the row over all slots, ``first_slot`` is the
+    first slot that takes a word of it (null if none does) and ``n_slots`` their number. A null or blank text
     has size 0 and gives nothing; a null source is a source of its own, a null id an ordinary
     value, and repeated rows are separate rows. ``share`` must be below ``cap``. An empty
     table gives no rows; other columns are not looked at.
@@ -134,16 +135,18 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     sizes = cut_lineage(sized(docs), "sizes")
     sources = cut_lineage(targets(sizes, weights, share, cap), "sources")
     used = (schedule(sources, block_words).groupBy("key", "block", "first", "last")
-            .agg(F.count(F.lit(1)).alias("times")))
+            .agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot")))
     rows = placed(sizes, sources)
     b = block_words
     span = F.when(F.col("size") > 0, F.expr(f"sequence(at div {b}, (at + size - 1) div {b})"))
     cut = rows.withColumn("block", F.explode_outer(span))
     words = F.least(F.col("at") + F.col("size"), F.col("last")) - F.greatest("at", "first")
+    hit = words > 0
     return (cut.join(used, ["key", "block"], "left")
             .groupBy("key", "piece", "row", "doc_id", "size", "source_size", "target")
-            .agg(F.coalesce(F.sum(F.greatest(words, F.lit(0)) * F.col("times")), F.lit(0)).alias("taken"))
-            .select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")))
+            .agg(F.coalesce(F.sum(F.greatest(words, F.lit(0)) * F.col("times")), F.lit(0)).alias("taken"),
+                 F.min(F.when(hit, F.col("slot"))).alias("first_slot"), F.coalesce(F.sum(F.when(hit, F.col("times"))), F.lit(0)).alias("n_slots"))
+            .select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "n_slots"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -156,5 +159,6 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
              .filter("t > 0")
              .select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("s")).cast("int").alias("__times"))
              .filter("__times > 0"))
+    times = cut_lineage(times, "times")
     return (docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns))
