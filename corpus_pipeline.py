@@ -12,20 +12,15 @@ from hazardlake.llm import language, minhash, mixing, plans, postings
 from hazardlake.session import cut_lineage, drop_work, recording
 
 
-#: Work tables of the stage that ran last.
-_left: list[str] = []
-
-
 def _stage(function: Callable) -> Callable:
-    """A stage that first drops the work tables of the one before, whose result is written by
-    now: it is what comes in as ``docs``."""
+    """A stage that leaves no work table but those its result reads: decisions, a few bytes a
+    document. Nothing that another call made is touched."""
 
     @wraps(function)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_work(spark, _left, but_of=docs)
         with recording() as made:
             out = function(spark, docs, sf_dir)
-        _left[:] = made
+        drop_work(spark, made, but_of=out)
         return out
 
     return call
@@ -41,8 +36,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; of equal rows one. Rows without id stay.
-    Links are of five-word shingles, unlike those of op6."""
+    """The document with the smallest id of every group; of equal rows one. Rows without id stay,
+    texts without words are no copies of each other. An empty table stays empty. Links are of
+    five-word shingles, unlike those of op6."""
     found = cut_lineage(minhash.near_duplicates(docs, k=5), "found")
     gone = found.filter("not kept").select(F.col("id").alias("__id")).distinct()
     again = found.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
@@ -55,7 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without enough words of benchmark passages."""
+    """Documents without enough words of benchmark passages. Null and empty texts, repeated rows
+    and rows without id have no verdict or an ordinary one and stay unless contaminated; a row
+    whose id is that of a contaminated one goes with it. Without benchmark items all stay."""
     found = postings.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = cut_lineage(found.filter("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
@@ -63,13 +61,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Texts without words are taken nowhere and go; a
+    null source is one of its own, rows that share an id are repeated alike; an empty table
+    stays empty. The slots are in ``mixing.taken``; the columns of documents have no room for
+    them, and the token files are in order of the id."""
     return mixing.mixed(docs)
 
 
 @_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place and digest of every document in the token files."""
+    """Place and digest of every document in the token files, in order of the id (null first, then
+    the text). A null or empty text is the end id alone; an empty table has an empty file set."""
     return plans.token_digest(docs)
 
 
@@ -85,7 +87,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each result written and read again."""
+    """The stages applied to ``documents``, each result written and read again. The run deletes
+    the tables that it made itself, as soon as the next result is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         with recording() as made:

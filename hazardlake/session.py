@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,26 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_recorders: list[list[str]] = []
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/hazardlake/{label}-{uuid.uuid4().hex}"
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     return path
 
 
 @contextmanager
 def recording() -> Iterator[list[str]]:
-    """The paths that ``work_dir`` gives out meanwhile."""
+    """The paths that ``work_dir`` gives out meanwhile in this thread or task."""
     made: list[str] = []
-    _recorders.append(made)
+    token = _recorders.set((*_recorders.get(), made))
     try:
         yield made
     finally:
-        _recorders[:] = [r for r in _recorders if r is not made]
+        _recorders.reset(token)
 
 
 def drop_work(spark: SparkSession, paths: list[str], but_of: DataFrame | None = None) -> None:
