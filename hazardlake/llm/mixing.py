@@ -159,6 +159,5 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
              .filter("t > 0")
              .select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("s")).cast("int").alias("__times"))
              .filter("__times > 0"))
-    times = cut_lineage(times, "times")
     return (docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns))
