@@ -233,12 +233,38 @@ def test_large_group_of_vectors(spark):
 
 def test_rotation_estimates_are_unbiased():
     rng = np.random.default_rng(0)
-    x = vectors._unit(rng.standard_normal((30, 64)).tolist())
+    x = rng.standard_normal((30, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
     turn = vectors.rotations(64, 20)
-    est, spread = vectors._estimate(x, x, turn)
+    sign, factor = vectors._codes(x, turn)
+    steps, size = vectors._steps(x)
+    query = (steps - vectors._offset(64)) * size[:, None]
+    assert (np.abs(query - x) <= size[:, None] * 0.5001).all()
+    exact = x @ x.T
+    est = vectors._rebuilt(sign, factor, turn) @ query.T
     off = ~np.eye(30, dtype=bool)
-    error = (est - x @ x.T)[off]
-    assert abs(error.mean()) < 0.005 and (np.abs(error) < 5 * spread).all()
+    error = (est - exact)[off]
+    spread = vectors._deviation(factor, 64)[:, None] * np.sqrt(np.maximum(0, 1 - exact**2))
+    assert abs(error.mean()) < 0.005 and (np.abs(error) < 5 * (spread[off] + 0.003)).all()
+
+
+def test_codes_decide_most_pairs(spark):
+    """Fewer pairs are recomputed than meet, the links are the same, and a wide bound recomputes more."""
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal((4, 64))
+    table = [(i, (center[i % 4] + 0.55 * rng.standard_normal(64)).tolist(), 0) for i in range(150)]
+    table += [(200 + i, (np.array(table[i][1]) + 0.05 * rng.standard_normal(64)).tolist(), 0) for i in range(20)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
+    assert got == brute.vectors(table) and sum(n for n, _, _ in got.values()) == 40
+    reps = df.selectExpr("vec_id id", "size(embedding) d", "7L g", "embedding v")
+    counts = []
+    for sure in (5.0, 1e9):
+        plan = vectors.Plan(*vectors.shape(170, 0.98, 1e-7), 0.98, sure)
+        coded = reps.mapInArrow(vectors._encode(plan), vectors.CODES)
+        left = vectors.undecided(coded, plan).collect()
+        counts.append(sum(bin(byte).count("1") for r in left for byte in r["partners"]))
+    assert 20 <= counts[0] < counts[1] / 3
 
 
 def test_preferences(spark):
