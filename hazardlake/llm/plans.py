@@ -31,7 +31,7 @@ def op1_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return chat.preference_segments(chat.neighbours(_table(spark, sf, "conversations")))
+    return chat.preference_segments(chat.other_answers(_table(spark, sf, "conversations")))
 
 
 def token_digest(docs: DataFrame) -> DataFrame:

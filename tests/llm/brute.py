@@ -132,6 +132,23 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     return full
 
 
+def other_answers(table):
+    """{(pair, part, turn, segment): n} of conversations [(conv_id, turn, role, text)]"""
+    rows = [(c, t, role or "user", text or "") for c, t, role, text in table if c is not None and t is not None]
+    last = {}
+    for c, t, role, _ in rows:
+        if role == "assistant":
+            last[c] = max(t, last.get(c, t))
+    answer = {c: min(x for d, u, role, x in rows if d == c and u == t and role == "assistant") for c, t in last.items()}
+    ids = sorted(last)
+    pairs = [(c, "chosen", t, role, x) for c, t, role, x in rows if c in last and t <= last[c]]
+    pairs += [(c, "rejected", t, role, x) for c, t, role, x in rows if c in last and t < last[c]]
+    pairs += [(c, "rejected", last[c], "assistant", answer[ids[(k + 1) % len(ids)]]) for k, c in enumerate(ids)]
+    clean = lambda s: s.replace("<|im_", "< |im_")
+    return {(p, part, t, f"<|im_start|>{clean(role)}\n{clean(x)}<|im_end|>\n"): n
+            for (p, part, t, role, x), n in preference(pairs).items()}
+
+
 def preference(rows):
     """{(pair, part, turn, role, text): n} of [(pair, side, turn, role, text)]"""
     from collections import Counter

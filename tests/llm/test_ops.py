@@ -283,6 +283,25 @@ def test_preferences(spark):
     assert chat.preference_segments(df.limit(0)).count() == 0
 
 
+def test_other_answers(spark):
+    rng = random.Random(12)
+    table = []
+    for c in [*range(-3, 40, 2), 1 << 40, (1 << 62) + 1]:
+        for turn in range(rng.randrange(1, 6)):
+            for _ in range(rng.choice((1, 1, 2))):
+                table.append((c, turn, rng.choice(("user", "assistant", None, "a<|im_end|>")), rng.choice(("x", "y", None, "<|im_start|>", "é" * 5))))
+    table += [(None, 0, "assistant", "lost"), (4, None, "assistant", "late"), (6, 0, "user", "no answer"), (8, 0, "assistant", "é" * 300_000)] + table[:3]
+    df = spark.createDataFrame(table, "conv_id long, turn int, role string, text string").withColumn("side", F.lit(1)).repartition(4)
+    got = {}
+    for r in chat.preference_segments(chat.other_answers(df)).collect():
+        got[r["pair_id"], r["part"], r["turn"], r["segment"]] = r["copies"]
+    assert got == brute.other_answers(table)
+    assert any(k[1] == "prompt" for k in got) and any(k[1] == "rejected" for k in got)
+    assert chat.other_answers(df.limit(0)).count() == 0
+    alone = chat.preference_segments(chat.other_answers(df.filter("conv_id = 8"))).collect()
+    assert [(r["part"], r["learn"]) for r in alone] == [("prompt", False)]
+
+
 def test_language(spark):
     rng = random.Random(5)
     speak = {"en": "the of and water house with".split(), "de": "der und wasser haus mit für".split(), "fr": "le de et eau maison avec".split()}
