@@ -57,11 +57,13 @@ def _table(spark, stream, label, mode="append"):
 @query("stream_ingest", "ST-1 S-4 ST-3",
        """select id, coalesce(json_extract(props, '$.k')::bigint, -1) as k, coalesce(nullif(platform, 'news'), 'unknown') as platform, post_type from stream""", ("stream",))
 def _(spark, sf):
-    """Envelopes as a folder of JSON files, read two files per micro-batch."""
+    """Envelopes as a folder of JSON files, read two files per micro-batch; where there are more
+    than sixteen, an eighth of them, so that the micro-batches do not grow with the events."""
     base = work_dir(spark, "envelopes")
     env = A.stream(spark, sf).selectExpr("props as post_data", "cast(id as string) as timestamp", "nullif(platform, 'news') as platform", "post_type")
-    env.write.option("maxRecordsPerFile", 500).json(f"{base}/in")
-    posts = decode_envelope(read_post_stream(spark, f"{base}/in", 2), "k bigint")
+    env.write.option("maxRecordsPerFile", max(500, -(-env.count() // 16))).json(f"{base}/in")
+    files = len(spark.read.text(f"{base}/in").inputFiles())
+    posts = decode_envelope(read_post_stream(spark, f"{base}/in", max(2, -(-files // 8))), "k bigint")
     out = posts.select(F.col("timestamp").cast("long").alias("id"), F.coalesce("post.k", F.lit(-1)).alias("k"), "platform", "post_type")
     J.run(out, J.table_sink(f"{base}/table"), f"{base}/checkpoint")
     return J.read_table(spark, f"{base}/table")

@@ -112,3 +112,20 @@ def test_duplicates_against_the_table(spark, tmp_path):
     J.run(s, J.dedup_sink(str(tmp_path / "t"), ["id"], ["ts"]), str(tmp_path / "c"))
     got = sorted((r["id"], str(r["ts"])) for r in J.read_table(spark, str(tmp_path / "t")).collect())
     assert got == [(1, "2024-01-01 00:00:01"), (2, "2024-01-01 00:05:00")]
+
+
+def test_ingest_in_few_micro_batches(spark, tmp_path):
+    """Many events do not mean many micro-batches: 30,000 of them came in 30 before."""
+    from hazardlake.plans import catalogue
+    from hazardlake.plans.streams_queries import EVENTS
+    from hazardlake.session import recording
+
+    rows = spark.range(30_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id % 7 as user_id", "'view' as event_type",
+                                          "cast(id as double) as value", "concat('{\"k\": ', id, '}') as props")
+    assert rows.schema.simpleString() == spark.createDataFrame([], EVENTS).schema.simpleString()
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with recording() as made:
+        out = catalogue()["stream_ingest"].run(spark, str(tmp_path))
+    assert out.count() == 30_000 and out.filter("id = k").count() == 30_000
+    batches = spark.read.parquet(f"{made[0]}/table").select("batch").distinct().count()
+    assert 1 < batches <= 9
