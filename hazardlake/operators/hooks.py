@@ -109,12 +109,24 @@ def pca3(df: DataFrame, vec: str, key: str) -> DataFrame:
     return out.select(key, *[scale(i).alias(f"c{i}") for i in range(3)])
 
 
+def _spread(df: DataFrame, features: int, per_task: int = 128 << 20) -> DataFrame:
+    """Rows dealt so that no task holds more than ``per_task`` bytes of four a feature and row.
+
+    That is what trees keep of a row, however short its text, and every pass reads it again. Rows
+    that one task may hold stay where they are.
+    """
+    rows, most = df.count(), max(1, per_task // (4 * features))
+    if rows <= most:
+        return df
+    return df.repartition(max(-(-rows // most), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit_text_classifier(df: DataFrame, text: str, label: str, kind: str, features: int = 1 << 12):
     """TF-IDF pipeline with a forest, boosted trees or a linear SVM; returns the fitted model.
 
     ``features`` is the number of hash buckets of the vocabulary. Trees keep statistics for
     each, so the default suits them; pass 1 << 18 or more for a linear machine on a large
-    vocabulary. All rows are used.
+    vocabulary. All rows are used; for trees, the number of tasks grows with them.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
@@ -128,4 +140,4 @@ def fit_text_classifier(df: DataFrame, text: str, label: str, kind: str, feature
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\W+"),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="tfidf"), last]).fit(df)
+        IDF(inputCol="tf", outputCol="tfidf"), last]).fit(df if kind == "svm" else _spread(df, features))

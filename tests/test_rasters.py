@@ -253,3 +253,10 @@ def test_nan_is_not_a_large_number(spark):
                      P.radar_change(x, x, y, y)["vv"].alias("vv")).collect()
     assert a["s"] == 0 and a["db"] == 0.0 and np.isnan(a["nbr"]) and not a["pos"] and a["w"] == 0.0 and not a["vv"]
     assert b["s"] == 4 and b["pos"] and b["vv"]
+
+
+def test_training_rows_are_dealt_by_what_trees_keep(spark):
+    """Rows of short texts came in as few tasks as the files had, however many they were."""
+    df = spark.range(1000).coalesce(1)
+    assert max(r["n"] for r in K._spread(df, 4096, 100 * 4 * 4096).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) <= 150
+    assert K._spread(df, 4096) is df
