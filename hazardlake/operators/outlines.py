@@ -3,7 +3,7 @@
 The outline of a mask is a set of unit edges. Edges in line are joined to sides by windows, each
 side points to the one that follows it, and pointer doubling orders the sides of every ring: a
 side learns the smallest side within 1, 2, 4, … steps and how far it is, so the rounds grow with
-the logarithm of the longest ring. No task sees a tile; what is gathered at the end is one ring.
+the logarithm of the longest ring, and a ring that is known takes part in none. No task sees a tile; what is gathered at the end is one ring.
 """
 
 from __future__ import annotations
@@ -100,20 +100,47 @@ def _links(sides: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, F.col("i.node").alias("node"), _node(F.col("x"), F.col("y"), go).alias("next"))
 
 
+def _met(state: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """A round: every side meets the side ``span`` further, and doubles what it has seen.
+
+    Once the same smallest side is met twice, ``size`` sides apart, the ring is known. All sides
+    of a ring have met it twice in the first round whose ``span`` is not below the size, some
+    already in the round before; they are ``done`` together, so none misses one it points to.
+    The joins are merges: a state that fits a broadcast would go through the driver every round.
+    """
+    far = state.select(*keys, F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("ring").alias("r2"), F.col("ahead").alias("a2"))
+    nearer, again = F.col("r2") < F.col("ring"), F.col("r2") == F.col("ring")
+    size = F.coalesce("size", F.when(again, F.lit(span) + F.col("a2") - F.col("ahead")))
+    return state.join(far.hint("merge"), [*keys, "ptr"]).select(
+        *keys, "node", "next", "then", F.col("p2").alias("ptr"), F.least("ring", "r2").alias("ring"),
+        F.when(nearer, F.lit(span) + F.col("a2")).otherwise(F.col("ahead")).alias("ahead"), size.alias("size"),
+        nearer.alias("moved"), (again & (F.col("size").isNotNull() | (size <= span))).alias("done"))
+
+
 def _ranked(links: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, next, ring, ahead): the smallest side of the ring and the steps to it."""
-    state = cut_lineage(links.select(*keys, "node", "next", F.col("next").alias("ptr"), F.col("node").alias("ring"),
-                                     F.lit(0).cast("long").alias("ahead"), F.lit(True).alias("moved")), "rings")
-    span = 1
+    """(keys, node, next, ring, ahead): the smallest side of the ring and the steps to it.
+
+    After the first step only the sides that run north or south go on, each for itself and the one
+    that follows, and rings that are known leave the rounds.
+    """
+    none = F.lit(None).cast("long")
+    state = _met(links.select(*keys, "node", "next", none.alias("then"), F.col("next").alias("ptr"), F.col("node").alias("ring"),
+                              F.lit(0).cast("long").alias("ahead"), none.alias("size")), keys, 1)
+    state = cut_lineage(state.filter(F.col("node").bitwiseAND(F.lit(1)) == 1).withColumn("then", F.col("ptr")), "rings")
+    span, known = 2, []
     while True:
-        far = state.select(*keys, F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("ring").alias("r2"), F.col("ahead").alias("a2"))
-        nearer = F.col("r2") < F.col("ring")
-        state = cut_lineage(state.join(far, [*keys, "ptr"]).select(
-            *keys, "node", "next", F.col("p2").alias("ptr"), F.least("ring", "r2").alias("ring"),
-            F.when(nearer, F.lit(span) + F.col("a2")).otherwise(F.col("ahead")).alias("ahead"), nearer.alias("moved")), "rings")
+        state = cut_lineage(_met(state, keys, span), "rings")
         span *= 2
+        known.append(state.filter("done"))
+        state = state.filter("not done")
         if state.filter("moved").isEmpty():
-            return state.select(*keys, "node", "next", "ring", "ahead")
+            break
+    for more in known:
+        state = state.unionByName(more)
+    own = F.struct("node", "next", "ahead")
+    following = F.struct(F.col("next").alias("node"), F.col("then").alias("next"),
+                         (F.when(F.col("ahead") > 0, F.col("ahead")).otherwise(F.col("size")) - 1).alias("ahead"))
+    return state.select(*keys, "ring", F.explode(F.array(own, following)).alias("s")).select(*keys, "s.node", "s.next", "ring", "s.ahead")
 
 
 def _owners(sides: DataFrame, ranked: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,18 +151,20 @@ def _owners(sides: DataFrame, ranked: DataFrame, rings: DataFrame, keys: list[st
     to the left; following these, doubling the step, ends at the outer ring.
     """
     holes = rings.filter("area < 0").select(*keys, "ring")
+    begun = holes.select(*keys, _y("ring").cast("int").alias("row")).distinct()
     row = F.when(F.col("dir") == SOUTH, F.col("t")).otherwise(-F.col("t") - 1)
     upright = sides.filter(F.col("dir").isin(SOUTH, NORTH)).select(*keys, row.alias("row"), F.col("line").alias("x"), "dir", "node")
+    upright = upright.join(begun.hint("merge"), [*keys, "row"], "left_semi")
     before = F.lag("node").over(Window.partitionBy(*keys, "row").orderBy("x"))
     right_ends = upright.withColumn("left", before).filter(F.col("dir") == SOUTH)
     ring_of = ranked.select(*keys, "node", "ring")
-    first = (right_ends.join(ring_of, [*keys, "node"]).join(holes, [*keys, "ring"])
+    first = (ring_of.hint("merge").join(right_ends, [*keys, "node"]).join(holes.hint("merge"), [*keys, "ring"])
              .groupBy(*keys, "ring").agg(F.min_by("left", F.struct("row", "x")).alias("node")))
-    up = first.join(ring_of.withColumnRenamed("ring", "outer"), [*keys, "node"]).select(*keys, "ring", "outer")
+    up = first.hint("merge").join(ring_of.withColumnRenamed("ring", "outer"), [*keys, "node"]).select(*keys, "ring", "outer")
     up = cut_lineage(up, "holes")
     while True:
         more = up.select(*keys, F.col("ring").alias("outer"), F.col("outer").alias("o2"))
-        up = cut_lineage(up.join(more, [*keys, "outer"], "left").select(*keys, "ring", F.coalesce("o2", "outer").alias("outer"), F.col("o2").isNotNull().alias("moved")), "holes")
+        up = cut_lineage(up.join(more.hint("merge"), [*keys, "outer"], "left").select(*keys, "ring", F.coalesce("o2", "outer").alias("outer"), F.col("o2").isNotNull().alias("moved")), "holes")
         if up.filter("moved").isEmpty():
             return up.select(*keys, "ring", "outer")
 
@@ -157,14 +186,14 @@ def outline(tiles: DataFrame, mask: str, keys: list[str] | None = None, place: D
     owner = _owners(sides, ranked, rings, keys)
     corners = ranked.select(*keys, "ring", "ahead", _x("node").cast("double").alias("x"), _y("node").cast("double").alias("y"))
     if place is not None:
-        at = corners.join(place.select(*keys, "left", "top", "res", "zone", "south"), keys)
+        at = corners.join(place.select(*keys, "left", "top", "res", "zone", "south").hint("merge"), keys)
         at = at.withColumns({"e": F.col("left") + F.col("x") * F.col("res"), "n": F.col("top") - F.col("y") * F.col("res")})
         corners = utm_to_wgs84(at, "e", "n", "zone", "south").select(*keys, "ring", "ahead", F.col("lng").alias("x"), F.col("lat").alias("y"))
     order = F.when(F.col("ahead") == 0, F.lit(-(1 << 62))).otherwise(-F.col("ahead"))
     points = corners.groupBy(*keys, "ring").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "x", "y"))).alias("c"))
     closed = F.transform(F.concat("c", F.slice("c", 1, 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return (rings.join(owner, [*keys, "ring"], "left").withColumn("outer", F.coalesce("outer", "ring"))
-            .join(points.select(*keys, "ring", closed.alias("points")), [*keys, "ring"])
+    return (rings.join(owner.hint("merge"), [*keys, "ring"], "left").withColumn("outer", F.coalesce("outer", "ring"))
+            .join(points.select(*keys, "ring", closed.alias("points")).hint("merge"), [*keys, "ring"])
             .select(*keys, "ring", "outer", "corners", "area", "points"))
 
 

@@ -158,3 +158,27 @@ def test_points_on_the_map(spark):
     first, east = row["points"][0], row["points"][1]
     assert first["x"] == pytest.approx(75.0) and first["y"] == pytest.approx(0.0, abs=1e-9)
     assert east["x"] > first["x"] and row["area"] == 6.0 and row["corners"] == 4
+
+
+def test_known_rings_leave_the_rounds(spark):
+    """Lone pixels and one long ring: before, every round wrote every side, 6 times 400 here."""
+    from hazardlake.session import recording
+
+    lone = np.zeros((20, 20), dtype=int)
+    lone[::2, ::2] = 1
+    rows = [("E", i, *m.shape, m.ravel().tolist()) for i, m in ((1, lone), (2, SNAKE))]
+    tiles = spark.createDataFrame(rows, "event string, tile int, height int, width int, mask array<int>")
+    with recording() as made:
+        got = O.outline(tiles, "mask").groupBy("tile").agg(F.count("ring").alias("n"), F.sum("corners").alias("c")).collect()
+    assert {r["tile"]: (r["n"], r["c"]) for r in got} == {1: (100, 400), 2: (len(walk(SNAKE)), sum(map(len, walk(SNAKE))))}
+    sides = sum(r["c"] for r in got)
+    written = [spark.read.parquet(p).count() for p in made if "/rings-" in p]
+    assert sum(written) < 3 * sides and written[-1] < sides / 4
+
+
+def test_no_state_goes_through_the_driver(spark):
+    """Small states were broadcast once a round."""
+    place = spark.createDataFrame([("E", 1, 500000.0, 0.0, 10.0, 43, False)], "event string, tile int, left double, top double, res double, zone int, south boolean")
+    out = O.outline(tile(spark, nested()), "mask", place=place)
+    assert out.count() > 1
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
