@@ -209,10 +209,10 @@ def feature_pieces(rings: DataFrame, properties: DataFrame | None = None, keys:
     names = [c for c in properties.columns if c not in keys] if properties is not None else []
     tiles = rings.groupBy(*keys).agg(F.min("outer").alias("__first"))
     if properties is not None:
-        tiles = properties.join(tiles, keys, "left")
+        tiles = properties.join(tiles.hint("merge"), keys, "left")
     tiles = tiles.withColumn("__p", F.to_json(F.struct(*names)) if names else F.lit("{}"))
     coords = F.to_json(F.transform("points", lambda p: F.array(p["x"], p["y"])))
-    body = rings.join(tiles.select(*keys, "__first"), keys).select(
+    body = rings.join(tiles.select(*keys, "__first").hint("merge"), keys).select(
         *keys, F.col("outer").alias("place"), F.col("ring").alias("ring"),
         F.concat(F.when(F.col("ring") != F.col("outer"), ",").when(F.col("outer") == F.col("__first"), "[").otherwise("],["), coords).alias("piece"))
     some = F.col("__first").isNotNull()
