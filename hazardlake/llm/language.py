@@ -26,6 +26,8 @@ ASCII_LETTER = LETTER.copy()
 ASCII_LETTER[0x80:] = False
 NONE = "und"
 U = np.uint64
+#: Bytes of text worked on at once: a byte makes a dozen numbers, for each language three.
+SLICE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, order: int, buc
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for lo, hi, data, offsets in words.slices(batch, "text"):
+    for lo, hi, data, offsets in words.slices(batch, "text", SLICE_BYTES):
         yield lo, hi, data, *words.bounds(data, offsets, LETTER)
 
 

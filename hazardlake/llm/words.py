@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of pieces of ``batch``; a null text is empty."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -51,7 +51,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, data[at[lo]: at[hi]], at[lo: hi + 1] - at[lo]
         lo = hi
