@@ -2,8 +2,8 @@
 
 Layout. A token file set is a Parquet folder; a row is a segment: consecutive documents in
 ascending id, at least ``SEGMENT`` ids unless it ends a part. Columns: ``part`` and ``segment``
-(order of the segment), ``doc_ids``, ``lengths`` (ids of each document, end id included) and
-``payload``. A payload is, little-endian:
+(order of the segment), ``before`` (ids of the part before the segment), ``doc_ids``, ``lengths``
+(ids of each document, end id included) and ``payload``. A payload is, little-endian:
 
     u32 values, u32 blocks, u32 start of each block (bytes from the first block)
     per block of 128 values (the last is filled up with its minimum):
@@ -19,7 +19,6 @@ reading what stands before it (``value_at``).
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import SLICE_BYTES
+from hazardlake.llm.words import slices
 
 BLOCK = 128
 SEGMENT = 1 << 15
@@ -36,26 +35,50 @@ SEGMENT = 1 << 15
 REMEMBERED = 1 << 20
 
 
-#: How a byte-level BPE writes a space.
-SPACE_MARK = "\u0120"
-#: Signs that are a piece of their own behind letters.
-SIGNS = frozenset(".,;:!?$&%*#)")
+#: Bytes of text that are cut into pieces at once.
+PIECES_BYTES = 4 << 20
+#: How a byte-level BPE writes a space and a line end.
+SPACE_MARK, LINE_MARK = "\u0120", "\u010a"
+
+#: Kinds of bytes: 0 any other, 1 ASCII white space, 2 part of another character that some hold for white space.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 1
+_KIND[0x1C:0x20] = 2
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace() or c == "\u180e"]
+_LEADS = np.zeros(256, bool)
+_LEADS[[c[0] for c in _WIDE]] = True
+#: Bytes that end a letter if ASCII, second bytes of a letter behind ``_LATIN`` (U+00C0 to U+027F), and ASCII signs.
+_LETTER, _LATIN, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LATIN[0xC3:0xCA] = True
+_SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kind = _KIND[data]
+    lead = np.flatnonzero(_LEADS[data])
+    if len(lead):
+        for c in _WIDE:
+            at = lead[data[lead] == c[0]]
+            for k in range(1, len(c)):
+                at = at[at + k < len(data)]
+                at = at[data[at + k] == c[k]]
+            for k in range(len(c)):
+                kind[at + k] = 2
+    return kind
 
 
 class Encoder:
-    """Ids of whole texts, with a memory of words.
-
-    A byte-level BPE without normaliser never joins across a space that stands between two
-    characters other than white space: the space starts the next piece. Nor does it across a
-    line end between two such characters. So a text is cut there, and each distinct piece is
-    encoded once. A text with two white space characters in a row, or with any other than
-    spaces and line ends, is cut at single spaces only.
+    """Ids of whole texts, with a memory of pieces.
+
+    A byte-level BPE without normaliser first cuts a text: white space before a character
+    other than white space is cut before its last character; a last character that is a space
+    starts the next piece, any other stands alone. Nothing else joins white space to what
+    stands before it, nor a letter to a sign behind it. So a text is cut there, and each
+    distinct piece is encoded once. White space beside a character that tokenizers may or may
+    not hold for white space is left uncut, and so are signs where a special token occurs.
     """
 
-    _odd = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
-    _cut = re.compile(r"(?<=\S) (?=\S)")
-    _plain = re.compile(r"\S(?:[^ ]*\S)?\Z")
-
     class _Rows(dict):
         def __missing__(self, key):
             self[key] = row = len(self)
@@ -67,9 +90,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that start with a space
         self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(SPACE_MARK)]] = True
+        self.line = np.arange(len(self.spaced)) == self.tokenizer.token_to_id(LINE_MARK)
         # Row 0 is the end of a document; ids of a row are flat[start: start + size].
         self.rows = self._Rows({None: 0})
         self.rows.new = []
@@ -77,7 +101,7 @@ class Encoder:
         self.seen = np.array([2])
 
     def _forget(self) -> None:
-        """Keep the words that came more than once."""
+        """Keep the pieces that came more than once."""
         keys = np.array(list(self.rows), object)
         keep = np.flatnonzero(self.seen > 1)
         keep = keep if 2 * len(keep) < REMEMBERED else keep[:1]
@@ -89,88 +113,110 @@ class Encoder:
         self.seen = np.where(np.arange(len(keep)) > 0, 0, 2)
 
     def _learn(self) -> None:
-        """Ids of the new keys.
+        """Ids of the new pieces.
 
-        A key is a piece that has a space in front of it in the text; one that starts with a
-        space or a line end stands as it is, without that first space. Letters and a sign, or a
-        line end and what follows, have the ids of both one after the other. Other pieces
-        are encoded many at a time: an id that starts with a space starts a piece. Keys with
-        white space at an end are encoded alone.
+        Pieces with no white space but a space in front are encoded many at a time, one behind
+        the other: an id that starts with a space starts a piece. So are those with no white
+        space at all, with a line end between each two. Others are encoded alone.
         """
         new, base = self.rows.new, len(self.size)
         if not new:
             return
-        pairs, halves = [], []
-        for i, w in enumerate(new[:]):
-            if w[:1] == "\n" and len(w) > 1 and not w[1].isspace():
-                halves += (self.rows[" \n"], self.rows[" " + w[1:]])
-                pairs.append(i)
-            elif w[-1:] in SIGNS and w[:-1].isalpha():
-                halves += (self.rows[w[:-1]], self.rows[" " + w[-1]])
-                pairs.append(i)
-        n, paired = len(new), np.zeros(len(new), bool)
-        paired[pairs] = True
+        n = len(new)
+        length = np.fromiter(map(len, new), np.int64, n)
+        at = np.cumsum(length) - length
+        data = np.frombuffer(b"".join(new), np.uint8)
+        white = np.add.reduceat(_kinds(data) > 0, at, dtype=np.int64)
+        spaced, bare = (white == 1) & (data[at] == 0x20) & (length > 1), white == 0
         self.start, self.size = np.append(self.start, np.zeros(n, np.int64)), np.append(self.size, np.zeros(n, np.int64))
-        plain = np.fromiter((self._plain.match(w) is not None for w in new), bool, n)
-        at, rest = np.flatnonzero(plain & ~paired).tolist(), np.flatnonzero(~plain & ~paired).tolist()
-        held, end = [self.flat], len(self.flat)
-        runs, texts = [], []
-        for i in range(0, len(at), 1000):
-            text = " " + " ".join([new[j] for j in at[i: i + 1000]])
-            if any(x in text for x in self.special):
-                rest += at[i: i + 1000]
-            else:
-                runs.append(at[i: i + 1000])
-                texts.append(text)
-        for run, e in zip(runs, self._ids(texts)):
-            cut = np.flatnonzero(self.spaced[e])
-            if len(cut) != len(run):
-                raise ValueError("the tokenizer joins pieces across spaces")
-            row = np.array(run) + base
-            self.start[row], self.size[row] = end + cut, np.diff(cut, append=len(e))
-            held.append(e)
-            end += len(e)
-        for i, e in zip(rest, self._ids([self._written(new[i]) for i in rest])):
+        held, end, rest = [self.flat], len(self.flat), np.flatnonzero(~spaced & ~bare).tolist()
+        for joint, marks, which in ((b"", self.spaced, spaced), (b"\n", self.line, bare)):
+            which = np.flatnonzero(which).tolist()
+            runs, texts = [], []
+            for i in range(0, len(which), 1000):
+                text = joint.join([new[j] for j in which[i: i + 1000]])
+                if any(x in text for x in self.special):
+                    rest += which[i: i + 1000]
+                else:
+                    runs.append(which[i: i + 1000])
+                    texts.append(text.decode())
+            for run, e in zip(runs, self._ids(texts)):
+                cut = np.flatnonzero(marks[e])
+                first = np.append(0, cut + 1) if joint else cut
+                if len(first) != len(run):
+                    raise ValueError("the tokenizer joins pieces across white space")
+                row = np.array(run) + base
+                self.start[row], self.size[row] = end + first, np.diff(first, append=len(e) + len(joint)) - len(joint)
+                held.append(e)
+                end += len(e)
+        for i, e in zip(rest, self._ids([new[i].decode() for i in rest])):
             self.start[base + i], self.size[base + i] = end, len(e)
             held.append(e)
             end += len(e)
         self.flat = np.concatenate(held)
-        if pairs:
-            half = np.array(halves)
-            both = self._gather(half)
-            row, size = np.array(pairs) + base, self.size[half].reshape(-1, 2).sum(axis=1)
-            self.start[row], self.size[row] = end + np.cumsum(size) - size, size
-            self.flat = np.concatenate([self.flat, both])
         self.seen = np.append(self.seen, np.zeros(n, np.int64))
         self.rows.new = []
 
-    @staticmethod
-    def _written(key: str) -> str:
-        return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
-
-    def _gather(self, row: np.ndarray) -> np.ndarray:
-        size = self.size[row]
+    def _gather(self, row: np.ndarray, size: np.ndarray) -> np.ndarray:
         return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[row] - (np.cumsum(size) - size), size)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start, and the end of the last."""
+        kind = _kinds(data)
+        border = np.zeros(len(data) + 1, bool)
+        border[at] = True
+        white = np.flatnonzero(kind == 1)
+        kind = np.append(kind, 0)  # at the end, and as what stands before the first
+        first = white[border[white] | (kind[white - 1] != 1)]
+        last = white[border[white + 1] | (kind[white + 1] != 1)]
+        inner = ~border[last + 1]
+        text = data.tobytes()
+        special = any(x in text for x in self.special)
+        if special:  # white space before a special token is the end of a text to the tokenizer
+            inner &= ~np.isin(data[np.minimum(last + 1, len(data) - 1)], [x[0] for x in self.special])
+        sure = (border[first] | (kind[first - 1] == 0)) & (~inner | (kind[last + 1] == 0))
+        first, last = first[sure], last[sure & inner]
+        cut = border
+        if not special:
+            sign = np.flatnonzero(_SIGN[data[1:]]) + 1
+            before = data[sign - 1]
+            # Of U+00C0 to U+027F only the signs of multiplication and division are no letters.
+            wide = (before >= 0x80) & _LATIN[data[sign - 2]] & (sign > 1) & ~((data[sign - 2] == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+            cut[sign[_LETTER[before] | wide]] = True
+        cut[first] = True
+        cut[last] = True
+        cut[last[data[last] != 0x20] + 1] = True
+        return np.flatnonzero(cut)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids per text."""
+        raw = [t.encode() for t in texts]
+        at = np.cumsum([0, *map(len, raw)])
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), at)
+
+    def encode_bytes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts in UTF-8, the i-th being ``data[at[i]: at[i + 1]]``."""
         if len(self.rows) > REMEMBERED:
             self._forget()
-        keys, pieces = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            cut = self._cut.split(text) if any(x in text for x in self._odd) else text.replace("\n", " \n").split(" ")
-            cut[0] = " " + cut[0]
-            cut.append(None)
-            keys += cut
-            pieces[i] = len(cut)
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        n = len(at) - 1
+        cut = self._cuts(data, at) if len(data) else np.zeros(1, np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
+        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
         self._learn()
-        self.seen += np.bincount(row, minlength=len(self.seen))
-        ids, size = self._gather(row), self.size[row]
-        return ids, np.add.reduceat(size, np.cumsum(pieces) - pieces) if len(texts) else pieces
+        which = pieces.indices.to_numpy()
+        self.seen[known] += np.bincount(which, minlength=len(known))
+        row = np.zeros(len(which) + n, np.int64)
+        behind = np.searchsorted(cut, at[1:]) + np.arange(n)  # places of the end ids
+        inside = np.ones(len(row), bool)
+        inside[behind] = False
+        row[inside] = known[which]
+        size = self.size[row]
+        total = np.cumsum(size)[behind]
+        return self._gather(row, size), np.diff(total, prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -207,7 +253,9 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     out[start + 4], out[start + 5] = width, patches
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((kept[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        word = "<u2" if w <= 16 else "<u4"
+        bits = np.unpackbits(kept[rows].astype(word).view(np.uint8), axis=1, bitorder="little")
+        bits = bits.reshape(len(rows), BLOCK, -1)[:, :, :w]
         packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         out[(start[rows] + 6)[:, None] + np.arange(BLOCK // 8 * w)] = packed
     row, spot = np.nonzero(over)
@@ -231,17 +279,15 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     out = np.empty((last - first, BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        value = np.zeros((len(rows), BLOCK), np.uint32)
+        bits = np.zeros((len(rows), BLOCK, 16 if w <= 16 else 32), np.uint8)
         if w:
             raw = data[at[rows][:, None] + 6 + np.arange(BLOCK * int(w) // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            for j in range(w):
-                value |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-        out[rows] = value
-    for r in np.flatnonzero(patches):
-        spot = int(at[r]) + 6 + BLOCK * int(width[r]) // 8
-        count = int(patches[r])
-        out[r, data[spot: spot + count]] = data[spot + count: spot + 5 * count].copy().view("<u4")
+            bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        out[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u2" if w <= 16 else "<u4")
+    row = np.repeat(np.arange(last - first), patches)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(patches) - patches, patches)
+    after = (at + 6 + BLOCK // 8 * width.astype(np.int64))[row]
+    out[row, data[after + nth]] = data[(after + patches[row] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").ravel()
     out += low
     return out.ravel()[: n - first * BLOCK]
 
@@ -251,22 +297,8 @@ def value_at(payload: bytes, i: int) -> int:
     return int(unpack(payload, i // BLOCK, i // BLOCK + 1)[i % BLOCK])
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-        t = t.as_py() or ""
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-SCHEMA = "part int, segment long, doc_ids array<long>, lengths array<int>, payload binary"
-_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+SCHEMA = "part int, segment long, before long, doc_ids array<long>, lengths array<int>, payload binary"
+_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                     ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
 
@@ -284,29 +316,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pe
 
         part, segment, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id)
         doc_ids: list = []
-        held, sizes, total = [], [], 0
+        held, sizes, total, before = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            row = {"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": np.concatenate(sizes).tolist(),
-                   "payload": pack(np.concatenate(held), percentile)}
-            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            ids, lengths = pa.concat_arrays(doc_ids), pa.array(np.concatenate(sizes), pa.int32())
+            row = [[part], [segment], [before], pa.ListArray.from_arrays([0, len(ids)], ids),
+                   pa.ListArray.from_arrays([0, len(ids)], lengths), [pack(np.concatenate(held), percentile)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _ARROW)], schema=_ARROW)
 
         for batch in batches:
-            for ids, texts in _pieces(batch):
-                tokens, size = encoder.encode(texts)
+            for top, end, data, at in slices(batch, size=PIECES_BYTES):
+                ids = batch.column("doc_id").slice(top, end - top)
+                tokens, size = encoder.encode_bytes(data, at)
                 done = np.cumsum(size)
                 lo = 0
                 while lo < len(ids):  # fill the segment up to SEGMENT ids, whole documents
                     base = done[lo - 1] if lo else 0
                     hi = min(len(ids), int(np.searchsorted(done, base + SEGMENT - total, "left")) + 1)
-                    doc_ids += ids[lo:hi]
+                    doc_ids.append(ids.slice(lo, hi - lo))
                     held.append(tokens[base: done[hi - 1]])
                     sizes.append(size[lo:hi])
                     total += int(done[hi - 1] - base)
                     lo = hi
                     if total >= SEGMENT:
                         yield flush()
-                        segment += 1
+                        segment, before = segment + 1, before + total
                         doc_ids, held, sizes, total = [], [], [], 0
         if doc_ids:
             yield flush()
@@ -320,32 +354,29 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of a file set.
 
     ``ids`` is binary: unsigned 32-bit integers, little-endian. ``start`` counts the ids of all
-    documents before. Segments are decoded one by one; their totals are summed within a part
-    and then over the parts, so no task sees all segments.
+    documents before. Segments are decoded one by one, where they are read; only the totals of
+    the parts, one row a part, are summed up and sent to the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                size = np.array(row["lengths"], np.int64)
+            lengths, doc_ids = batch.column("lengths"), batch.column("doc_ids")
+            for i, (part, before, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "before", "payload")))):
+                size = lengths[i].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(size)
-                raw = unpack(row["payload"]).astype("<u4").tobytes()
+                raw = unpack(payload).astype("<u4", copy=False)
                 offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
                 n = len(size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int64()),
-                     pa.array(row["doc_ids"], pa.int64()), pa.array(ends - size), pa.array(size),
+                    [pa.array(np.full(n, part, np.int32)), doc_ids[i].values, pa.array(before + ends - size), pa.array(size),
                      pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
-                    ["part", "segment", "doc_id", "within", "n_tokens", "ids"])
+                    ["part", "doc_id", "within", "n_tokens", "ids"])
 
     files = spark.read.schema(SCHEMA).parquet(path)
-    docs = files.mapInArrow(run, "part int, segment long, doc_id long, within long, n_tokens long, ids binary")
-    total = files.select("part", "segment", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    parts = total.groupBy("part").agg(F.sum("n").alias("n"))
+    docs = files.mapInArrow(run, "part int, doc_id long, within long, n_tokens long, ids binary")
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = files.groupBy("part").agg(F.max(F.col("before") + size).alias("n"))
     above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
-    offset = (total.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, "part")
-              .select("part", "segment", (F.col("off") + F.col("base")).alias("off")))
-    return docs.join(offset, ["part", "segment"]).select(
-        "doc_id", (F.col("off") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(parts), "part").select(
+        "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

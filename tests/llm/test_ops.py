@@ -117,6 +117,47 @@ def test_odd_white_space_is_cut_like_the_tokenizer():
         enc._forget()
 
 
+def test_words_are_learned_once_whatever_stands_around_them():
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(plans.tokenizer_path()), tokens.Encoder(plans.tokenizer_path(), 0)
+    words = ["alpha", "Beta", "gé", "don", "x1", "×", "字", "ÿ", "ǆ", "r2d2"]
+    texts = [f"{a}{gap}{b}{sign} {c}" for a in words for b in words for c in words
+             for gap in ("\n\n", "\t", " \n", "  ", "\r\n") for sign in (",", "***", ".)")]
+    ids, size = enc.encode(texts)
+    at = 0
+    for t, n in zip(texts, size):
+        assert ids[at: at + n].tolist() == [*tk.encode(t, add_special_tokens=False).ids, 0], repr(t)
+        at += n
+    assert len(enc.rows) < 120  # 1,511 when such white space and signs were not cut
+
+
+def test_line_ends_before_a_special_token():
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(plans.tokenizer_path()), tokens.Encoder(plans.tokenizer_path(), 0)
+    for text in ("a\n\n<|endoftext|>b", "a\n<|endoftext|>\n\nb", "<|endoftext|>", "a, <|endoftext|> ", "a  <|b"):
+        assert enc.encode([text])[0].tolist() == [*tk.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
+def test_token_files_are_read_without_a_shuffle_of_ids(spark, docs, tmp_path, capsys):
+    path = str(tmp_path / "files")
+    tokens.write_tokens(docs.repartition(3), path, plans.tokenizer_path())
+    got = tokens.read_tokens(spark, path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # many files
+    try:
+        got.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    at = 0
+    for r in got.orderBy("start").collect():
+        assert (r["start"], 4 * r["n_tokens"]) == (at, len(r["ids"]))
+        at += r["n_tokens"]
+
+
 @pytest.mark.parametrize("values", [
     [], [7], [2**32 - 1, 0], list(range(300)), [5] * 128, [1] * 120 + [2**31] * 9, [2**32 - 1] * 257,
     np.random.default_rng(0).integers(0, 50_000, 1000).tolist(), np.random.default_rng(1).integers(0, 2**32, 500).tolist()])
