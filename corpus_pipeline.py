@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardlake.llm import language, minhash, mixing, plans, postings
@@ -40,13 +40,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts without words are no copies of each other. An empty table stays empty. Links are of
     five-word shingles, unlike those of op6."""
     found = cut_lineage(minhash.near_duplicates(docs, k=5), "found")
-    gone = found.filter("not kept").select(F.col("id").alias("__id")).distinct()
-    again = found.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        F.col("id").alias("__id"))
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    once = left.join(again, left["doc_id"] == again["__id"], "left_anti")
-    more = left.join(again, left["doc_id"] == again["__id"], "left_semi")
-    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
+    marks = (found.filter("id is not null").groupBy(F.col("id").alias("__id"))
+             .agg(F.max(~F.col("kept")).alias("__gone"), F.count(F.lit(1)).alias("__n"))
+             .filter("__gone or __n > 1").select("__id", "__gone"))
+    # Texts move once: ids that come once have no mark, so only the texts of others are compared.
+    named = docs.filter("doc_id is not null")
+    left = named.join(marks, named["doc_id"] == marks["__id"], "left").filter("__gone is null or not __gone")
+    equal = Window.partitionBy("doc_id", F.when(F.col("__gone").isNotNull(), F.col("text"))).orderBy("doc_id")
+    once = left.withColumn("__nth", F.row_number().over(equal)).filter("__gone is null or __nth = 1")
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 @_stage

@@ -474,6 +474,26 @@ def test_language_stage_keeps_letters_without_languages(spark, docs, rows, lang)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
 
 
+def test_near_duplicate_verdicts_move_texts_once(spark):
+    """However many ids have a verdict, as without broadcasts; repeated and missing ids have theirs."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, a), (3, b), (3, b), (4, c), (4, d), (5, None), (5, None), (5, ""), (6, ""), (None, a), (None, a), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, table, "")
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        moves = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == table.columns
+    assert sorted(map(repr, got)) == sorted(map(repr, [
+        (1, a), (3, b), (4, c), (4, d), (5, None), (5, ""), (6, ""), (None, a), (None, a), (None, None)]))
+    assert moves.count("Exchange hashpartitioning(doc_id#") == 1
+
+
 def test_pipeline_equals_plain_python(spark, tmp_path):
     """Row by row. Both sources have equally many words at the mix, which then takes 'a' twice and 'b' once."""
     from itertools import combinations
