@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import slices
+from hazardlake.llm.words import hashes, slices
 
 BLOCK = 128
 SEGMENT = 1 << 15
-#: Distinct words an encoder remembers before it forgets those that came once.
-REMEMBERED = 1 << 20
-
-
-#: Bytes of text that are cut into pieces at once.
-PIECES_BYTES = 4 << 20
+#: Bytes of pieces and their ids that an encoder remembers before it forgets the rare ones.
+REMEMBERED_BYTES = 32 << 20
+#: Bytes that a piece takes besides its text and its ids, and of the longest that is remembered.
+PIECE_BYTES, LONGEST = 48, 256
+#: Bytes of text that are cut into pieces at once; a byte takes some 20 bytes meanwhile.
+PIECES_BYTES = 1 << 20
+#: Texts the tokenizer encodes at once; what it returns takes some hundred bytes an id.
+TOGETHER = 16
 #: How a byte-level BPE writes a space and a line end.
 SPACE_MARK, LINE_MARK = "\u0120", "\u010a"
 
@@ -68,6 +70,11 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     return kind
 
 
+def _pick(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` values from each ``start`` on, one behind the other."""
+    return values[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
 class Encoder:
     """Ids of whole texts, with a memory of pieces.
 
@@ -79,12 +86,6 @@ class Encoder:
     not hold for white space is left uncut, and so are signs where a special token occurs.
     """
 
-    class _Rows(dict):
-        def __missing__(self, key):
-            self[key] = row = len(self)
-            self.new.append(key)
-            return row
-
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -94,35 +95,55 @@ class Encoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that start with a space
         self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(SPACE_MARK)]] = True
         self.line = np.arange(len(self.spaced)) == self.tokenizer.token_to_id(LINE_MARK)
-        # Row 0 is the end of a document; ids of a row are flat[start: start + size].
-        self.rows = self._Rows({None: 0})
-        self.rows.new = []
+        # Row 0 is the end of a document; ids of a row are flat[start: start + size], its piece is text[piece: next piece].
         self.flat, self.start, self.size = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.text, self.piece = np.zeros(0, np.uint8), np.zeros(2, np.int64)
         self.seen = np.array([2])
+        # Hashes of the pieces in order, and the row of each: arrays, since a dict of bytes takes three times the memory.
+        self.rows, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _held(self) -> int:
+        return len(self.text) + self.flat.nbytes + PIECE_BYTES * len(self.size)
 
     def _forget(self) -> None:
-        """Keep the pieces that came more than once."""
-        keys = np.array(list(self.rows), object)
-        keep = np.flatnonzero(self.seen > 1)
-        keep = keep if 2 * len(keep) < REMEMBERED else keep[:1]
-        start, self.size = self.start[keep], self.size[keep]
+        """Keep the pieces that came more than once, of too many those that came most often."""
+        named = np.zeros(len(self.size), bool)
+        named[self.row] = True
+        often = np.flatnonzero(named & (self.seen > 1))
+        often = often[np.argsort(-self.seen[often], kind="stable")]
+        cost = PIECE_BYTES + np.diff(self.piece)[often] + self.flat.itemsize * self.size[often]
+        keep = np.append(0, np.sort(often[np.cumsum(cost) <= REMEMBERED_BYTES // 2]))
+        row = np.zeros(len(named), np.int64)
+        row[keep] = np.arange(len(keep))
+        length = np.diff(self.piece)[keep]
+        self.text, self.piece = _pick(self.text, self.piece[keep], length), np.append(0, np.cumsum(length))
+        self.flat, self.size = _pick(self.flat, self.start[keep], self.size[keep]), self.size[keep]
         self.start = np.cumsum(self.size) - self.size
-        self.flat = self.flat[np.arange(int(self.size.sum())) + np.repeat(start - self.start, self.size)]
-        self.rows = self._Rows({k: i for i, k in enumerate(keys[keep].tolist())})
-        self.rows.new = []
+        kept = row[self.row] > 0
+        self.rows, self.row = self.rows[kept], row[self.row[kept]]
         self.seen = np.where(np.arange(len(keep)) > 0, 0, 2)
 
-    def _learn(self) -> None:
-        """Ids of the new pieces.
+    def _find(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rows of the pieces that start at ``at``, 0 for unknown ones. Of equal hashes the bytes are compared."""
+        if not len(self.rows):
+            return np.zeros(len(key), np.int64)
+        place = np.minimum(np.searchsorted(self.rows, key), len(self.rows) - 1)
+        row = np.where(self.rows[place] == key, self.row[place], 0)
+        row[self.piece[row + 1] - self.piece[row] != size] = 0
+        some = np.flatnonzero(row)
+        if len(some):
+            same = _pick(data, at[some], size[some]) == _pick(self.text, self.piece[row[some]], size[some])
+            row[some[~np.logical_and.reduceat(same, np.cumsum(size[some]) - size[some])]] = 0
+        return row
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Rows for new pieces, and their ids.
 
         Pieces with no white space but a space in front are encoded many at a time, one behind
         the other: an id that starts with a space starts a piece. So are those with no white
         space at all, with a line end between each two. Others are encoded alone.
         """
-        new, base = self.rows.new, len(self.size)
-        if not new:
-            return
-        n = len(new)
+        n, base = len(new), len(self.size)
         length = np.fromiter(map(len, new), np.int64, n)
         at = np.cumsum(length) - length
         data = np.frombuffer(b"".join(new), np.uint8)
@@ -155,13 +176,20 @@ class Encoder:
             end += len(e)
         self.flat = np.concatenate(held)
         self.seen = np.append(self.seen, np.zeros(n, np.int64))
-        self.rows.new = []
+        self.text, self.piece = np.append(self.text, data), np.append(self.piece, self.piece[-1] + at + length)
 
-    def _gather(self, row: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[row] - (np.cumsum(size) - size), size)]
+    def _name(self, row: np.ndarray, key: np.ndarray) -> None:
+        """Let new rows be found by their hashes; of those with one hash only the first is."""
+        key, one = np.unique(key, return_index=True)
+        place = np.searchsorted(self.rows, key)
+        free = place == len(self.rows)
+        free[~free] = self.rows[place[~free]] != key[~free]
+        self.rows = np.insert(self.rows, place[free], key[free])
+        self.row = np.insert(self.row, place[free], row[one[free]])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), TOGETHER)
+                for e in self.tokenizer.encode_batch_fast(texts[i: i + TOGETHER], add_special_tokens=False)]
 
     def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts start, and the end of the last."""
@@ -191,6 +219,24 @@ class Encoder:
         cut[last[data[last] != 0x20] + 1] = True
         return np.flatnonzero(cut)
 
+    def _rows(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """Row of each of distinct pieces; what is not known is learned."""
+        row = np.zeros(len(pieces), np.int64)
+        if not len(row):
+            return row
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset: pieces.offset + len(pieces) + 1]
+        data, size = np.frombuffer(pieces.buffers()[2], np.uint8), np.diff(at)
+        short = np.flatnonzero(size <= LONGEST)
+        key = hashes(data, at[short], at[short + 1])
+        row[short] = self._find(data, at[short], size[short], key)
+        new = np.flatnonzero(row == 0)
+        if len(new):
+            row[new] = len(self.size) + np.arange(len(new))
+            unnamed = row[short] >= len(self.size)
+            self._learn(pieces.take(pa.array(new)).to_pylist())
+            self._name(row[short[unnamed]], key[unnamed])
+        return row
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids per text."""
         raw = [t.encode() for t in texts]
@@ -199,14 +245,12 @@ class Encoder:
 
     def encode_bytes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts in UTF-8, the i-th being ``data[at[i]: at[i + 1]]``."""
-        if len(self.rows) > REMEMBERED:
+        if self._held() > REMEMBERED_BYTES:
             self._forget()
         n = len(at) - 1
         cut = self._cuts(data, at) if len(data) else np.zeros(1, np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
-        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        self._learn()
+        known = self._rows(pieces.dictionary)
         which = pieces.indices.to_numpy()
         self.seen[known] += np.bincount(which, minlength=len(known))
         row = np.zeros(len(which) + n, np.int64)
@@ -216,7 +260,7 @@ class Encoder:
         row[inside] = known[which]
         size = self.size[row]
         total = np.cumsum(size)[behind]
-        return self._gather(row, size), np.diff(total, prepend=0)
+        return _pick(self.flat, self.start[row], size), np.diff(total, prepend=0)
 
 
 @lru_cache(maxsize=1)

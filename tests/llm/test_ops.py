@@ -140,6 +140,44 @@ def test_line_ends_before_a_special_token():
         assert enc.encode([text])[0].tolist() == [*tk.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
 
+def test_an_encoder_keeps_its_memory_small():
+    import tracemalloc
+
+    enc = tokens.Encoder(plans.tokenizer_path(), 0)
+    enc.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        for i in range(0, 350_000, 10_000):
+            enc.encode([" ".join(f"w{j:x}" for j in range(i, i + 10_000))])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 40 << 20  # 58 MB when a dict of bytes held the words
+
+
+def test_pieces_are_told_apart_whatever_is_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tk, rng = Tokenizer.from_file(plans.tokenizer_path()), random.Random(5)
+    texts = ["", "x" * 1000 + " y", "字" * 300, *(sentence(rng, rng.randrange(60), 900) for _ in range(300))]
+    want = [[*tk.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    one = lambda data, start, end: np.full(len(start), 7, np.uint64)
+    few = lambda data, start, end: (end - start).astype(np.uint64)
+    for name in (None, one, few):
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+            if name:
+                m.setattr(tokens, "hashes", name)
+            enc = tokens.Encoder(plans.tokenizer_path(), 0)
+            for _ in range(2):
+                for lo in range(0, len(texts), 20):
+                    ids, size = enc.encode(texts[lo: lo + 20])
+                    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want[lo: lo + 20]
+                    # What is held before a call's own pieces: each text has 60 words at most.
+                    assert enc._held() < 20_000 + 20 * 60 * (tokens.PIECE_BYTES + 5 + 20) + 10_000
+                    assert len(enc.rows) < len(enc.size) and (np.diff(enc.rows.astype(float)) > 0).all()
+
+
 def test_token_files_are_read_without_a_shuffle_of_ids(spark, docs, tmp_path, capsys):
     path = str(tmp_path / "files")
     tokens.write_tokens(docs.repartition(3), path, plans.tokenizer_path())
