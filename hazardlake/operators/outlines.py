@@ -143,14 +143,13 @@ def _ranked(links: DataFrame, keys: list[str]) -> DataFrame:
     return state.select(*keys, "ring", F.explode(F.array(own, following)).alias("s")).select(*keys, "s.node", "s.next", "ring", "s.ahead")
 
 
-def _owners(sides: DataFrame, ranked: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
+def _owners(sides: DataFrame, ranked: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ring, outer) of every hole.
 
     The first pixel of a hole in its first row has a run of positives on its left. The left end
     of that run is on the outer ring or on another hole of the patch that starts further up or
     to the left; following these, doubling the step, ends at the outer ring.
     """
-    holes = rings.filter("area < 0").select(*keys, "ring")
     begun = holes.select(*keys, _y("ring").cast("int").alias("row")).distinct()
     row = F.when(F.col("dir") == SOUTH, F.col("t")).otherwise(-F.col("t") - 1)
     upright = sides.filter(F.col("dir").isin(SOUTH, NORTH)).select(*keys, row.alias("row"), F.col("line").alias("x"), "dir", "node")
@@ -169,32 +168,48 @@ def _owners(sides: DataFrame, ranked: DataFrame, rings: DataFrame, keys: list[st
             return up.select(*keys, "ring", "outer")
 
 
+def _measured(ring: Column) -> Column:
+    """x, y, corners and twice the area of a ring, along its points from the last one on. Only
+    sides along one axis are counted, so both need the points in their order."""
+    def on(s: Column, p: Column) -> Column:
+        side = F.when((s["x"] == p["x"]) != (s["y"] == p["y"]), 1).otherwise(0)
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), (s["corners"] + side).alias("corners"),
+                        (s["twice"] + s["x"] * p["y"] - p["x"] * s["y"]).alias("twice"))
+
+    last, none = F.element_at(ring, -1), F.lit(0).cast("long")
+    return F.aggregate(ring, F.struct(last["x"].alias("x"), last["y"].alias("y"), none.alias("corners"), none.alias("twice")), on)
+
+
 def outline(tiles: DataFrame, mask: str, keys: list[str] | None = None, place: DataFrame | None = None) -> DataFrame:
     """Rings of a mask: ring, outer, corners, area and the closed list of ``points``.
 
     ``ring`` is a number in order of the ring's first corner (row, then column); ``outer`` is the
     ring around a hole, an outer ring's is its own. Outer rings have their area in pixels, holes
-    theirs below zero. Pixels that touch at a corner only have rings of their own. Points are
-    pixel corners; with ``place`` (keys, left, top, res, zone and south per tile) longitude and
-    latitude. A mask without positives has no ring; null pixels are not positive.
+    theirs below zero; corners and area are read off the points in their order. Pixels that
+    touch at a corner only have rings of their own. Points are pixel corners; with ``place``
+    (keys, left, top, res, zone and south per tile) longitude and latitude. A mask without
+    positives has no ring; null pixels are not positive.
     """
     keys = TILE if keys is None else keys
     sides = cut_lineage(_sides(_unit_edges(tiles, mask, keys), keys), "sides")
     ranked = _ranked(_links(sides, keys), keys)
+    # The links tell which rings are holes before their corners are in order.
     twice = _x("node") * _y("next") - _x("next") * _y("node")
-    rings = cut_lineage(ranked.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("corners"), (F.sum(twice) / 2).alias("area")), "outlines")
-    owner = _owners(sides, ranked, rings, keys)
-    corners = ranked.select(*keys, "ring", "ahead", _x("node").cast("double").alias("x"), _y("node").cast("double").alias("y"))
+    holes = cut_lineage(ranked.groupBy(*keys, "ring").agg(F.sum(twice).alias("twice")).filter("twice < 0").select(*keys, "ring"), "outlines")
+    owner = _owners(sides, ranked, holes, keys)
+    corners, shown = ranked.select(*keys, "ring", "ahead", _x("node").alias("x"), _y("node").alias("y")), []
     if place is not None:
         at = corners.join(place.select(*keys, "left", "top", "res", "zone", "south").hint("merge"), keys)
         at = at.withColumns({"e": F.col("left") + F.col("x") * F.col("res"), "n": F.col("top") - F.col("y") * F.col("res")})
-        corners = utm_to_wgs84(at, "e", "n", "zone", "south").select(*keys, "ring", "ahead", F.col("lng").alias("x"), F.col("lat").alias("y"))
+        shown = ["lng", "lat"]
+        corners = utm_to_wgs84(at, "e", "n", "zone", "south").select(*keys, "ring", "ahead", "x", "y", *shown)
     order = F.when(F.col("ahead") == 0, F.lit(-(1 << 62))).otherwise(-F.col("ahead"))
-    points = corners.groupBy(*keys, "ring").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "x", "y"))).alias("c"))
-    closed = F.transform(F.concat("c", F.slice("c", 1, 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return (rings.join(owner.hint("merge"), [*keys, "ring"], "left").withColumn("outer", F.coalesce("outer", "ring"))
-            .join(points.select(*keys, "ring", closed.alias("points")).hint("merge"), [*keys, "ring"])
-            .select(*keys, "ring", "outer", "corners", "area", "points"))
+    rings = corners.groupBy(*keys, "ring").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "x", "y", *shown))).alias("c"))
+    x, y = shown or ["x", "y"]
+    closed = F.transform(F.concat("c", F.slice("c", 1, 1)), lambda p: F.struct(p[x].cast("double").alias("x"), p[y].cast("double").alias("y")))
+    rings = rings.withColumn("m", _measured(F.col("c"))).select(*keys, "ring", F.col("m.corners").alias("corners"), (F.col("m.twice") / 2).alias("area"), closed.alias("points"))
+    return (rings.join(owner.hint("merge"), [*keys, "ring"], "left")
+            .select(*keys, "ring", F.coalesce("outer", "ring").alias("outer"), "corners", "area", "points"))
 
 
 def feature_pieces(rings: DataFrame, properties: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:

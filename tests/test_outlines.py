@@ -182,3 +182,32 @@ def test_no_state_goes_through_the_driver(spark):
     out = O.outline(tile(spark, nested()), "mask", place=place)
     assert out.count() > 1
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_result_rests_on_the_order_of_the_corners(spark, monkeypatch, tmp_path):
+    """Corners and area came from links without an order, and no point of a ring was gathered
+    for the query: with the corners in any other order its rows were the same."""
+    import __spark_entry__ as entry
+
+    masks = [np.pad(np.ones((2, 3), dtype=int), ((1, 5), (1, 4))), nested()[2:10, 2:10]]
+    rows = [(i, [float(x) for x in m.ravel()], 0) for i, m in enumerate(masks)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def run():
+        out = entry.queries()["outline"](spark, str(tmp_path))
+        assert "collect_list" in out._jdf.queryExecution().optimizedPlan().toString()
+        return sorted((r["phase"], r["component"], r["corners"], r["area"]) for r in out.collect())
+
+    right = run()
+    assert right[0] == ("before", 9, 4, 6.0) and sum(r[3] for r in right) == sum(m.sum() for m in masks)
+    ranked = O._ranked
+    monkeypatch.setattr(O, "_ranked", lambda *a: ranked(*a).withColumn("ahead", F.expr("if(ahead in (1, 2), 3 - ahead, ahead)")))
+    # The second and the third step of the rectangle change places: two of its sides cross.
+    assert run()[0] == ("before", 9, 2, 0.0)
+
+
+def test_places_that_come_twice(spark):
+    """Tiles that are placed twice have their corners once and their own area."""
+    place = spark.createDataFrame([("E", 1, 500000.0, 0.0, 10.0, 43, False)] * 2, "event string, tile int, left double, top double, res double, zone int, south boolean")
+    (row,) = O.outline(tile(spark, np.ones((2, 3), dtype=int)), "mask", place=place).collect()
+    assert (row["corners"], row["area"]) == (4, 6.0)
